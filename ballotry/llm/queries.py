@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, near_dedup, sentencepiece_codec
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,28 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2, threshold=80)
 
 
+def model_path() -> str:
+    """The SentencePiece model among the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_benchmark_decontamination, op9_sentencepiece, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
