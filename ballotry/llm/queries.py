@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, near_dedup, sentencepiece_codec
+from . import decontaminate, exact_dedup, near_dedup, sentencepiece_codec, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -37,7 +45,7 @@ def model_path() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_benchmark_decontamination, op9_sentencepiece, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_benchmark_decontamination, op5_warc, op7_toxicity, op9_sentencepiece, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -46,4 +54,12 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op5_warc": """
+            WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+                 q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest,
+                              CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+                   CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+            FROM q""",
     }
