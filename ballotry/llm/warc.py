@@ -83,7 +83,7 @@ def write(rows: DataFrame, folder: str) -> DataFrame:
             for row in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
                 if out is None:
                     temporary, records, size = f"{root}/.task-{task.taskAttemptId()}-{len(made)}", 0, 0
-                    out = fs.open_output_stream(temporary)
+                    out = fs.open_output_stream(temporary, compression=None)
                 page_id, url, html, *rest = row
                 member = zlib.compressobj(6, zlib.DEFLATED, 31)
                 data = member.compress(record(page_id, url, html.encode(), *rest)) + member.flush()
@@ -171,7 +171,7 @@ def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
         for b in batches:
             for path in b["path"].to_pylist():
                 fs, at = filesystem(path)
-                with fs.open_input_stream(at) as f:
+                with fs.open_input_stream(at, compression=None) as f:
                     rows, size = [], 0
                     for head, n, digest, payload in read_records(iter(lambda f=f: f.read(PIECE), b""), with_payload):
                         rows.append((number(head["warc-record-id"]), head.get("warc-target-uri"), n, digest, head["warc-type"], number(head.get("warc-refers-to")), payload if with_payload and head["warc-type"] == "response" else None))
