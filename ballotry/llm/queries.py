@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, sentencepiece_codec, toxicity, warc
+from . import decontaminate, exact_dedup, line_dedup, near_dedup, pii, sentencepiece_codec, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -49,7 +53,7 @@ def model_path() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_benchmark_decontamination, op5_warc, op6_fuzzy_line_dedup, op7_toxicity, op9_sentencepiece, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_benchmark_decontamination, op5_warc, op6_fuzzy_line_dedup, op7_toxicity, op8_pii, op9_sentencepiece, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
