@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, line_dedup, near_dedup, pii, sentencepiece_codec, toxicity, warc
+from . import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, pii, sentencepiece_codec, toxicity, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def model_path() -> str:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_benchmark_decontamination, op5_warc, op6_fuzzy_line_dedup, op7_toxicity, op8_pii, op9_sentencepiece, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op4_benchmark_decontamination, op5_warc, op6_fuzzy_line_dedup, op7_toxicity, op8_pii, op9_sentencepiece, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
