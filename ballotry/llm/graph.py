@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
         )
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return found.select("node", F.col("up").alias("component"))
+    found = found.select("node", F.col("up").alias("component"))
+    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
 
 
 def stars(members: DataFrame) -> DataFrame:
