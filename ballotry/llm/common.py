@@ -56,3 +56,17 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if ":" in uri else f"file://{uri}")
+
+
+def model_path() -> str:
+    """The SentencePiece model among the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def ranks_path() -> str:
+    """The byte-level ranks among the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")

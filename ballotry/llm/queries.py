@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, pii, sentencepiece_codec, toxicity, warc
-from .common import table
+import corpus_pipeline
+
+from . import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, pii, sentencepiece_codec, token_shards, toxicity, warc
+from .common import model_path, ranks_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.read(token_shards.materialise(table(spark, sf_dir, "documents"), ranks_path()), with_ids=False).drop("ids")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -49,15 +55,9 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=2, threshold=80)
 
 
-def model_path() -> str:
-    """The SentencePiece model among the public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_exact_dedup, op4_benchmark_decontamination, op5_warc, op6_fuzzy_line_dedup, op7_toxicity, op8_pii, op9_sentencepiece, op10_minhash_near_dedup)}
+    found = (op1_html_extraction, op2_exact_dedup, op3_training_order, op4_benchmark_decontamination, op5_warc, op6_fuzzy_line_dedup, op7_toxicity, op8_pii, op9_sentencepiece, op10_minhash_near_dedup)
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
