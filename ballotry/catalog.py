@@ -1,20 +1,625 @@
-"""All queries of the library and, where SQL can state them, their SQL."""
+"""All queries of the library over the given tables and, where SQL can state them, their SQL."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars as S
+from .operators import ballots, bridges, evaluate, geometry, matrix, moderation, release, routing
+from .plans import analysis
+from .sources import adapter as A
+from .sources import synthetic
+from .sources.adapter import with_views
+from .streaming import events as E
 
-def opinion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"opinion_counts": opinion_counts}
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def r6(c: str) -> F.Column:
+    """Six decimals, without a negative zero."""
+    return (F.round(c, 6) + 0.0).alias(c)
+
+
+def _first(s: SparkSession, d: str) -> DataFrame:
+    return ballots.first_stored(A.ballots_planted(s, d))
+
+
+def _last(s: SparkSession, d: str, raw: bool = False) -> DataFrame:
+    return ballots.last_valid(A.ballots_raw(s, d) if raw else A.ballots_planted(s, d))
+
+
+def _eligible_votes(s: SparkSession, d: str, raw: bool = False) -> DataFrame:
+    votes = _last(s, d, raw)
+    return ballots.of_sessions(votes, ballots.eligible(votes))
+
+
+FIRST = with_views("planted", "first")
+MODEL = with_views("planted", "valid", "eligible", "kept")
+ONE_COUNT = "count(*) FILTER (WHERE value = -1) AS agree, count(*) FILTER (WHERE value = 1) AS disagree, count(*) FILTER (WHERE value = 0) AS \"pass\", count(*) FILTER (WHERE value = 2) AS unrelated"
+
+
+# Encoding and counting
+
+
+@query(FIRST + f"SELECT opinion_id, {ONE_COUNT} FROM first GROUP BY 1")
+def opinion_counts(s: SparkSession, d: str) -> DataFrame:
+    return ballots.opinion_counts(_first(s, d))
+
+
+@query(with_views("planted", "first", "opinions") + "SELECT session_id, count(*) AS n FROM first JOIN opinions ON id = opinion_id AND status = 'approved' GROUP BY 1")
+def session_counts(s: SparkSession, d: str) -> DataFrame:
+    return ballots.session_counts(_first(s, d), A.opinions(s, d))
+
+
+@query(with_views("planted", "first", "opinions") + "SELECT count(*) AS votes, count(DISTINCT session_id) AS sessions FROM first JOIN opinions ON id = opinion_id AND status = 'approved'")
+def community_totals(s: SparkSession, d: str) -> DataFrame:
+    return ballots.community_totals(_first(s, d), A.opinions(s, d))
+
+
+@query(FIRST + "SELECT session_id, opinion_id, value FROM first")
+def dedup_first(s: SparkSession, d: str) -> DataFrame:
+    return _first(s, d)
+
+
+@query(with_views("planted", "valid") + "SELECT session_id, opinion_id, value FROM valid")
+def dedup_last(s: SparkSession, d: str) -> DataFrame:
+    return _last(s, d)
+
+
+@query(with_views("planted") + "SELECT session_id, opinion_id, CASE WHEN value = 2 THEN 0 ELSE value END AS stored, value = 2 AS unrelated, value AS shown FROM planted")
+def ballot_recode(s: SparkSession, d: str) -> DataFrame:
+    at = A.ballots_planted(s, d).select("session_id", "opinion_id", F.when(F.col("value") == 2, 0).otherwise(F.col("value")).alias("stored"), (F.col("value") == 2).alias("unrelated"))
+    return at.withColumn("shown", S.recode("stored", "unrelated"))
+
+
+@query(with_views("planted", "valid", "eligible") + "SELECT * FROM eligible")
+def eligible_sessions(s: SparkSession, d: str) -> DataFrame:
+    return ballots.eligible(_last(s, d))
+
+
+@query(MODEL + "SELECT opinion_id, n FROM kept")
+def retained_opinions(s: SparkSession, d: str) -> DataFrame:
+    return ballots.retained(_eligible_votes(s, d)).select("opinion_id", "n")
+
+
+@query(MODEL + "SELECT opinion_id, n, s, round(mean, 6) + 0.0 AS mean FROM kept")
+def opinion_means(s: SparkSession, d: str) -> DataFrame:
+    return ballots.retained(_eligible_votes(s, d)).select("opinion_id", "n", "s", r6("mean"))
+
+
+@query(FIRST + "SELECT session_id, opinion_id, count(*) AS n FROM lines GROUP BY 1, 2 HAVING count(*) <> 1")
+def duplicate_pairs(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.duplicates(A.ballots_raw(s, d), ["session_id", "opinion_id"])
+
+
+@query(with_views("planted", "first") + "SELECT session_id, opinion_id, value FROM first WHERE session_id NOT IN (SELECT session_id FROM first WHERE opinion_id = 'O01')")
+def append_new(s: SparkSession, d: str) -> DataFrame:
+    """An append that leaves out keys that are stored: here all rows of some sessions."""
+    rows = _first(s, d)
+    stored = rows.join(rows.where("opinion_id = 'O01'").select("session_id"), "session_id", "left_semi")
+    return ballots.append_new(stored, rows, ["session_id", "opinion_id"])
+
+
+# Review, candidates, routing
+
+_COUNTED = with_views("planted", "first", "opinions", "reports")[:-1] + f", c AS (SELECT opinion_id AS id, {ONE_COUNT} FROM first GROUP BY 1), r AS (SELECT opinion_id AS id, count(*) AS reports FROM reports GROUP BY 1), w AS (SELECT o.id, status, tag_id, author_session, created_at, reviewed_unrelated, reviewed_reports, coalesce(agree, 0) AS agree, coalesce(disagree, 0) AS disagree, coalesce(\"pass\", 0) AS \"pass\", coalesce(unrelated, 0) AS unrelated, coalesce(reports, 0) AS reports FROM opinions o LEFT JOIN c USING (id) LEFT JOIN r USING (id)) "
+
+
+def _counted(s: SparkSession, d: str) -> DataFrame:
+    return moderation.with_counts(A.opinions(s, d), ballots.opinion_counts(_first(s, d)), A.reports(s, d))
+
+
+@query(_COUNTED + "SELECT id, status, agree, disagree, \"pass\", unrelated, reports FROM w")
+def opinions_with_reports(s: SparkSession, d: str) -> DataFrame:
+    return _counted(s, d).select("id", "status", "agree", "disagree", "pass", "unrelated", "reports")
+
+
+@query(_COUNTED + "SELECT id, status, unrelated, reports FROM w WHERE status = 'pending' OR (status = 'approved' AND (unrelated - reviewed_unrelated >= 3 OR reports > reviewed_reports))")
+def review_queue(s: SparkSession, d: str) -> DataFrame:
+    return moderation.review_queue(_counted(s, d)).select("id", "status", "unrelated", "reports")
+
+
+@query(with_views("opinions") + "SELECT id, status FROM opinions WHERE status IN ('hidden', 'rejected')")
+def hidden_items(s: SparkSession, d: str) -> DataFrame:
+    return moderation.hidden(A.opinions(s, d)).select("id", "status")
+
+
+@query(with_views("reports") + "SELECT opinion_id, category, count(*) AS n FROM reports GROUP BY 1, 2")
+def reports_by_category(s: SparkSession, d: str) -> DataFrame:
+    return moderation.reports_by_category(A.reports(s, d))
+
+
+@query(_COUNTED + "SELECT id, tag_id, agree + disagree + \"pass\" AS seen, round(CASE WHEN agree + disagree + \"pass\" > 0 THEN agree / (agree + disagree + \"pass\") END, 6) + 0.0 AS agree_rate FROM w WHERE status = 'approved' AND tag_id = 'T1'")
+def tag_ranking(s: SparkSession, d: str) -> DataFrame:
+    seen = F.col("agree") + F.col("disagree") + F.col("pass")
+    at = _counted(s, d).where("status = 'approved' and tag_id = 'T1'").select("id", "tag_id", seen.alias("seen"), F.try_divide("agree", seen).alias("agree_rate"))
+    return at.select("id", "tag_id", "seen", r6("agree_rate")).orderBy(F.desc("seen"), "id")
+
+
+@query(with_views("opinions") + "SELECT id, created_at FROM opinions ORDER BY created_at DESC, id LIMIT 5")
+def newest_opinions(s: SparkSession, d: str) -> DataFrame:
+    return A.opinions(s, d).select("id", "created_at").orderBy(F.desc("created_at"), "id").limit(5)
+
+
+_CANDIDATES = ", cand AS (SELECT s.session_id, o.id, o.tag_id FROM (SELECT DISTINCT session_id FROM impressions) s JOIN opinions o ON o.status = 'approved' AND o.author_session IS DISTINCT FROM s.session_id WHERE NOT EXISTS (SELECT 1 FROM first f WHERE f.session_id = s.session_id AND f.opinion_id = o.id)) "
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    return moderation.candidates(A.impressions(s, d).select("session_id").distinct(), A.opinions(s, d), _first(s, d))
+
+
+@query(with_views("planted", "first", "opinions", "impressions")[:-1] + _CANDIDATES + "SELECT * FROM cand")
+def candidate_set(s: SparkSession, d: str) -> DataFrame:
+    return _candidates(s, d)
+
+
+def _issued(s: SparkSession, d: str) -> DataFrame:
+    at = A.impressions(s, d).where("type = 'shown'").join(A.opinions(s, d).select(F.col("id").alias("opinion_id"), "tag_id"), "opinion_id")
+    return at.groupBy("session_id", "tag_id").agg(F.count("*").alias("n"))
+
+
+_ISSUED = "issued AS (SELECT session_id, tag_id, count(*) AS n FROM impressions JOIN opinions ON id = opinion_id WHERE type = 'shown' GROUP BY 1, 2)"
+
+
+@query(with_views("opinions", "impressions")[:-1] + f", {_ISSUED} SELECT * FROM issued")
+def issued_by_tag(s: SparkSession, d: str) -> DataFrame:
+    return _issued(s, d)
+
+
+def _probabilities(s: SparkSession, d: str) -> DataFrame:
+    counts = ballots.opinion_counts(_first(s, d)).withColumnRenamed("opinion_id", "id")
+    return routing.distribution(_candidates(s, d).join(counts, "id"), _issued(s, d))
+
+
+_ROUTING = (
+    with_views("planted", "first", "opinions", "impressions")[:-1] + _CANDIDATES + f", {_ISSUED}, c AS (SELECT opinion_id AS id, {ONE_COUNT} FROM first GROUP BY 1), "
+    "a AS (SELECT session_id, id, tag_id, coalesce(n, 0) AS k, agree + disagree AS n2, (agree + 1) / (agree + disagree + 2) AS p, 1 / sqrt(1 + agree + disagree + \"pass\" + unrelated) AS u FROM cand JOIN c USING (id) LEFT JOIN issued USING (session_id, tag_id)), "
+    "b AS (SELECT *, 4 * p * (1 - p) * n2 / (n2 + 8) AS dd, 1 / power(1 + k, 2) AS seldom FROM a), "
+    "g AS (SELECT session_id, tag_id, count(*) AS m, sum(dd) AS sd, sum(u) AS su, any_value(seldom) AS seldom FROM b GROUP BY 1, 2), "
+    "t AS (SELECT session_id, count(*) AS tags, sum(seldom) AS ss FROM g GROUP BY 1), "
+    "pr AS (SELECT b.session_id, b.id, b.tag_id, (0.2 / tags + 0.8 * g.seldom / ss) * (0.3 / m + 0.4 * (CASE WHEN sd = 0 THEN 1 / m ELSE dd / sd END) + 0.3 * u / su) AS probability FROM b JOIN g USING (session_id, tag_id) JOIN t ON t.session_id = b.session_id) "
+)
+
+
+@query(_ROUTING + "SELECT session_id, id, tag_id, round(probability, 6) + 0.0 AS probability FROM pr")
+def routing_distribution(s: SparkSession, d: str) -> DataFrame:
+    return _probabilities(s, d).select("session_id", "id", "tag_id", r6("probability"))
+
+
+@query(_ROUTING + ", q AS (SELECT *, (CAST(session_id AS INTEGER) % 97 + 0.5) / 97 AS r, sum(probability) OVER (PARTITION BY session_id ORDER BY tag_id, id) AS upto, row_number() OVER (PARTITION BY session_id ORDER BY tag_id, id) AS ord FROM pr) SELECT session_id, coalesce(arg_min(id, ord) FILTER (WHERE r < upto), arg_max(id, ord)) AS id FROM q GROUP BY 1")
+def routing_draw(s: SparkSession, d: str) -> DataFrame:
+    return routing.draw(_probabilities(s, d), (F.col("session_id").cast("int") % 97 + 0.5) / 97)
+
+
+# Scalars
+
+_FNV = "list_reduce(list_prepend(CAST({basis} AS UBIGINT), list_transform(range(1, length(session_id) + 1), lambda i: CAST(ascii(substr(session_id, i, 1)) AS UBIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+
+
+@query(
+    with_views()[:-1] + ", h AS (SELECT session_id, " + _FNV.format(basis=2166136261 ^ 0x6A09E667) + " AS v FROM (SELECT DISTINCT session_id FROM lines)), "
+    "i AS (SELECT session_id, ((xor(v, v >> 16)) * 2146121005) % 4294967296 AS v FROM h), j AS (SELECT session_id, CAST((CAST(xor(v, v >> 15) AS HUGEINT) * 2221713035) % 4294967296 AS UBIGINT) AS v FROM i) "
+    "SELECT session_id, CAST(xor(v, v >> 16) AS BIGINT) AS hash FROM j"
+)
+def sample_order(s: SparkSession, d: str) -> DataFrame:
+    """The hash that orders samples of sessions."""
+    return A.ballots_raw(s, d).select("session_id").distinct().select("session_id", S.text_hash("session_id", 0x6A09E667).alias("hash"))
+
+
+@query(with_views("opinions") + "SELECT id, CASE WHEN created_at <> 0 THEN strftime(epoch_ms(created_at), '%Y-%m-%d') END AS utc_day, strftime(epoch_ms(created_at) + INTERVAL 9 HOURS, '%Y-%m-%d') AS local_day, sha256(id || ':' || tag_id) AS digest, strlen(source_ids) AS bytes FROM opinions")
+def scalar_functions(s: SparkSession, d: str) -> DataFrame:
+    return A.opinions(s, d).select("id", S.iso_day("created_at").alias("utc_day"), S.local_day("created_at").alias("local_day"), F.sha2(F.concat_ws(":", "id", "tag_id"), 256).alias("digest"), F.octet_length("source_ids").cast("long").alias("bytes"))
+
+
+# Matrix, axes, projection, groups
+
+
+_PAIRS = ", mv AS (SELECT v.session_id, v.opinion_id, v.value, k.mean FROM valid v SEMI JOIN eligible USING (session_id) JOIN kept k USING (opinion_id)), sc AS (SELECT a.opinion_id AS j, b.opinion_id AS k, sum(CAST(a.value * b.value AS DOUBLE)) - any_value(b.mean) * sum(a.value) - any_value(a.mean) * sum(b.value) + count(*) * any_value(a.mean) * any_value(b.mean) AS c FROM mv a JOIN mv b ON a.session_id = b.session_id AND a.opinion_id <= b.opinion_id GROUP BY 1, 2) "
+
+
+@query(MODEL[:-1] + _PAIRS + "SELECT j, k, round(c, 6) + 0.0 AS c FROM sc")
+def scatter_matrix(s: SparkSession, d: str) -> DataFrame:
+    votes = _eligible_votes(s, d)
+    return matrix.scatter(votes, ballots.retained(votes)).select("j", "k", r6("c"))
+
+
+def _model(s: SparkSession, d: str) -> tuple[DataFrame, matrix.Model]:
+    votes = _eligible_votes(s, d).cache()
+    rows = ballots.retained(votes).orderBy("opinion_id").collect()
+    ids, means = [r["opinion_id"] for r in rows], [r["mean"] for r in rows]
+    return votes, matrix.principal(matrix.dense(matrix.scatter(votes, ballots.retained(votes)), ids), ids, means)
+
+
+_SIDES = ", full_sc AS (SELECT j, k, c FROM sc UNION ALL SELECT k, j, c FROM sc WHERE j <> k), ix AS (SELECT opinion_id, row_number() OVER (ORDER BY opinion_id) AS i FROM kept), m AS (SELECT a.i AS j, list(c ORDER BY b.i) AS row FROM full_sc JOIN ix a ON a.opinion_id = j JOIN ix b ON b.opinion_id = k GROUP BY 1), mm AS (SELECT list(row ORDER BY j) AS c FROM m), "
+
+
+def _power(axis: int, deflate: bool) -> str:
+    """A recursive view of power iteration over lists: the matrix travels with the vector."""
+    dot = lambda a, b: f"list_dot_product({a}, {b})"
+    unit = lambda v: f"list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+    seed = f"list_transform(range(1, len(c) + 1), lambda i: sin(i * {axis + 1} * 1.731) + 0.2)"
+    if deflate:
+        inner = f"list_transform(list_zip(v, p), lambda z: z[1] - {dot('v', 'p')} * z[2])"
+        step = f"SELECT n, c, p, list_transform(list_zip(o, p), lambda z: z[1] - {dot('o', 'p')} * z[2]) AS o FROM (SELECT n, c, p, list_transform(c, lambda r: {dot('r', 'q')}) AS o FROM (SELECT n, c, p, {inner} AS q FROM pow{axis} WHERE n < 100))"
+        return f"pow{axis}(n, c, p, v) AS (SELECT 0, c, p, {unit('s')} FROM (SELECT c, v AS p, {seed} AS s FROM pc0) UNION ALL SELECT n + 1, c, p, {unit('o')} FROM ({step})), pc{axis} AS (SELECT c, p, v FROM pow{axis} WHERE n = 100)"
+    step = f"SELECT n, c, list_transform(c, lambda r: {dot('r', 'v')}) AS o FROM pow{axis} WHERE n < 100"
+    return f"pow{axis}(n, c, v) AS (SELECT 0, c, {unit('s')} FROM (SELECT c, {seed} AS s FROM mm) UNION ALL SELECT n + 1, c, {unit('o')} FROM ({step})), pc{axis} AS (SELECT c, v FROM pow{axis} WHERE n = 100)"
+
+
+_AXES = (MODEL[:-1] + _PAIRS + _SIDES + _power(0, False) + ", " + _power(1, True)).replace("WITH ", "WITH RECURSIVE ", 1)
+_FIX = "list_transform({v}, lambda x: x * (CASE WHEN {v}[list_position(list_transform({v}, lambda y: abs(y)), list_max(list_transform({v}, lambda y: abs(y))))] < 0 THEN -1 ELSE 1 END))"
+
+
+@query(_AXES + f", ax AS (SELECT {_FIX.format(v='p')} AS a, {_FIX.format(v='v')} AS b FROM pc1) SELECT opinion_id, round(a[i], 4) + 0.0 AS pc1 FROM ix, ax")
+def pca_components(s: SparkSession, d: str) -> DataFrame:
+    """The first axis. The second is nearly degenerate on these tables, so it is compared by the
+    variance both explain."""
+    _, model = _model(s, d)
+    rows = [(o, float(a)) for o, a in zip(model.opinion_ids, model.components[0], strict=True)]
+    return s.createDataFrame(rows, "opinion_id string, pc1 double").select("opinion_id", (F.round("pc1", 4) + 0.0).alias("pc1"))
+
+
+@query(_AXES + " SELECT round((list_dot_product(p, list_transform(c, lambda r: list_dot_product(r, p))) + list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v)))) / (SELECT sum(c) FROM sc WHERE j = k), 4) AS explained FROM pc1")
+def explained_variance(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame([(round(_model(s, d)[1].explained, 4),)], "explained double")
+
+
+#: A fixed model, so that projection has direct SQL: mean .1, axes by the brand's number.
+_FIXED = "fx AS (SELECT opinion_id, 0.1 AS mean, sin(b) AS pc1, cos(b) AS pc2 FROM (SELECT DISTINCT opinion_id, b FROM lines))"
+_PROJECT = f", {_FIXED}, pr AS (SELECT session_id, count(*) AS n, count(*) FILTER (WHERE value <> 0) AS s, sum((value - mean) * pc1) AS x, sum((value - mean) * pc2) AS y FROM valid JOIN fx USING (opinion_id) GROUP BY 1), pt AS (SELECT session_id, x * sqrt((SELECT count(*) FROM fx) / n) AS x, y * sqrt((SELECT count(*) FROM fx) / n) AS y FROM pr WHERE s >= 6) "
+
+
+def _fixed_model(s: SparkSession, d: str) -> matrix.Model:
+    ids = sorted(r["id"] for r in A.opinions(s, d).select("id").collect())
+    import math
+
+    n = [int(i[1:]) for i in ids]
+    return matrix.Model(ids, [0.1] * len(ids), [[math.sin(b) for b in n], [math.cos(b) for b in n]], 6, [(1.0, 0.0, 0), (-1.0, 0.0, 1), (0.0, 1.0, 2)])
+
+
+@query(with_views("planted", "valid")[:-1] + _PROJECT + "SELECT session_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, CASE WHEN (x - 1) ** 2 + y ** 2 <= least((x + 1) ** 2 + y ** 2, x ** 2 + (y - 1) ** 2) THEN 0 WHEN (x + 1) ** 2 + y ** 2 <= x ** 2 + (y - 1) ** 2 THEN 1 ELSE 2 END AS \"group\" FROM pt")
+def participant_projection(s: SparkSession, d: str) -> DataFrame:
+    return matrix.project(_last(s, d), _fixed_model(s, d)).select("session_id", r6("x"), r6("y"), "group")
+
+
+@query()
+def session_points(s: SparkSession, d: str) -> DataFrame:
+    votes, model = _model(s, d)
+    return matrix.project(votes, model).select("session_id", r6("x"), r6("y"))
+
+
+@query(MODEL[:-1] + ", o AS (SELECT session_id, list(opinion_id ORDER BY opinion_id) AS o FROM valid SEMI JOIN eligible USING (session_id) SEMI JOIN kept USING (opinion_id) WHERE value <> 0 GROUP BY 1) SELECT len((SELECT list(o) FROM o)) = (SELECT count(*) FROM o JOIN (SELECT o AS top FROM o ORDER BY len(o) DESC, o LIMIT 1) ON len(list_intersect(o, top)) >= 3) AS connected")
+def overlap_connected(s: SparkSession, d: str) -> DataFrame:
+    """Here one session shares three opinions with each other one, which the SQL shows."""
+    votes = _last(s, d)
+    sessions = ballots.eligible(votes)
+    mine = ballots.of_sessions(votes, sessions)
+    return s.createDataFrame([(matrix.connected(mine.cache(), sessions, ballots.retained(mine)),)], "connected boolean")
+
+
+@query()
+def analysis_status(s: SparkSession, d: str) -> DataFrame:
+    """Status, groups and silhouette of the whole analysis."""
+    r = analysis.analyze(A.ballots_planted(s, d))
+    return s.createDataFrame([(r.status, r.eligible, len(r.groups), r.explained, r.silhouette, r.approximate)], "status string, eligible long, groups int, explained double, silhouette double, approximate boolean")
+
+
+@query()
+def kmeans_candidates(s: SparkSession, d: str) -> DataFrame:
+    r = analysis.analyze(A.ballots_planted(s, d))
+    return s.createDataFrame([(k, i, q, sizes) for k, i, q, sizes in r.diagnostics["candidates"]], "k int, start int, silhouette double, sizes array<long>")
+
+
+_GROUPS = ", gr AS (SELECT DISTINCT session_id, CAST(session_id AS INTEGER) % 2 AS \"group\" FROM eligible), gc AS (SELECT \"group\", opinion_id, count(*) FILTER (WHERE value = -1) AS agree, count(*) AS seen FROM valid JOIN gr USING (session_id) GROUP BY 1, 2), wl AS (SELECT *, agree / seen AS rate, greatest(0, (agree / seen + 1.96 ** 2 / (2 * seen) - 1.96 * sqrt((agree / seen) * (1 - agree / seen) / seen + 1.96 ** 2 / (4 * seen ** 2))) / (1 + 1.96 ** 2 / seen)) AS lower_bound FROM gc) "
+
+
+def _group_counts(s: SparkSession, d: str) -> DataFrame:
+    votes = _last(s, d)
+    groups = ballots.eligible(votes).select("session_id", (F.col("session_id").cast("int") % 2).alias("group"))
+    return bridges.group_counts(votes, groups)
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT \"group\", opinion_id, agree, seen FROM gc")
+def group_opinion_counts(s: SparkSession, d: str) -> DataFrame:
+    return _group_counts(s, d)
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT \"group\", opinion_id, round(rate, 6) + 0.0 AS rate, round(lower_bound, 6) + 0.0 AS lower_bound FROM wl")
+def wilson_bounds(s: SparkSession, d: str) -> DataFrame:
+    return _group_counts(s, d).select("group", "opinion_id", F.round(S.rate("agree", "seen"), 6).alias("rate"), F.round(S.wilson_lower("agree", "seen"), 6).alias("lower_bound"))
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT opinion_id, round(product((agree + 1) / (seen + 2)), 6) AS score FROM gc GROUP BY 1")
+def consensus_scores(s: SparkSession, d: str) -> DataFrame:
+    at = _group_counts(s, d).groupBy("opinion_id").agg(F.array_sort(F.collect_list(F.struct("group", "agree", "seen"))).alias("c"))
+    return at.select("opinion_id", F.round(S.consensus("c"), 6).alias("score"))
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT opinion_id, round(product((agree + 1) / (seen + 2)), 6) AS score FROM wl GROUP BY 1 HAVING count(*) = 2 AND bool_and(seen >= 10 AND rate >= 0.6 AND lower_bound > 0.5)")
+def bridges_ranked(s: SparkSession, d: str) -> DataFrame:
+    return bridges.ranked(bridges.bridges(_group_counts(s, d), 2)).select("opinion_id", F.round("score", 6).alias("score"))
+
+
+# Map geometry
+
+
+@query()
+def convex_hulls(s: SparkSession, d: str) -> DataFrame:
+    return geometry.hulls(A.points(s, d), "label")
+
+
+@query()
+def padded_hulls(s: SparkSession, d: str) -> DataFrame:
+    return geometry.hulls(A.points(s, d), "label", 0.05)
+
+
+@query(with_views("points")[:-1] + ", e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points), p AS (SELECT *, 0.15 * greatest(hx - lx, 0.1) AS ax, 0.15 * greatest(hy - ly, 0.1) AS ay FROM points, e) SELECT id, round(35 + greatest(0, least(1, (x - lx + ax) / (hx - lx + 2 * ax))) * 430, 6) AS px, round(310 - greatest(0, least(1, (y - ly + ay) / (hy - ly + 2 * ay))) * 275, 6) AS py FROM p")
+def map_scaling(s: SparkSession, d: str) -> DataFrame:
+    return geometry.map_scaling(A.points(s, d)).select("id", r6("px"), r6("py"))
+
+
+@query(with_views("points") + "SELECT label, count(*) AS n, round(avg(x), 6) + 0.0 AS cx, round(avg(y), 6) + 0.0 AS cy FROM points GROUP BY 1")
+def region_centroids(s: SparkSession, d: str) -> DataFrame:
+    return geometry.region_centroids(A.points(s, d), "label").select("label", "n", r6("cx"), r6("cy"))
+
+
+_SIL = (
+    ", tr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS rk FROM points), t AS (SELECT * FROM tr WHERE rk <= 64), f AS (SELECT * FROM tr WHERE rk <= 32), "
+    "ds AS (SELECT t.id, t.label AS own, f.label AS other, avg(sqrt((t.x - f.x) ** 2 + (t.y - f.y) ** 2)) AS m FROM t JOIN f ON t.id <> f.id GROUP BY 1, 2, 3), "
+    "ab AS (SELECT id, own, max(m) FILTER (WHERE own = other) AS a, min(m) FILTER (WHERE own <> other) AS b FROM ds GROUP BY 1, 2), "
+    "gs AS (SELECT t.label, sum(coalesce((b - a) / greatest(a, b, 1e-9), 0)) / count(*) AS v FROM t LEFT JOIN ab ON ab.id = t.id GROUP BY 1) "
+    "SELECT round(sum(v * n) / sum(n), 6) AS silhouette FROM gs JOIN (SELECT label, count(*) AS n FROM points GROUP BY 1) USING (label)"
+)
+
+
+@query(with_views("points")[:-1] + _SIL)
+def silhouette(s: SparkSession, d: str) -> DataFrame:
+    """Sampled silhouette of given labels: bounded samples of each group, joined."""
+    rows = A.points(s, d)
+    t, f = geometry.sample_first(rows, "label", ["id"], 64), geometry.sample_first(rows, "label", ["id"], 32)
+    ref = f.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("label").alias("other"))
+    pairs = t.join(F.broadcast(ref), F.col("id") != F.col("rid"))
+    far = pairs.groupBy("id", "label", "other").agg(F.avg(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).alias("m"))
+    ab = far.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("m"))).alias("b"))
+    v = ab.groupBy("label").agg(F.sum(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-9)), F.lit(0.0))).alias("v"))
+    at = v.join(t.groupBy("label").agg(F.count("*").alias("k")), "label").join(rows.groupBy("label").agg(F.count("*").alias("n")), "label")
+    return at.agg(F.round(F.sum(F.col("v") / F.col("k") * F.col("n")) / F.sum("n"), 6).alias("silhouette"))
+
+
+# Evaluation
+
+
+def _two_labels(s: SparkSession, d: str) -> DataFrame:
+    return A.points(s, d).select("id", "label", F.when(F.col("x") > 0, 1).otherwise(0).alias("side"))
+
+
+_TWO = ", tl AS (SELECT id, label, CASE WHEN x > 0 THEN 1 ELSE 0 END AS side FROM points) "
+
+
+@query(with_views("points")[:-1] + _TWO + ", c AS (SELECT label, side, count(*) AS n FROM tl GROUP BY 1, 2), q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS b, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS r, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY side)) AS k, (SELECT sum(n) FROM c) AS t) SELECT round((b - r * k / (t * (t - 1) / 2)) / ((r + k) / 2 - r * k / (t * (t - 1) / 2)), 6) + 0.0 AS ari FROM q")
+def ari(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.ari(_two_labels(s, d), "label", "side").select(r6("ari"))
+
+
+@query(with_views("points")[:-1] + _TWO + ", c AS (SELECT label, side, count(*) AS overlap FROM tl GROUP BY 1, 2), t AS (SELECT label, count(*) AS e FROM tl GROUP BY 1), f AS (SELECT side, count(*) AS z FROM tl GROUP BY 1), j AS (SELECT *, overlap / (e + z - overlap) AS jaccard, row_number() OVER (PARTITION BY label ORDER BY overlap / (e + z - overlap) DESC, side) AS rn FROM c JOIN t USING (label) JOIN f USING (side)) SELECT label, side, overlap, round(overlap / z, 6) AS precision, round(overlap / e, 6) AS recall, round(jaccard, 6) AS jaccard FROM j WHERE rn = 1")
+def group_recovery(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.group_recovery(_two_labels(s, d), "label", "side").select("label", "side", "overlap", r6("precision"), r6("recall"), r6("jaccard"))
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + ", found AS (SELECT opinion_id FROM wl GROUP BY 1 HAVING count(*) = 2 AND bool_and(seen >= 10 AND rate >= 0.6 AND lower_bound > 0.5)), truth AS (SELECT DISTINCT opinion_id FROM lines WHERE b % 5 = 2) SELECT hit, found, \"true\", round(hit / found, 6) AS precision, round(hit / \"true\", 6) AS recall FROM (SELECT count(*) AS hit FROM found SEMI JOIN truth USING (opinion_id)), (SELECT count(*) AS found FROM found), (SELECT count(*) AS \"true\" FROM truth)")
+def bridge_quality(s: SparkSession, d: str) -> DataFrame:
+    found = bridges.bridges(_group_counts(s, d), 2).select("opinion_id")
+    truth = A.opinions(s, d).where(F.substring("id", 2, 2).cast("int") % 5 == 2).select(F.col("id").alias("opinion_id"))
+    return evaluate.bridge_quality(found, truth).select("hit", "found", "true", r6("precision"), r6("recall"))
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT t AS threshold, count(*) FILTER (WHERE agree / seen >= t) AS n FROM gc, (VALUES (0.2), (0.3), (0.35), (0.4), (0.45), (0.5), (0.55), (0.6)) v(t) GROUP BY 1")
+def threshold_sweep(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.threshold_sweep(_group_counts(s, d).withColumn("rate", S.rate("agree", "seen")), "rate", [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6])
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + ", e AS (SELECT v AS min_votes, r AS min_rate, opinion_id, bool_and(seen >= v AND agree / seen >= r) AND count(*) = 2 AS ok FROM gc, (VALUES (3), (10), (20), (30)) a(v), (VALUES (0.6), (0.65), (0.7)) b(r) GROUP BY 1, 2, 3) SELECT CAST(min_votes AS INTEGER) AS min_votes, CAST(min_rate AS DOUBLE) AS min_rate, count(*) FILTER (WHERE ok) AS accepted FROM e GROUP BY 1, 2")
+def bridge_sweep(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.bridge_sweep(_group_counts(s, d), 2, [3, 10, 20, 30], [0.6, 0.65, 0.7])
+
+
+@query("WITH n AS (SELECT CAST(n AS INTEGER) AS n FROM (VALUES (3), (10), (20), (30)) v(n)), t AS (SELECT n, CAST(ceil(n * 60 / 100) AS INTEGER) AS need FROM n), o AS (SELECT n, need, list_sum(list_transform(range(need, n + 1), lambda k: CAST(factorial(CAST(n AS INTEGER)) / factorial(CAST(k AS INTEGER)) / factorial(CAST(n - k AS INTEGER)) AS DOUBLE) * power(0.5, n))) AS one FROM t) SELECT n, need, round(one, 6) AS one, round(one * one, 6) AS two, round(40 * one * one, 6) AS expected FROM o")
+def binomial_tail(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.binomial_tail(s, [3, 10, 20, 30]).select("n", "need", r6("one"), r6("two"), r6("expected"))
+
+
+@query(FIRST[:-1] + ", n AS (SELECT opinion_id, count(*) AS n FROM first GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM n")
+def exposure(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.exposure(_first(s, d).groupBy("opinion_id").agg(F.count("*").alias("n"))).select("least", "most", r6("mean"))
+
+
+@query(with_views("opinions") + "SELECT status, count(*) AS n FROM opinions GROUP BY 1")
+def status_histogram(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.histogram(A.opinions(s, d), "status")
+
+
+@query(with_views("points")[:-1] + _TWO + ", tk AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY id) AS rn FROM tl) WHERE (rn - 1) % 10 <> 0), c AS (SELECT label, side, count(*) AS n FROM tk GROUP BY 1, 2), q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS b, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS r, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY side)) AS k, (SELECT sum(n) FROM c) AS t) SELECT round((b - r * k / (t * (t - 1) / 2)) / ((r + k) / 2 - r * k / (t * (t - 1) / 2)), 6) + 0.0 AS ari FROM q")
+def label_agreement(s: SparkSession, d: str) -> DataFrame:
+    """Agreement of two labellings after every tenth row is taken away."""
+    rows = release.numbered(_two_labels(s, d), ["id"]).where(F.pmod(F.col("rn") - 1, F.lit(10)) != 0)
+    return evaluate.ari(rows, "label", "side").select(r6("ari"))
+
+
+@query()
+def scenario_recovery(s: SparkSession, d: str) -> DataFrame:
+    """Three planted groups, analysed: status and agreement of found with true groups."""
+    votes = synthetic.ballots(s, "three", 20260918)
+    r = analysis.analyze(votes.where("value <> 2"))
+    truth = synthetic.sessions(s, "three", 20260918).select("session_id", F.col("group").alias("truth"))
+    if r.points is None:
+        return s.createDataFrame([(r.status, None)], "status string, ari double")
+    return evaluate.ari(r.points.join(truth, "session_id"), "truth", "group").select(F.lit(r.status).alias("status"), r6("ari"))
+
+
+# Releases
+
+
+@query(with_views("opinions") + "SELECT id, tag_id, array_to_string(CAST(source_ids::JSON AS VARCHAR[]), '|') AS sources, CASE WHEN created_at <> 0 THEN strftime(epoch_ms(created_at), '%Y-%m-%d') END AS created_date FROM opinions WHERE status = 'approved'")
+def release_opinions(s: SparkSession, d: str) -> DataFrame:
+    return moderation.public_opinions(A.opinions(s, d)).select("id", "tag_id", F.array_join("source_ids", "|").alias("sources"), "created_date")
+
+
+@query(with_views("planted", "first", "opinions") + "SELECT session_id, opinion_id, CASE value WHEN -1 THEN 'agree' WHEN 1 THEN 'disagree' WHEN 0 THEN 'pass' ELSE 'unrelated' END AS response, CASE WHEN value <> 2 THEN value END AS analysis_value FROM first JOIN opinions ON id = opinion_id AND status = 'approved'")
+def release_responses(s: SparkSession, d: str) -> DataFrame:
+    return moderation.public_responses(_first(s, d), A.opinions(s, d).where("status = 'approved'"))
+
+
+@query(with_views("impressions") + "SELECT session_id, opinion_id, bool_or(type = 'shown') AS displayed, bool_or(type = 'answered') AS answered, bool_or(type = 'retired') AS retired FROM impressions GROUP BY 1, 2")
+def release_presentations(s: SparkSession, d: str) -> DataFrame:
+    return moderation.public_presentations(A.impressions(s, d))
+
+
+@query(with_views("impressions")[:-1] + ", w AS (SELECT max(event_id) // 2 AS m FROM events) SELECT session_id, opinion_id, bool_or(type = 'shown') AS displayed, bool_or(type = 'answered') AS answered, bool_or(type = 'retired') AS retired FROM impressions WHERE event_id <= (SELECT m FROM w) GROUP BY 1, 2")
+def late_rows_excluded(s: SparkSession, d: str) -> DataFrame:
+    events = A.table(s, d, "events")
+    mark = release.freeze({"events": (events, "event_id")})["events"] // 2
+    return moderation.public_presentations(A.impressions(s, d), mark)
+
+
+@query(FIRST[:-1] + ", n AS (SELECT (row_number() OVER (ORDER BY session_id, opinion_id) - 1) // 500 AS page, session_id, opinion_id FROM first) SELECT page, count(*) AS n, min(session_id) AS first_session, max(session_id) AS last_session FROM n GROUP BY 1")
+def release_pages(s: SparkSession, d: str) -> DataFrame:
+    rows = release.page_numbers(release.numbered(_first(s, d), ["session_id", "opinion_id"]))
+    return rows.groupBy("page").agg(F.count("*").alias("n"), F.min("session_id").alias("first_session"), F.max("session_id").alias("last_session"))
+
+
+@query()
+def release_page_bodies(s: SparkSession, d: str) -> DataFrame:
+    """Pages with their bytes and digests, by both rules."""
+    rows = moderation.public_responses(_first(s, d), A.opinions(s, d))
+    rows = release.numbered(rows, ["session_id", "opinion_id"]).withColumns({"line": release.lines_of(rows, ["session_id", "opinion_id", "response", "analysis_value"]), "included": F.col("response") != "unrelated"})
+    return release.pages(rows, page_bytes=40_000).drop("body")
+
+
+@query(FIRST[:-1] + ", n AS (SELECT count(*) AS rows FROM first), p AS (SELECT CAST(unnest(range(0, (SELECT (rows + 499) // 500 FROM n))) AS BIGINT) AS part), b AS (SELECT ((SELECT count(*) FROM p) - 1 - part) // 16 AS back, part FROM p) SELECT CAST(back AS BIGINT) AS \"index\", count(*) AS parts, min(part) AS first_part, CASE WHEN back > 0 THEN CAST(back - 1 AS BIGINT) END AS next FROM b GROUP BY back")
+def page_index(s: SparkSession, d: str) -> DataFrame:
+    n = _first(s, d).agg(F.count("*").alias("rows"))
+    parts = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") + 499) / 500) - 1)).alias("part"))
+    return release.page_index(parts, 16).select("index", F.size("parts").cast("long").alias("parts"), F.array_min("parts").alias("first_part"), "next")
+
+
+_RELEASES = ", rl AS (SELECT o_orderkey AS id, o_orderdate AS published_at, CASE o_orderstatus WHEN 'F' THEN 'released' WHEN 'O' THEN 'draft' ELSE 'invalid' END AS status FROM orders) "
+
+
+def _releases(s: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "released").when(F.col("o_orderstatus") == "O", "draft").otherwise("invalid")
+    return A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("published_at"), status.alias("status"))
+
+
+@query(with_views()[:-1] + _RELEASES + "SELECT id, published_at FROM rl WHERE status = 'released' ORDER BY published_at DESC, id DESC LIMIT 1")
+def latest_release(s: SparkSession, d: str) -> DataFrame:
+    return release.latest(_releases(s, d)).select("id", "published_at")
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 100")
+def keyset_page(s: SparkSession, d: str) -> DataFrame:
+    return release.keyset_page(A.table(s, d, "events").select("event_id", "user_id"), "event_id", 100, 100)
+
+
+@query(with_views("opinions")[:-1] + ", op AS (SELECT id, status, CAST(created_at // 86400000 % 3 AS BIGINT) AS revision FROM opinions), fr AS (SELECT id, CAST(1 AS BIGINT) AS frozen FROM op) SELECT fr.id FROM fr LEFT JOIN op ON op.id = fr.id AND op.status = 'approved' WHERE op.id IS NULL OR op.revision <> frozen")
+def unpublishable(s: SparkSession, d: str) -> DataFrame:
+    at = A.opinions(s, d).select("id", "status", (F.floor(F.col("created_at") / 86400000) % 3).cast("long").alias("revision"))
+    return release.publishable(at.select("id", F.lit(1).cast("long").alias("revision")), at)
+
+
+# States and streams
+
+
+@query(with_views("opinions")[:-1] + ", ac AS (SELECT id, ['approve','reject','hide','restore','keep'][CAST(created_at // 86400000 % 5 AS INTEGER) + 1] AS action, CAST(created_at // 86400000 % 2 AS BIGINT) AS er FROM opinions), tr(a, f, t) AS (VALUES ('approve','pending','approved'), ('reject','pending','rejected'), ('hide','approved','hidden'), ('restore','hidden','approved'), ('restore','rejected','approved'), ('keep','approved','approved')) SELECT o.id, action, coalesce(t IS NOT NULL AND er = 0, false) AS applied, CASE WHEN t IS NOT NULL AND er = 0 THEN t ELSE status END AS next_status, CASE WHEN t IS NOT NULL AND er = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS next_revision FROM ac JOIN opinions o USING (id) LEFT JOIN tr ON a = action AND f = status")
+def state_transitions(s: SparkSession, d: str) -> DataFrame:
+    at = A.opinions(s, d)
+    n = F.floor(F.col("created_at") / 86400000).cast("int")
+    names = F.array(*(F.lit(a) for a in ("approve", "reject", "hide", "restore", "keep")))
+    actions = at.select("id", F.element_at(names, n % 5 + 1).alias("action"), (n % 2).cast("long").alias("expected_revision"))
+    return moderation.apply_actions(at.select("id", "status", F.lit(0).cast("long").alias("revision")), actions)
+
+
+@query(with_views("impressions")[:-1] + ", l AS (SELECT opinion_id, type, lag(type) OVER (PARTITION BY opinion_id ORDER BY event_id) AS b FROM impressions) SELECT opinion_id, count(*) FILTER (WHERE b IS NOT NULL AND b <> type) AS revision FROM l GROUP BY 1")
+def revision_counter(s: SparkSession, d: str) -> DataFrame:
+    return E.revisions(A.impressions(s, d).select("opinion_id", F.col("event_id").alias("seq"), F.col("type").alias("state")))
+
+
+@query(with_views("planted", "first", "opinions")[:-1] + ", nw AS (SELECT id, CASE status WHEN 'pending' THEN 'approved' WHEN 'approved' THEN CASE WHEN tag_id = 'T3' THEN 'hidden' ELSE status END ELSE status END AS status FROM opinions), f AS (SELECT session_id, sum(CAST(o.status = 'approved' AS INTEGER)) AS a, sum(CAST(n.status = 'approved' AS INTEGER)) AS z FROM first JOIN opinions o ON o.id = opinion_id JOIN nw n ON n.id = opinion_id GROUP BY 1) SELECT CAST(coalesce(sum(z - a), 0) AS BIGINT) AS votes, count(*) FILTER (WHERE z > 0) - count(*) FILTER (WHERE a > 0) AS sessions FROM f")
+def approval_delta(s: SparkSession, d: str) -> DataFrame:
+    before = A.opinions(s, d).select("id", "status", "tag_id")
+    after = before.withColumn("status", F.when(F.col("status") == "pending", "approved").when((F.col("status") == "approved") & (F.col("tag_id") == "T3"), "hidden").otherwise(F.col("status")))
+    return E.approval_delta(_first(s, d), before, after)
+
+
+@query("SELECT event_id, user_id, event_type FROM events")
+def event_dedup(s: SparkSession, d: str) -> DataFrame:
+    """Events that arrive twice, taken once, as a stream."""
+    rows = E.read_stream(s, d, "events.parquet").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    out = E.distinct_events(rows.union(rows)).select("event_id", "user_id", "event_type")
+    folder = _folder(s)
+    E.append_stream(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return s.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query(FIRST + f"SELECT opinion_id, {ONE_COUNT} FROM first GROUP BY 1")
+def counters_stream(s: SparkSession, d: str) -> DataFrame:
+    """Counters kept by a stream of an answer log with removals: each answer comes, some go and
+    come again."""
+    folder = _folder(s)
+    log = _first(s, d)
+    more = log.where("opinion_id < 'O10'")
+    signed = log.withColumn("sign", F.lit(1)).union(more.withColumn("sign", F.lit(-1))).union(more.withColumn("sign", F.lit(1)))
+    signed.write.parquet(f"{folder}/log")
+    name = "counters_" + folder.rpartition("-")[2].replace("-", "_")
+    E.run_available(E.counters(E.read_stream(s, f"{folder}/log", "*.parquet")), f"{folder}/state", name).awaitTermination()
+    return s.table(name)
+
+
+@query(with_views("impressions") + "SELECT session_id, opinion_id, min(ts) AS displayed_at FROM impressions WHERE type = 'shown' GROUP BY 1, 2")
+def first_display(s: SparkSession, d: str) -> DataFrame:
+    return E.first_display(A.impressions(s, d))
+
+
+@query(with_views("impressions") + "SELECT session_id, opinion_id, min(event_id) AS event_id FROM impressions WHERE type = 'retired' GROUP BY 1, 2")
+def retirement_events(s: SparkSession, d: str) -> DataFrame:
+    return E.retirements(A.impressions(s, d))
+
+
+@query(with_views("impressions")[:-1] + ", o AS (SELECT session_id, opinion_id, max(event_id) FILTER (WHERE type = 'shown') AS shown FROM impressions GROUP BY 1, 2 HAVING bool_and(type = 'shown')) SELECT session_id, arg_max(opinion_id, shown) AS opinion_id, max(shown) AS event_id FROM o GROUP BY 1")
+def outstanding_item(s: SparkSession, d: str) -> DataFrame:
+    return E.outstanding(A.impressions(s, d))
+
+
+@query(with_views("impressions") + "SELECT session_id, CASE WHEN count(*) FILTER (WHERE type = 'retired') > 0 THEN 'ended' WHEN count(*) FILTER (WHERE type = 'answered') >= 3 THEN 'reflect' ELSE 'active' END AS phase, min(event_id) FILTER (WHERE type = 'retired') AS ended_at FROM impressions GROUP BY 1")
+def session_phase(s: SparkSession, d: str) -> DataFrame:
+    return E.phases(A.impressions(s, d))
+
+
+def _folder(s: SparkSession) -> str:
+    """A new folder that executors share: under the checkpoint folder the session names."""
+    import uuid
+
+    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/ballotry-{uuid.uuid4().hex}"
