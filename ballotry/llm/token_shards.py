@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,6 +39,11 @@ from .common import cut, filesystem, new_folder, slices
 #: Ids of a sequence, sequences of a shard, the id behind each document and the one that pads.
 LENGTH, PER_SHARD, END, PAD = 1024, 4096, 50256, 65535
 ROUNDS = 6
+#: Tasks that write shards at most; beyond that a task writes several.
+MAX_TASKS = 50_000
+#: Words a Python worker remembers while it encodes.
+KNOWN_WORDS = 250_000
+_SPACES = re.compile(r"\s\s")
 U = np.uint64
 
 
@@ -90,12 +96,36 @@ def encoding(path: str):  # noqa: ANN201
     return _encodings[path]
 
 
+class Words:
+    """Encodes texts a word at a time, remembering words. With single spaces between words a space
+    always begins the token behind it, so parts can be encoded alone; other texts are encoded whole."""
+
+    def __init__(self, ranks: str) -> None:
+        self.own, self.known = encoding(ranks), {}
+
+    def __call__(self, text: str) -> bytes:
+        """Ids as 16-bit little-endian values."""
+        if _SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
+            return self._encode(text)
+        first, *rest = text.split(" ")
+        known = self.known
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for w in set(rest):
+            if w not in known:
+                known[w] = self._encode(" " + w)
+        return self._encode(first) + b"".join([known[w] for w in rest])
+
+    def _encode(self, text: str) -> bytes:
+        return self.own.encode_to_numpy(text).astype("<u2").tobytes()
+
+
 def _ids(batches: Iterable[pa.RecordBatch], ranks: str) -> Iterator[tuple[int, np.ndarray]]:
     """(hash of the text, its ids with the end id)."""
-    own = encoding(ranks)
+    words, end = Words(ranks), np.array([END], "<u2").tobytes()
     for b in slices(batches, 64):
         for text in b["text"].to_pylist():
-            yield xxhash.xxh3_64_intdigest(text.encode()), np.append(own.encode_to_numpy(text).astype(np.uint16), np.uint16(END))
+            yield xxhash.xxh3_64_intdigest(text.encode()), np.frombuffer(words(text) + end, "<u2")
 
 
 def count(rows: DataFrame, ranks: str, length: int) -> list[tuple[int, int, int]]:
@@ -151,7 +181,7 @@ def sequences(rows: DataFrame, ranks: str, length: int, parts: list[tuple[int, i
     return rows.mapInArrow(run, "shard int, slot long, n_tokens int, ids binary")
 
 
-def write(found: DataFrame, folder: str, length: int) -> DataFrame:
+def write(found: DataFrame, folder: str, length: int, shards: int) -> DataFrame:
     """Write (shard, slot, ids) as files of fixed stride; (shard, path, first_slot, records, sha256)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +214,7 @@ def write(found: DataFrame, folder: str, length: int) -> DataFrame:
         shard, path, start, n, sha = zip(*made, strict=True) if made else ((),) * 5
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(path, pa.string()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["shard", "path", "first_slot", "records", "sha256"])
 
-    dealt = found.select("shard", "slot", "ids").repartition("shard").sortWithinPartitions("shard", "slot")
+    dealt = found.select("shard", "slot", "ids").repartition(max(1, min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard", "slot")
     return cut(dealt.mapInArrow(run, "shard int, path string, first_slot long, records long, sha256 string"))
 
 
@@ -195,7 +225,7 @@ def materialise(docs: DataFrame, ranks: str, key: str = "0", length: int = LENGT
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     parts = count(rows, ranks, length)
     total = sum(n for _, n, _ in parts)
-    return write(sequences(rows, ranks, length, parts, Feistel(total, key), per_shard), folder or new_folder(spark, "shards"), length)
+    return write(sequences(rows, ranks, length, parts, Feistel(total, key), per_shard), folder or new_folder(spark, "shards"), length, -(-total // per_shard))
 
 
 def read(manifest: DataFrame, length: int = LENGTH, from_slot: int = 0, with_ids: bool = True) -> DataFrame:
