@@ -26,6 +26,7 @@ there are no labels); an empty table gives an empty one; other columns aren't lo
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -213,7 +214,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -
 
 def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Model:
     """A model from labelled texts."""
-    docs, y = [tokens_of(t) for t in texts], np.array(labels)
+    same: dict[bytes, bytes] = {}
+    docs, y = [[same.setdefault(w, w) for w in tokens_of(t)] for t in texts], np.array(labels)
     if not (0 < y.sum() < len(y)):
         share = float(y.mean()) if len(y) else 0.0
         return Model([], np.zeros(0), 0.0, 0.0, math.log((share + 1e-6) / (1 - share + 1e-6)))
@@ -223,18 +225,21 @@ def fit(texts: list[str], labels: list[int], landmarks: int = LANDMARKS) -> Mode
     kernel = Kernel(marks)
     values, eigen = np.linalg.eigh(kernel(marks).astype(float))
     root = eigen @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ eigen.T
-    distinct = list({p for d in docs for t in set(d) for p in pieces_of(t)})
-    value = dict(zip(distinct, kernel(distinct), strict=True))
-    empty = np.zeros(len(marks), np.float32)
-    of_token = {t: max((value[p] for p in pieces_of(t)), key=lambda v: float(v.sum()), default=empty) for d in docs for t in set(d)}
-    rows, owner = [], []
+    distinct = list({p for t in same for p in pieces_of(t)})
+    value = {}
+    for at in range(0, len(distinct), 20_000):
+        part = distinct[at : at + 20_000]
+        k = kernel(part)
+        value.update((part[i], k[i]) for i in np.flatnonzero(k.any(axis=1)))
+    # words that have nothing in common with any landmark, most of all, are left out
+    of_token = {t: max(near, key=lambda v: float(v.sum())) for t in same if (near := [value[p] for p in pieces_of(t) if p in value])}
+    rows, owner, empty = [], [], np.zeros(len(marks), np.float32)
     for i, d in enumerate(docs):
         for s in sentences(d):
-            z = np.sum([of_token[t] for t in s], axis=0)
-            if z.any():
-                rows.append(z)
+            if near := [of_token[t] for t in s if t in of_token]:
+                rows.append(np.sum(near, axis=0))
                 owner.append(i)
-        rows.append(empty)  # a sentence that has nothing in common with any landmark
+        rows.append(empty)  # a sentence without such words
         owner.append(i)
     phi, owner = np.array(rows) @ root, np.array(owner)
     positive = y[owner] == 1
@@ -272,15 +277,20 @@ def held_out(id_col: str = "doc_id"):  # noqa: ANN201
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_DOCS) -> Model:
-    """Learn from at most max_docs labelled rows of either class; that sample alone is collected."""
+    """Learn from at most max_docs labelled rows of either class. That sample, bounded whatever the
+    input, meets in one task, and the model alone (some kB) comes to the driver."""
     known = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("y"), F.max(label_col).alias("_other")).where("y = _other").select(id_col, "y")
     sample = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64(id_col), id_col).limit(max_docs)
         sample = part if sample is None else sample.union(part)
-    rows = text_or_empty(docs, id_col, text_col).join(F.broadcast(sample), id_col).dropDuplicates([id_col]).select(id_col, text_col, "y").collect()
-    rows.sort(key=lambda r: r[0])
-    return fit([r[1] for r in rows], [int(r[2]) for r in rows])
+    rows = text_or_empty(docs, id_col, text_col).join(F.broadcast(sample), id_col).dropDuplicates([id_col])
+
+    def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in batches for r in zip(*(b[c].to_pylist() for c in (id_col, text_col, "y")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in got], [int(r[2]) for r in got]))], pa.binary())], ["model"])
+
+    return pickle.loads(rows.select(id_col, text_col, F.col("y").cast("int").alias("y")).repartition(1).mapInArrow(learn, "model binary").first()[0])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
