@@ -114,7 +114,7 @@ def read_part(spark: SparkSession, path: str, part: str) -> DataFrame:
     """A page's lines by its digest."""
     if not (len(part) == 64 and all(c in "0123456789abcdef" for c in part)):
         raise ValueError("a part is named by a SHA-256 digest")
-    return spark.read.parquet(path).where(F.col("id") == part).select(F.explode(F.split(F.rtrim(F.col("body")), "\n")).alias("line"))
+    return spark.read.parquet(path).where(F.col("id") == part).select(F.explode(F.split(F.regexp_replace("body", "\n$", ""), "\n")).alias("line"))
 
 
 def publishable(release: DataFrame, opinions: DataFrame) -> DataFrame:
