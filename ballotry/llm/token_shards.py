@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,9 +40,6 @@ LENGTH, PER_SHARD, END, PAD = 1024, 4096, 50256, 65535
 ROUNDS = 6
 #: Tasks that write shards at most; beyond that a task writes several.
 MAX_TASKS = 50_000
-#: Words a Python worker remembers while it encodes.
-KNOWN_WORDS = 250_000
-_SPACES = re.compile(r"\s\s")
 U = np.uint64
 
 
@@ -96,36 +92,12 @@ def encoding(path: str):  # noqa: ANN201
     return _encodings[path]
 
 
-class Words:
-    """Encodes texts a word at a time, remembering words. With single spaces between words a space
-    always begins the token behind it, so parts can be encoded alone; other texts are encoded whole."""
-
-    def __init__(self, ranks: str) -> None:
-        self.own, self.known = encoding(ranks), {}
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as 16-bit little-endian values."""
-        if _SPACES.search(text) or text[:1].isspace() or text[-1:].isspace():
-            return self._encode(text)
-        first, *rest = text.split(" ")
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for w in set(rest):
-            if w not in known:
-                known[w] = self._encode(" " + w)
-        return self._encode(first) + b"".join([known[w] for w in rest])
-
-    def _encode(self, text: str) -> bytes:
-        return self.own.encode_to_numpy(text).astype("<u2").tobytes()
-
-
-def _ids(batches: Iterable[pa.RecordBatch], ranks: str) -> Iterator[tuple[int, np.ndarray]]:
-    """(hash of the text, its ids with the end id)."""
-    words, end = Words(ranks), np.array([END], "<u2").tobytes()
+def _ids(batches: Iterable[pa.RecordBatch], ranks: str) -> Iterator[tuple[int, list[int]]]:
+    """(hash of the text, its ids)."""
+    own = encoding(ranks)
     for b in slices(batches, 64):
         for text in b["text"].to_pylist():
-            yield xxhash.xxh3_64_intdigest(text.encode()), np.frombuffer(words(text) + end, "<u2")
+            yield xxhash.xxh3_64_intdigest(text.encode()), own.encode_ordinary(text)
 
 
 def count(rows: DataFrame, ranks: str, length: int) -> list[tuple[int, int, int]]:
@@ -134,7 +106,7 @@ def count(rows: DataFrame, ranks: str, length: int) -> list[tuple[int, int, int]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, mark = 0, 0
         for h, ids in _ids(batches, ranks):
-            total += len(ids)
+            total += len(ids) + 1
             mark = (mark * 31 + h + len(ids)) % (1 << 62)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // length)], pa.int64()), pa.array([mark], pa.int64())], ["part", "n", "mark"])
 
@@ -151,6 +123,7 @@ def sequences(rows: DataFrame, ranks: str, length: int, parts: list[tuple[int, i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, n, mark = known.value[TaskContext.get().partitionId()]
+        end = np.array([END], "<u2")
         made, seen, held, size = 0, 0, [], 0
 
         def give(stream: np.ndarray) -> pa.RecordBatch:
@@ -166,8 +139,8 @@ def sequences(rows: DataFrame, ranks: str, length: int, parts: list[tuple[int, i
 
         for h, ids in _ids(batches, ranks):
             seen = (seen * 31 + h + len(ids)) % (1 << 62)
-            held.append(ids)
-            size += len(ids)
+            held += (np.array(ids, "<u2"), end)
+            size += len(ids) + 1
             if size >= 256 * length:
                 stream = np.concatenate(held)
                 whole = size - size % length
