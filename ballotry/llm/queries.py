@@ -12,6 +12,7 @@ from . import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, pii
 from .common import model_path, ranks_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,25 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN first IS NOT NULL AND first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
                    CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
             FROM q""",
+        "op4_benchmark_decontamination": fr"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+                 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+                 x AS (SELECT DISTINCT item, w[i:i + 9] AS win FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) WHERE len(w) > 0),
+                 n AS (SELECT DISTINCT len(win) AS n FROM x),
+                 p AS (SELECT doc_id, i, w[i:i + n - 1] AS win FROM d, n, unnest(range(1, greatest(len(w) - n + 2, 1))) t(i)),
+                 h AS (SELECT doc_id, i, item, len(win) AS n FROM p JOIN x USING (win)),
+                 k AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + n)) t(j) GROUP BY 1),
+                 m AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY 1)
+            SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+                   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+            FROM d LEFT JOIN k USING (doc_id) LEFT JOIN m USING (doc_id)""",
+        "op10_minhash_near_dedup": fr"""
+            WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+                 s AS (SELECT DISTINCT doc_id, w[i:i + 1] AS sh FROM d, unnest(range(1, greatest(len(w) - 1, 1) + 1)) t(i) WHERE len(w) > 0),
+                 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+                 c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+                 e AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+                 r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, f.y FROM r JOIN (SELECT x, y FROM e UNION ALL SELECT y, x FROM e) f ON f.x = r.b),
+                 g AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1)
+            SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM g LEFT JOIN n USING (doc_id)""",
     }
