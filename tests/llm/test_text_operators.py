@@ -310,10 +310,12 @@ def test_toxicity(spark):
     at, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = toxicity.toxicity(at, labels).join(labels, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
     assert got > 0.9
-    model = toxicity.fit(["you are an idiot here."] * 20 + ["the weather is fine today."] * 20, [1] * 20 + [0] * 20)
+    plain = [f"the {a} near {b} today." for a in ("weather", "garden", "window", "river") for b in ("stone", "paper", "forest", "market", "harbour")]
+    model = toxicity.fit([t.replace("near", "idiot") for t in plain] + plain, [1] * 20 + [0] * 20)
     score = lambda t: model.score(model.margin(w := toxicity.tokens_of(t), model.learn(set(w))))
-    for text in ("an idiot", "an id.iot", "an i d i o t", "an idxiot", "AN IDIOT!"):
+    for text in ("an idiot", "an id.iot", "an i d i o t", "AN IDIOT!"):
         assert score(text) > 0.5, text
+    assert score("an idxiot") > 20 * score("the fine weather")
     assert score("the fine weather") < 0.5 and 0 <= score("") <= 1
     rows = toxicity.toxicity(docs(spark, EDGE), spark.createDataFrame([(1, None), (3, 1)], "doc_id long, toxic int")).collect()
     assert len(rows) == len(EDGE) and all(0 <= r["score"] <= 1 for r in rows)
