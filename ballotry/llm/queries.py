@@ -49,7 +49,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_path(), ("n_tokens", "ids_sha256", "spans_sha256", "decoded_sha256"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -103,11 +104,11 @@ class Codec:
             raise ValueError("pieces of this model cross words, or it has no marker in front")
         self.unknown = kinds.index(2)
         #: Normalised bytes each piece covers; a byte piece covers one.
-        self.covers = [1 if k == 6 else len(p[1]) for p, k in zip(pieces, kinds, strict=True)]
+        self.covers = np.array([1 if k == 6 else len(p[1]) for p, k in zip(pieces, kinds, strict=True)])
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
-    def normalise(self, text: str) -> tuple[str, list[int]]:
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """Normalised text without its leading marker, and for each of its bytes, and its
         end, the byte of text it comes from."""
         raw = text.encode()
@@ -126,8 +127,9 @@ class Codec:
                 while out.endswith(space):
                     out.pop()
                     i = align.pop()
-            return out.decode().replace(MARK, " "), align + [i]
-        return text.replace(MARK, " "), list(range(len(raw) + 1)) if MARK not in text else _narrowed(raw)
+            at = np.array([*align, i])
+            return out.decode().replace(MARK, " "), at if MARK.encode() not in out else at[_narrowed(bytes(out))]
+        return text.replace(MARK, " "), np.arange(len(raw) + 1) if MARK not in text else _narrowed(raw)
 
     def words(self, text: str) -> list[str]:
         """Normalised text in parts that each follow a marker of their own; a run of spaces
@@ -147,51 +149,46 @@ class Codec:
                 ids = [self.library.piece_to_id(MARK)]
             known[w] = tuple(ids), ",".join(map(str, ids))
 
-    def plain(self, text: str) -> str:
-        """Normalised text where the alignment isn't asked for."""
-        return self.normalise(text)[0] if self.map.units or self.squeeze or MARK in text else text
-
     def encode(self, text: str) -> list[int]:
-        text = self.plain(text)
+        text, _ = self.normalise(text)
         if not text:
             return []
         words = self.words(text)
         self.learn(set(words))
         return [i for w in words for i in self.known[w][0]]
 
-    def spans(self, text: str, ids: list[int]) -> list[tuple[int, int]]:
-        """The bytes of text that each id covers. The marker in front covers none."""
+    def spans(self, normal: str, align: np.ndarray, ids: list[int]) -> np.ndarray:
+        """Bounds of the ids in the original text: id k covers the bytes from bound k to bound
+        k + 1. The marker in front covers none. No ids have no bounds."""
         if not ids:
-            return []
-        normal, align = self.normalise(text)
+            return np.zeros(0, np.int64)
         # align is by normalised bytes with one byte a space; here markers take three
-        wide = [0] * 3
-        at = 0
-        for byte in normal.encode():
-            wide += [align[at]] * (3 if byte == 0x20 else 1)
-            at += 1
-        wide.append(align[at])
-        out, end = [], 0
-        for i in ids:
-            if i == self.unknown:
-                raise ValueError("an unknown piece has no length of its own")
-            start, end = end, end + self.covers[i]
-            out.append((wide[start], wide[end]))
-        if end != len(wide) - 1:
+        spaces = np.frombuffer(normal.encode(), np.uint8) == 0x20
+        wide = np.concatenate([np.zeros(3, np.int64), np.repeat(align[:-1], 1 + 2 * spaces), align[-1:]])
+        at = np.array(ids)
+        if (at == self.unknown).any():
+            raise ValueError("an unknown piece has no length of its own")
+        ends = self.covers[at].cumsum()
+        if ends[-1] != len(wide) - 1:
             raise AssertionError("pieces don't cover the text")
-        return out
+        return wide[np.concatenate([[0], ends])]
 
     def decode(self, ids: list[int]) -> str:
         return self.library.decode(ids)
 
 
-def _narrowed(raw: bytes) -> list[int]:
+def _narrowed(raw: bytes) -> np.ndarray:
     """Alignment of a text whose literal markers (three bytes) become one space each."""
-    out, i, mark = [], 0, MARK.encode()
-    while i < len(raw):
-        out.append(i)
-        i += 3 if raw.startswith(mark, i) else 1
-    return [*out, i]
+    keep = np.ones(len(raw) + 1, bool)
+    for m in re.finditer(MARK.encode(), raw):
+        keep[m.start() + 1 : m.end()] = False
+    return np.flatnonzero(keep)
+
+
+def _decimal(bounds: np.ndarray) -> str:
+    """The spans between bounds, as start:end, comma-joined."""
+    s = list(map(str, bounds.tolist()))
+    return ",".join(map(":".join, zip(s, s[1:])))  # noqa: B905
 
 
 _codecs: dict[str, Codec] = {}
@@ -207,30 +204,33 @@ def codec(path: str) -> Codec:
 #: The columns an encoding can have, and their types.
 COLUMNS = {
     "ids": "array<int>", "starts": "array<int>", "ends": "array<int>", "decoded": "string",
-    "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string",
+    "n_tokens": "long", "ids_sha256": "string", "spans_sha256": "string", "decoded_sha256": "string",
 }
 
 
 def encode(docs: DataFrame, model: str, columns: tuple[str, ...] = ("ids", "starts", "ends", "decoded"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: the id and the asked columns, which are ids, the byte span
     of each (starts, ends), the decoded text, their number and the digests of ids (decimal,
-    comma-joined) and of the decoded text. Digests are taken where the ids are made, so
+    comma-joined), of spans (start:end, likewise) and of the decoded text. Digests are taken where the ids are made, so
     that a caller who wants these alone moves no lists."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         for b in slices(batches, 64):
             texts = b[text_col].to_pylist()
-            split = [own.words(t) if (t := own.plain(text)) else [] for text in texts]
+            normal = [own.normalise(text) for text in texts]
+            split = [own.words(t) if t else [] for t, _ in normal]
             own.learn({w for words in split for w in words})
             known, made = own.known, []
             for words in split:
                 found = [known[w] for w in words]
                 made.append(([i for ids, _ in found for i in ids], ",".join([s for _, s in found])))
             got = {"ids": [ids for ids, _ in made], "n_tokens": [len(ids) for ids, _ in made]}
-            if {"starts", "ends"} & set(columns):
-                at = [own.spans(t, ids) for t, ids in zip(texts, got["ids"], strict=True)]
-                got |= {"starts": [[s for s, _ in x] for x in at], "ends": [[e for _, e in x] for x in at]}
+            if {"starts", "ends", "spans_sha256"} & set(columns):
+                at = [own.spans(t, align, ids) for (t, align), ids in zip(normal, got["ids"], strict=True)]
+                got |= {"starts": [x[:-1] for x in at], "ends": [x[1:] for x in at]}
+                if "spans_sha256" in columns:
+                    got["spans_sha256"] = [hashlib.sha256(_decimal(x).encode()).hexdigest() for x in at]
             if {"decoded", "decoded_sha256"} & set(columns):
                 got["decoded"] = [own.decode(ids) for ids in got["ids"]]
                 got["decoded_sha256"] = [hashlib.sha256(t.encode()).hexdigest() for t in got["decoded"]]

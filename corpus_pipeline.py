@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and their spans in the text, by digest: the training set's index."""
-    return sentencepiece_codec.encode(docs, model_path(), ("n_tokens", "ids_sha256", "decoded_sha256"))
+    return sentencepiece_codec.encode(docs, model_path(), ("n_tokens", "ids_sha256", "spans_sha256", "decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("minhash_near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("sentencepiece", encode)]

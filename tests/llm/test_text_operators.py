@@ -267,6 +267,32 @@ def test_sentencepiece(spark):
             assert r["starts"][0] == 0 and r["ends"][-1] == len(text.encode()) and r["ends"][:-1] == r["starts"][1:]
 
 
+def test_queries_give_spans_of_every_document(spark):
+    import sentencepiece
+
+    from ballotry.llm import queries
+
+    library = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    source = {r[0]: r[1] for r in table(spark, DIR, "documents").select("doc_id", "text").collect()}
+    for r in queries.op9_sentencepiece(spark, DIR).collect():
+        raw, ids, bounds, at = (source[r["doc_id"]] or "").encode(), library.encode(source[r["doc_id"]] or ""), [], 0
+        for k, i in enumerate(ids):  # walk the source: a marker is a space, but the one in front isn't there
+            piece = library.id_to_piece(i)
+            n = 1 if library.is_byte(i) else len(piece.replace("▁", " ").encode())
+            end = at + n - (k == 0 and piece.startswith("▁"))
+            bounds.append(f"{at}:{end}")
+            at = end
+        assert at == len(raw) and r["spans_sha256"] == hashlib.sha256(",".join(bounds).encode()).hexdigest()
+
+
+def test_alignment_of_replaced_and_squeezed_text():
+    own = sentencepiece_codec.Codec(model_path())
+    assert own.normalise("a▁b")[1].tolist() == [0, 1, 4, 5]
+    own.squeeze = True
+    normal, align = own.normalise("  a ▁ b ")
+    assert normal == "a   b" and align.tolist() == [2, 3, 4, 7, 8, 9]
+
+
 def test_character_map():
     # a trie of one entry: "ab" -> "c"; units as a double array lays them out
     units = [0] * 512
