@@ -1,9 +1,8 @@
 """Operator 6: fuzzy duplicate lines by MinHash, with DataFrame functions alone.
 
 Lines of at least MIN_CHARS characters are compared in lower case, with every run of
-characters that are neither letters nor digits as one space. A shingle is the five
-characters from where a word starts (or from behind a character outside ASCII). Two lines
-are linked when their sets of shingles have a Jaccard similarity of 0.8 or more. Lines are
+characters that are neither letters nor digits as one space. A shingle is five characters
+from any place of the line (a line of fewer is one shingle). Two lines are linked when their sets of shingles have a Jaccard similarity of 0.8 or more. Lines are
 first folded to distinct ones (before the shuffle too), named by a 64-bit hash.
 
 Signatures are taken of longer shingles, twelve characters from the same places, as five
@@ -54,9 +53,14 @@ def starts(line: Column | str, chars: int) -> Column:
     return F.regexp_extract_all(line, F.lit(rf"(?<![\x21-\x7E])(?=([^ ].{{0,{chars - 1}}}))"), F.lit(1))
 
 
+def windows(line: Column | str) -> Column:
+    """The SHINGLE characters from each place of a plain line, or the whole of a shorter one."""
+    return F.regexp_extract_all(line, F.lit(rf"(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))"), F.lit(1))
+
+
 def shingles(line: Column | str) -> Column:
     """The distinct shingles of a plain line, each as a 64-bit hash."""
-    return F.array_distinct(F.transform(starts(line, SHINGLE), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(windows(line), lambda s: F.xxhash64(s)))
 
 
 def may_reach(x: Column, y: Column, per_cent: int) -> Column:

@@ -116,6 +116,28 @@ def test_line_dedup_equals_brute_force(spark):
     assert same >= 0.999 * len(every)
 
 
+def all_shingles(line):
+    plain = re.sub(r"[^\w]+", " ", line.lower().replace("_", " ")).strip(" ")
+    return frozenset(plain[i : i + 5] for i in range(max(1, len(plain) - 4))) - {""}
+
+
+HEX = [hashlib.sha1(bytes([i])).hexdigest() for i in range(4)]
+PAIRS = [
+    ("transaction 8841020001 confirmed for customer 7730012345", "transaction 8841097715 confirmed for customer 7730088001", False),
+    (HEX[0][:12] + HEX[1][12:], HEX[0][:12] + HEX[2][12:], False), (HEX[3], ("0" if HEX[3][0] != "0" else "1") + HEX[3][1:], True),
+]
+
+
+def test_lines_are_verified_whole(spark):
+    rows = [(2 * i + k, line_) for i, p in enumerate(PAIRS) for k, line_ in enumerate(p[:2])]
+    lines = spark.createDataFrame(rows, "node long, line string").select("node", line_dedup.plain("line").alias("text"))
+    edges = spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(len(PAIRS))], "a long, b long")
+    linked = {r["b"] // 2 for r in line_dedup.similar(edges, lines).where("linked").collect()}
+    assert linked == {i for i, (x, y, same) in enumerate(PAIRS) if same}
+    sets = {r["node"]: r["n"] for r in lines.select("node", F.size(line_dedup.shingles("text")).alias("n")).collect()}
+    assert sets == {i: len(all_shingles(line_)) for i, line_ in rows}
+
+
 def test_line_dedup_edges(spark):
     line = "A line of quite some words that comes again and again here."
     rows = [(1, f"start of one document here\n{line}"), (2, f"{line}\nanother ending of the text"), (3, line), (3, line), (None, line), (4, None), (5, "short\nshort"), (6, LONG)]
