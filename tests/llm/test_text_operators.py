@@ -138,6 +138,41 @@ def test_lines_are_verified_whole(spark):
     assert sets == {i: len(all_shingles(line_)) for i, line_ in rows}
 
 
+def test_line_dedup_equals_brute_force_on_all_shingles(spark):
+    at = table(spark, DIR, "documents")
+    first = {}
+    for i, t in sorted(map(tuple, at.select("doc_id", "text").collect())):
+        for k, line in enumerate(t.split("\n")):
+            if len(line.strip(" ")) >= line_dedup.MIN_CHARS:
+                first.setdefault(line, (i, k))
+    index, pairs, sets = defaultdict(list), [], {line: all_shingles(line) for line in first}
+    for line in sets:
+        shared = Counter(o for s in sets[line] for o in index[s])
+        pairs += [(first[line], first[o]) for o, n in shared.items() if 100 * n >= 80 * (len(sets[line]) + len(sets[o]) - n)]
+        for s in sets[line]:
+            index[s].append(line)
+    want = smallest(pairs, first.values())
+    got = {(r["doc_id"], r["line_no"]): (r["keep_doc_id"], r["keep_line_no"]) for r in line_dedup.line_dedup(at).collect()}
+    wrong = [at for at in want if got[at] != want[at]]
+    assert len(wrong) <= 0.001 * len(want), (len(wrong), len(want))
+
+
+def test_alike_lines_meet(spark):
+    """Families of two, one word of a line replaced, near the threshold; and the pairs above."""
+    rng, pairs = np.random.default_rng(5), []
+    while len(pairs) < 1500:
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 8))) for _ in range(rng.integers(9, 15))]
+        x, k = " ".join(words), rng.integers(len(words))
+        y = " ".join([*words[:k], "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)), *words[k + 1 :]])
+        a, b = all_shingles(x), all_shingles(y)
+        if 80 * len(a | b) <= 100 * len(a & b) <= 87 * len(a | b):
+            pairs.append((x, y))
+    near = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "doc_id long, text string")
+    assert line_dedup.line_dedup(near).where("not kept and doc_id = keep_doc_id + 1").count() >= 0.996 * len(pairs)
+    given = spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(PAIRS) for k, x in enumerate(p[:2])], "doc_id long, text string")
+    assert {r["doc_id"] // 2 for r in line_dedup.line_dedup(given).where("not kept").collect()} == {i for i, p in enumerate(PAIRS) if p[2]}
+
+
 def test_line_dedup_edges(spark):
     line = "A line of quite some words that comes again and again here."
     rows = [(1, f"start of one document here\n{line}"), (2, f"{line}\nanother ending of the text"), (3, line), (3, line), (None, line), (4, None), (5, "short\nshort"), (6, LONG)]
