@@ -251,7 +251,7 @@ def _model(s: SparkSession, d: str) -> tuple[DataFrame, matrix.Model]:
     votes = _eligible_votes(s, d).cache()
     rows = ballots.retained(votes).orderBy("opinion_id").collect()
     ids, means = [r["opinion_id"] for r in rows], [r["mean"] for r in rows]
-    return votes, matrix.principal(matrix.dense(matrix.scatter(votes, ballots.retained(votes)), ids), ids, means)
+    return votes, matrix.principal(matrix.spread(votes, ballots.retained(votes), ids), ids, means)
 
 
 _SIDES = ", full_sc AS (SELECT j, k, c FROM sc UNION ALL SELECT k, j, c FROM sc WHERE j <> k), ix AS (SELECT opinion_id, row_number() OVER (ORDER BY opinion_id) AS i FROM kept), m AS (SELECT a.i AS j, list(c ORDER BY b.i) AS row FROM full_sc JOIN ix a ON a.opinion_id = j JOIN ix b ON b.opinion_id = k GROUP BY 1), mm AS (SELECT list(row ORDER BY j) AS c FROM m), "

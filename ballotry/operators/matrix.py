@@ -1,12 +1,14 @@
 """The scatter matrix, principal axes, projection and connectivity of ballots.
 
 Ballots stay in long form, so a missing answer is an absent row. What comes to the driver is
-one row for each pair of retained opinions, whatever the number of sessions.
+one row for each pair of retained opinions, whatever the number of sessions; of more than
+MAX_OPINIONS it is one number an opinion for each multiplication, and no pair is made.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -40,6 +42,35 @@ def dense(pairs: DataFrame, ids: list[str]) -> np.ndarray:
     return c
 
 
+@dataclass
+class Spread:
+    """The scatter matrix as what it does to a vector, and its trace."""
+
+    multiply: Callable[[np.ndarray], np.ndarray]
+    trace: float
+    release: Callable[[], object] = lambda: None
+
+
+def spread(votes: DataFrame, kept: DataFrame, ids: list[str]) -> Spread:
+    """The scatter matrix of the retained opinions, in the order of ids: gathered up to
+    MAX_OPINIONS, else left in the votes, where a multiplication is a job."""
+    if len(ids) <= MAX_OPINIONS:
+        c = dense(scatter(votes, kept), ids)
+        return Spread(lambda v: c @ v, float(np.trace(c)))
+    off = votes.join(kept.select("opinion_id", "mean"), "opinion_id").select("session_id", "opinion_id", (F.col("value") - F.col("mean")).alias("off")).cache()
+    place = {o: i for i, o in enumerate(ids)}
+
+    def multiply(v: np.ndarray) -> np.ndarray:
+        by = votes.sparkSession.createDataFrame(list(zip(ids, v.tolist(), strict=True)), "opinion_id string, v double")
+        centred = off.join(by, "opinion_id").groupBy("session_id").agg(F.sum(F.col("off") * F.col("v")).alias("x"))
+        out = np.zeros(len(ids))
+        for o, x in off.join(centred, "session_id").groupBy("opinion_id").agg(F.sum(F.col("off") * F.col("x"))).collect():
+            out[place[o]] = x
+        return out
+
+    return Spread(multiply, float(off.agg(F.sum(F.col("off") * F.col("off"))).first()[0] or 0), off.unpersist)
+
+
 def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
     """Whether sessions that share three substantive answers' opinions form one component.
 
@@ -117,7 +148,7 @@ def _axis(multiply, width: int, axis: int, limit: int, initial: np.ndarray | Non
     return (-v if v[top] < 0 else v), used, warm
 
 
-def principal(c: np.ndarray, ids: list[str], means: list[float], iterations: int = 100, min_substantive: int = 6, previous: Model | None = None) -> Model:
+def principal(c: Spread, ids: list[str], means: list[float], iterations: int = 100, min_substantive: int = 6, previous: Model | None = None) -> Model:
     """Two principal axes of a scatter matrix; the second from what the first leaves."""
     start: list[np.ndarray | None] = [None, None]
     if previous is not None and previous.version == 1 and len(set(previous.opinion_ids)) == len(previous.opinion_ids) and np.isfinite(previous.components).all():
@@ -125,15 +156,15 @@ def principal(c: np.ndarray, ids: list[str], means: list[float], iterations: int
         overlap = sum(o in old for o in ids)
         if overlap >= 2 and overlap / max(len(ids), len(old)) >= 0.8:
             start = [np.array([axis[old[o]] if o in old else 0.0 for o in ids]) for axis in previous.components]
-    pc1, n1, w1 = _axis(lambda v: c @ v, len(ids), 0, iterations, start[0])
+    pc1, n1, w1 = _axis(c.multiply, len(ids), 0, iterations, start[0])
 
     def rest(v: np.ndarray) -> np.ndarray:
-        out = c @ (v - (v @ pc1) * pc1)
+        out = c.multiply(v - (v @ pc1) * pc1)
         return out - (out @ pc1) * pc1
 
     pc2, n2, w2 = _axis(rest, len(ids), 1, iterations, start[1])
-    total = float(np.trace(c))
-    explained = float((pc1 @ c @ pc1 + pc2 @ c @ pc2) / total) if total else math.nan
+    explained = float((pc1 @ c.multiply(pc1) + pc2 @ c.multiply(pc2)) / c.trace) if c.trace else math.nan
+    c.release()
     return Model(list(ids), list(means), [pc1.tolist(), pc2.tolist()], min_substantive, [], 1, explained, (n1, n2), (w1, w2))
 
 

@@ -79,14 +79,13 @@ def analyze(votes: DataFrame, opinions: DataFrame | None = None, options: Option
     out.diagnostics["retained_opinions"] = len(rows)
     if len(rows) < o.min_retained:
         return out
-    if len(rows) > matrix.MAX_OPINIONS:
-        raise ValueError("too many retained opinions for a gathered matrix")
     out.diagnostics["connected"] = matrix.connected(mine, sessions, kept)
     if not out.diagnostics["connected"]:
         return out
     ids, means = [r["opinion_id"] for r in rows], [r["mean"] for r in rows]
-    c = matrix.dense(matrix.scatter(mine, kept), ids)
-    if np.trace(c) < 1e-8:
+    c = matrix.spread(mine, kept, ids)
+    if c.trace < 1e-8:
+        c.release()
         out.status = "uniform"
         return out
     model = matrix.principal(c, ids, means, o.pca_iterations, o.min_substantive, previous.model if previous else None)

@@ -25,6 +25,18 @@ def test_two_blocks(spark):
     assert r.silhouette == pytest.approx(1)
 
 
+def test_more_opinions_than_are_gathered(spark, monkeypatch):
+    rows = [(s, p, v if hash_ % 7 else -v) for hash_, (s, p, v) in enumerate(blocks())]
+    options = analysis.Options(pca_iterations=6)
+    gathered = analysis.analyze(votes(spark, rows), options=options)
+    monkeypatch.setattr(matrix, "MAX_OPINIONS", 5)
+    jobs = analysis.analyze(votes(spark, rows), options=options)
+    assert jobs.status == gathered.status and jobs.groups == gathered.groups
+    assert jobs.model.components[0] == pytest.approx(gathered.model.components[0], abs=1e-9)
+    assert jobs.model.components[1] == pytest.approx(gathered.model.components[1], abs=1e-9)
+    assert jobs.model.explained == pytest.approx(gathered.model.explained)
+
+
 @pytest.mark.parametrize(
     ("rows", "status"),
     [
