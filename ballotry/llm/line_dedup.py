@@ -141,11 +141,16 @@ def crowded_nodes(keys: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each compared line: doc_id, line_no (from 0), class_size (lines of its
     class), keep_doc_id, keep_line_no (the line that stays), kept."""
+    return _places(docs, id_col, text_col).drop("node")
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of line_dedup with the line's name, node."""
     every, named = line_classes(docs, id_col, text_col)
     at = every.join(named, "node", "left")
     return at.select(
         F.col("doc_id").alias(id_col), "line_no", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
-        F.coalesce("keep.doc_id", "doc_id").alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"),
+        "node", F.coalesce("keep.doc_id", "doc_id").alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"),
         F.coalesce((F.col("keep.doc_id") == F.col("doc_id")) & (F.col("keep.line_no") == F.col("line_no")), F.lit(True)).alias("kept"),
     )
 
@@ -153,8 +158,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the same columns, without the lines that don't stay; a document that had
     text and has only blank lines left goes."""
-    found = line_dedup(docs, id_col, text_col).where("not kept")
-    gone = found.groupBy(id_col).agg(F.collect_set("line_no").alias("_gone"))
-    rest = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
+    found = _places(docs, id_col, text_col).where("not kept")
+    # by name too: another row of the same doc_id can have another line at that place
+    gone = found.groupBy(id_col).agg(F.collect_set(F.struct("line_no", "node")).alias("_gone"))
+    rest = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(line).alias("node"))))
     at = docs.join(gone, id_col, "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
     return at.where(F.col("_gone").isNull() | (F.trim(F.translate(text_col, "\n\r\t", "   ")) != "")).select(*docs.columns)

@@ -173,6 +173,13 @@ def test_alike_lines_meet(spark):
     assert {r["doc_id"] // 2 for r in line_dedup.line_dedup(given).where("not kept").collect()} == {i for i, p in enumerate(PAIRS) if p[2]}
 
 
+def test_rows_of_one_doc_id_lose_their_own_lines_only(spark):
+    line, other = "A line of quite some words that comes again and again here.", "Nothing like this stands in any different place of them."
+    rows = [(1, line), (7, f"{line}\nthe rest of the first row"), (7, f"{other}\nan end of the second one")]
+    out = sorted(r["text"] for r in line_dedup.drop_duplicate_lines(docs(spark, rows)).collect())
+    assert out == sorted([line, "the rest of the first row", rows[2][1]])
+
+
 def test_line_dedup_edges(spark):
     line = "A line of quite some words that comes again and again here."
     rows = [(1, f"start of one document here\n{line}"), (2, f"{line}\nanother ending of the text"), (3, line), (3, line), (None, line), (4, None), (5, "short\nshort"), (6, LONG)]
