@@ -12,38 +12,53 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Rows of a graph that one task takes.
+TASK_ROWS = 200_000
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """df run once (cut) and read back in as few partitions as its rows need, and its rows.
+    A graph shrinks from round to round; so do the tasks and files of what follows."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(tasks(n)), n
+
+
+def tasks(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Distributed union-find. edges(a, b) -> (node, component), the smallest node
-    reachable; nodes without an edge to another are absent.
-
-    Every round points each node at the smallest node of its neighbourhood and
-    contracts the graph along these pointers (a node that moved once may go on as the
-    name of those that point at it; its own pointer is kept). All but the local minima vanish in a
-    round, so the number of rounds is logarithmic and stars end in one.
-    Null ends are ignored; repeated edges and self-loops change nothing.
+    """Distributed union-find. edges(a, b) of whole numbers -> (node, component), the
+    smallest node reachable; nodes without an edge to another are absent.
+
+    Every round points each name at the smallest name of its neighbourhood and contracts
+    the graph along these pointers. Names are the nodes' 64-bit hashes (one to one on 64-bit
+    numbers) and are hashed anew each round, so the order has nothing to do with how nodes
+    are numbered: all but the local minima of a fresh random order vanish, a third of a
+    chain and less of anything denser stays, and rounds are logarithmic in the number of
+    nodes. Null ends are ignored; repeated edges and self-loops change nothing.
     """
-    edges = cut(edges.select("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    found = None
-    while not edges.isEmpty():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("up")))
-        moved = up.where("node != up")
-        found = moved if found is None else (
-            found.join(moved.select(F.col("node").alias("up"), F.col("up").alias("next")), "up", "left")
-            .select("node", F.coalesce("next", "up").alias("up"))
-            .union(moved.join(found, "node", "left_anti"))
-        )
-        found = cut(found)
-        to = lambda end: moved.select(F.col("node").alias(end), F.col("up").alias(f"{end}_up"))
-        edges = cut(
-            edges.join(to("a"), "a", "left").join(to("b"), "b", "left")
-            .select(F.coalesce("a_up", "a").alias("x"), F.coalesce("b_up", "b").alias("y"))
-            .where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        )
-    if found is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    found = found.select("node", F.col("up").alias("component"))
-    return found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    hashed = lambda *c: [F.xxhash64(x).alias(x) for x in c]
+    both = edges.select("a", "b").where("a != b")
+    both, n = packed(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if n == 0:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    whole = pieces = tasks(n)
+    labels = both.select(F.col("a").alias("node")).distinct().coalesce(whole).withColumn("name", F.xxhash64("node"))
+    arcs, ups = both.select(*hashed("a", "b")), []
+    while n:
+        up, _ = packed(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
+        ups.append(up)
+        to = lambda end: up.select(F.col("name").alias(end), F.col("up").alias(f"{end}_up"))
+        moved = arcs.join(to("a"), "a").coalesce(pieces).join(to("b"), "b").where("a_up != b_up")
+        arcs, n = packed(moved.select(F.xxhash64("a_up").alias("a"), F.xxhash64("b_up").alias("b")).distinct().coalesce(pieces))
+        pieces = tasks(n)
+    for up in ups:
+        labels = labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole)
+    labels, _ = packed(labels)
+    least = labels.groupBy("name").agg(F.min("node").alias("component"))
+    return labels.join(least, "name").select("node", "component").coalesce(whole)
 
 
 def stars(members: DataFrame) -> DataFrame:

@@ -1,153 +1,189 @@
 """Operator 6: fuzzy duplicate lines by MinHash, with DataFrame functions alone.
 
-Lines of at least MIN_CHARS characters are compared in lower case, with every run of
-characters that are neither letters nor digits as one space. A shingle is five characters
-from any place of the line (a line of fewer is one shingle). Two lines are linked when their sets of shingles have a Jaccard similarity of 0.8 or more. Lines are
-first folded to distinct ones (before the shuffle too), named by a 64-bit hash.
-
-Signatures are taken of the same shingles: VALUES values that are each the smallest of the
-shingle hashes xor a constant, made where the folded lines already are, without another
-shuffle. Bands of ROWS values make buckets; ROWS is large because unrelated lines share
-shingles too. The bands divide the values twice, in order and by strides, so each value
-serves two bands. A pair at similarity 0.8 shares none with a probability of 0.044 %
-(the miss rate is in the README). Of a bucket each line is verified, on full sets, against
-one hub, taken by one of three orders, so that a family of alike lines has several hubs.
-Loose links make families; in a family whose links leave several components, the lines
-outside its largest are compared with all others in blocks of rows, each with an array of
-lines, so that pairs are never rows; so are lines that are close to no hub, in their bucket.
-Union-find (graph.components) joins the links, and of each component the line that comes
-first, by doc_id and line number, stays.
-
-Defined cases: null or empty text has one empty line; shorter lines stay as they are; a
-row with a null doc_id has no place in the order and stays as it is; rows that repeat a
-doc_id are one document, whose equal lines at equal places stay together; different lines
-of the same name (a hash collision, noticed by a second hash) stay; an empty table gives
-an empty one; other columns aren't looked at.
+Every line that isn't blank is compared, whole, in lower case and with every run of
+characters that are neither letters nor digits as one space (a line of other characters
+alone is compared as it is, in lower case and trimmed). Its shingles are the five UTF-16
+units from each place (a shorter line is one shingle). Two lines are linked when their
+sets of shingles have a Jaccard similarity of 0.8 or more. Lines that are equal in that
+form are one node from the start, named by a 64-bit hash.
+
+Signature and link use the same shingles. A signature is VALUES values, each the smallest
+of the shingles' 64-bit hashes xor a constant, made where the folded lines already are,
+without another shuffle. Bands take a value from each of five groups of four, so that no
+two bands share more than one value (a transversal design). A sketch of the last three
+bits of each value goes with every bucket row: lines at 0.8 agree in 16.5 of 20 on average,
+unlike lines that meet in one band in 7.5, and only those that agree in AGREE or more are
+compared as texts. Recall by similarity, of both steps together, is in the README.
+
+Of a bucket each line is verified, on full sets, against one hub, taken by one of three
+orders, so that a family of alike lines has several hubs. Union-find (graph.components)
+joins the links. In a bucket of several components the lines outside the largest meet all
+others by their sketches, in blocks of rows, each with an array of lines, so that pairs of
+a bucket are never rows; those that agree are verified too. So two lines that share a
+bucket and agree are either compared or already in one component. Of each component the
+line that comes first, by doc_id and line number, stays.
+
+Defined cases: blank lines stay and have a class of their own each; null or empty text has
+one empty line; a row with a null doc_id has no place in the order and stays as it is; rows
+that repeat a doc_id are one document, whose equal lines at equal places stay together;
+different lines of the same name (a hash collision, noticed by a second hash) stay; an
+empty table gives an empty one; other columns aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .graph import blocks, components, crowded
-
-MIN_CHARS, SHINGLE, THRESHOLD, LOOSE = 20, 5, 80, 50
-VALUES, ROWS = 96, 6
-#: The values of each band: consecutive ones, then ones VALUES / ROWS apart.
-BANDS = [tuple(range(i, i + ROWS)) for i in range(0, VALUES, ROWS)] + [tuple(range(i, VALUES, VALUES // ROWS)) for i in range(VALUES // ROWS)]
+from .graph import blocks, components, packed
+
+SHINGLE, THRESHOLD = 5, 80
+#: Products in the field of four elements, whose sum is xor.
+_TIMES = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
+#: The values of each band: lines x and y of the first two groups, y + k x of the others.
+BANDS = [(x, 4 + y, *(4 * (k + 1) + (_TIMES[k][x] ^ y) for k in (1, 2, 3))) for x in range(3) for y in range(4)]
+VALUES, BITS, AGREE = 20, 3, 10
 #: Constants that turn one hash of a shingle into many: the fractional parts of multiples of the golden ratio.
 _XOR = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64)) - (1 << 63) for i in range(1, VALUES + 1)]
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, node, check) of all lines that are compared."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.length(F.trim("line")) >= MIN_CHARS).withColumns({"node": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
+def plain(line: Column | str) -> Column:
+    """The form in which lines are compared; empty for blank lines."""
+    words = F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+    return once(words, lambda w: F.when(w != "", w).otherwise(F.trim(F.lower(line))))
 
 
-def plain(line: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def kept_apart(rows: DataFrame, *names: str) -> DataFrame:
+    """rows whose named columns are computed here, once, and not wherever they are named."""
+    return rows.select(*(c for c in rows.columns if c not in names), F.inline(F.array(F.struct(*names))))
+
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, line, node, check) of all lines of rows with an id. Blank lines have
+    no name (node) and no second hash (check)."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("line_no", "line"))
+    told = F.col("line").rlike(r"\S")
+    return rows.withColumns({"node": F.when(told, F.xxhash64("line")), "check": F.when(told, F.xxhash64(F.lit(1), "line"))})
 
 
-def windows(line: Column | str) -> Column:
-    """The SHINGLE characters from each place of a plain line, or the whole of a shorter one."""
-    return F.regexp_extract_all(line, F.lit(rf"(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))"), F.lit(1))
+_UNITS = 2 * SHINGLE  # bytes of a shingle in UTF-16
 
 
-def shingles(line: Column | str) -> Column:
-    """The distinct shingles of a plain line, each as a 64-bit hash."""
-    return F.array_distinct(F.transform(windows(line), lambda s: F.xxhash64(s)))
+def starts(units: Column | str) -> Column:
+    """Where the shingles of a line in UTF-16 begin; a shorter line is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (_UNITS - 1), F.lit(1)), F.lit(2))
 
 
-def may_reach(x: Column, y: Column, per_cent: int) -> Column:
-    """Whether sets of these sizes can have that Jaccard similarity: the smaller is large enough."""
-    return 100 * F.least(F.size(x), F.size(y)) >= per_cent * F.greatest(F.size(x), F.size(y))
+def shingles(text: Column | str) -> Column:
+    """The shingles of a plain line, from its first place to its last, each as a 64-bit hash."""
+    return once(F.encode(text, "UTF-16BE"), lambda units: F.transform(starts(units), lambda i: F.xxhash64(F.substring(units, i, F.lit(_UNITS)))))
 
 
 def bucket_keys(lines: DataFrame) -> DataFrame:
-    """lines(node, text) -> (key, node), a bucket for each band."""
-    hashes = lines.select("node", F.explode(windows("text")).alias("s")).select("node", F.xxhash64("s").alias("h"))
+    """lines(node, text) -> (key, node, sketch), a bucket for each band."""
+    places = lines.select("node", F.encode("text", "UTF-16BE").alias("units")).select("node", "units", F.explode(starts("units")).alias("i"))
+    hashes = places.select("node", F.xxhash64(F.substring("units", F.col("i"), F.lit(_UNITS))).alias("h"))
     least = hashes.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_XOR)))
     bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in band)) for b, band in enumerate(BANDS)))
-    return least.select("node", F.explode(bands).alias("key"))
+    sketch = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit((1 << BITS) - 1)), BITS * i) for i in range(VALUES)))
+    return least.select("node", sketch.alias("sketch"), F.explode(bands).alias("key"))
 
 
-def similar(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """(a, b, linked) of the edges that are at least loosely similar, on full shingle sets."""
-    x, y = (lines.select(F.col("node").alias(n), F.col("text").alias(f"{n}_text")) for n in "ab")
-    pairs = edges.join(y, "b").join(x, "a").select("a", "b", shingles("a_text").alias("x"), shingles("b_text").alias("y"))
-    common = pairs.where(may_reach(F.col("x"), F.col("y"), LOOSE)).select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("all"))
-    return common.where(f"100 * n >= {LOOSE} * (all - n)").select("a", "b", (100 * F.col("n") >= THRESHOLD * (F.col("all") - F.col("n"))).alias("linked"))
+def agree(x: Column, y: Column) -> Column:
+    """Whether two sketches have AGREE values or more in common."""
+    differ = x.bitwiseXOR(y)
+    some = reduce(Column.bitwiseOR, (F.shiftrightunsigned(differ, i) for i in range(BITS)))
+    return F.bit_count(some.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(VALUES))))) <= VALUES - AGREE
 
 
-def with_hubs(members: DataFrame) -> DataFrame:
-    """members(key, node) with each bucket's hub: the least name by one of three orders."""
+def with_hubs(keys: DataFrame) -> DataFrame:
+    """(key, node, sketch, hub, near) of the buckets of several nodes, but for those of two that
+    don't agree. The hub is the least name by one of three orders; near: agrees with the hub."""
     order = F.element_at(F.array(*(F.lit(c) for c in _XOR[:3])), (F.pmod("key", F.lit(3)) + 1).cast("int"))
-    hubs = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(order)).alias("least"))
-    return members.join(hubs, "key").select("key", "node", F.col("least").bitwiseXOR(order).alias("hub"))
+    rows = keys.repartition("key")  # once, for the hubs and for the join
+    name = F.col("node").bitwiseXOR(order)
+    hubs = rows.groupBy("key").agg(F.min(name).alias("least"), F.max(name).alias("most"), F.min_by("sketch", name).alias("low"), F.max_by("sketch", name).alias("high"), F.count("*").alias("n"))
+    hubs = hubs.where("least != most").where((F.col("n") > 2) | agree(F.col("low"), F.col("high")))
+    return rows.join(hubs.hint("shuffle_hash"), "key").select("key", "node", "sketch", F.col("least").bitwiseXOR(order).alias("hub"), agree(F.col("sketch"), F.col("low")).alias("near"))
+
+
+def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """The edges(a, b, text of a) whose lines are alike, on full shingle sets."""
+    other = lines.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+    pairs = kept_apart(edges.join(other, "b").select("a", "b", shingles("text").alias("x"), shingles("b_text").alias("y")), "x", "y")
+    return pairs.where(100 * F.size(F.array_intersect("x", "y")) >= THRESHOLD * F.size(F.array_union("x", "y"))).select("a", "b")
 
 
-def block_links(groups: DataFrame, lines: DataFrame) -> DataFrame:
-    """Links (a, b) between the strays of a group and its members of other components. A row
-    is a member and a block of strays; what the row gives out is an array."""
-    dealt = blocks(groups.join(lines, "node"), 64, 1024)
-    held = dealt.where("stray").groupBy("group", "block", "chunk").agg(F.collect_list(F.struct("node", "component", shingles("text").alias("s"))).alias("strays"))
-    at = dealt.where("not stray").select("group", "block", "chunk", "node", "component", shingles("text").alias("s")).join(held, ["group", "block", "chunk"])
-    common = lambda t: F.size(F.array_intersect(t["s"], F.col("s")))
-    good = F.filter("strays", lambda t: (t["component"] != F.col("component")) & (t["node"] != F.col("node")) & may_reach(t["s"], F.col("s"), THRESHOLD) & ((100 + THRESHOLD) * common(t) >= THRESHOLD * (F.size(t["s"]) + F.size("s"))))
-    # of strays that are in one component already one link is enough
-    ends = F.map_values(F.map_from_entries(F.array_distinct(F.transform(good, lambda t: F.struct(t["component"].alias("k"), t["component"].alias("v"))))))
-    return at.select(F.col("component").alias("a"), F.explode(ends).alias("b"))
+def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(group, node, sketch, component, stray) of the buckets that lie in several components.
+    Stray are the nodes outside the bucket's largest."""
+    at = members.withColumnRenamed("key", "group").join(parts, "node", "left").select("group", "node", "sketch", F.coalesce("component", "node").alias("component"))
+    sizes = at.groupBy("group", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    main = main.where("parts > 2 or top.n > 1")  # a bucket of two has met its hub
+    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "sketch", "component", (F.col("component") != F.col("main")).alias("stray"))
+
+
+def met(groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a group's strays and its members of other components that agree. A row
+    is a member with a block of strays; what the row gives out is an array."""
+    dealt = blocks(groups, 256, 1024)
+    held = dealt.where("stray").groupBy("group", "block", "chunk").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("strays"))
+    at = dealt.where("not stray").select("group", "block", "chunk", "node", "component", "sketch").join(held, ["group", "block", "chunk"])
+    good = F.filter("strays", lambda t: (t["component"] != F.col("component")) & agree(t["sketch"], F.col("sketch")))
+    pairs = at.select("node", F.explode(F.transform(good, lambda t: t["node"])).alias("stray"))
+    return pairs.select(F.least("node", "stray").alias("a"), F.greatest("node", "stray").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """All compared lines (doc_id, line_no, node), and of those that are not alone in their
+    """All lines (doc_id, line_no, node), and of those that are not alone in their
     class (node, keep: the first place of the class, class_size: lines in it)."""
     every = lines_of(docs, id_col, text_col)
-    folded = every.select("node", "check", plain("line").alias("text")).groupBy("node").agg(F.first("text").alias("text"), F.min("check").alias("c"), F.max("check").alias("d"))
-    folded = folded.where("c = d").select("node", "text")
-    candidates = crowded_nodes(bucket_keys(folded))
-    lines = cut(folded.join(candidates, "node", "left_semi"))
-    members = cut(with_hubs(crowded(bucket_keys(lines))))
-    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    near = cut(similar(members.where("node != hub").select(*pair("node", "hub")).distinct(), lines))
-    parts, family = components(near.where("linked")), components(near)
-    # in their bucket: lines that are close to no hub; in their family: lines outside its largest component
-    far = members.where("node != hub").withColumns(dict(zip("ab", pair("node", "hub"), strict=True))).join(near, ["a", "b"], "left_anti")
-    alone = crowded(far.select("key", "node")).select(F.col("key").alias("group"), "node")
-    label = lambda groups: groups.join(parts, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
-    at = cut(label(family.select(F.col("component").alias("group"), "node")))
-    main = at.groupBy("group", "component").agg(F.count("*").alias("n")).groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    split = at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
-    more = components(block_links(split.union(label(alone).withColumn("stray", F.lit(True))), lines))
-    joined = parts.join(more.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    found = joined.union(more.join(parts, "node", "left_anti"))
-    places = every.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.count("*").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")).where("c = d")
-    places = places.join(found, "node", "left").select("node", "keep", "n", F.coalesce("component", "node").alias("component"))
+    told = every.where(F.col("node").isNotNull())
+    folded = told.groupBy("node").agg(F.first("line").alias("line"), F.min("check").alias("c"), F.max("check").alias("d")).where("c = d")
+    at = with_hubs(bucket_keys(folded.select("node", plain("line").alias("text"))))
+    at = at.groupBy("node").agg(F.min("sketch").alias("sketch"), F.collect_list(F.struct("key", "hub", "near")).alias("at"))
+    lines = cut(folded.join(at, "node").select("node", "sketch", "at", plain("line").alias("text")))
+    texts = lines.select("node", "text")
+    edges = lines.select(F.col("node").alias("a"), "text", F.explode(F.array_distinct(F.transform(F.filter("at", lambda x: x["near"]), lambda x: x["hub"]))).alias("b")).where("a != b")
+    links, _ = packed(linked(edges, texts))
+    parts = cut(components(links))
+    members, _ = packed(lines.select("node", "sketch", F.explode("at.key").alias("key")))
+    pairs, n = packed(met(unsettled(members, parts)))
+    if n:
+        more = linked(pairs.join(texts.withColumnRenamed("node", "a"), "a"), texts)
+        ends = (parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part")) for x in "ab")
+        more = more.join(next(ends), "a", "left").join(next(ends), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
+        merged = cut(components(more)).select(F.col("node").alias("part"), F.col("component").alias("next"))
+        joined = parts.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("next", "component").alias("component"))
+        parts = cut(joined.union(merged.select(F.col("part").alias("node"), F.col("next").alias("component")).join(parts, "node", "left_anti")))
+    places = told.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.count("*").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")).where("c = d")
+    places = places.join(parts, "node", "left").where("n > 1 or component is not null").select("node", "keep", "n", F.coalesce("component", "node").alias("component"))
+    places, _ = packed(places)
     classes = places.groupBy("component").agg(F.min("keep").alias("keep"), F.sum("n").alias("class_size")).where("class_size > 1")
-    named = places.select("node", "component").join(classes, "component").select("node", "keep", "class_size")
-    return every.select("doc_id", "line_no", "node"), named
-
-
-def crowded_nodes(keys: DataFrame) -> DataFrame:
-    """Nodes that share a bucket. Keys are shuffled once, for their counts and the join."""
-    keys = keys.repartition("key")
-    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(many, "key", "left_semi").select("node").distinct()
+    found = places.select("node", "component").join(classes, "component").select("node", "keep", "class_size")
+    return every.select("doc_id", "line_no", "node"), found
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each compared line: doc_id, line_no (from 0), class_size (lines of its
-    class), keep_doc_id, keep_line_no (the line that stays), kept."""
+    """A row for each line of the rows with an id: doc_id, line_no (from 0), class_size (lines
+    of its class), keep_doc_id, keep_line_no (the line that stays), kept."""
     return _places(docs, id_col, text_col).drop("node")
 
 
 def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of line_dedup with the line's name, node."""
-    every, named = line_classes(docs, id_col, text_col)
-    at = every.join(named, "node", "left")
+    """The rows of line_dedup with the name of the line, node."""
+    every, found = line_classes(docs, id_col, text_col)
+    at = every.join(found, "node", "left")
     return at.select(
         F.col("doc_id").alias(id_col), "line_no", F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         "node", F.coalesce("keep.doc_id", "doc_id").alias("keep_doc_id"), F.coalesce("keep.line_no", "line_no").alias("keep_line_no"),
@@ -159,8 +195,10 @@ def drop_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with the same columns, without the lines that don't stay; a document that had
     text and has only blank lines left goes."""
     found = _places(docs, id_col, text_col).where("not kept")
-    # by name too: another row of the same doc_id can have another line at that place
-    gone = found.groupBy(id_col).agg(F.collect_set(F.struct("line_no", "node")).alias("_gone"))
-    rest = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains("_gone", F.struct(i.alias("line_no"), F.xxhash64(line).alias("node"))))
-    at = docs.join(gone, id_col, "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
-    return at.where(F.col("_gone").isNull() | (F.trim(F.translate(text_col, "\n\r\t", "   ")) != "")).select(*docs.columns)
+    # a name that no column of docs has
+    gone = next(name for name in map("gone_{}".format, range(len(docs.columns) + 1)) if name not in docs.columns)
+    # by the line too: another row of the same doc_id can have another line at that place
+    lost = found.groupBy(id_col).agg(F.collect_set(F.struct("line_no", "node")).alias(gone))
+    rest = F.filter(F.split(text_col, "\n", -1), lambda line, i: ~F.array_contains(gone, F.struct(i.alias("line_no"), F.xxhash64(line).alias("node"))))
+    at = docs.join(lost, id_col, "left").withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(rest, "\n")))
+    return at.where(F.col(gone).isNull() | (F.trim(F.translate(text_col, "\n\r\t", "   ")) != "")).select(*docs.columns)
