@@ -9,11 +9,13 @@ form are one node from the start, named by a 64-bit hash.
 
 Signature and link use the same shingles. A signature is VALUES values, each the smallest
 of the shingles' 64-bit hashes xor a constant, made where the folded lines already are,
-without another shuffle. Bands take a value from each of five groups of four, so that no
-two bands share more than one value (a transversal design). A sketch of the last three
-bits of each value goes with every bucket row: lines at 0.8 agree in 16.5 of 20 on average,
-unlike lines that meet in one band in 7.5, and only those that agree in AGREE or more are
-compared as texts. Recall by similarity, of both steps together, is in the README.
+without another shuffle. Bands take a value from each of five groups, so that no two bands
+share more than one value (a transversal design). The last bits of a bucket's key are a
+sketch of eight values outside its band, three bits each: lines at 0.8 agree in 6.6 of
+them on average, unlike lines in 1.3, and only lines that agree in AGREE or more are compared
+as texts. Recall by similarity, of both steps together, is in the README. Buckets have
+40-bit keys and five values: enough for some billions of lines, beyond which bands need
+more values (unlike lines in a bucket cost time, they don't change results).
 
 Of a bucket each line is verified, on full sets, against one hub, taken by one of three
 orders, so that a family of alike lines has several hubs. Union-find (graph.components)
@@ -38,15 +40,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .graph import blocks, components, packed
 
 SHINGLE, THRESHOLD = 5, 80
 #: Products in the field of four elements, whose sum is xor.
 _TIMES = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
-#: The values of each band: lines x and y of the first two groups, y + k x of the others.
-BANDS = [(x, 4 + y, *(4 * (k + 1) + (_TIMES[k][x] ^ y) for k in (1, 2, 3))) for x in range(3) for y in range(4)]
-VALUES, BITS, AGREE = 20, 3, 10
+#: The values of each band: x and y of the first two groups, y + k x of the others, which
+#: have four each; the first has three.
+BANDS = [(x, 3 + y, *(3 + 4 * k + (_TIMES[k][x] ^ y) for k in (1, 2, 3))) for x in range(3) for y in range(4)]
+VALUES, SKETCHED, BITS, AGREE = 19, 8, 3, 4
 #: Constants that turn one hash of a shingle into many: the fractional parts of multiples of the golden ratio.
 _XOR = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64)) - (1 << 63) for i in range(1, VALUES + 1)]
 
@@ -89,31 +92,35 @@ def shingles(text: Column | str) -> Column:
 
 
 def bucket_keys(lines: DataFrame) -> DataFrame:
-    """lines(node, text) -> (key, node, sketch), a bucket for each band."""
+    """lines(node, text) -> (node, key): for each band its bucket, and in the last bits a sketch."""
     places = lines.select("node", F.encode("text", "UTF-16BE").alias("units")).select("node", "units", F.explode(starts("units")).alias("i"))
     hashes = places.select("node", F.xxhash64(F.substring("units", F.col("i"), F.lit(_UNITS))).alias("h"))
     least = hashes.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_XOR)))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{i}" for i in band)) for b, band in enumerate(BANDS)))
-    sketch = reduce(Column.bitwiseOR, (F.shiftleft(F.col(f"m{i}").bitwiseAND(F.lit((1 << BITS) - 1)), BITS * i) for i in range(VALUES)))
-    return least.select("node", sketch.alias("sketch"), F.explode(bands).alias("key"))
+    keys = []
+    for b, band in enumerate(BANDS):
+        rest = [v for v in range(VALUES) if v not in band]
+        bits = (F.shiftleft(F.col(f"m{rest[(b + j) % len(rest)]}").bitwiseAND(F.lit((1 << BITS) - 1)), BITS * j) for j in range(SKETCHED))
+        keys.append(reduce(Column.bitwiseOR, bits, F.shiftleft(F.xxhash64(F.lit(b), *(f"m{i}" for i in band)), BITS * SKETCHED)))
+    return least.select("node", F.explode(F.array(*keys)).alias("key"))
 
 
 def agree(x: Column, y: Column) -> Column:
-    """Whether two sketches have AGREE values or more in common."""
+    """Whether two keys' sketches have AGREE values or more in common."""
     differ = x.bitwiseXOR(y)
     some = reduce(Column.bitwiseOR, (F.shiftrightunsigned(differ, i) for i in range(BITS)))
-    return F.bit_count(some.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(VALUES))))) <= VALUES - AGREE
+    return F.bit_count(some.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(SKETCHED))))) <= SKETCHED - AGREE
 
 
 def with_hubs(keys: DataFrame) -> DataFrame:
-    """(key, node, sketch, hub, near) of the buckets of several nodes, but for those of two that
+    """(bucket, node, key, hub, near) of the buckets of several nodes, but for those of two that
     don't agree. The hub is the least name by one of three orders; near: agrees with the hub."""
-    order = F.element_at(F.array(*(F.lit(c) for c in _XOR[:3])), (F.pmod("key", F.lit(3)) + 1).cast("int"))
-    rows = keys.repartition("key")  # once, for the hubs and for the join
+    bucket = F.shiftright("key", BITS * SKETCHED)
+    rows = keys.repartition(bucket).select(bucket.alias("bucket"), "node", "key")  # dealt once, for the hubs and for the join
+    order = F.element_at(F.array(*(F.lit(c) for c in _XOR[:3])), (F.pmod("bucket", F.lit(3)) + 1).cast("int"))
     name = F.col("node").bitwiseXOR(order)
-    hubs = rows.groupBy("key").agg(F.min(name).alias("least"), F.max(name).alias("most"), F.min_by("sketch", name).alias("low"), F.max_by("sketch", name).alias("high"), F.count("*").alias("n"))
+    hubs = rows.groupBy("bucket").agg(F.min(name).alias("least"), F.max(name).alias("most"), F.min_by("key", name).alias("low"), F.max_by("key", name).alias("high"), F.count("*").alias("n"))
     hubs = hubs.where("least != most").where((F.col("n") > 2) | agree(F.col("low"), F.col("high")))
-    return rows.join(hubs.hint("shuffle_hash"), "key").select("key", "node", "sketch", F.col("least").bitwiseXOR(order).alias("hub"), agree(F.col("sketch"), F.col("low")).alias("near"))
+    return rows.join(hubs.hint("shuffle_hash"), "bucket").select("bucket", "node", "key", F.col("least").bitwiseXOR(order).alias("hub"), agree(F.col("key"), F.col("low")).alias("near"))
 
 
 def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
@@ -124,22 +131,22 @@ def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(group, node, sketch, component, stray) of the buckets that lie in several components.
+    """(group, node, key, component, stray) of the buckets that lie in several components.
     Stray are the nodes outside the bucket's largest."""
-    at = members.withColumnRenamed("key", "group").join(parts, "node", "left").select("group", "node", "sketch", F.coalesce("component", "node").alias("component"))
+    at = members.select(F.shiftright("key", BITS * SKETCHED).alias("group"), "node", "key").join(parts, "node", "left").select("group", "node", "key", F.coalesce("component", "node").alias("component"))
     sizes = at.groupBy("group", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     main = main.where("parts > 2 or top.n > 1")  # a bucket of two has met its hub
-    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "sketch", "component", (F.col("component") != F.col("main")).alias("stray"))
+    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "key", "component", (F.col("component") != F.col("main")).alias("stray"))
 
 
 def met(groups: DataFrame) -> DataFrame:
     """Pairs (a, b) of a group's strays and its members of other components that agree. A row
     is a member with a block of strays; what the row gives out is an array."""
     dealt = blocks(groups, 256, 1024)
-    held = dealt.where("stray").groupBy("group", "block", "chunk").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("strays"))
-    at = dealt.where("not stray").select("group", "block", "chunk", "node", "component", "sketch").join(held, ["group", "block", "chunk"])
-    good = F.filter("strays", lambda t: (t["component"] != F.col("component")) & agree(t["sketch"], F.col("sketch")))
+    held = dealt.where("stray").groupBy("group", "block", "chunk").agg(F.collect_list(F.struct("node", "component", "key")).alias("strays"))
+    at = dealt.where("not stray").select("group", "block", "chunk", "node", "component", "key").join(held, ["group", "block", "chunk"])
+    good = F.filter("strays", lambda t: (t["component"] != F.col("component")) & agree(t["key"], F.col("key")))
     pairs = at.select("node", F.explode(F.transform(good, lambda t: t["node"])).alias("stray"))
     return pairs.select(F.least("node", "stray").alias("a"), F.greatest("node", "stray").alias("b")).distinct()
 
@@ -151,13 +158,14 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     told = every.where(F.col("node").isNotNull())
     folded = told.groupBy("node").agg(F.first("line").alias("line"), F.min("check").alias("c"), F.max("check").alias("d")).where("c = d")
     at = with_hubs(bucket_keys(folded.select("node", plain("line").alias("text"))))
-    at = at.groupBy("node").agg(F.min("sketch").alias("sketch"), F.collect_list(F.struct("key", "hub", "near")).alias("at"))
-    lines = cut(folded.join(at, "node").select("node", "sketch", "at", plain("line").alias("text")))
+    at = at.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_set(F.when(F.col("near") & (F.col("hub") != F.col("node")), F.col("hub"))).alias("hubs"))
+    lines = cut(folded.join(at, "node").select("node", "keys", "hubs", plain("line").alias("text")))
+    release(docs.sparkSession)
     texts = lines.select("node", "text")
-    edges = lines.select(F.col("node").alias("a"), "text", F.explode(F.array_distinct(F.transform(F.filter("at", lambda x: x["near"]), lambda x: x["hub"]))).alias("b")).where("a != b")
+    edges = lines.select(F.col("node").alias("a"), "text", F.explode("hubs").alias("b"))
     links, _ = packed(linked(edges, texts))
     parts = cut(components(links))
-    members, _ = packed(lines.select("node", "sketch", F.explode("at.key").alias("key")))
+    members, _ = packed(lines.select("node", F.explode("keys").alias("key")))
     pairs, n = packed(met(unsettled(members, parts)))
     if n:
         more = linked(pairs.join(texts.withColumnRenamed("node", "a"), "a"), texts)
