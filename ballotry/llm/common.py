@@ -40,7 +40,8 @@ def release(spark: SparkSession) -> None:
     """Let go of the shuffle files and checkpoints of jobs that are done. Spark removes them
     when the driver's references to them are collected, which may otherwise be much later."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what holds files goes in the first pass, the files in the second
+        spark.sparkContext._jvm.System.gc()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 #: Rows of a graph that one task takes.
@@ -48,15 +48,16 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.select(F.col("a").alias("node")).distinct().coalesce(whole).withColumn("name", F.xxhash64("node"))
     arcs, ups = both.select(*hashed("a", "b")), []
     while n:
-        up, _ = packed(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
+        up = cut(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
         ups.append(up)
         to = lambda end: up.select(F.col("name").alias(end), F.col("up").alias(f"{end}_up"))
         moved = arcs.join(to("a"), "a").coalesce(pieces).join(to("b"), "b").where("a_up != b_up")
         arcs, n = packed(moved.select(F.xxhash64("a_up").alias("a"), F.xxhash64("b_up").alias("b")).distinct().coalesce(pieces))
         pieces = tasks(n)
+        release(up.sparkSession)
     for up in ups:
         labels = labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole)
-    labels, _ = packed(labels)
+    labels = cut(labels)
     least = labels.groupBy("name").agg(F.min("node").alias("component"))
     return labels.join(least, "name").select("node", "component").coalesce(whole)
 

@@ -9,17 +9,23 @@ that are the stronger the nearer their common ancestor. The minimum cut (Dinic's
 flow) labels all blocks of a page together, so that a short line among paragraphs goes
 with them and a long notice among menus doesn't.
 
+An element's name or words speak for what is in it, but not those of html and body, and not
+those against an element that holds the page itself (nearly all of its text, or most of it
+with the heading or article): a page wrapped in one form is no form.
+
 Defined cases: null or empty html and pages without text give the empty text; text outside
-any tag is a block; tags may be unclosed or cut off; pages of any length are taken whole;
+any tag is a block; tags may be unclosed or cut off (a script or style without an end reaches
+to the end of the page, as in browsers; other elements whose content is never text are
+skipped only if they end); pages of any length and depth are taken whole, in linear time;
 repeated rows are extracted each; an empty table gives an empty one; other columns aren't
-looked at.
+looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,46 +37,95 @@ from .common import slices
 #: Element names by role.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg", "object")
+#: Elements whose content is never markup, and ones whose content is never page text.
+RAW = ("script", "style", "textarea")
+HIDDEN = {"noscript", "template", "iframe", "svg", "object"}
 BAD = {"nav": 8, "footer": 8, "aside": 8, "form": 8, "menu": 8, "button": 8, "select": 8, "dialog": 8, "head": 12, "label": 4, "fieldset": 6}
 GOOD = {"article": 5, "main": 3}
 #: Words of class, id and role attributes.
 BAD_WORDS = set("ad ads advert advertisement adsense banner breadcrumb breadcrumbs byline-ads comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted reader-comments recommended related reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 GOOD_WORDS = set("article articlebody body-text content entry main post postbody story text".split())
 
+#: First parts of a hyphenated class that speak of a layout, not of the element.
+LAYOUT = {"no", "not", "has", "with", "without"}
+
+_REST = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:-]*+)(?P<rest2>[^>]*)(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])" + _REST + r">.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][\w:-]*+)(?P<rest>" + _REST + r")>|<(?P<end2>/?)(?P<name2>[a-zA-Z][\w:-]*+)(?P<rest2>[^>]*)(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
 _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_LIST_PARTS = {"li", "td", "th", "tr", "dd", "dt", "option"}
+_LISTS = {"ul", "ol", "table", "dl", "select", "menu", "article", "body", "tbody"}
+
+
+class Element:
+    """A place in the tree. size: characters of text in it, filled in when the page has ended."""
+
+    __slots__ = ("depth", "hint", "holds", "name", "parent", "size")
+
+    def __init__(self, name: str, parent: Element | None, hint: float) -> None:
+        self.name, self.parent, self.hint, self.size, self.holds = name, parent, hint, 0, False
+        self.depth = parent.depth + 1 if parent else 0
 
 
 class Block:
-    __slots__ = ("hint", "links", "path", "tag", "text")
+    __slots__ = ("at", "box", "hint", "links", "text")
 
-    def __init__(self, text: str, links: int, path: tuple[int, ...], tag: str, hint: float) -> None:
-        self.text, self.links, self.path, self.tag, self.hint = text, links, path, tag, hint
+    def __init__(self, text: str, links: int, at: Element, box: Element) -> None:
+        self.text, self.links, self.at, self.box, self.hint = text, links, at, box, 0.0
+
+
+def own_hint(name: str, rest: str, inside: bool) -> float:
+    """What an element's name and the words of its class, id and role say for its content."""
+    hint = GOOD.get(name, 0) - BAD.get(name, 0)
+    if name == "header" and not inside:
+        hint -= 6
+    for values in _HINTS.findall(rest):
+        words = set(re.split(r"[\s_]+", "".join(values).lower()))
+        for long in [w for w in words if "-" in w]:
+            first, *more = long.split("-")
+            if first not in LAYOUT:
+                words |= {first, *more}
+        if words & BAD_WORDS:
+            hint -= 9
+        elif words & GOOD_WORDS:
+            hint += 3
+    return hint
 
 
 def parse(page: str) -> list[Block]:
     """Blocks of a page in order, with their place in the tree and what their elements say."""
-    blocks: list[Block] = []
-    # open elements: name, number, sum of hints, is it in an article
-    open_: list[tuple[str, int, float, bool]] = []
-    text: list[str] = []
-    links = number = anchors = 0
+    root = Element("", None, 0.0)
+    every, blocks, text = [root], [], []
+    # open elements, those of them that are blocks, and how many have each name
+    open_, boxes, names = [root], [root], Counter()
+    links = anchors = articles = 0
+    unended: set[str] = set()
 
     def close() -> None:
         nonlocal links
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                tag = next((e[0] for e in reversed(open_) if e[0] in BLOCKS), "")
-                blocks.append(Block(joined, links, tuple(e[1] for e in open_ if e[0] in BLOCKS), tag, open_[-1][2] if open_ else 0.0))
+                blocks.append(Block(joined, links, open_[-1], boxes[-1]))
             text.clear()
         links = 0
 
-    for m in _TOKEN.finditer(page):
+    def leave(depth: int) -> None:
+        nonlocal anchors, articles
+        while len(open_) > depth:
+            e = open_.pop()
+            names[e.name] -= 1
+            anchors -= e.name == "a"
+            articles -= e.name in GOOD
+            if boxes[-1] is e:
+                boxes.pop()
+
+    at = 0
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
             piece = m[0]
@@ -78,70 +133,96 @@ def parse(page: str) -> list[Block]:
                 text.append(piece)
                 if anchors:
                     links += len(piece)
-            elif m["raw"] or piece[:2] in ("<!", "<?"):
-                text.append("" if not m["raw"] else " ")
+            elif m["raw"]:
+                text.append(" ")
             continue
         if m["end"] or m["end2"]:
             if name in BLOCKS:
                 close()
-            if name == "a":
-                anchors = max(0, anchors - 1)
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == name:
-                    del open_[i:]
-                    break
-                if name not in BLOCKS and open_[i][0] in BLOCKS:
-                    break  # an inline end tag doesn't close blocks
+            if names[name]:
+                for i in range(len(open_) - 1, 0, -1):
+                    if open_[i].name == name:
+                        leave(i)
+                        break
+                    if name not in BLOCKS and open_[i].name in BLOCKS:
+                        break  # an inline end tag doesn't close blocks
             continue
         if name == "br":
             text.append(" ")
             continue
+        rest = m["rest"] or m["rest2"] or ""
+        if name in HIDDEN and name not in unended:
+            if rest.endswith("/"):
+                continue
+            if end := re.compile(rf"</{name}\s*>", re.I).search(page, at):
+                text.append(" ")
+                at = end.end()
+                continue
+            unended.add(name)  # it has no end from here on: what follows is the page
         if name in BLOCKS:
             close()
             # a paragraph, and an inline element in it, ends where the next block begins
-            while open_ and (open_[-1][0] == "p" or open_[-1][0] not in BLOCKS and any(e[0] == "p" for e in open_)):
-                if open_.pop()[0] == "a":
-                    anchors = max(0, anchors - 1)
-            for i in range(len(open_) - 1, -1, -1):
-                if name in ("li", "td", "th", "tr", "dd", "dt", "option") and open_[i][0] == name:
-                    del open_[i:]
-                    break
-                if open_[i][0] in ("ul", "ol", "table", "dl", "select", "menu", "article", "body", "tbody"):
-                    break
-        if name in VOID:
+            while open_[-1].name == "p" or (names["p"] and len(open_) > 1 and open_[-1].name not in BLOCKS):
+                leave(len(open_) - 1)
+            if name in _LIST_PARTS:
+                for i in range(len(open_) - 1, 0, -1):
+                    if open_[i].name == name:
+                        leave(i)
+                        break
+                    if open_[i].name in _LISTS:
+                        break
+        if name in VOID or name in HIDDEN:
             continue
-        number += 1
-        before, inside = (open_[-1][2], open_[-1][3]) if open_ else (0.0, False)
-        hint = GOOD.get(name, 0) - BAD.get(name, 0)
-        if name == "header" and not inside:
-            hint -= 6
-        for values in _HINTS.findall(m["rest"] or m["rest2"] or ""):
-            words = set(re.split(r"[\s_]+", "".join(values).lower()))
-            words |= {w for long in words for w in long.split("-")}
-            if words & BAD_WORDS:
-                hint -= 9
-            elif words & GOOD_WORDS:
-                hint += 3
-        open_.append((name, number, before + hint, inside or name in GOOD))
-        if name == "a":
-            anchors += 1
+        e = Element(name, open_[-1], 0.0 if name in ("html", "body") else own_hint(name, rest, articles > 0))
+        every.append(e)
+        open_.append(e)
+        names[name] += 1
+        anchors += name == "a"
+        articles += name in GOOD
+        if name in BLOCKS:
+            boxes.append(e)
     close()
+    for b in blocks:
+        b.at.size += len(b.text)
+    for e in reversed(every):
+        if e.parent:
+            e.parent.size += e.size
+            e.parent.holds |= e.holds or e.name in GOOD or e.name == "h1"
+    for e in every:  # parents come before what they hold
+        if e.hint < 0 and e.size >= (0.6 if e.holds else 0.95) * root.size:
+            e.hint = 0.0
+        e.hint += e.parent.hint if e.parent else 0.0
+    for b in blocks:
+        b.hint = b.at.hint
     return blocks
 
 
+def apart(x: Element, y: Element, most: int = 20) -> int:
+    """Steps between two elements by way of their common ancestor, most at the end."""
+    steps = 0
+    while x is not y and steps < most:
+        steps += 1
+        if x.depth > y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+    return steps
+
+
 def costs(block: Block) -> float:
     """How much more a block costs as boilerplate than as content; below 0 the other way."""
     n = len(block.text)
     score = block.hint + min(n, 240) / 80 - 1.2
     score += 0.6 * min(4, sum(block.text.count(c) for c in ".,;!?"))
     score -= 5 * min(1.0, block.links / n)
-    if block.tag in ("p", "blockquote", "pre"):
+    tag = block.box.name
+    if tag in ("p", "blockquote", "pre"):
         score += 1.5
-    elif block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
         score += 1.0
-    elif block.tag in ("li", "td", "th", "option", "dt"):
+    elif tag in ("li", "td", "th", "option", "dt"):
         score -= 0.5
-    elif block.tag == "title":
+    elif tag == "title":
         score -= 12
     return score
 
@@ -160,25 +241,21 @@ def content(blocks: list[Block]) -> list[bool]:
         to.extend((v, u))
         room.extend((there, back))
 
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
         score = costs(b)
         if score > 0:
             join(source, i, score, 0.0)
         elif score < 0:
             join(i, sink, -score, 0.0)
-        near = set()
-        if i:
-            near.add(i - 1)
-        parent = b.path[:-1]
+        near = {i - 1} if i else set()
+        parent = id(b.box.parent)
         if parent in last:
             near.add(last[parent])
         last[parent] = i
         for j in near:
-            other = blocks[j].path
-            shared = next((k for k, (x, y) in enumerate(zip(b.path, other, strict=False)) if x != y), min(len(b.path), len(other)))
-            distance = len(b.path) + len(other) - 2 * shared
-            join(j, i, 2.0 / (1 << min(distance, 20)), 2.0 / (1 << min(distance, 20)))
+            strength = 2.0 / (1 << apart(b.box, blocks[j].box))
+            join(j, i, strength, strength)
     flow(to, room, edges, source, sink)
     side, todo = [False] * (n + 2), [source]
     side[source] = True

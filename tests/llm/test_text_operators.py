@@ -280,6 +280,38 @@ def test_html(spark):
         assert r["text"] == "\n".join(p for p in parts if p)
 
 
+TEXT = "<p>This is a real paragraph of the article, with enough words, commas and a full stop.</p><p>And here is another one, which says something more, as one does.</p>"
+WANT = re.sub("</p>$", "", re.sub("^<p>", "", TEXT)).replace("</p><p>", "\n")
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><article><svg class='i'/>{TEXT}</article></body>", f"<body><object data=x><article>{TEXT}</article></body>", f"<style-guide><article>{TEXT}</article></style-guide>",
+    f"<body class='no-sidebar single-post'><div>{TEXT}</div></body>", f"<body><form action=x>{TEXT}</form></body>", f"<noscript>{TEXT}</noscript><svg><text>x</text></svg><article>{TEXT}</article>",
+    f"<article>{TEXT}</article><script>var cut = '<p>off", f"<div class='layout has-comments'>{TEXT}</div>",
+])
+def test_html_keeps_articles_of_ordinary_pages(page):
+    assert html_text.main_text(page) == WANT
+
+
+def test_html_of_deep_and_long_pages():
+    import time
+
+    began = time.process_time()
+    html_text.main_text("<div>x" * 20_000), html_text.main_text("<b>" * 20_000 + TEXT), html_text.main_text("</i></div>" * 50_000)
+    assert html_text.main_text("<p>some text here, as it is.</p>" * 20_000).count("\n") == 19_999
+    assert html_text.main_text("<div>" * 20_000 + TEXT) == WANT
+    assert time.process_time() - began < 30
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", f"<article>{TEXT}</article>", 7), (1, "u", f"<article>{TEXT}</article>", 7), (2, None, None, 7), (None, "n", "", None), (3, "u", f"<article>{TEXT * 3000}</article>", 7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    got = sorted((tuple(r) for r in html_text.extract(pages).collect()), key=str)
+    long = "\n".join([WANT] * 3000)
+    assert got == sorted([(1, "u", WANT, len(WANT))] * 2 + [(2, None, "", 0), (None, "n", "", 0), (3, "u", long, len(long))], key=str)
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_minimum_cut():
     to, room, edges = [], [], [[] for _ in range(4)]
     for u, v, c in ((0, 1, 3), (0, 2, 2), (1, 2, 1), (1, 3, 2), (2, 3, 4)):
