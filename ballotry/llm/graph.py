@@ -21,6 +21,7 @@ def packed(df: DataFrame) -> tuple[DataFrame, int]:
     A graph shrinks from round to round; so do the tasks and files of what follows."""
     df = cut(df)
     n = df.count()
+    release(df.sparkSession)
     return df.coalesce(tasks(n)), n
 
 
@@ -46,18 +47,14 @@ def components(edges: DataFrame) -> DataFrame:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     whole = pieces = tasks(n)
     labels = both.select(F.col("a").alias("node")).distinct().coalesce(whole).withColumn("name", F.xxhash64("node"))
-    arcs, ups = both.select(*hashed("a", "b")), []
+    arcs = both.select(*hashed("a", "b"))
     while n:
         up = cut(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
-        ups.append(up)
-        to = lambda end: up.select(F.col("name").alias(end), F.col("up").alias(f"{end}_up"))
+        labels = cut(labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole))
+        to = lambda end: up.select(F.col("name").alias(end), F.col("up").alias(f"{end}_up"))  # noqa: B023, E731
         moved = arcs.join(to("a"), "a").coalesce(pieces).join(to("b"), "b").where("a_up != b_up")
         arcs, n = packed(moved.select(F.xxhash64("a_up").alias("a"), F.xxhash64("b_up").alias("b")).distinct().coalesce(pieces))
         pieces = tasks(n)
-        release(up.sparkSession)
-    for up in ups:
-        labels = labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole)
-    labels = cut(labels)
     least = labels.groupBy("name").agg(F.min("node").alias("component"))
     return labels.join(least, "name").select("node", "component").coalesce(whole)
 
