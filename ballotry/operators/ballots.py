@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def last_valid(ballots: DataFrame, opinions: DataFrame | None = None, order: str = "arrival") -> DataFrame:
-    """The last of a session's answers to an opinion. Answers that aren't -1, 0 or 1, or to an
-    unknown opinion, are dropped first, so they overwrite nothing."""
+def valid(ballots: DataFrame, opinions: DataFrame | None = None) -> DataFrame:
+    """Answers that are -1, 0 or 1, to a known opinion."""
     good = ballots.where(F.col("value").isin(-1, 0, 1))
     if opinions is not None:
         good = good.join(opinions.select(F.col("id").alias("opinion_id")), "opinion_id", "left_semi")
-    return good.groupBy("session_id", "opinion_id").agg(F.max_by("value", order).alias("value"))
+    return good
+
+
+def last_valid(ballots: DataFrame, opinions: DataFrame | None = None, order: str = "arrival") -> DataFrame:
+    """The last of a session's answers to an opinion. Invalid ones are dropped first, so they
+    overwrite nothing."""
+    return valid(ballots, opinions).groupBy("session_id", "opinion_id").agg(F.max_by("value", order).alias("value"))
 
 
 def first_stored(ballots: DataFrame, order: str = "arrival") -> DataFrame:

@@ -71,15 +71,22 @@ def spread(votes: DataFrame, kept: DataFrame, ids: list[str]) -> Spread:
     return Spread(multiply, float(off.agg(F.sum(F.col("off") * F.col("off"))).first()[0] or 0), off.unpersist)
 
 
+#: Opinions of the answer patterns that one pass of connected() compares all others with.
+HUB_OPINIONS = 2000
+
+
 def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
     """Whether sessions that share three substantive answers' opinions form one component.
 
-    Sessions of the same opinions are one pattern. Each round, patterns that share three
-    opinions with a pattern of the frontier are reached, through a join on triples; as the
-    triples are bounded by the retained opinions, so are the rounds' tables."""
+    Sessions of the same opinions are one pattern. Each pass compares the patterns not yet
+    reached with a few of the densest ones reached last, of HUB_OPINIONS opinions in all,
+    without a shuffle; nearly all are reached so. When a pass reaches none, the two sides are
+    compared exactly, on threes of the opinions that occur on both: no such three is the
+    answer no, others are reached through them. What was cached here is let go, and no more."""
     marks = votes.where("value <> 0").join(kept.select("opinion_id"), "opinion_id", "left_semi").join(sessions.select("session_id"), "session_id", "left_semi")
     rows = sessions.select("session_id").join(marks.groupBy("session_id").agg(F.array_sort(F.collect_set("opinion_id")).alias("o")), "session_id", "left")
     patterns = rows.groupBy(F.coalesce("o", F.array().cast("array<string>")).alias("o")).agg(F.count("*").alias("n")).cache()
+    rest = patterns.select("o").cache()
     try:
         total = patterns.agg(F.sum("n").alias("n"), F.min(F.size("o")).alias("least"), F.count("*").alias("patterns")).first()
         if not total["n"]:
@@ -88,19 +95,48 @@ def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
             return True
         if total["least"] < 3:
             return False  # a session without three such opinions is alone
-        triples = _triples(patterns.select("o")).cache()
-        reached = patterns.select("o").limit(1).cache()
-        known = 1
-        while known < total["patterns"]:
-            touched = triples.join(triples.join(reached, "o", "left_semi").select("t").distinct(), "t", "left_semi").select("o").distinct()
-            reached = touched.cache()
-            now = reached.count()
-            if now == known:
+        hubs = _hubs(rest.orderBy(F.size("o").desc(), "o").limit(1))
+        while True:
+            near = F.lit(False)
+            for hub in hubs:
+                near = near | (F.size(F.array_intersect("o", F.lit(hub))) >= 3)
+            found = rest.where(near) if hubs else _touched(rest, patterns.select("o").join(rest, "o", "left_anti"))
+            if found is None:
                 return False
-            known = now
-        return True
+            found = found.cache()
+            hubs = _hubs(found)
+            left = rest.join(found, "o", "left_anti").cache()
+            more = left.count()
+            rest.unpersist(), found.unpersist()
+            rest = left
+            if not more:
+                return True
     finally:
-        patterns.sparkSession.catalog.clearCache()
+        patterns.unpersist(), rest.unpersist()
+
+
+def _hubs(patterns: DataFrame) -> list[list[str]]:
+    """The densest of these patterns, of HUB_OPINIONS opinions in all (one at least)."""
+    out, size = [], 0
+    for (o,) in patterns.orderBy(F.size("o").desc(), "o").limit(64).collect():
+        if out and size + len(o) > HUB_OPINIONS:
+            break
+        out.append(list(o))
+        size += len(o)
+    return out
+
+
+def _touched(rest: DataFrame, reached: DataFrame) -> DataFrame | None:
+    """The patterns of rest that share three opinions with a reached one; None if none does."""
+    seen = lambda df: df.select(F.explode("o").alias("x")).distinct()
+    both = [x for (x,) in seen(rest).join(seen(reached), "x").collect()]
+    if len(both) < 3:
+        return None
+    within = lambda df: df.select("o", F.array_sort(F.array_intersect("o", F.lit(both))).alias("s")).where(F.size("s") >= 3)
+    threes = lambda df: _triples(within(df).select(F.col("s").alias("o")).distinct())
+    hits = threes(rest).join(threes(reached).select("t").distinct(), "t", "left_semi").select(F.col("o").alias("s")).distinct()
+    found = within(rest).join(hits, "s", "left_semi").select("o")
+    return None if found.isEmpty() else found
 
 
 def _triples(patterns: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ class Result:
     status: str
     eligible: int
     minimum: int
-    points: DataFrame | None = None  # session_id, x, y, group
+    points: DataFrame | None = None  # session_id, x, y, group[, mine]
     groups: list[tuple[int, int]] = field(default_factory=list)
     bridges: DataFrame | None = None
     explained: float | None = None
@@ -62,35 +62,37 @@ class Result:
     diagnostics: dict = field(default_factory=dict)
 
 
-def analyze(votes: DataFrame, opinions: DataFrame | None = None, options: Options = Options(), previous: Result | None = None) -> Result:  # noqa: B008
-    """votes(session_id, opinion_id, value[, arrival]). Ends at the first gate that isn't passed."""
+def analyze(votes: DataFrame, opinions: DataFrame | None = None, options: Options = Options(), previous: Result | None = None, mine: str | None = None) -> Result:  # noqa: B008
+    """votes(session_id, opinion_id, value[, arrival]). Ends at the first gate that isn't passed.
+    Answers that aren't -1, 0 or 1, or to an unknown opinion, never count. Of a session's
+    answers to an opinion the last by arrival counts; without that column there is one.
+    mine: a session whose point is marked in a column mine."""
     o = options
-    if "arrival" in votes.columns:
-        votes = ballots.last_valid(votes, opinions)
+    votes = ballots.last_valid(votes, opinions) if "arrival" in votes.columns else ballots.valid(votes, opinions)
     votes = votes.cache()
     sessions = ballots.eligible(votes, o.min_substantive).cache()
     n = sessions.count()
     out = Result("collecting", n, o.min_sessions)
     if n < o.min_sessions:
         return out
-    mine = ballots.of_sessions(votes, sessions).cache()
-    kept = ballots.retained(mine, o.min_opinion_votes).orderBy("opinion_id").cache()
+    own = ballots.of_sessions(votes, sessions).cache()
+    kept = ballots.retained(own, o.min_opinion_votes).orderBy("opinion_id").cache()
     rows = kept.collect()
     out.diagnostics["retained_opinions"] = len(rows)
     if len(rows) < o.min_retained:
         return out
-    out.diagnostics["connected"] = matrix.connected(mine, sessions, kept)
+    out.diagnostics["connected"] = matrix.connected(own, sessions, kept)
     if not out.diagnostics["connected"]:
         return out
     ids, means = [r["opinion_id"] for r in rows], [r["mean"] for r in rows]
-    c = matrix.spread(mine, kept, ids)
+    c = matrix.spread(own, kept, ids)
     if c.trace < 1e-8:
         c.release()
         out.status = "uniform"
         return out
     model = matrix.principal(c, ids, means, o.pca_iterations, o.min_substantive, previous.model if previous else None)
     out.model = model
-    every = matrix.project(mine, matrix.Model(ids, means, model.components, 0))
+    every = matrix.project(own, matrix.Model(ids, means, model.components, 0))
     points = cluster.with_hashes(every).cache()
     warm = cluster.previous_centers(points, previous.points.select("session_id", "group"), o.max_groups, o.min_group_size) if previous is not None and previous.points is not None else None
     grid = cluster.choose(points, n, o.min_group_size, o.max_groups, o.starts, o.kmeans_iterations, o.silhouette_targets, o.silhouette_references, warm)
@@ -104,8 +106,10 @@ def analyze(votes: DataFrame, opinions: DataFrame | None = None, options: Option
     model.centers = [(*map(float, top.centers[old]), new) for new, old in enumerate(order)]
     near = F.array(*(F.struct((F.pow(F.col("x") - float(x), 2) + F.pow(F.col("y") - float(y), 2)).alias("d"), F.lit(i).alias("i"), F.lit(rank[i]).alias("g")) for i, (x, y) in enumerate(top.labelled_by)))
     out.points = points.select(F.col("id").alias("session_id"), "x", "y", F.array_min(near)["g"].alias("group"))
+    if mine is not None:
+        out.points = out.points.withColumn("mine", F.col("session_id").eqNullSafe(F.lit(mine)))
     out.groups = [(new, int(top.sizes[old])) for new, old in enumerate(order)]
-    counts = bridges.group_counts(mine, out.points.select("session_id", "group"))
+    counts = bridges.group_counts(own, out.points.select("session_id", "group"))
     out.bridges = bridges.bridges(counts, top.k, o.min_bridge_votes, o.min_bridge_agreement, o.bridge_z, o.min_bridge_bound)
     out.status, out.explained, out.silhouette, out.approximate = "ready", model.explained, top.silhouette, top.approximate
     return out

@@ -7,7 +7,7 @@ import pytest
 from ballotry import catalog
 
 DIR = "/root/testdata/sf0.001"
-#: These take longer than the rest together; they are run in the oracle comparison at a larger size.
+#: These take longer than the rest together and have no SQL; only their parts are compared here.
 SLOW = {"analysis_status", "kmeans_candidates", "scenario_recovery"}
 
 

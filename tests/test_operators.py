@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +141,43 @@ def test_scenarios(spark, name):
     assert per.count() == 200 and per.agg(F.max("count")).first()[0] == synthetic.SCENARIOS[name].answers
     assert rows.groupBy("session_id", "opinion_id").count().where("count > 1").count() == 0
     assert synthetic.true_bridges(spark, name, 7, 200).count() == {"two": 8, "uniform": 0, "disconnected": 8, "late": 8}[name]
+
+
+def test_connected_keeps_the_callers_caches(spark):
+    from ballotry.operators import matrix
+
+    def ask(patterns):
+        votes = spark.createDataFrame([(f"s{i:04}", o, 1) for i, p in enumerate(patterns) for o in p], "session_id string, opinion_id string, value int").cache()
+        votes.count()
+        sessions, kept = votes.select("session_id").distinct(), votes.select("opinion_id").distinct()
+        got = matrix.connected(votes, sessions, kept)
+        assert votes.storageLevel.useMemory and spark.sparkContext._jsc.sc().getPersistentRDDs().size() >= 1
+        votes.unpersist()
+        return got
+
+    chain = [[f"o{k:03}" for k in range(i, i + 4)] for i in range(8)]  # each shares three with the next alone
+    assert ask(chain)
+    assert not ask([*chain[:4], *chain[5:]])
+    assert not ask([*chain, ["o000", "o001", "x", "y"]])
+    assert ask([["a", "b", "c"]]) and not ask([["a", "b", "c"], ["a", "b"]])
+    rng = np.random.default_rng(3)
+    many = [[f"o{k}" for k in rng.choice(14, 5, replace=False)] for _ in range(60)]
+    up = {i: i for i in range(60)}
+    root = lambda i: i if up[i] == i else root(up[i])
+    for i in range(60):
+        for j in range(i):
+            if len({*many[i]} & {*many[j]}) >= 3:
+                up[root(i)] = root(j)
+    assert ask(many) == (len({root(i) for i in range(60)}) == 1)
+
+
+def test_analysis_drops_invalid_answers_and_marks_mine(spark):
+    from ballotry.plans.analysis import Options, analyze
+
+    rows = [(f"s{i:03}", f"p{j:02}", -1 if j == 0 or (i < 10) == (j % 2 == 0) else 1) for i in range(20) for j in range(12)]
+    bad = [("s000", "p99", 2), ("s001", "p98", 7), ("s002", "p97", None)]
+    votes = spark.createDataFrame(rows + bad, "session_id string, opinion_id string, value int")
+    out = analyze(votes, options=Options(min_sessions=8), mine="s003")
+    assert out.status == "ready" and [n for _, n in out.groups] == [10, 10]
+    assert out.diagnostics["retained_opinions"] == 12
+    assert [r["session_id"] for r in out.points.where("mine").collect()] == ["s003"]
