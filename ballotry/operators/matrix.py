@@ -103,11 +103,10 @@ def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
             found = rest.where(near) if hubs else _touched(rest, patterns.select("o").join(rest, "o", "left_anti"))
             if found is None:
                 return False
-            found = found.cache()
+            left = (rest.where(~near) if hubs else rest.join(found, "o", "left_anti")).cache()
             hubs = _hubs(found)
-            left = rest.join(found, "o", "left_anti").cache()
             more = left.count()
-            rest.unpersist(), found.unpersist()
+            rest.unpersist()
             rest = left
             if not more:
                 return True
