@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("minhash_near_dedup", drop_near_copies), ("decontamination", drop_contaminated), ("sentencepiece", encode)]
 
-#: SQL has no string-kernel classifier and no BPE; tests compare run() with a brute-force version.
+#: SQL has no string-kernel classifier and no BPE; tests check the operators of the stages, and of run() only which rows may be left.
 ORACLE_SQL = None
 
 
