@@ -1,11 +1,14 @@
 """Links between records that share buckets, and the components links make.
 
-All of it is joins and grouped aggregates: no list of a bucket's members, no edge
-list and no label table ever sits in one task or on the driver.
+All of it is joins and grouped aggregates: no list of a bucket's members, no edge list and
+no label table of unbounded size ever sits in one task, and none on the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +41,53 @@ def components(edges: DataFrame) -> DataFrame:
     numbers) and are hashed anew each round, so the order has nothing to do with how nodes
     are numbered: all but the local minima of a fresh random order vanish, a third of a
     chain and less of anything denser stays, and rounds are logarithmic in the number of
-    nodes. Null ends are ignored; repeated edges and self-loops change nothing.
+    nodes. Once a graph, contracted or not, has no more arcs than a task takes (TASK_ROWS),
+    one task ends it by union-find in memory: a bound that doesn't grow with the input.
+    Null ends are ignored; repeated edges and self-loops change nothing.
     """
     hashed = lambda *c: [F.xxhash64(x).alias(x) for x in c]
     both = edges.select("a", "b").where("a != b")
     both, n = packed(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    if n == 0:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    if n <= TASK_ROWS:
+        return ended(both, "node", "component")
     whole = pieces = tasks(n)
     labels = both.select(F.col("a").alias("node")).distinct().coalesce(whole).withColumn("name", F.xxhash64("node"))
     arcs = both.select(*hashed("a", "b"))
-    while n:
+    while n > TASK_ROWS:
         up = cut(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
         labels = cut(labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole))
         to = lambda end: up.select(F.col("name").alias(end), F.col("up").alias(f"{end}_up"))  # noqa: B023, E731
         moved = arcs.join(to("a"), "a").coalesce(pieces).join(to("b"), "b").where("a_up != b_up")
         arcs, n = packed(moved.select(F.xxhash64("a_up").alias("a"), F.xxhash64("b_up").alias("b")).distinct().coalesce(pieces))
         pieces = tasks(n)
+    if n:
+        labels = labels.join(ended(arcs, "name", "up"), "name", "left").select("node", F.coalesce("up", "name").alias("name"))
+    labels = cut(labels.coalesce(whole))
     least = labels.groupBy("name").agg(F.min("node").alias("component"))
     return labels.join(least, "name").select("node", "component").coalesce(whole)
 
 
+def ended(arcs: DataFrame, end: str, least: str) -> DataFrame:
+    """arcs(a, b), no more than a task takes -> (end, the smallest end reachable), by union-find in one task."""
+
+    def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up = {}
+
+        def root(x: int) -> int:
+            while (over := up[x]) != x:
+                up[x] = x = up[over]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                x, y = root(up.setdefault(a, a)), root(up.setdefault(b, b))
+                up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], [end, least])
+
+    return arcs.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(join, f"{end} long, {least} long")
+
+
 def stars(members: DataFrame) -> DataFrame:
     """members(key, node) -> edges(a, b) from every node to its bucket's smallest
     and to its largest. As many rows as members, never their square."""

@@ -1,4 +1,8 @@
-"""Operator 6: fuzzy duplicate lines by MinHash, with DataFrame functions alone.
+"""Operator 6: fuzzy duplicate lines by MinHash.
+
+All of it is DataFrame functions but one step: signatures are made by numpy in Arrow
+batches. The native form of that step (a row for each shingle, then minima by line) took
+707 of 400 CPU seconds a GB with whole results; see the README.
 
 Every line that isn't blank is compared, whole, in lower case and with every run of
 characters that are neither letters nor digits as one space (a line of other characters
@@ -8,14 +12,14 @@ sets of shingles have a Jaccard similarity of 0.8 or more. Lines that are equal
 form are one node from the start, named by a 64-bit hash.
 
 Signature and link use the same shingles. A signature is VALUES values, each the smallest
-of the shingles' 64-bit hashes xor a constant, made where the folded lines already are,
-without another shuffle. Bands take a value from each of five groups, so that no two bands
-share more than one value (a transversal design). The last bits of a bucket's key are a
-sketch of eight values outside its band, three bits each: lines at 0.8 agree in 6.6 of
-them on average, unlike lines in 1.3, and only lines that agree in AGREE or more are compared
-as texts. Recall by similarity, of both steps together, is in the README. Buckets have
-40-bit keys and five values: enough for some billions of lines, beyond which bands need
-more values (unlike lines in a bucket cost time, they don't change results).
+of the shingles' hashes times an odd number, made where the folded lines already are,
+without another shuffle; a line of any length is taken in pieces of bounded size. Each band
+has ROWS values of its own. The last bits of a bucket's key are a sketch of eight values
+outside its band, three bits each: lines at 0.8 agree in 6.6 of them on average, unlike
+lines in 1.3, and only lines that agree in AGREE or more are compared as texts. Recall by
+similarity, of both steps together, is in the README. Buckets have 40-bit keys and five
+values: enough for some billions of lines, beyond which bands need more values (unlike
+lines in a bucket cost time, they don't change results).
 
 Of a bucket each line is verified, on full sets, against one hub, taken by one of three
 orders, so that a family of alike lines has several hubs. Union-find (graph.components)
@@ -34,24 +38,27 @@ empty table gives an empty one; other columns aren't looked at, whatever their n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, release, slices
 from .graph import blocks, components, packed
+from .near_dedup import mix
 
 SHINGLE, THRESHOLD = 5, 80
-#: Products in the field of four elements, whose sum is xor.
-_TIMES = ((0, 0, 0, 0), (0, 1, 2, 3), (0, 2, 3, 1), (0, 3, 1, 2))
-#: The values of each band: x and y of the first two groups, y + k x of the others, which
-#: have four each; the first has three.
-BANDS = [(x, 3 + y, *(3 + 4 * k + (_TIMES[k][x] ^ y) for k in (1, 2, 3))) for x in range(3) for y in range(4)]
-VALUES, SKETCHED, BITS, AGREE = 19, 8, 3, 4
-#: Constants that turn one hash of a shingle into many: the fractional parts of multiples of the golden ratio.
-_XOR = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64)) - (1 << 63) for i in range(1, VALUES + 1)]
+BANDS, ROWS = 12, 5
+VALUES, SKETCHED, BITS, AGREE = BANDS * ROWS, 8, 3, 4
+#: Odd numbers without a pattern that turn one hash of a shingle into many.
+_ODD = (mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+#: Constants that make three orders of names.
+_XOR = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64)) - (1 << 63) for i in range(1, 4)]
+#: Shingles whose signatures a task makes at once.
+PIECE = 1 << 16
 
 
 def plain(line: Column | str) -> Column:
@@ -91,17 +98,63 @@ def shingles(text: Column | str) -> Column:
     return once(F.encode(text, "UTF-16BE"), lambda units: F.transform(starts(units), lambda i: F.xxhash64(F.substring(units, i, F.lit(_UNITS)))))
 
 
+def signatures(texts: list[str]) -> np.ndarray:
+    """A column of VALUES values for each plain line."""
+    out = np.full((VALUES, len(texts)), np.iinfo(np.uint32).max, np.uint32)
+    pieces, owners, held = [], [], 0
+
+    def reduce_pieces() -> None:
+        u = np.frombuffer(b"".join(pieces), "<u2").astype(np.uint64)
+        places = np.array([len(p) // 2 for p in pieces]) - (SHINGLE - 1)
+        whole = np.ones(len(u) - (SHINGLE - 1), bool)  # a shingle that lies in one piece
+        ends = np.cumsum(places + (SHINGLE - 1))[:-1]
+        for k in range(1, SHINGLE):
+            whole[ends - k] = False
+        n = len(whole)
+        h = u[:n] | u[1 : n + 1] << np.uint64(16) | u[2 : n + 2] << np.uint64(32) | u[3 : n + 3] << np.uint64(48)
+        h = (mix(mix(h) + u[4:] * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)[whole]
+        first = np.cumsum(places) - places
+        for v, odd in enumerate(_ODD):
+            out[v, owners] = np.minimum(out[v, owners], np.minimum.reduceat(h * odd, first))
+
+    for i, text in enumerate(texts):
+        units = text.encode("utf-16-le").ljust(_UNITS, b"\0")
+        for at in range(0, len(units) - _UNITS + 2, 2 * PIECE):
+            pieces.append(units[at : at + 2 * PIECE + _UNITS - 2])
+            owners.append(i)
+            held += len(pieces[-1])
+            if held >= 2 * PIECE:  # so no line has two pieces here
+                reduce_pieces()
+                pieces, owners, held = [], [], 0
+    if pieces:
+        reduce_pieces()
+    return out
+
+
+def keys_of(values: np.ndarray) -> np.ndarray:
+    """A row of keys, one a band, for each column of values: the bucket, and in the last bits a sketch."""
+    out = np.empty((values.shape[1], BANDS), np.uint64)
+    for b in range(BANDS):
+        bucket, sketch = np.full(values.shape[1], b + 1, np.uint64), np.zeros(values.shape[1], np.uint64)
+        for v in range(ROWS * b, ROWS * (b + 1)):
+            bucket = mix(bucket * np.uint64(0x9E3779B97F4A7C15) + values[v])
+        for j in range(SKETCHED):
+            v = (ROWS * (b + 1) + j * (ROWS + 1)) % VALUES
+            sketch |= (values[v] & np.uint32((1 << BITS) - 1)).astype(np.uint64) << np.uint64(BITS * j)
+        out[:, b] = bucket >> np.uint64(BITS * SKETCHED) << np.uint64(BITS * SKETCHED) | sketch
+    return out.view(np.int64)
+
+
 def bucket_keys(lines: DataFrame) -> DataFrame:
-    """lines(node, text) -> (node, key): for each band its bucket, and in the last bits a sketch."""
-    places = lines.select("node", F.encode("text", "UTF-16BE").alias("units")).select("node", "units", F.explode(starts("units")).alias("i"))
-    hashes = places.select("node", F.xxhash64(F.substring("units", F.col("i"), F.lit(_UNITS))).alias("h"))
-    least = hashes.groupBy("node").agg(*(F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_XOR)))
-    keys = []
-    for b, band in enumerate(BANDS):
-        rest = [v for v in range(VALUES) if v not in band]
-        bits = (F.shiftleft(F.col(f"m{rest[(b + j) % len(rest)]}").bitwiseAND(F.lit((1 << BITS) - 1)), BITS * j) for j in range(SKETCHED))
-        keys.append(reduce(Column.bitwiseOR, bits, F.shiftleft(F.xxhash64(F.lit(b), *(f"m{i}" for i in band)), BITS * SKETCHED)))
-    return least.select("node", F.explode(F.array(*keys)).alias("key"))
+    """lines(node, text) -> (node, key), a key for each band."""
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            keys = keys_of(signatures(b["text"].to_pylist()))
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([b["node"], flat], ["node", "keys"])
+
+    return lines.select("node", "text").mapInArrow(build, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def agree(x: Column, y: Column) -> Column:
@@ -116,7 +169,7 @@ def with_hubs(keys: DataFrame) -> DataFrame:
     don't agree. The hub is the least name by one of three orders; near: agrees with the hub."""
     bucket = F.shiftright("key", BITS * SKETCHED)
     rows = keys.repartition(bucket).select(bucket.alias("bucket"), "node", "key")  # dealt once, for the hubs and for the join
-    order = F.element_at(F.array(*(F.lit(c) for c in _XOR[:3])), (F.pmod("bucket", F.lit(3)) + 1).cast("int"))
+    order = F.element_at(F.array(*(F.lit(c) for c in _XOR)), (F.pmod("bucket", F.lit(3)) + 1).cast("int"))
     name = F.col("node").bitwiseXOR(order)
     hubs = rows.groupBy("bucket").agg(F.min(name).alias("least"), F.max(name).alias("most"), F.min_by("key", name).alias("low"), F.max_by("key", name).alias("high"), F.count("*").alias("n"))
     hubs = hubs.where("least != most").where((F.col("n") > 2) | agree(F.col("low"), F.col("high")))

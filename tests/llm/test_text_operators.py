@@ -93,6 +93,26 @@ def test_sketch_concentrates():
     assert (near_dedup.sketches([near_dedup.mix(x[:2])], 100) != np.iinfo(np.uint64).max).all()
 
 
+def test_signatures_estimate_similarity():
+    """Values agree as often as shingles do; bands of real pairs behave as independent ones; pieces change nothing."""
+    rng, letters = np.random.default_rng(3), list("abcdefghijklmnopqrstuvwxyz    ")
+    xs = ["".join(rng.choice(letters, 70)) for _ in range(3000)]
+    ys = [x[:60] + "".join(rng.choice(letters, 10)) for x in xs]
+    sets = [[{t[i : i + 5] for i in range(len(t) - 4)} for t in ts] for ts in (xs, ys)]
+    alike = np.array([len(a & b) / len(a | b) for a, b in zip(*sets, strict=True)])
+    a, b = line_dedup.signatures(xs), line_dedup.signatures(ys)
+    assert abs((a == b).mean() - alike.mean()) < 0.01
+    met = (line_dedup.keys_of(a) >> 24 == line_dedup.keys_of(b) >> 24).any(axis=1)
+    assert abs(met.mean() - (1 - (1 - alike**line_dedup.ROWS) ** line_dedup.BANDS).mean()) < 0.02
+    long = [" ".join(xs), "ab", "abcd", "日本語😀", "x" * 200_000, *xs[:5]]
+    whole, size = line_dedup.signatures(long), line_dedup.PIECE
+    try:
+        for line_dedup.PIECE in (7, 100):
+            assert (line_dedup.signatures(long) == whole).all()
+    finally:
+        line_dedup.PIECE = size
+
+
 def plain(line):
     low = line.lower()
     return re.sub(r"[^\w]+", " ", low.replace("_", " ")).strip(" ") or low.strip(" ")
@@ -192,11 +212,13 @@ def test_line_dedup_edges(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
-def test_components_of_a_chain_in_few_rounds(spark, monkeypatch):
+@pytest.mark.parametrize("task_rows", [3_000, 200_000])
+def test_components_of_a_chain_in_few_rounds(spark, monkeypatch, task_rows):
     from ballotry.llm import graph
 
     runs, packed = [], graph.packed
     monkeypatch.setattr(graph, "packed", lambda df: runs.append(1) or packed(df))
+    monkeypatch.setattr(graph, "TASK_ROWS", task_rows)
     chain = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert [tuple(r) for r in graph.components(chain).groupBy("component").count().collect()] == [(0, 10_001)]
     assert len(runs) <= 2 + 2 * 20
