@@ -154,7 +154,9 @@ def bucket_keys(lines: DataFrame) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([b["node"], flat], ["node", "keys"])
 
-    return lines.select("node", "text").mapInArrow(build, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    rows = lines.select("node", "text").mapInArrow(build, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    # said to be never null, so that all readers have the same plan and share one shuffle
+    return rows.select(*(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns))
 
 
 def agree(x: Column, y: Column) -> Column:
