@@ -192,6 +192,17 @@ def test_family_with_a_strange_hub_is_whole(spark):
     assert out.where("kept").count() == 1 and out.where("class_size = 300 and keep_doc_id = 0").count() == 300
 
 
+def test_blocks_of_sketches_equal_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i % 7), i, int(rng.integers(1 << 6)) * 0o1010101 ^ int(rng.integers(1 << 24)), int(rng.integers(4)), bool(rng.random() < 0.3)) for i in range(700)]
+    digits = lambda key: [key >> 3 * i & 7 for i in range(8)]
+    alike = lambda x, y: sum(a == b for a, b in zip(digits(x), digits(y), strict=True)) >= line_dedup.AGREE
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows if x[4] for y in rows if x[0] == y[0] and x[3] != y[3] and alike(x[2], y[2])}
+    groups = spark.createDataFrame(rows, "group long, node long, key long, component long, stray boolean")
+    assert want and {tuple(r) for r in line_dedup.met(groups).collect()} == want
+    assert line_dedup.met(groups.limit(0)).count() == 0
+
+
 def test_rows_of_one_doc_id_lose_their_own_lines_only(spark):
     line, other = "A line of quite some words that comes again and again here.", "Nothing like this stands in any different place of them."
     rows = [(1, line), (7, f"{line}\nthe rest of the first row"), (7, f"{other}\nan end of the second one")]
