@@ -1,9 +1,10 @@
 """Operator 6: fuzzy duplicate lines by MinHash.
 
-All of it is DataFrame functions but two steps, which numpy does in Arrow batches: the
-signatures, and the comparison of sketches in blocks. With the native form of the first (a
-row for each shingle, then minima by line) the whole took 707 of 400 CPU seconds a GB; the
-native form of the second took a third of what was left. See the README.
+All of it is DataFrame functions but three steps, which numpy does in Arrow batches: the
+signatures, the comparison of signatures in blocks and the exact verification. With the
+native form of the first (a row for each shingle, then minima by line) the whole took 707 of
+400 CPU seconds a GB; the native form of the second took a third of what was left, and of the
+third nine tenths of a run on a table with a large family of nearly alike lines. See the README.
 
 Every line that isn't blank is compared, whole, in lower case and with every run of
 characters that are neither letters nor digits as one space (a line of other characters
@@ -25,8 +26,8 @@ lines in a bucket cost time, they don't change results).
 Of a bucket each line is verified, on full sets, against one hub, taken by one of three
 orders, so that a family of alike lines has several hubs. Union-find (graph.components)
 joins the links. In a bucket of several components the lines outside the largest meet all
-others by their sketches, in blocks of bounded size, so that pairs of
-a bucket are never rows; those that agree are verified too. So two lines that share a
+others by their signatures, in blocks of bounded size, so that pairs of
+a bucket are never rows; those whose signatures agree in LIKELY values are verified too. So two lines that share a
 bucket and agree are either compared or already in one component. Of each component the
 line that comes first, by doc_id and line number, stays.
 
@@ -54,6 +55,9 @@ from .near_dedup import mix
 SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS = 12, 5
 VALUES, SKETCHED, BITS, AGREE = BANDS * ROWS, 8, 3, 4
+#: Values of two signatures that agree before their texts are compared. Lines at 0.8 that share
+#: a bucket (ROWS values) agree in fewer with a probability of 0.0003.
+LIKELY = 39
 #: Odd numbers without a pattern that turn one hash of a shingle into many.
 _ODD = (mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: Constants that make three orders of names.
@@ -73,11 +77,6 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def kept_apart(rows: DataFrame, *names: str) -> DataFrame:
-    """rows whose named columns are computed here, once, and not wherever they are named."""
-    return rows.select(*(c for c in rows.columns if c not in names), F.inline(F.array(F.struct(*names))))
-
-
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, node, check) of all lines of rows with an id. Blank lines have
     no name (node) and no second hash (check)."""
@@ -89,14 +88,21 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 _UNITS = 2 * SHINGLE  # bytes of a shingle in UTF-16
 
 
-def starts(units: Column | str) -> Column:
-    """Where the shingles of a line in UTF-16 begin; a shorter line is one shingle."""
-    return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (_UNITS - 1), F.lit(1)), F.lit(2))
+def hashes(units: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the SHINGLE units (as uint64) from each place, but the last places."""
+    n = len(units) - (SHINGLE - 1)
+    h = units[:n] | units[1 : n + 1] << np.uint64(16) | units[2 : n + 2] << np.uint64(32) | units[3 : n + 3] << np.uint64(48)
+    return mix(mix(h) + units[4:] * np.uint64(0xD1342543DE82EF95))
+
 
+def in_units(text: str) -> bytes:
+    """A plain line in UTF-16, filled up to a shingle."""
+    return text.encode("utf-16-le").ljust(_UNITS, b"\0")
 
-def shingles(text: Column | str) -> Column:
-    """The shingles of a plain line, from its first place to its last, each as a 64-bit hash."""
-    return once(F.encode(text, "UTF-16BE"), lambda units: F.transform(starts(units), lambda i: F.xxhash64(F.substring(units, i, F.lit(_UNITS)))))
+
+def shingles(text: str) -> np.ndarray:
+    """The distinct shingles of a plain line, from its first place to its last, as sorted hashes."""
+    return np.unique(hashes(np.frombuffer(in_units(text), "<u2").astype(np.uint64)))
 
 
 def signatures(texts: list[str]) -> np.ndarray:
@@ -111,15 +117,13 @@ def signatures(texts: list[str]) -> np.ndarray:
         ends = np.cumsum(places + (SHINGLE - 1))[:-1]
         for k in range(1, SHINGLE):
             whole[ends - k] = False
-        n = len(whole)
-        h = u[:n] | u[1 : n + 1] << np.uint64(16) | u[2 : n + 2] << np.uint64(32) | u[3 : n + 3] << np.uint64(48)
-        h = (mix(mix(h) + u[4:] * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)[whole]
+        h = (hashes(u) >> np.uint64(32)).astype(np.uint32)[whole]
         first = np.cumsum(places) - places
         for v, odd in enumerate(_ODD):
             out[v, owners] = np.minimum(out[v, owners], np.minimum.reduceat(h * odd, first))
 
     for i, text in enumerate(texts):
-        units = text.encode("utf-16-le").ljust(_UNITS, b"\0")
+        units = in_units(text)
         for at in range(0, len(units) - _UNITS + 2, 2 * PIECE):
             pieces.append(units[at : at + 2 * PIECE + _UNITS - 2])
             owners.append(i)
@@ -181,54 +185,81 @@ def with_hubs(keys: DataFrame) -> DataFrame:
 
 def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
     """The edges(a, b, text of a) whose lines are alike, on full shingle sets."""
+
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in slices(batches, 1000):
+            ok = []
+            for b, x, y in zip(*(batch[n].to_pylist() for n in ("b", "text", "b_text")), strict=True):
+                if last != b:  # the join leaves the edges of an end side by side
+                    last, held = b, shingles(y)
+                one = shingles(x)
+                if fits := 100 * min(len(one), len(held)) >= THRESHOLD * max(len(one), len(held)):
+                    common = len(np.intersect1d(one, held, assume_unique=True))
+                    fits = 100 * common >= THRESHOLD * (len(one) + len(held) - common)
+                ok.append(fits)
+            mask = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
+
     other = lines.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    pairs = kept_apart(edges.join(other, "b").select("a", "b", shingles("text").alias("x"), shingles("b_text").alias("y")), "x", "y")
-    return pairs.where(100 * F.size(F.array_intersect("x", "y")) >= THRESHOLD * F.size(F.array_union("x", "y"))).select("a", "b")
+    return edges.join(other, "b").select("a", "b", "text", "b_text").mapInArrow(verify, "a long, b long")
 
 
 def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(group, node, key, component, stray) of the buckets that lie in several components.
+    """(group, node, component, stray) of the buckets that lie in several components.
     Stray are the nodes outside the bucket's largest."""
-    at = members.select(F.shiftright("key", BITS * SKETCHED).alias("group"), "node", "key").join(parts, "node", "left").select("group", "node", "key", F.coalesce("component", "node").alias("component"))
+    at = members.select(F.shiftright("key", BITS * SKETCHED).alias("group"), "node").join(parts, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
     sizes = at.groupBy("group", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     main = main.where("parts > 2 or top.n > 1")  # a bucket of two has met its hub
-    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "key", "component", (F.col("component") != F.col("main")).alias("stray"))
+    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
+
+
+def signed(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """groups with the signature of each node, a byte a value."""
+
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 2000):
+            rows = np.ascontiguousarray(signatures(b["text"].to_pylist()).T.astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([b["node"], pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "signature"])
+
+    some = texts.join(groups.select("node").distinct(), "node", "left_semi")
+    return groups.join(some.select("node", "text").mapInArrow(build, "node long, signature binary"), "node")
 
 
 def met(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a group's strays and its members of other components that agree, by
-    blocks: the strays of one, first in order, are held while its members pass in batches."""
+    """Pairs (a, b) of a group's strays and its members of other components whose signatures
+    agree in LIKELY values or more, by blocks: the strays of one, first in order, are held
+    while its members pass in batches."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, strays, mask = None, [], sum(1 << BITS * i for i in range(SKETCHED))
-        for batch in batches:
-            group, block, chunk, node, component, key, stray = (batch[n].to_numpy(zero_copy_only=False) for n in ("group", "block", "chunk", "node", "component", "key", "stray"))
+        at, strays = None, None
+        for batch in slices(batches, 1024):
+            group, block, chunk, node, component, stray = (batch[n].to_numpy(zero_copy_only=False) for n in ("group", "block", "chunk", "node", "component", "stray"))
+            signature = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint8).reshape(-1, VALUES).T
             if not len(node):
                 continue
             new = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1
             found = [], []
             for low, high in zip([0, *new], [*new, len(node)], strict=True):
                 if at != (here := (group[low], block[low], chunk[low])):
-                    at, strays = here, []
+                    at, strays = here, (node[:0], component[:0], signature[:, :0])
                 first = low + np.count_nonzero(stray[low:high])
                 if first > low:
-                    strays.append((node[low:first], component[low:first], key[low:first]))
-                if first == high or not strays:
+                    more = node[low:first], component[low:first], signature[:, low:first]
+                    strays = tuple(np.concatenate(pair, axis=-1) for pair in zip(strays, more, strict=True))
+                if first == high or not len(strays[0]):
                     continue
-                strays = [tuple(map(np.concatenate, zip(*strays, strict=True)))]
-                nodes, components_, keys = strays[0]
-                differ = key[first:high, None] ^ keys
-                some = differ
-                for i in range(1, BITS):
-                    some = some | differ >> i
-                i, j = np.nonzero((np.bitwise_count(some & mask) <= SKETCHED - AGREE) & (component[first:high, None] != components_))
+                equal = np.zeros((high - first, len(strays[0])), np.uint8)
+                for one, held in zip(signature[:, first:high], strays[2], strict=True):
+                    equal += one[:, None] == held
+                i, j = np.nonzero((equal >= LIKELY) & (component[first:high, None] != strays[1]))
                 found[0].append(node[first:high][i])
-                found[1].append(nodes[j])
+                found[1].append(strays[0][j])
             x, y = (np.concatenate([np.empty(0, np.int64), *f]) for f in found)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    dealt = blocks(groups, 256, 1024).select("group", "block", "chunk", "node", "component", "key", "stray")
+    dealt = blocks(groups, 256, 1024).select("group", "block", "chunk", "node", "component", "signature", "stray")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -248,7 +279,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = cut(components(links))
     release(docs.sparkSession)
     members, _ = packed(lines.select("node", F.explode("keys").alias("key")))
-    pairs, n = packed(met(unsettled(members, parts)))
+    groups, _ = packed(unsettled(members, parts))
+    pairs, n = packed(met(signed(groups, texts)))
     if n:
         more = linked(pairs.join(texts.withColumnRenamed("node", "a"), "a"), texts)
         ends = (parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part")) for x in "ab")
