@@ -1,10 +1,10 @@
 """Operator 6: fuzzy duplicate lines by MinHash.
 
 All of it is DataFrame functions but three steps, which numpy does in Arrow batches: the
-signatures, the comparison of signatures in blocks and the exact verification. With the
-native form of the first (a row for each shingle, then minima by line) the whole took 707 of
-400 CPU seconds a GB; the native form of the second took a third of what was left, and of the
-third nine tenths of a run on a table with a large family of nearly alike lines. See the README.
+signatures, the exact verification of edges, and of blocks. With the native form of the first
+(a row for each shingle, then minima by line) the whole took 707 of 400 CPU seconds a GB; the
+native verification took most of a run on a table with a large family of lines that are
+nearly alike enough. See the README.
 
 Every line that isn't blank is compared, whole, in lower case and with every run of
 characters that are neither letters nor digits as one space (a line of other characters
@@ -18,7 +18,7 @@ of the shingles' hashes times an odd number, made where the folded lines already
 without another shuffle; a line of any length is taken in pieces of bounded size. Each band
 has ROWS values of its own. The last bits of a bucket's key are a sketch of eight values
 outside its band, three bits each: lines at 0.8 agree in 6.6 of them on average, unlike
-lines in 1.3, and only lines that agree in AGREE or more are compared as texts. Recall by
+lines in 1.3, and only lines that agree with a hub in AGREE or more are compared with it as texts. Recall by
 similarity, of both steps together, is in the README. Buckets have 40-bit keys and five
 values: enough for some billions of lines, beyond which bands need more values (unlike
 lines in a bucket cost time, they don't change results).
@@ -26,9 +26,10 @@ lines in a bucket cost time, they don't change results).
 Of a bucket each line is verified, on full sets, against one hub, taken by one of three
 orders, so that a family of alike lines has several hubs. Union-find (graph.components)
 joins the links. In a bucket of several components the lines outside the largest meet all
-others by their signatures, in blocks of bounded size, so that pairs of
-a bucket are never rows; those whose signatures agree in LIKELY values are verified too. So two lines that share a
-bucket and agree are either compared or already in one component. Of each component the
+others in blocks of bounded size (near_dedup.block_links): the shingles of a block's lines are sorted once, each line of the
+other side counts all it has in common with them, and only edges of a spanning forest come
+out. So pairs of a bucket are never rows, and two lines that share a bucket of three or more
+are either compared on full sets or already in one component. Of each component the
 line that comes first, by doc_id and line number, stays.
 
 Defined cases: blank lines stay and have a class of their own each; null or empty text has
@@ -49,15 +50,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release, slices
-from .graph import blocks, components, packed
-from .near_dedup import mix
+from .graph import components, packed
+from .near_dedup import block_links, mix
 
 SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS = 12, 5
 VALUES, SKETCHED, BITS, AGREE = BANDS * ROWS, 8, 3, 4
-#: Values of two signatures that agree before their texts are compared. Lines at 0.8 that share
-#: a bucket (ROWS values) agree in fewer with a probability of 0.0003.
-LIKELY = 39
 #: Odd numbers without a pattern that turn one hash of a shingle into many.
 _ODD = (mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: Constants that make three orders of names.
@@ -215,54 +213,6 @@ def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
     return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
 
 
-def signed(groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """groups with the signature of each node, a byte a value."""
-
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2000):
-            rows = np.ascontiguousarray(signatures(b["text"].to_pylist()).T.astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([b["node"], pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "signature"])
-
-    some = texts.join(groups.select("node").distinct(), "node", "left_semi")
-    return groups.join(some.select("node", "text").mapInArrow(build, "node long, signature binary"), "node")
-
-
-def met(groups: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a group's strays and its members of other components whose signatures
-    agree in LIKELY values or more, by blocks: the strays of one, first in order, are held
-    while its members pass in batches."""
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, strays = None, None
-        for batch in slices(batches, 1024):
-            group, block, chunk, node, component, stray = (batch[n].to_numpy(zero_copy_only=False) for n in ("group", "block", "chunk", "node", "component", "stray"))
-            signature = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint8).reshape(-1, VALUES).T
-            if not len(node):
-                continue
-            new = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1
-            found = [], []
-            for low, high in zip([0, *new], [*new, len(node)], strict=True):
-                if at != (here := (group[low], block[low], chunk[low])):
-                    at, strays = here, (node[:0], component[:0], signature[:, :0])
-                first = low + np.count_nonzero(stray[low:high])
-                if first > low:
-                    more = node[low:first], component[low:first], signature[:, low:first]
-                    strays = tuple(np.concatenate(pair, axis=-1) for pair in zip(strays, more, strict=True))
-                if first == high or not len(strays[0]):
-                    continue
-                equal = np.zeros((high - first, len(strays[0])), np.uint8)
-                for one, held in zip(signature[:, first:high], strays[2], strict=True):
-                    equal += one[:, None] == held
-                i, j = np.nonzero((equal >= LIKELY) & (component[first:high, None] != strays[1]))
-                found[0].append(node[first:high][i])
-                found[1].append(strays[0][j])
-            x, y = (np.concatenate([np.empty(0, np.int64), *f]) for f in found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    dealt = blocks(groups, 256, 1024).select("group", "block", "chunk", "node", "component", "signature", "stray")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
-
-
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, node), and of those that are not alone in their
     class (node, keep: the first place of the class, class_size: lines in it)."""
@@ -279,12 +229,8 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = cut(components(links))
     release(docs.sparkSession)
     members, _ = packed(lines.select("node", F.explode("keys").alias("key")))
-    groups, _ = packed(unsettled(members, parts))
-    pairs, n = packed(met(signed(groups, texts)))
+    more, n = packed(block_links(unsettled(members, parts), texts, lambda: shingles, THRESHOLD))
     if n:
-        more = linked(pairs.join(texts.withColumnRenamed("node", "a"), "a"), texts)
-        ends = (parts.select(F.col("node").alias(x), F.col("component").alias(f"{x}_part")) for x in "ab")
-        more = more.join(next(ends), "a", "left").join(next(ends), "b", "left").select(F.coalesce("a_part", "a").alias("a"), F.coalesce("b_part", "b").alias("b"))
         merged = cut(components(more)).select(F.col("node").alias("part"), F.col("component").alias("next"))
         joined = parts.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("next", "component").alias("component"))
         parts = cut(joined.union(merged.select(F.col("part").alias("node"), F.col("next").alias("component")).join(parts, "node", "left_anti")))

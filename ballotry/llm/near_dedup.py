@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,12 +151,12 @@ def compared(edges: DataFrame, texts: DataFrame, words: int, threshold: int, loo
     return two.mapInArrow(test, "a long, b long, linked boolean")
 
 
-def block_links(groups: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+def block_links(groups: DataFrame, texts: DataFrame, shingler: Callable[[], Callable[[str], np.ndarray]], threshold: int) -> DataFrame:
     """A spanning forest (a, b) of the links between components of groups(group, node,
-    component, stray), each of its edges verified on full sets."""
+    component, stray), each of its edges verified on the full sets that a shingler gives."""
 
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, key, strays, index, up, found = Shingler(words), None, [], None, {}, []
+        shingle, key, strays, index, up, found = shingler(), None, [], None, {}, []
 
         def root(c: int) -> int:
             while up.get(c, c) != c:
@@ -208,7 +208,7 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold: int = 80, bands: int
     near = cut(compared(stars(members), texts, words, threshold, threshold // 2))
     links = near.where("linked").select("a", "b")
     alone = orphans(members, near).select(F.col("key").alias("group"), "node", F.col("node").alias("component"), F.lit(True).alias("stray"))
-    more = cut(block_links(unsettled(near, links).union(alone), texts, words, threshold))
+    more = cut(block_links(unsettled(near, links).union(alone), texts, lambda: Shingler(words), threshold))
     found = components(links.union(more))
     # nodes that share an id (a repeated doc_id) are one node already; label the prints, then the rows
     labels = nodes.select("print", "node").join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))

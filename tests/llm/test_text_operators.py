@@ -192,16 +192,22 @@ def test_family_with_a_strange_hub_is_whole(spark):
     assert out.where("kept").count() == 1 and out.where("class_size = 300 and keep_doc_id = 0").count() == 300
 
 
-def test_blocks_of_signatures_equal_all_pairs(spark):
+def test_blocks_of_lines_equal_all_pairs(spark):
+    """The forest of verified edges joins the same components as all pairs of a group do."""
     rng = np.random.default_rng(11)
-    start = rng.integers(256, size=60)
-    signatures = [np.where(rng.random(60) < 0.8, start, rng.integers(256, size=60)).astype(np.uint8) for _ in range(700)]
-    rows = [(int(i % 7), i, int(rng.integers(4)), bool(rng.random() < 0.3), signatures[i].tobytes()) for i in range(700)]
-    alike = lambda x, y: (signatures[x] == signatures[y]).sum() >= line_dedup.LIKELY
-    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in rows if x[3] for y in rows if x[0] == y[0] and x[2] != y[2] and alike(x[1], y[1])}
-    groups = spark.createDataFrame(rows, "group long, node long, component long, stray boolean, signature binary")
-    assert 100 < len(want) < 30_000 and {tuple(r) for r in line_dedup.met(groups).collect()} == want
-    assert line_dedup.met(groups.limit(0)).count() == 0
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(60)]
+    lines = [" ".join([*rng.permutation(words[:20])[:2], *words[20:35], *rng.permutation(words[:20])[:1]]) for _ in range(400)]
+    rows = [(i % 7, i, i if i % 3 else i % 21, bool(i % 3)) for i in range(400)]
+    sets = [all_shingles(line_) for line_ in lines]
+    alike = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    pairs = [(x[2], y[2]) for x in rows if x[3] for y in rows if x[0] == y[0] and x[2] != y[2] and alike(x[1], y[1])]
+    groups = spark.createDataFrame(rows, "group long, node long, component long, stray boolean")
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, text string")
+    found = [tuple(r) for r in near_dedup.block_links(groups, texts, lambda: line_dedup.shingles, 80).collect()]
+    parts = {r[2] for r in rows}
+    assert set(found) <= {*pairs, *((b, a) for a, b in pairs)} and len(found) < len(pairs)
+    assert smallest(found, parts) == smallest(pairs, parts)
+    assert near_dedup.block_links(groups.limit(0), texts, lambda: line_dedup.shingles, 80).count() == 0
 
 
 def test_rows_of_one_doc_id_lose_their_own_lines_only(spark):
