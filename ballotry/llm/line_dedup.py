@@ -18,7 +18,8 @@ of the shingles' hashes times an odd number, made where the folded lines already
 without another shuffle; a line of any length is taken in pieces of bounded size. Each band
 has ROWS values of its own. The last bits of a bucket's key are a sketch of eight values
 outside its band, three bits each: lines at 0.8 agree in 6.6 of them on average, unlike
-lines in 1.3, and only lines that agree with a hub in AGREE or more are compared with it as texts. Recall by
+lines in 1.3, and only lines that agree in AGREE or more with a line they could be linked with
+are compared as texts. Recall by
 similarity, of both steps together, is in the README. Buckets have 40-bit keys and five
 values: enough for some billions of lines, beyond which bands need more values (unlike
 lines in a bucket cost time, they don't change results).
@@ -28,8 +29,8 @@ orders, so that a family of alike lines has several hubs. Union-find (graph.comp
 joins the links. In a bucket of several components the lines outside the largest meet all
 others in blocks of bounded size (near_dedup.block_links): the shingles of a block's lines are sorted once, each line of the
 other side counts all it has in common with them, and only edges of a spanning forest come
-out. So pairs of a bucket are never rows, and two lines that share a bucket of three or more
-are either compared on full sets or already in one component. Of each component the
+out. So pairs of a bucket are never rows, and two lines that share a bucket and agree are
+either compared on full sets or already in one component. Of each component the
 line that comes first, by doc_id and line number, stays.
 
 Defined cases: blank lines stay and have a class of their own each; null or empty text has
@@ -50,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release, slices
-from .graph import components, packed
+from .graph import blocks, components, packed
 from .near_dedup import block_links, mix
 
 SHINGLE, THRESHOLD = 5, 80
@@ -204,13 +205,47 @@ def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(group, node, component, stray) of the buckets that lie in several components.
+    """(group, node, key, component, stray) of the buckets that lie in several components.
     Stray are the nodes outside the bucket's largest."""
-    at = members.select(F.shiftright("key", BITS * SKETCHED).alias("group"), "node").join(parts, "node", "left").select("group", "node", F.coalesce("component", "node").alias("component"))
+    at = members.select(F.shiftright("key", BITS * SKETCHED).alias("group"), "node", "key").join(parts, "node", "left").select("group", "node", "key", F.coalesce("component", "node").alias("component"))
     sizes = at.groupBy("group", "component").agg(F.count("*").alias("n"))
     main = sizes.groupBy("group").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
     main = main.where("parts > 2 or top.n > 1")  # a bucket of two has met its hub
-    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "component", (F.col("component") != F.col("main")).alias("stray"))
+    return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "key", "component", (F.col("component") != F.col("main")).alias("stray"))
+
+
+def promising(groups: DataFrame) -> DataFrame:
+    """groups(group, node, key, component, stray) without the rows whose sketch agrees with none that
+    they would be compared with. So texts go only where there may be a link."""
+
+    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, strays, mask = None, [], sum(1 << BITS * i for i in range(SKETCHED))
+        for batch in slices(batches, 2000):
+            group, block, chunk, node, component, key, stray = (batch[n].to_numpy(zero_copy_only=False) for n in ("group", "block", "chunk", "node", "component", "key", "stray"))
+            new = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1
+            found = [], []
+            for low, high in zip([0, *new], [*new, len(node)], strict=True):
+                if low == high:
+                    continue
+                if at != (here := (group[low], block[low], chunk[low])):
+                    at, strays = here, (node[:0], component[:0], key[:0])
+                first = low + np.count_nonzero(stray[low:high])
+                if first > low:
+                    more = node[low:first], component[low:first], key[low:first]
+                    strays = tuple(map(np.concatenate, zip(strays, more, strict=True)))
+                differ = key[first:high, None] ^ strays[2]
+                some = differ
+                for i in range(1, BITS):
+                    some = some | differ >> i
+                both = (np.bitwise_count(some & mask) <= SKETCHED - AGREE) & (component[first:high, None] != strays[1])
+                named = np.concatenate([node[first:high][both.any(axis=1)], strays[0][both.any(axis=0)]])
+                found[0].append(np.full(len(named), group[low]))
+                found[1].append(named)
+            x, y = (np.concatenate([np.empty(0, np.int64), *f]) for f in found)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["group", "node"])
+
+    dealt = blocks(groups, 256, 1024).select("group", "block", "chunk", "node", "component", "key", "stray")
+    return groups.join(dealt.mapInArrow(mark, "group long, node long").distinct(), ["group", "node"], "left_semi")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -229,7 +264,10 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = cut(components(links))
     release(docs.sparkSession)
     members, _ = packed(lines.select("node", F.explode("keys").alias("key")))
-    more, n = packed(block_links(unsettled(members, parts), texts, lambda: shingles, THRESHOLD))
+    groups, _ = packed(unsettled(members, parts))
+    groups, _ = packed(promising(groups).drop("key"))
+    release(docs.sparkSession)
+    more, n = packed(block_links(groups, texts, lambda: shingles, THRESHOLD))
     if n:
         merged = cut(components(more)).select(F.col("node").alias("part"), F.col("component").alias("next"))
         joined = parts.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("next", "component").alias("component"))

@@ -192,6 +192,17 @@ def test_family_with_a_strange_hub_is_whole(spark):
     assert out.where("kept").count() == 1 and out.where("class_size = 300 and keep_doc_id = 0").count() == 300
 
 
+def test_promising_rows_are_those_with_an_agreeing_partner(spark):
+    rng = np.random.default_rng(11)
+    rows = [(int(i % 7), i, int(rng.integers(1 << 6)) * 0o1010101 ^ int(rng.integers(1 << 24)), int(rng.integers(4)), bool(rng.random() < 0.3)) for i in range(700)]
+    digits = lambda key: [key >> 3 * i & 7 for i in range(8)]
+    alike = lambda x, y: sum(a == b for a, b in zip(digits(x), digits(y), strict=True)) >= line_dedup.AGREE
+    want = {z[1] for x in rows if x[4] for y in rows if x[0] == y[0] and x[3] != y[3] and alike(x[2], y[2]) for z in (x, y)}
+    groups = spark.createDataFrame(rows, "group long, node long, key long, component long, stray boolean")
+    assert 0 < len(want) < len(rows) and {r["node"] for r in line_dedup.promising(groups).collect()} == want
+    assert line_dedup.promising(groups.limit(0)).count() == 0
+
+
 def test_blocks_of_lines_equal_all_pairs(spark):
     """The forest of verified edges joins the same components as all pairs of a group do."""
     rng = np.random.default_rng(11)
