@@ -15,6 +15,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import Tables
+from .components import components
+
 #: Retained opinions up to which the pair matrix is gathered (a few million cells).
 MAX_OPINIONS = 2000
 
@@ -71,53 +74,72 @@ def spread(votes: DataFrame, kept: DataFrame, ids: list[str]) -> Spread:
     return Spread(multiply, float(off.agg(F.sum(F.col("off") * F.col("off"))).first()[0] or 0), off.unpersist)
 
 
-#: Opinions of the answer patterns that one pass of connected() compares all others with.
-HUB_OPINIONS = 2000
-
+#: Opinions of the answer patterns with which one pass over all others begins, and such passes.
+HUB_OPINIONS, HUB_PASSES = 2000, 3
 
-def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
-    """Whether sessions that share three substantive answers' opinions form one component.
 
-    Sessions of the same opinions are one pattern. Each pass compares the patterns not yet
-    reached with a few of the densest ones reached last, of HUB_OPINIONS opinions in all,
-    without a shuffle; nearly all are reached so. When a pass reaches none, the two sides are
-    compared exactly, on threes of the opinions that occur on both: no such three is the
-    answer no, others are reached through them. What was cached here is let go, and no more."""
+def patterns_of(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> DataFrame:
+    """(name, o, sessions): distinct sets of opinions that sessions answered other than pass, each by its
+    least session and with how many it has."""
     marks = votes.where("value <> 0").join(kept.select("opinion_id"), "opinion_id", "left_semi").join(sessions.select("session_id"), "session_id", "left_semi")
     rows = sessions.select("session_id").join(marks.groupBy("session_id").agg(F.array_sort(F.collect_set("opinion_id")).alias("o")), "session_id", "left")
-    patterns = rows.groupBy(F.coalesce("o", F.array().cast("array<string>")).alias("o")).agg(F.count("*").alias("n")).cache()
-    rest = patterns.select("o").cache()
-    try:
-        total = patterns.agg(F.sum("n").alias("n"), F.min(F.size("o")).alias("least"), F.count("*").alias("patterns")).first()
-        if not total["n"]:
-            return False
-        if total["n"] == 1:
-            return True
-        if total["least"] < 3:
-            return False  # a session without three such opinions is alone
-        hubs = _hubs(rest.orderBy(F.size("o").desc(), "o").limit(1))
-        while True:
-            near = F.lit(False)
-            for hub in hubs:
-                near = near | (F.size(F.array_intersect("o", F.lit(hub))) >= 3)
-            found = rest.where(near) if hubs else _touched(rest, patterns.select("o").join(rest, "o", "left_anti"))
-            if found is None:
-                return False
-            left = (rest.where(~near) if hubs else rest.join(found, "o", "left_anti")).cache()
-            hubs = _hubs(found)
-            more = left.count()
-            rest.unpersist()
-            rest = left
-            if not more:
-                return True
-    finally:
-        patterns.unpersist(), rest.unpersist()
+    return rows.select("session_id", F.coalesce("o", F.array().cast("array<string>")).alias("o"))
+
+
+def overlap_components(votes: DataFrame, sessions: DataFrame, kept: DataFrame, shared: int = 3) -> DataFrame:
+    """(session_id, component): sessions that share so many (2 or 3) substantive answers' opinions are
+    linked, and a component is named by its least session.
+
+    Sessions of one set of opinions are one pattern. A few passes without a shuffle find what the
+    densest patterns reach: nearly everything where sessions answer a lot alike, and all of it is one
+    group from there on. What is left is linked exactly through combinations of opinions that stand in
+    more than one group: combinations are made of pairs that do so themselves, each group gives a
+    combination once, and it leads to the least group that has it. So no two patterns are compared,
+    and no row stands for two of them."""
+    if shared not in (2, 3):
+        raise ValueError("shared: 2 or 3")
+    tables = Tables(votes.sparkSession, "overlap")
+    answered = tables.cut(patterns_of(votes, sessions, kept))
+    patterns = tables.cut(answered.groupBy("o").agg(F.min("session_id").alias("name")))
+    grouped = tables.cut(_reached(patterns.where(F.size("o") >= shared), shared, tables))
+    links = tables.cut(_links(grouped, shared, tables))
+    inner = grouped.where("name <> grp").select(F.col("name").alias("a"), F.col("grp").alias("b"))
+    named, _ = components(patterns.select(F.col("name").alias("node")), inner.union(links))
+    labelled = patterns.join(named.select(F.col("node").alias("name"), "component"), "name").select("o", "component")
+    return answered.join(labelled, "o").select("session_id", "component")
+
+
+def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
+    """Whether sessions that share three substantive answers' opinions form one component. A session
+    without three such opinions is alone; no sessions at all aren't connected."""
+    found = overlap_components(votes, sessions, kept).select("component").distinct().limit(2).count()
+    return found == 1
+
+
+def _reached(patterns: DataFrame, shared: int, tables: Tables) -> DataFrame:
+    """(name, o, grp): grp is one name for all that hub passes from the densest pattern reach, and each
+    other pattern's own name. A pass takes bounded hubs to the tasks with the plan."""
+    top = patterns.orderBy(F.size("o").desc(), "name").limit(1).collect()
+    if not top:
+        return patterns.withColumn("grp", F.col("name"))
+    first, hubs = top[0]["name"], [list(top[0]["o"])]
+    at = patterns.withColumn("reached", F.col("name") == first)
+    for _ in range(HUB_PASSES):
+        near = F.lit(False)
+        for hub in hubs:
+            near = near | (F.size(F.array_intersect("o", F.lit(hub))) >= shared)
+        at = tables.cut(at.select("name", "o", "reached", (~F.col("reached") & near).alias("new")))
+        hubs = _hubs(at.where("new"))
+        at = at.select("name", "o", (F.col("reached") | F.col("new")).alias("reached"))
+        if not hubs:
+            break
+    return at.select("name", "o", F.when(F.col("reached"), F.lit(first)).otherwise(F.col("name")).alias("grp"))
 
 
 def _hubs(patterns: DataFrame) -> list[list[str]]:
     """The densest of these patterns, of HUB_OPINIONS opinions in all (one at least)."""
     out, size = [], 0
-    for (o,) in patterns.orderBy(F.size("o").desc(), "o").limit(64).collect():
+    for (o,) in patterns.select("o").orderBy(F.size("o").desc(), "o").limit(64).collect():
         if out and size + len(o) > HUB_OPINIONS:
             break
         out.append(list(o))
@@ -125,25 +147,31 @@ def _hubs(patterns: DataFrame) -> list[list[str]]:
     return out
 
 
-def _touched(rest: DataFrame, reached: DataFrame) -> DataFrame | None:
-    """The patterns of rest that share three opinions with a reached one; None if none does."""
-    seen = lambda df: df.select(F.explode("o").alias("x")).distinct()
-    both = [x for (x,) in seen(rest).join(seen(reached), "x").collect()]
-    if len(both) < 3:
-        return None
-    within = lambda df: df.select("o", F.array_sort(F.array_intersect("o", F.lit(both))).alias("s")).where(F.size("s") >= 3)
-    threes = lambda df: _triples(within(df).select(F.col("s").alias("o")).distinct())
-    hits = threes(rest).join(threes(reached).select("t").distinct(), "t", "left_semi").select(F.col("o").alias("s")).distinct()
-    found = within(rest).join(hits, "s", "left_semi").select("o")
-    return None if found.isEmpty() else found
-
-
-def _triples(patterns: DataFrame) -> DataFrame:
-    """(o, t): each pattern with each three of its opinions."""
-    a = patterns.select("o", F.posexplode("o").alias("i", "a"))
-    b = a.select("o", "a", F.explode(F.slice("o", F.col("i") + 2, F.size("o"))).alias("b"))
-    c = b.select("o", "a", "b", F.explode(F.filter("o", lambda x: x > F.col("b"))).alias("c"))
-    return c.select("o", F.struct("a", "b", "c").alias("t"))
+def _across(rows: DataFrame, key: str) -> DataFrame:
+    """(key, least): what stands in more than one group, with the least of these; rows(grp, key)."""
+    return rows.groupBy(key).agg(F.min("grp").alias("least"), F.max("grp").alias("_most")).where("least <> _most").drop("_most")
+
+
+def _links(grouped: DataFrame, shared: int, tables: Tables) -> DataFrame:
+    """(a, b): groups that have a combination of so many opinions in common, by way of the least one
+    that has it. Opinions, then pairs, then threes: each made only of what stands in several groups."""
+    one = grouped.select("name", "grp", F.explode("o").alias("x"))
+    one = one.join(_across(one.select("grp", "x"), "x").select("x"), "x", "left_semi")
+    sets = tables.cut(one.groupBy("name", "grp").agg(F.array_sort(F.collect_set("x")).alias("o")).select("grp", "o").where(F.size("o") >= shared).distinct().withColumn("set", F.monotonically_increasing_id()))
+    pairs = sets.select("set", "grp", F.explode(F.flatten(F.transform("o", lambda a, i: F.transform(F.slice("o", i + 2, F.size("o")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("x"))
+    several = _across(pairs.select("grp", "x"), "x")
+    if shared == 2:
+        found = pairs.select("grp", "x").distinct().join(several, "x")
+    else:
+        good = pairs.join(several.select("x"), "x", "left_semi").groupBy("set", "grp").agg(F.array_sort(F.collect_list("x")).alias("p"))
+        by = good.withColumn("next", F.map_from_entries(F.transform(F.array_distinct(F.transform("p", lambda p: p["a"])), lambda a: F.struct(a, F.transform(F.filter("p", lambda q: q["a"] == a), lambda q: q["b"])))))
+        threes = by.select("grp", F.explode(F.flatten(F.transform("p", lambda p: F.transform(
+            F.array_intersect(F.coalesce(F.try_element_at("next", p["a"]), F.array().cast("array<string>")), F.coalesce(F.try_element_at("next", p["b"]), F.array().cast("array<string>"))),
+            lambda c: F.struct(p["a"].alias("a"), p["b"].alias("b"), c.alias("c")),
+        )))).alias("x")).distinct()
+        threes = tables.cut(threes)
+        found = threes.join(_across(threes, "x"), "x")
+    return found.where("grp <> least").select(F.col("grp").alias("a"), F.col("least").alias("b")).distinct()
 
 
 @dataclass
