@@ -205,7 +205,7 @@ def test_suffix_array_and_intervals():
     left = np.array([7 - i % 7 if i < 497 else 500 - i for i in range(500)])
     for m in (1, 2, 3, 5):
         want = Counter(tuple(ids[i : i + m]) for i in range(500) if left[i] >= m)
-        at, n = co.intervals(ids, left, m)
+        at, n = co.intervals(ids, left, co.suffix_array(ids, left, m), m)
         assert {tuple(ids[p : p + m]): int(k) for p, k in zip(at, n, strict=True)} == dict(want)
 
 
