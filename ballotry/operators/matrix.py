@@ -79,8 +79,7 @@ HUB_OPINIONS, HUB_PASSES = 2000, 3
 
 
 def patterns_of(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> DataFrame:
-    """(name, o, sessions): distinct sets of opinions that sessions answered other than pass, each by its
-    least session and with how many it has."""
+    """(session_id, o): the opinions that each session answered other than pass, in order."""
     marks = votes.where("value <> 0").join(kept.select("opinion_id"), "opinion_id", "left_semi").join(sessions.select("session_id"), "session_id", "left_semi")
     rows = sessions.select("session_id").join(marks.groupBy("session_id").agg(F.array_sort(F.collect_set("opinion_id")).alias("o")), "session_id", "left")
     return rows.select("session_id", F.coalesce("o", F.array().cast("array<string>")).alias("o"))
@@ -100,13 +99,14 @@ def overlap_components(votes: DataFrame, sessions: DataFrame, kept: DataFrame, s
         raise ValueError("shared: 2 or 3")
     tables = Tables(votes.sparkSession, "overlap")
     answered = tables.cut(patterns_of(votes, sessions, kept))
-    patterns = tables.cut(answered.groupBy("o").agg(F.min("session_id").alias("name")))
-    grouped = tables.cut(_reached(patterns.where(F.size("o") >= shared), shared, tables))
+    patterns = tables.cut(answered.where(F.size("o") >= shared).groupBy("o").agg(F.min("session_id").alias("name")))
+    grouped = tables.cut(_reached(patterns, shared, tables))
     links = tables.cut(_links(grouped, shared, tables))
     inner = grouped.where("name <> grp").select(F.col("name").alias("a"), F.col("grp").alias("b"))
     named, _ = components(patterns.select(F.col("name").alias("node")), inner.union(links))
     labelled = patterns.join(named.select(F.col("node").alias("name"), "component"), "name").select("o", "component")
-    return answered.join(labelled, "o").select("session_id", "component")
+    # sessions with fewer opinions are alone, even those that have the same ones
+    return answered.join(labelled, "o", "left").select("session_id", F.coalesce("component", "session_id").alias("component"))
 
 
 def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:

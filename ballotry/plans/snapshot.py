@@ -1,19 +1,22 @@
 """Daily snapshots: content-addressed results, a pointer, skipping unchanged input, cached reads.
 
-The state is one small JSON document; results are rows of Parquet. The pointer is written last,
-under a new name, and the newest name counts, so a reader sees the old or the new result.
+The state is one small JSON document that changes by compare-and-set; results are rows of Parquet. A
+run holds a lease while it computes, and moves the pointer only if it still does and if moderation
+stands where it began, so that of two runs one counts and a reader sees the old or the new result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import SparkSession
 
 from .analysis import Options, Result
+from .state import States
 
 ALGORITHM = "ballotry-analysis-1"
 
@@ -46,28 +49,21 @@ class Store:
     """Snapshots in a folder that Spark reaches."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self.states = spark, folder, States(spark, f"{folder}/state")
 
     def state(self) -> dict | None:
-        """The newest pointer, None before the first."""
-        try:
-            rows = self.spark.read.text(f"{self.folder}/state/*").collect()
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-        return max((json.loads(r[0]) for r in rows), key=lambda s: s["number"], default=None)
-
-    def save(self, result: Result, revision: int, moderation: int, day: str, options: Options) -> dict:
-        """Store a result under its digest, its points beside it, then move the pointer."""
-        body, old = payload(result), self.state()
+        """The newest state that names a snapshot, None before the first."""
+        now = self.states.current()
+        return now if now and "snapshot" in now else None
+
+    def put(self, result: Result) -> str:
+        """Store a result under its digest, its points beside it."""
+        body = payload(result)
         name = hashlib.sha256(body.encode()).hexdigest()
         self.spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/snapshots/{name}")
         if result.points is not None:
             result.points.write.mode("overwrite").parquet(f"{self.folder}/points/{name}")
-        state = {"number": (old or {"number": 0})["number"] + 1, "snapshot": name, "revision": revision, "moderation": moderation, "day": day, "configuration": configuration(options)}
-        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.folder}/state/{state['number']:08d}")
-        return state
+        return name
 
     def read(self, options: Options, moderation: int, known: str | None = None) -> dict:
         """The current snapshot; waiting where there is none for this configuration and state of
@@ -83,13 +79,32 @@ class Store:
         return {"snapshot": state["snapshot"], **json.loads(body)}
 
 
-def run_daily(store: Store, now: datetime, revision: int, moderation: int, options: Options, compute) -> dict:  # noqa: ANN001
+#: How long a run may hold the lease, in milliseconds.
+LEASE = 16 * 60 * 1000
+
+
+def run_daily(store: Store, now: datetime, revision: int, moderation: int, options: Options, compute: Callable[[], Result], still: Callable[[], int] | None = None) -> dict:
     """One run a civil day. compute() gives a Result and is called only if data, moderation or
-    configuration changed since the last one."""
+    configuration changed since the last one. busy: another run holds the lease; superseded: the lease
+    was lost, or moderation (still()) moved, while this one computed; its result isn't pointed at."""
     state, day = store.state(), civil_day(now)
-    if state and state["day"] == day:
+    if state and state.get("day") == day:
+        return {"status": "already-completed", "day": day}
+    held = store.states.acquire(int(now.timestamp() * 1000), LEASE)
+    if held is None:
+        return {"status": "busy", "day": day}
+    if held.get("day") == day:  # another run ended between the two looks
+        store.states.finish(held, {})
         return {"status": "already-completed", "day": day}
-    if state and (state["revision"], state["moderation"]) == (revision, moderation) and same_configuration(state["configuration"], options):
-        return {"status": "unchanged", "day": day}
-    store.save(compute(), revision, moderation, day, options)
-    return {"status": "updated", "day": day}
+    if "snapshot" in held and (held["revision"], held["moderation"]) == (revision, moderation) and same_configuration(held["configuration"], options):
+        return {"status": "unchanged" if store.states.finish(held, {"day": day}) else "superseded", "day": day}
+    try:
+        name = store.put(compute())
+    except BaseException:
+        store.states.finish(held, {})
+        raise
+    if still is not None and still() != moderation:
+        store.states.finish(held, {})
+        return {"status": "superseded", "day": day}
+    moved = store.states.finish(held, {"snapshot": name, "revision": revision, "moderation": moderation, "day": day, "configuration": configuration(options)})
+    return {"status": "updated" if moved else "superseded", "day": day}

@@ -33,19 +33,25 @@ def _open(spark: SparkSession, path: str):  # noqa: ANN202
 
 
 def create(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a new file; False, and nothing written, if there is one of that name. The file system
-    decides between two writers, so one of them gets True."""
-    at, fs = _open(spark, path)
-    try:
-        out = fs.create(at, False)
-    except Exception as e:  # noqa: BLE001
-        if "AlreadyExists" in str(e) or fs.exists(at):
-            return False
-        raise
+    """Write a new small file whole: it is written aside and moved to its name, which fails where that name
+    is taken. The file system decides between two writers, so one of them gets True; readers see all of
+    the text or no file. (Spark's own logs of streams are written so.)"""
+    jvm = spark._jvm
+    aside, fs = _open(spark, f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark._jsc.hadoopConfiguration()) if aside.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    try:
+        context.rename(aside, jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._gateway.new_array(kind, 0))
+    except Exception as e:
+        fs.delete(aside, False)
+        if "AlreadyExists" in str(e):
+            return False
+        raise
     return True
 
 
@@ -65,7 +71,7 @@ def read(spark: SparkSession, path: str) -> str | None:
 def names(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder, in order; none where it doesn't exist."""
     at, fs = _open(spark, folder)
-    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+    return sorted(n for s in fs.listStatus(at) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(at) else []
 
 
 def delete(spark: SparkSession, path: str) -> bool:

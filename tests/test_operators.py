@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ballotry.operators import ballots, bridges, evaluate, geometry, matrix, moderation, release, routing
+from ballotry.operators import ballots, bridges, components, evaluate, geometry, matrix, moderation, release, routing
 from ballotry.plans import analysis
 from ballotry.sources import synthetic
 from ballotry.streaming import events
@@ -107,13 +107,37 @@ def test_pages(spark, tmp_path):
     rows = spark.range(1, 1252).select(F.col("id").alias("seq"), F.concat(F.lit("line "), "id").alias("line"), (F.col("id") % 2 == 1).alias("included"))
     at = release.pages(release.numbered(rows, ["seq"]))
     pages = at.orderBy("page").collect()
-    assert [(p["first_rn"], p["last_rn"], p["rows"]) for p in pages] == [(1, 500, 250), (501, 1000, 250), (1001, 1251, 126)]
-    assert len(release.pages(release.numbered(rows, ["seq"]), page_bytes=1000).collect()) > 3
+    assert [(p["page"], p["first_rn"], p["last_rn"], p["rows"]) for p in pages] == [(1, 1, 500, 250), (2, 501, 1000, 250), (3, 1001, 1251, 126)]
     release.write_pages(at, str(tmp_path / "pages"))
     assert release.verify(spark, str(tmp_path / "pages")).count() == 0
     assert release.read_part(spark, str(tmp_path / "pages"), pages[0]["sha256"]).count() == 250
 
 
+@pytest.mark.parametrize(("page_rows", "page_bytes", "block_pages", "group"), [(7, 60, 2, 3), (5, 1000, 1, 2), (50, 45, 1, 4), (10, 120, 3, 1024)])
+def test_pages_are_greedy(spark, page_rows, page_bytes, block_pages, group):
+    rng = np.random.default_rng(page_bytes)
+    data = [(i, "é" * int(rng.integers(0, 20)), bool(rng.random() < 0.7) and not 90 <= i < 150) for i in range(1, 400)]
+    want, first, held, size, last = [], None, [], 0, 0
+    for rn, line, good in data:  # the rule one row at a time
+        n = len(line.encode()) + 1 if good else 0
+        if first is not None and (rn - first == page_rows or size + n > page_bytes):
+            want += [(first, last, len(held), size, "".join(held))] if held else []
+            first, held, size = None, [], 0
+        first, last, size = first or rn, rn, size + n
+        held += [line + "\n"] if good else []
+    want += [(first, last, len(held), size, "".join(held))] if held else []
+    rows = spark.createDataFrame(data, "rn long, line string, included boolean")
+    found = release.pages(rows, page_rows=page_rows, page_bytes=page_bytes, block_pages=block_pages, group=group).orderBy("page").collect()
+    assert [(p["first_rn"], p["last_rn"], p["rows"], p["byte_length"], p["body"]) for p in found] == want
+    assert [p["page"] for p in found] == list(range(1, len(want) + 1))
+
+
+def test_no_page_holds_a_longer_line(spark):
+    with pytest.raises(Exception, match="doesn't fit a page"):
+        release.pages(spark.createDataFrame([(1, "x" * 100, True)], "rn long, line string, included boolean"), page_bytes=100).collect()
+    assert release.pages(spark.createDataFrame([], "rn long, line string, included boolean")).collect() == []
+
+
 def test_page_index(spark):
     rows = release.page_index(spark.range(257).select(F.col("id").alias("part"))).orderBy("index").collect()
     assert [(r["index"], len(r["parts"]), r["next"]) for r in rows] == [(0, 256, None), (1, 1, 0)]
@@ -155,7 +179,7 @@ def test_connected_keeps_the_callers_caches(spark):
         votes.unpersist()
         return got
 
-    chain = [[f"o{k:03}" for k in range(i, i + 4)] for i in range(8)]  # each shares three with the next alone
+    chain = [[f"o{k:03}" for k in range(i, i + 4)] for i in range(40)]  # each shares three with the next alone
     assert ask(chain)
     assert not ask([*chain[:4], *chain[5:]])
     assert not ask([*chain, ["o000", "o001", "x", "y"]])
@@ -171,6 +195,33 @@ def test_connected_keeps_the_callers_caches(spark):
     assert ask(many) == (len({root(i) for i in range(60)}) == 1)
 
 
+@pytest.mark.parametrize(("shared", "opinions", "size"), [(3, 30, 6), (3, 14, 5), (2, 40, 4)])
+def test_overlap_components(spark, shared, opinions, size):
+    rng = np.random.default_rng(opinions)
+    sets = {f"s{i:04}": {f"o{k}" for k in rng.choice(opinions, rng.integers(1, size + 1), replace=False)} for i in range(150)}
+    least = {s: s for s in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= shared:
+                    least[a] = min(least[a], least[b])
+        if all(least[a] == least[b] for a in sets for b in sets if len(sets[a] & sets[b]) >= shared):
+            break
+    rows = spark.createDataFrame([(s, o, 1) for s, p in sets.items() for o in p], "session_id string, opinion_id string, value int")
+    found = matrix.overlap_components(rows, rows.select("session_id").distinct(), rows.select("opinion_id").distinct(), shared)
+    assert {r["session_id"]: r["component"] for r in found.collect()} == least
+    assert len(set(least.values())) > 1
+
+
+def test_a_long_chain_in_few_rounds(spark):
+    """A chain of 10,000 links and a piece of its own: rounds by the logarithm of its length."""
+    links = spark.range(10_000).select(F.format_string("n%05d", "id").alias("a"), F.format_string("n%05d", F.col("id") + 1).alias("b")).where("a <> 'n09000'")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    found, rounds = components.components(nodes, links, small=0)
+    assert rounds <= 20
+    assert sorted((r["component"], r["count"]) for r in found.groupBy("component").count().collect()) == [("n00000", 9001), ("n09001", 1000)]
+
+
 def test_analysis_drops_invalid_answers_and_marks_mine(spark):
     from ballotry.plans.analysis import Options, analyze
 
