@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ballotry.sources.files import Tables
+
 from .common import cut, release
 
 
@@ -46,23 +48,32 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends are ignored; repeated edges and self-loops change nothing.
     """
     hashed = lambda *c: [F.xxhash64(x).alias(x) for x in c]
+    # tables, not checkpoints: these would keep estimates of size, which joins multiply round by round
+    tables = Tables(edges.sparkSession, "graph")
     both = edges.select("a", "b").where("a != b")
-    both, n = packed(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = tables.cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    n = both.count()
+    both = both.coalesce(tasks(n))
     if n <= TASK_ROWS:
         return ended(both, "node", "component")
     whole = pieces = tasks(n)
     labels = both.select(F.col("a").alias("node")).distinct().coalesce(whole).withColumn("name", F.xxhash64("node"))
     arcs = both.select(*hashed("a", "b"))
     while n > TASK_ROWS:
-        up = cut(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
-        labels = cut(labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole))
+        old = tables.count
+        up = tables.cut(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
+        labels = tables.cut(labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole))
         to = lambda end: up.select(F.col("name").alias(end), F.col("up").alias(f"{end}_up"))  # noqa: B023, E731
         moved = arcs.join(to("a"), "a").coalesce(pieces).join(to("b"), "b").where("a_up != b_up")
-        arcs, n = packed(moved.select(F.xxhash64("a_up").alias("a"), F.xxhash64("b_up").alias("b")).distinct().coalesce(pieces))
+        arcs = tables.cut(moved.select(F.xxhash64("a_up").alias("a"), F.xxhash64("b_up").alias("b")).distinct().coalesce(pieces))
+        n = arcs.count()
         pieces = tasks(n)
+        arcs = arcs.coalesce(pieces)
+        tables.drop_before(old + 1)
     if n:
         labels = labels.join(ended(arcs, "name", "up"), "name", "left").select("node", F.coalesce("up", "name").alias("name"))
-    labels = cut(labels.coalesce(whole))
+    labels = tables.cut(labels.coalesce(whole))
+    tables.drop_before(tables.count)
     least = labels.groupBy("name").agg(F.min("node").alias("component"))
     return labels.join(least, "name").select("node", "component").coalesce(whole)
 
