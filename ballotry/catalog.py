@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import ballots, bridges, evaluate, geometry, matrix, moderation, release, routing
-from .plans import analysis
+from .plans import analysis, ledger, release_build
 from .sources import adapter as A
-from .sources import synthetic
+from .sources import files, synthetic
 from .sources.adapter import with_views
 from .streaming import events as E
+from .streaming import sessions
+from .streaming.counters import Counters
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -212,7 +213,9 @@ def routing_distribution(s: SparkSession, d: str) -> DataFrame:
 
 @query(_ROUTING + ", q AS (SELECT *, (CAST(session_id AS INTEGER) % 97 + 0.5) / 97 AS r, sum(probability) OVER (PARTITION BY session_id ORDER BY tag_id, id) AS upto, row_number() OVER (PARTITION BY session_id ORDER BY tag_id, id) AS ord FROM pr) SELECT session_id, coalesce(arg_min(id, ord) FILTER (WHERE r < upto), arg_max(id, ord)) AS id FROM q GROUP BY 1")
 def routing_draw(s: SparkSession, d: str) -> DataFrame:
-    return routing.draw(_probabilities(s, d), (F.col("session_id").cast("int") % 97 + 0.5) / 97)
+    counts = ballots.opinion_counts(_first(s, d)).withColumnRenamed("opinion_id", "id")
+    who = A.impressions(s, d).select("session_id").distinct().withColumn("r", (F.col("session_id").cast("int") % 97 + 0.5) / 97)
+    return routing.draw_located(who, A.opinions(s, d).where("status = 'approved'").join(counts, "id"), _first(s, d), _issued(s, d))
 
 
 # Scalars
@@ -230,6 +233,22 @@ def sample_order(s: SparkSession, d: str) -> DataFrame:
     return A.ballots_raw(s, d).select("session_id").distinct().select("session_id", S.text_hash("session_id", 0x6A09E667).alias("hash"))
 
 
+_UNITS = "list_concat([], flatten(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN unicode(substr(t, i, 1)) < 65536 THEN [CAST(unicode(substr(t, i, 1)) AS UBIGINT)] ELSE [CAST(55296 + (unicode(substr(t, i, 1)) - 65536) // 1024 AS UBIGINT), CAST(56320 + (unicode(substr(t, i, 1)) - 65536) % 1024 AS UBIGINT)] END)))"
+
+
+@query(
+    "WITH d AS (SELECT doc_id, coalesce(source, '') || ['😀', 'é', '𝒳', 'ß', '漢𝄞'][CAST(doc_id % 5 AS INTEGER) + 1] || coalesce(text[:40], '') || CAST(doc_id AS VARCHAR) AS t FROM documents), "
+    f"h AS (SELECT doc_id, list_reduce(list_prepend(CAST({2166136261 ^ 0xBB67AE85} AS UBIGINT), {_UNITS}), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS v FROM d), "
+    "i AS (SELECT doc_id, ((xor(v, v >> 16)) * 2146121005) % 4294967296 AS v FROM h), j AS (SELECT doc_id, CAST((CAST(xor(v, v >> 15) AS HUGEINT) * 2221713035) % 4294967296 AS UBIGINT) AS v FROM i) "
+    "SELECT doc_id, CAST(xor(v, v >> 16) AS BIGINT) AS hash FROM j"
+)
+def utf16_hash(s: SparkSession, d: str) -> DataFrame:
+    """The hash over UTF-16 units of names with characters of one and of two units."""
+    sign = F.element_at(F.array(*(F.lit(c) for c in ("😀", "é", "𝒳", "ß", "漢𝄞"))), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
+    name = F.concat(F.coalesce("source", F.lit("")), sign, F.coalesce(F.substring("text", 1, 40), F.lit("")), F.col("doc_id").cast("string"))
+    return A.table(s, d, "documents").select("doc_id", S.text_hash(name, 0xBB67AE85).alias("hash"))
+
+
 @query(with_views("opinions") + "SELECT id, CASE WHEN created_at <> 0 THEN strftime(epoch_ms(created_at), '%Y-%m-%d') END AS utc_day, strftime(epoch_ms(created_at) + INTERVAL 9 HOURS, '%Y-%m-%d') AS local_day, sha256(id || ':' || tag_id) AS digest, strlen(source_ids) AS bytes FROM opinions")
 def scalar_functions(s: SparkSession, d: str) -> DataFrame:
     return A.opinions(s, d).select("id", S.iso_day("created_at").alias("utc_day"), S.local_day("created_at").alias("local_day"), F.sha2(F.concat_ws(":", "id", "tag_id"), 256).alias("digest"), F.octet_length("source_ids").cast("long").alias("bytes"))
@@ -321,6 +340,17 @@ def overlap_connected(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(matrix.connected(mine.cache(), sessions, ballots.retained(mine)),)], "connected boolean")
 
 
+@query(
+    "WITH RECURSIVE v AS (SELECT DISTINCT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS s, l_suppkey AS o FROM lineitem), e AS MATERIALIZED (SELECT a.s AS x, b.s AS y FROM v a JOIN v b ON a.o = b.o GROUP BY 1, 2 HAVING count(*) >= 3), "
+    "r(i, node, label, changed) AS (SELECT 0, s, s, true FROM (SELECT DISTINCT s FROM v) UNION ALL SELECT i + 1, node, least(label, l), coalesce(l < label, false) FROM (SELECT r.i, r.node, r.label, m.l FROM r LEFT JOIN (SELECT e.y AS node, min(label) AS l FROM r JOIN e ON e.x = r.node GROUP BY 1) m USING (node)) WHERE (SELECT bool_or(changed) FROM r)) "
+    "SELECT node AS session_id, label AS component FROM r WHERE i = (SELECT max(i) FROM r)"
+)
+def overlap_components(s: SparkSession, d: str) -> DataFrame:
+    """Orders as sessions and their suppliers as opinions: a graph of many components."""
+    votes = A.table(s, d, "lineitem").select(F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("session_id"), F.col("l_suppkey").cast("string").alias("opinion_id"), F.lit(1).alias("value"))
+    return matrix.overlap_components(votes, votes.select("session_id").distinct(), votes.select("opinion_id").distinct())
+
+
 @query()
 def analysis_status(s: SparkSession, d: str) -> DataFrame:
     """Status, groups and silhouette of the whole analysis."""
@@ -511,7 +541,24 @@ def release_pages(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("page").agg(F.count("*").alias("n"), F.min("session_id").alias("first_session"), F.max("session_id").alias("last_session"))
 
 
-@query()
+_RESPONSE = "CASE value WHEN -1 THEN 'agree' WHEN 1 THEN 'disagree' WHEN 0 THEN 'pass' ELSE 'unrelated' END"
+_RESPONSE_LINE = f"""'{{"session_id":"' || session_id || '","opinion_id":"' || opinion_id || '","response":"' || {_RESPONSE} || '","analysis_value":' || CASE WHEN value <> 2 THEN CAST(value AS VARCHAR) ELSE 'null' END || '}}'"""
+
+
+def _pages_sql(rows: str, name: str, page_bytes: int) -> str:
+    """Views of greedy pages over rows(k, rn, line, included), each k by itself: where a page that begins at a
+    row ends, for every row; the pages that begin where one ended; their bodies."""
+    x, n, p, b = (f"{name}_{c}" for c in "xnpb")
+    return (
+        f"{x} AS MATERIALIZED (SELECT *, sum(z) OVER (PARTITION BY k ORDER BY rn) AS upto FROM (SELECT *, CASE WHEN included THEN strlen(line) + 1 ELSE 0 END AS z FROM {rows})), "
+        f"{n} AS MATERIALIZED (SELECT s.k, s.rn, s.rn + 1 + count(y.rn) AS after FROM {x} s LEFT JOIN {x} y ON y.k = s.k AND y.rn > s.rn AND y.rn < s.rn + 500 AND y.upto - s.upto + s.z <= {page_bytes} GROUP BY 1, 2), "
+        f"{p}(k, a) AS (SELECT k, min(rn) FROM {n} GROUP BY 1 UNION ALL SELECT {p}.k, {n}.after FROM {p} JOIN {n} ON {n}.k = {p}.k AND {n}.rn = a), "
+        f"{b} AS MATERIALIZED (SELECT x.k, row_number() OVER (PARTITION BY x.k ORDER BY a) AS page, min(rn) AS first_rn, max(rn) AS last_rn, count(*) FILTER (WHERE included) AS rows, CAST(sum(z) AS BIGINT) AS byte_length, sha256(string_agg(line || chr(10), '' ORDER BY rn) FILTER (WHERE included)) AS sha256 "
+        f"FROM {x} x ASOF JOIN {p} p ON p.k = x.k AND p.a <= x.rn GROUP BY x.k, a HAVING count(*) FILTER (WHERE included) > 0) "
+    )
+
+
+@query(FIRST.replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + f", li AS (SELECT 1 AS k, row_number() OVER (ORDER BY session_id, opinion_id) AS rn, {_RESPONSE_LINE} AS line, value <> 2 AS included FROM first JOIN (SELECT DISTINCT 'O' || lpad(regexp_extract(p_brand, '([0-9]+)', 1), 2, '0') AS opinion_id FROM part) USING (opinion_id)), " + _pages_sql("li", "g", 40_000) + "SELECT page, first_rn, last_rn, rows, byte_length, sha256 FROM g_b")
 def release_page_bodies(s: SparkSession, d: str) -> DataFrame:
     """Pages with their bytes and digests, by both rules."""
     rows = moderation.public_responses(_first(s, d), A.opinions(s, d))
@@ -519,6 +566,50 @@ def release_page_bodies(s: SparkSession, d: str) -> DataFrame:
     return release.pages(rows, page_bytes=40_000).drop("body")
 
 
+def _release_sources(s: SparkSession, d: str) -> release_build.Sources:
+    at = A.opinions(s, d)
+    public = at.select("id", "status", F.lit(1).alias("revision"), F.col("created_at").alias("seq"), F.from_json("source_ids", "array<string>").alias("source_ids"), "tag_id", S.iso_day("created_at").alias("created_date"))
+    opinions = public.withColumn("line", release.lines_of(public, ["id", "tag_id", "source_ids", "created_date"]))
+    answers = moderation.public_responses(_first(s, d), at)
+    seq = F.concat("session_id", "opinion_id").alias("seq")
+    responses = answers.select(seq, "opinion_id", release.lines_of(answers, ["session_id", "opinion_id", "response", "analysis_value"]).alias("line"))
+
+    def presentations(marks: dict) -> DataFrame:
+        rows = moderation.public_presentations(A.impressions(s, d), marks["events"])
+        return rows.select(seq, "opinion_id", release.lines_of(rows, ["session_id", "opinion_id", "displayed", "answered", "retired"]).alias("line"))
+
+    marks = lambda: release.freeze({"opinions": (at, "created_at"), "events": (A.table(s, d, "events"), "event_id")}) | {"responses": "99999999O99"}
+    return release_build.Sources(opinions, responses, presentations, marks)
+
+
+_ref = """'{"part":"' || part || '","sha256":"' || sha256 || '","row_count":' || rows || ',"byte_length":' || byte_length || '}'"""
+_INDEX = (
+    f"dp AS MATERIALIZED (SELECT k AS kind, page, 'd-' || k || '-' || lpad(CAST(page AS VARCHAR), 12, '0') AS part, rows, byte_length, sha256 FROM g_b), tp AS (SELECT kind, max(page) AS pages, CAST(sum(rows) AS BIGINT) AS rows FROM dp GROUP BY 1), "
+    f"gr AS MATERIALIZED (SELECT kind, (pages - page) // 16 AS g, count(*) AS n, string_agg({_ref.replace('rows ||', 'dp.rows ||')}, ',' ORDER BY page) AS refs FROM dp JOIN tp USING (kind) GROUP BY 1, 2), "
+    "ib(kind, g, part, rows, byte_length, sha256, ref) AS (SELECT kind, CAST(-1 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), 'null' FROM tp UNION ALL "
+    f"SELECT kind, g, part, rows, byte_length, sha256, {_ref} FROM (SELECT kind, g, 'i-' || kind || '-' || lpad(CAST(g + 1 AS VARCHAR), 12, '0') AS part, n AS rows, strlen(body) AS byte_length, sha256(body) AS sha256 FROM (SELECT gr.kind, gr.g, gr.n, "
+    """'{"schema_version":3,"kind":"page_index","release_id":"r1","table":"' || gr.kind || '","pages":[' || refs || '],"next":' || ib.ref || '}' AS body FROM ib JOIN gr ON gr.kind = ib.kind AND gr.g = ib.g + 1))), """
+    """ti AS (SELECT kind, arg_max(ref, g) AS ref FROM ib GROUP BY 1), mk AS (SELECT string_agg('"' || kind || '":{"rows":' || rows || ',"pages":' || pages || ',"index":' || ref || '}', ',' ORDER BY CASE kind WHEN 'opinions' THEN 1 WHEN 'responses' THEN 2 ELSE 3 END) AS t FROM tp JOIN ti USING (kind)), """
+    """mb AS (SELECT '{"schema_version":3,"format":"jsonl-pages-v1","release":{"id":"r1","prepared_at":"2026-01-01T00:00:00Z","cutoff":"2026-01-01T00:00:00Z","description":""},"updated_through":"2026-01-01T00:00:00Z","tables":{' || t || '}}' AS body FROM mk) """
+    "SELECT part, rows AS row_count, byte_length, sha256 FROM dp UNION ALL SELECT part, rows, byte_length, sha256 FROM ib WHERE g >= 0 UNION ALL SELECT 'manifest', 1, strlen(body), sha256(body) FROM mb"
+)
+
+
+@query(
+    with_views("planted", "first", "opinions", "impressions").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", me AS (SELECT id FROM opinions WHERE status = 'approved'), "
+    """lo AS (SELECT 'opinions' AS k, row_number() OVER (ORDER BY created_at) AS rn, '{"id":"' || id || '","tag_id":"' || tag_id || '","source_ids":' || source_ids || ',"created_date":' || CASE WHEN created_at <> 0 THEN '"' || strftime(epoch_ms(created_at), '%Y-%m-%d') || '"' ELSE 'null' END || '}' AS line, id IN (FROM me) AS included FROM opinions), """
+    f"lr AS (SELECT 'responses' AS k, row_number() OVER (ORDER BY session_id || opinion_id) AS rn, {_RESPONSE_LINE} AS line, opinion_id IN (FROM me) AS included FROM first JOIN opinions ON id = opinion_id), "
+    """lp AS (SELECT 'presentations' AS k, row_number() OVER (ORDER BY session_id || opinion_id) AS rn, '{"session_id":"' || session_id || '","opinion_id":"' || opinion_id || '","displayed":' || bool_or(type = 'shown') || ',"answered":' || bool_or(type = 'answered') || ',"retired":' || bool_or(type = 'retired') || '}' AS line, opinion_id IN (FROM me) AS included FROM impressions GROUP BY session_id, opinion_id), """
+    "al AS (FROM lo UNION ALL FROM lr UNION ALL FROM lp), " + _pages_sql("al", "g", 40_000)[:-1] + ", " + _INDEX
+)
+def release_build_parts(s: SparkSession, d: str) -> DataFrame:
+    """A release of all three kinds, built in steps of a few blocks: its pages, indexes and root manifest."""
+    built = release_build.Release(s, _folder(s), _release_sources(s, d), release_build.Sizes(page_bytes=40_000, index_refs=16, batch_blocks=8, batch_indexes=4))
+    built.prepare("r1", 0, "2026-01-01T00:00:00Z")
+    built.build(0)
+    return built.every_part().select("part", "row_count", "byte_length", "sha256")
+
+
 @query(FIRST[:-1] + ", n AS (SELECT count(*) AS rows FROM first), p AS (SELECT CAST(unnest(range(0, (SELECT (rows + 499) // 500 FROM n))) AS BIGINT) AS part), b AS (SELECT ((SELECT count(*) FROM p) - 1 - part) // 16 AS back, part FROM p) SELECT CAST(back AS BIGINT) AS \"index\", count(*) AS parts, min(part) AS first_part, CASE WHEN back > 0 THEN CAST(back - 1 AS BIGINT) END AS next FROM b GROUP BY back")
 def page_index(s: SparkSession, d: str) -> DataFrame:
     n = _first(s, d).agg(F.count("*").alias("rows"))
@@ -618,8 +709,77 @@ def session_phase(s: SparkSession, d: str) -> DataFrame:
     return E.phases(A.impressions(s, d))
 
 
+_LOG = "ev AS (SELECT event_id AS seq, lpad(CAST(user_id AS VARCHAR), 8, '0') AS s, 'O' || lpad(json_extract_string(props, '$.k'), 2, '0') AS o, CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'answer' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'hide' ELSE 'restore' END WHEN 'purchase' THEN CASE json_extract_string(props, '$.k') WHEN '1' THEN 'finish' WHEN '2' THEN 'end' END END AS type FROM events)"
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    """The events as a log of commands and changes of approval."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.when(F.col("event_type") == "view", "request").when(F.col("event_type") == "click", "answer").when(F.col("event_type") == "signup", F.when(F.col("event_id") % 2 == 0, "hide").otherwise("restore"))
+    kind = kind.when((F.col("event_type") == "purchase") & (k == "1"), "finish").when((F.col("event_type") == "purchase") & (k == "2"), "end")
+    return A.table(s, d, "events").select(F.col("event_id").alias("seq"), F.lpad(F.col("user_id").cast("string"), 8, "0").alias("session_id"), kind.alias("type"), F.concat(F.lit("O"), F.lpad(k, 2, "0")).alias("opinion_id")).where("type is not null")
+
+
+@query(
+    f"WITH RECURSIVE {_LOG}, ch AS (SELECT o, seq, type = 'hide' AS hide FROM ev WHERE type IN ('hide', 'restore')), hi AS (SELECT o, seq FROM ch WHERE hide), "
+    "c AS MATERIALIZED (SELECT e.s, e.seq, e.type, e.o, row_number() OVER (PARTITION BY e.s ORDER BY e.seq) AS i, coalesce(h.hide, false) AS hidden, u.seq AS until FROM (SELECT * FROM ev WHERE type IN ('request', 'answer', 'finish', 'end')) e ASOF LEFT JOIN ch h ON h.o = e.o AND h.seq < e.seq ASOF LEFT JOIN hi u ON u.o = e.o AND u.seq > e.seq), "
+    "r(s, i, phase, card, until, answered, ret, ret_seq, kind, o, seq) AS (SELECT s, CAST(0 AS BIGINT), 'active', CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM (SELECT DISTINCT s FROM c) UNION ALL "
+    "SELECT s, i, CASE kind WHEN 'reflect' THEN 'reflect' WHEN 'ended' THEN 'ended' ELSE phase END, CASE kind WHEN 'issued' THEN o WHEN 'answered' THEN NULL ELSE held END, CASE kind WHEN 'issued' THEN next_hide WHEN 'answered' THEN NULL ELSE CASE WHEN held IS NULL THEN NULL ELSE until END END, CASE kind WHEN 'answered' THEN list_append(answered, held) ELSE answered END, "
+    "CASE WHEN gone THEN card END, CASE WHEN gone THEN until END, kind, CASE kind WHEN 'issued' THEN o WHEN 'answered' THEN held END, seq FROM (SELECT *, CASE WHEN type = 'request' AND phase = 'active' AND held IS NULL AND NOT hidden AND NOT list_contains(answered, o) THEN 'issued' WHEN type = 'answer' AND phase = 'active' AND held IS NOT NULL THEN 'answered' WHEN type = 'finish' AND phase = 'active' THEN 'reflect' WHEN type = 'end' AND phase <> 'ended' THEN 'ended' END AS kind "
+    "FROM (SELECT *, CASE WHEN gone THEN NULL ELSE card END AS held FROM (SELECT c.s, c.i, c.seq, c.type, c.o, c.hidden, c.until AS next_hide, r.phase, r.card, r.until, r.answered, coalesce(r.card IS NOT NULL AND r.until < c.seq, false) AS gone FROM r JOIN c ON c.s = r.s AND c.i = r.i + 1)))) "
+    "SELECT s AS session_id, o AS opinion_id, kind, seq FROM r WHERE kind IS NOT NULL UNION ALL SELECT s, ret, 'retired', ret_seq FROM r WHERE ret IS NOT NULL UNION ALL SELECT s, l.card, 'retired', l.until FROM (SELECT s, max_by(struct_pack(card := card, until := until), i) AS l FROM r GROUP BY 1) WHERE l.card IS NOT NULL AND l.until IS NOT NULL"
+)
+def session_machine(s: SparkSession, d: str) -> DataFrame:
+    """Cards issued, answered and retired, and phases entered, by a keyed stream that is stopped half
+    way and goes on from its state."""
+    folder, log = _folder(s), _log(s, d)
+    sessions.rocksdb(s)
+    half = log.agg(F.max("seq")).first()[0] // 2
+    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        out = sessions.machine(E.read_stream(s, f"{folder}/log", "*.parquet", 1), buckets=8)
+        E.append_stream(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return s.read.parquet(f"{folder}/out").select("session_id", "opinion_id", "kind", "seq")
+
+
+@query(with_views("planted", "first", "opinions")[:-1] + ", nw AS (SELECT id, CASE WHEN status = 'pending' THEN 'approved' WHEN tag_id = 'T3' THEN 'hidden' ELSE status END AS status FROM opinions) SELECT session_id, count(*) AS n FROM first JOIN nw ON id = opinion_id AND status = 'approved' WHERE opinion_id >= 'O15' OR opinion_id < 'O12' GROUP BY 1")
+def counters_merged(s: SparkSession, d: str) -> DataFrame:
+    """Approved answers of each session, merged from three batches: answers, then changes of approval and
+    removals, then one that is merged again."""
+    folder, first, at = _folder(s), _first(s, d), A.opinions(s, d)
+    kept = Counters(s, f"{folder}/counters")
+    none = lambda df: df.select(F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("session_id"), F.col("id").alias("opinion_id"), F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("sign"), F.col("approved"))
+    answers = lambda df, seq, sign: df.select(F.lit(seq).cast("long").alias("seq"), "session_id", "opinion_id", F.col("value").cast("int").alias("value"), F.lit(sign).alias("sign"), F.lit(None).cast("boolean").alias("approved"))
+    low = first.where("opinion_id < 'O15' and opinion_id >= 'O12'")
+    after = at.withColumn("approved", F.when(F.col("status") == "pending", True).when(F.col("tag_id") == "T3", False).otherwise(F.col("status") == "approved"))
+    batches = [none(at.withColumn("approved", F.col("status") == "approved")).union(answers(first, 1, 1)), none(after).withColumn("seq", F.lit(2).cast("long")).union(answers(low, 3, -1))]
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{folder}/log")
+        kept.run(E.read_stream(s, f"{folder}/log", "*.parquet", 1), f"{folder}/state").awaitTermination()
+    kept.merge(batches[1], kept.states.current()["batch"])
+    return kept.table("sessions")
+
+
+@query(
+    with_views("opinions", "impressions")[:-1] + ", sh AS (SELECT session_id, opinion_id, event_id, row_number() OVER (PARTITION BY session_id, opinion_id ORDER BY event_id) AS k FROM impressions WHERE type = 'shown'), "
+    "g AS (SELECT * FROM sh WHERE k = 1 AND opinion_id IN (SELECT id FROM opinions WHERE status = 'approved') AND NOT EXISTS (SELECT 1 FROM impressions r WHERE r.type = 'retired' AND r.session_id = sh.session_id AND r.opinion_id = sh.opinion_id)) "
+    "SELECT session_id, opinion_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS sequence FROM g"
+)
+def guarded_append(s: SparkSession, d: str) -> DataFrame:
+    """Cards that were shown, stored in two batches: once for each session and opinion, if the opinion is
+    approved and the card wasn't retired, numbered in each session without gaps. A batch comes twice."""
+    rows = A.impressions(s, d)
+    shown = rows.where("type = 'shown'").select("session_id", "opinion_id", "event_id")
+    approved = A.opinions(s, d).where("status = 'approved'").select(F.col("id").alias("opinion_id"))
+    retired = rows.where("type = 'retired'").select("session_id", "opinion_id")
+    book = ledger.Ledger(s, _folder(s), "session_id string, opinion_id string, event_id long", ["session_id", "opinion_id"], "session_id", ["event_id"])
+    half = shown.agg(F.max("event_id")).first()[0] // 2
+    guard = lambda new, _: ballots.guarded(new, [(approved, ["opinion_id"])], [(retired, ["session_id", "opinion_id"])])
+    for number, part in ((0, shown.where(F.col("event_id") <= half)), (1, shown.where(F.col("event_id") > half)), (1, shown)):
+        book.append(part, number, guard)
+    return book.rows()
+
+
 def _folder(s: SparkSession) -> str:
     """A new folder that executors share: under the checkpoint folder the session names."""
-    import uuid
-
-    return f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/ballotry-{uuid.uuid4().hex}"
+    return files.new_folder(s, "ballotry")

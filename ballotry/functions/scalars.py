@@ -53,10 +53,18 @@ def _xor_shift(value: Column, bits: int) -> Column:
     return value.bitwiseXOR(F.shiftrightunsigned(value, bits))
 
 
+def utf16_units(text: Column | str) -> Column:
+    """The UTF-16 units of a text as an array of numbers: a character beyond the first 65,536 is two."""
+    t = F.col(text) if isinstance(text, str) else text
+    points = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    high = lambda p: F.lit(0xD800) + F.shiftright(p - 0x10000, 10)
+    low = lambda p: F.lit(0xDC00) + (p - 0x10000).bitwiseAND(F.lit(0x3FF))
+    return F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(F.array(high(p), low(p)))))
+
+
 def text_hash(text: Column | str, salt: int = 0) -> Column:
-    """A salted 32-bit FNV-1a hash of ASCII text with a two-multiply finish, as a long."""
-    chars = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))
-    value = F.aggregate(F.when(F.length(text) > 0, chars).otherwise(F.array().cast("array<bigint>")), F.lit((2166136261 ^ salt) & M32).cast("long"), lambda h, c: multiply32(h.bitwiseXOR(c), 16777619))
+    """A salted 32-bit FNV-1a hash over a text's UTF-16 units with a two-multiply finish, as a long."""
+    value = F.aggregate(utf16_units(text), F.lit((2166136261 ^ salt) & M32).cast("long"), lambda h, c: multiply32(h.bitwiseXOR(c), 16777619))
     value = _xor_shift(multiply32(_xor_shift(value, 16), 0x7FEB352D), 15)
     return _xor_shift(multiply32(value, 0x846CA68B), 16)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .release import numbered
+
 
 def valid(ballots: DataFrame, opinions: DataFrame | None = None) -> DataFrame:
     """Answers that are -1, 0 or 1, to a known opinion."""
@@ -64,3 +66,21 @@ def session_counts(answers: DataFrame, opinions: DataFrame) -> DataFrame:
 def community_totals(answers: DataFrame, opinions: DataFrame) -> DataFrame:
     """Approved answers and sessions with one or more: sums of the sessions' counts, 0 for none."""
     return session_counts(answers, opinions).agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("votes"), F.count("*").alias("sessions"))
+
+
+def guarded(arriving: DataFrame, exists: list[tuple[DataFrame, list[str]]], missing: list[tuple[DataFrame, list[str]]]) -> DataFrame:
+    """Rows that have a partner in each of some tables and none in each of others, by the named columns."""
+    for other, on in exists:
+        arriving = arriving.join(other.select(*on).distinct(), on, "left_semi")
+    for other, on in missing:
+        arriving = arriving.join(other.select(*on).distinct(), on, "left_anti")
+    return arriving
+
+
+def next_numbers(rows: DataFrame, key: str, order: list[str], last: DataFrame, name: str = "sequence") -> DataFrame:
+    """rows with a number for each key that goes on from last(key, number) without gaps, in an order.
+    Ranges of (key, order) are numbered in parallel, so one key's rows need not meet in one task."""
+    at = numbered(rows, [key, *order])
+    first = at.groupBy(key).agg(F.min("rn").alias("_first"))
+    had = last.select(key, F.col("number").alias("_had"))
+    return at.join(first.join(had, key, "left"), key).withColumn(name, F.col("rn") - F.col("_first") + 1 + F.coalesce("_had", F.lit(0))).drop("rn", "_first", "_had")

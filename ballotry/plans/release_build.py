@@ -27,9 +27,15 @@ from .state import States
 KINDS = ("opinions", "responses", "presentations")
 #: Names of a release's parts.
 PART = re.compile(r"manifest|[di]-(opinions|responses|presentations)-[0-9]{12}")
+_REF = ("part", "sha256", "row_count", "byte_length")
 _PART_ROW = "part string, sha256 string, row_count long, byte_length long, body string"
 
 
+def _ref(part: dict | None) -> dict | None:
+    """What an index or the manifest says of a part, in this order."""
+    return part and {c: part[c] for c in _REF}
+
+
 class Conflict(Exception):
     """Another writer was first, or what the release rests on has changed."""
 
@@ -169,7 +175,7 @@ class Release:
             p = p.sort_values("n")
             if p["n"].tolist() != list(range(low + 1, top + 1)):
                 raise ValueError(f"pages of {kind} are missing")
-            known, out, at = p[["part", "sha256", "row_count", "byte_length"]].to_dict("records"), [], have["index"]
+            known, out, at = p[list(_REF)].to_dict("records"), [], _ref(have["index"])
             for end in range(top, low, -s.index_refs):
                 some = known[max(end - s.index_refs, low) - low : end - low]
                 body = json.dumps({"schema_version": 3, "kind": "page_index", "release_id": name, "table": kind, "pages": some, "next": at}, separators=(",", ":"))
@@ -185,7 +191,7 @@ class Release:
         return self._commit(now, counts=counts, **more, wrote={"what": "parts", "kind": f"index:{kind}", "path": path})
 
     def _manifest(self, now: dict) -> dict:
-        tables = {k: {n: c[n] for n in ("rows", "pages", "index")} for k, c in now["counts"].items()}
+        tables = {k: {"rows": (c := now["counts"][k])["rows"], "pages": c["pages"], "index": _ref(c["index"])} for k in KINDS}
         root = {"schema_version": 3, "format": "jsonl-pages-v1", "release": {"id": now["id"], "prepared_at": now["created"], "cutoff": now["created"], "description": now["reason"]}, "updated_through": now["created"], **now["metadata"], "tables": tables}
         body = json.dumps(root, separators=(",", ":"))
         sha = hashlib.sha256(body.encode()).hexdigest()

@@ -232,3 +232,42 @@ def test_analysis_drops_invalid_answers_and_marks_mine(spark):
     assert out.status == "ready" and [n for _, n in out.groups] == [10, 10]
     assert out.diagnostics["retained_opinions"] == 12
     assert [r["session_id"] for r in out.points.where("mine").collect()] == ["s003"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_located_draws_are_those_of_the_distribution(spark, seed):
+    rng = np.random.default_rng(seed)
+    ops = [(f"o{i:02}", f"t{rng.integers(4)}", f"s{rng.integers(12):02}" if rng.random() < 0.4 else None, *(int(x) for x in rng.integers(0, 9, 4) * rng.integers(0, 2))) for i in range(25)]
+    opinions = spark.createDataFrame(ops, "id string, tag_id string, author_session string, agree long, disagree long, pass long, unrelated long")
+    seen = [(f"s{s:02}", f"o{o:02}") for s in range(12) for o in range(25) if rng.random() < (1 if s == 3 else 0.3)]  # one has seen all
+    answers = spark.createDataFrame(seen, "session_id string, opinion_id string")
+    issued = spark.createDataFrame([(f"s{s:02}", f"t{t}", int(rng.integers(1, 6))) for s in range(12) for t in range(4) if rng.random() < 0.5], "session_id string, tag_id string, n long")
+    for r in (0.0, 0.37, 0.81, 0.9999999999999999):
+        who = spark.createDataFrame([(f"s{s:02}", r) for s in range(13)], "session_id string, r double")
+        found, full = ({x["session_id"]: x["id"] for x in routing.draw_located(who, opinions, answers, issued, most).collect()} for most in (1000, 0))
+        assert found == full and "s03" not in found and len(found) == 12
+    assert routing.draw_located(who, opinions.limit(0), answers, issued).collect() == []
+
+
+def test_next_numbers_go_on_without_gaps(spark):
+    rows = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i % 7}", i) for i in range(50)], "k string, at long").repartition(5)
+    last = spark.createDataFrame([("hot", 10), ("k3", 2), ("gone", 4)], "k string, number long")
+    got = {}
+    for r in ballots.next_numbers(rows, "k", ["at"], last).orderBy("k", "at").collect():
+        got.setdefault(r["k"], []).append(r["sequence"])
+    assert got["hot"] == list(range(11, 511)) and got["k3"][0] == 3 and got["k1"] == list(range(1, len(got["k1"]) + 1))
+
+
+def test_of_two_appends_one_has_to_be_done_again(spark, tmp_path):
+    from ballotry.plans.ledger import Ledger
+
+    book = Ledger(spark, str(tmp_path), "s string, o string, at long", ["s", "o"], "s", ["at"])
+    batch = lambda *rows: spark.createDataFrame(rows, "s string, o string, at long")
+    assert book.append(batch(("a", "x", 1), ("a", "x", 2), ("b", "x", 3)), 0) == 2
+    began = book.states.current()
+    assert book.append(batch(("a", "y", 4)), 1) == 1
+    with pytest.raises(RuntimeError):
+        book.append(batch(("a", "z", 5)), 2, from_state=began)
+    assert book.append(batch(("a", "z", 5), ("a", "y", 6)), 2) == 1
+    assert book.append(batch(("a", "z", 5)), 2) is None
+    assert sorted((r["s"], r["o"], r["sequence"]) for r in book.rows().collect()) == [("a", "x", 1), ("a", "y", 2), ("a", "z", 3), ("b", "x", 1)]

@@ -26,14 +26,15 @@ def test_wilson(spark):
 
 def plain_hash(text, salt):
     v = (2166136261 ^ salt) & 0xFFFFFFFF
-    for c in text:
-        v = (v ^ ord(c)) * 16777619 & 0xFFFFFFFF
+    units = text.encode("utf-16-be")
+    for c in (int.from_bytes(units[i : i + 2]) for i in range(0, len(units), 2)):
+        v = (v ^ c) * 16777619 & 0xFFFFFFFF
     v = (v ^ v >> 16) * 0x7FEB352D & 0xFFFFFFFF
     v = (v ^ v >> 15) * 0x846CA68B & 0xFFFFFFFF
     return v ^ v >> 16
 
 
-@pytest.mark.parametrize("text", ["", "a", "session-00042", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz"])
+@pytest.mark.parametrize("text", ["", "a", "session-00042", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz", "é", "日本", "😀", "a😀é𝒳z"])
 def test_text_hash(spark, text):
     assert one(spark, S.text_hash(F.lit(text), 0x6A09E667)) == plain_hash(text, 0x6A09E667)
 
