@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -110,13 +110,20 @@ def draw_located(sessions: DataFrame, opinions: DataFrame, answers: DataFrame, i
             def running(at: np.ndarray) -> np.ndarray:  # sums of the session's own candidates from the tag's first to this place
                 return upto[at + 1] - upto[begin[t]] - (gone_upto[np.searchsorted(keys, row * len(ids) + at, side="right")] - gone_upto[base])
 
-            low, high = begin[t].copy(), begin[t + 1] - 1
-            while (low < high).any():
-                mid = (low + high) // 2
-                sums = running(mid)
-                # beyond the draw, or all candidates passed (the last one takes what rounding leaves)
-                far = ((sums[:, :3] * weights).sum(1) > aim) | (np.rint(sums[:, 0]) >= m[row, t])
-                high, low = np.where(far, mid, high), np.where(far, low, np.minimum(mid + 1, high))
+            def first(far: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:  # the first place of the tag from which it holds
+                low, high = begin[t].copy(), begin[t + 1] - 1
+                while (low < high).any():
+                    mid = (low + high) // 2
+                    yes = far(running(mid))
+                    high, low = np.where(yes, mid, high), np.where(yes, low, np.minimum(mid + 1, high))
+                return low
+
+            # beyond the draw, or all candidates passed: the last one takes what rounding leaves
+            at = first(lambda sums: (np.rint(sums[:, 0]) >= 1) & (((sums[:, :3] * weights).sum(1) > aim) | (np.rint(sums[:, 0]) >= m[row, t])))
+            # by count, which is exact, to a candidate: rounding may have stopped at an answer of the session's own
+            own = np.isin(row * len(ids) + at, keys)
+            nth = np.minimum(np.rint(running(at)[:, 0]) + own, m[row, t])
+            low = first(lambda sums: np.rint(sums[:, 0]) >= nth)
             any_left = there.any(1)
             yield pd.DataFrame({"session_id": b["session_id"][any_left], "id": ids[low[any_left]]})
 
