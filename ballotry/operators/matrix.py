@@ -2,19 +2,22 @@
 
 Ballots stay in long form, so a missing answer is an absent row. What comes to the driver is
 one row for each pair of retained opinions, whatever the number of sessions; of more than
-MAX_OPINIONS it is one number an opinion for each multiplication, and no pair is made.
+MAX_OPINIONS the votes are dealt once into blocks of sessions; each multiplication then is one pass over
+the blocks without a shuffle, no pair is made, and each task sends one number an opinion.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
 from ..sources.files import Tables
 from .components import components
 
@@ -60,18 +63,66 @@ def spread(votes: DataFrame, kept: DataFrame, ids: list[str]) -> Spread:
     if len(ids) <= MAX_OPINIONS:
         c = dense(scatter(votes, kept), ids)
         return Spread(lambda v: c @ v, float(np.trace(c)))
-    off = votes.join(kept.select("opinion_id", "mean"), "opinion_id").select("session_id", "opinion_id", (F.col("value") - F.col("mean")).alias("off")).cache()
-    place = {o: i for i, o in enumerate(ids)}
-
-    def multiply(v: np.ndarray) -> np.ndarray:
-        by = votes.sparkSession.createDataFrame(list(zip(ids, v.tolist(), strict=True)), "opinion_id string, v double")
-        centred = off.join(by, "opinion_id").groupBy("session_id").agg(F.sum(F.col("off") * F.col("v")).alias("x"))
-        out = np.zeros(len(ids))
-        for o, x in off.join(centred, "session_id").groupBy("opinion_id").agg(F.sum(F.col("off") * F.col("x"))).collect():
-            out[place[o]] = x
-        return out
-
-    return Spread(multiply, float(off.agg(F.sum(F.col("off") * F.col("off"))).first()[0] or 0), off.unpersist)
+    tables = Tables(votes.sparkSession, "blocks")
+    blocks = session_blocks(votes, kept, ids, tables)
+    trace = blocks.agg(F.sum("square")).first()[0] or 0.0
+    return Spread(lambda v: multiplied(blocks, v), float(trace), lambda: files.delete(votes.sparkSession, tables.folder))
+
+
+#: Answers of a block, and numbers of partial sums that the driver adds itself.
+BLOCK_ANSWERS, GATHERED = 1_000_000, 8_000_000
+
+
+def session_blocks(votes: DataFrame, kept: DataFrame, ids: list[str], tables: Tables) -> DataFrame:
+    """(block, starts, places, off, square): the centred answers of whole sessions, as arrays, with the
+    places of their opinions in ids and the sum of their squares. The votes are shuffled for this once;
+    all multiplications read it as it is written."""
+    spark = votes.sparkSession
+    place = spark.createDataFrame([(o, i) for i, o in enumerate(ids)], "opinion_id string, place int")
+    off = votes.join(kept.select("opinion_id", "mean").join(place, "opinion_id"), "opinion_id").select("session_id", "place", (F.col("value") - F.col("mean")).alias("off"))
+    count = max(1, -(-votes.count() // BLOCK_ANSWERS))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("session_id", "ascending"), ("place", "ascending")])
+        session = t["session_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.diff(session, prepend=-1))
+        values = t["off"].to_numpy()
+        data = [starts.astype("<i8"), t["place"].to_numpy().astype("<i4"), values.astype("<f8")]
+        return pa.table({"block": t["block"][:1].combine_chunks(), **{n: pa.array([d.tobytes()], pa.binary()) for n, d in zip(("starts", "places", "off"), data, strict=True)}, "square": [float(values @ values)]})
+
+    at = off.withColumn("block", F.pmod(F.xxhash64("session_id"), F.lit(count)).cast("int"))
+    return tables.cut(at.groupBy("block").applyInArrow(pack, "block int, starts binary, places binary, off binary, square double"))
+
+
+def multiplied(blocks: DataFrame, v: np.ndarray) -> np.ndarray:
+    """The scatter matrix of blocks times a vector, or some vectors as columns: each task adds up its
+    blocks, and the driver the tasks' sums. Where these are many, tasks add them up in between."""
+    columns = v.reshape(len(v), -1)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, first = np.zeros(columns.shape), -1
+        for batch in batches:
+            for block, starts, places, off in zip(*(batch[n].to_pylist() for n in ("block", "starts", "places", "off")), strict=True):
+                starts, places, off = np.frombuffer(starts, "<i8"), np.frombuffer(places, "<i4"), np.frombuffer(off, "<f8")
+                lengths = np.diff(starts, append=len(off))
+                for c in range(columns.shape[1]):
+                    x = np.add.reduceat(off * columns[places, c], starts)
+                    out[:, c] += np.bincount(places, off * np.repeat(x, lengths), len(out))
+                first = max(first, block)
+        if first >= 0:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([out.tobytes()], pa.binary())], ["at", "sums"])
+
+    def join(t: pa.Table) -> pa.Table:
+        t = t.sort_by("at")
+        whole = np.sum([np.frombuffer(s, "<f8") for s in t["sums"].to_pylist()], axis=0)
+        return pa.table({"at": t["at"][:1].combine_chunks(), "sums": pa.array([whole.tobytes()], pa.binary())})
+
+    partial = blocks.mapInArrow(add, "at long, sums binary")
+    tasks = blocks.rdd.getNumPartitions()
+    if tasks * columns.size > GATHERED:
+        partial = partial.groupBy(F.pmod("at", F.lit(max(1, math.isqrt(tasks)))).alias("group")).applyInArrow(join, "at long, sums binary")
+    sums = [np.frombuffer(s, "<f8") for _, s in sorted((r["at"], bytes(r["sums"])) for r in partial.collect())]
+    return np.sum(sums, axis=0).reshape(v.shape) if sums else np.zeros(v.shape)
 
 
 #: Opinions of the answer patterns with which one pass over all others begins, and such passes.
@@ -226,7 +277,8 @@ def principal(c: Spread, ids: list[str], means: list[float], iterations: int = 1
         return out - (out @ pc1) * pc1
 
     pc2, n2, w2 = _axis(rest, len(ids), 1, iterations, start[1])
-    explained = float((pc1 @ c.multiply(pc1) + pc2 @ c.multiply(pc2)) / c.trace) if c.trace else math.nan
+    both = np.stack([pc1, pc2], axis=1)
+    explained = float((both * c.multiply(both)).sum() / c.trace) if c.trace else math.nan
     c.release()
     return Model(list(ids), list(means), [pc1.tolist(), pc2.tolist()], min_substantive, [], 1, explained, (n1, n2), (w1, w2))
 

@@ -31,6 +31,7 @@ def test_more_opinions_than_are_gathered(spark, monkeypatch):
     options = analysis.Options(pca_iterations=6)
     gathered = analysis.analyze(votes(spark, rows), options=options)
     monkeypatch.setattr(matrix, "MAX_OPINIONS", 5)
+    monkeypatch.setattr(matrix, "BLOCK_ANSWERS", 100)
     jobs = analysis.analyze(votes(spark, rows), options=options)
     assert jobs.status == gathered.status and jobs.groups == gathered.groups
     assert jobs.model.components[0] == pytest.approx(gathered.model.components[0], abs=1e-9)
@@ -271,3 +272,28 @@ def test_of_two_appends_one_has_to_be_done_again(spark, tmp_path):
     assert book.append(batch(("a", "z", 5), ("a", "y", 6)), 2) == 1
     assert book.append(batch(("a", "z", 5)), 2) is None
     assert sorted((r["s"], r["o"], r["sequence"]) for r in book.rows().collect()) == [("a", "x", 1), ("a", "y", 2), ("a", "z", 3), ("b", "x", 1)]
+
+
+@pytest.mark.parametrize("gathered", [8_000_000, 0])
+def test_multiplication_over_blocks(spark, tmp_path, monkeypatch, gathered):
+    """5,000 opinions: one shuffle deals the votes, none multiplies; sums are those of the dense matrix."""
+    from ballotry.sources.files import Tables
+
+    monkeypatch.setattr(matrix, "BLOCK_ANSWERS", 3000)
+    monkeypatch.setattr(matrix, "GATHERED", gathered)
+    rng = np.random.default_rng(8)
+    x = {(f"s{s:03}", int(o)): int(rng.integers(-1, 2)) for s in range(400) for o in rng.choice(5000, 30, replace=False)}
+    data = votes(spark, [(s, f"p{o:04}", v) for (s, o), v in x.items()]).repartition(3)
+    kept = ballots.retained(data, 1)
+    ids = [r["opinion_id"] for r in kept.orderBy("opinion_id").collect()]
+    blocks = matrix.session_blocks(data, kept, ids, Tables(spark, "t"))
+    means = {r["opinion_id"]: r["mean"] for r in kept.collect()}
+    dense = np.zeros((400, len(ids)))
+    at = {o: i for i, o in enumerate(ids)}
+    for (s, o), v in x.items():
+        dense[int(s[1:]), at[f"p{o:04}"]] = v - means[f"p{o:04}"]
+    v = rng.normal(size=(len(ids), 2))
+    assert matrix.multiplied(blocks, v) == pytest.approx(dense.T @ (dense @ v), abs=1e-9)
+    assert matrix.multiplied(blocks, v[:, 0]) == pytest.approx(dense.T @ (dense @ v[:, 0]), abs=1e-9)
+    assert blocks.count() == 4 and blocks.agg(F.sum("square")).first()[0] == pytest.approx((dense**2).sum())
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
