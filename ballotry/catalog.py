@@ -325,10 +325,13 @@ def participant_projection(s: SparkSession, d: str) -> DataFrame:
     return matrix.project(_last(s, d), _fixed_model(s, d)).select("session_id", r6("x"), r6("y"), "group")
 
 
-@query()
+_POINTS = f", ax AS (SELECT {_FIX.format(v='p')} AS a, {_FIX.format(v='v')} AS b FROM pc1), pt AS MATERIALIZED (SELECT session_id AS id, sum((value - mean) * a[i]) * sqrt((SELECT count(*) FROM kept) / count(*)) AS x, sum((value - mean) * b[i]) * sqrt((SELECT count(*) FROM kept) / count(*)) AS y FROM valid SEMI JOIN eligible USING (session_id) JOIN kept USING (opinion_id) JOIN ix USING (opinion_id), ax GROUP BY 1) "
+
+
+@query(_AXES + _POINTS + "SELECT id AS session_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y FROM pt")
 def session_points(s: SparkSession, d: str) -> DataFrame:
     votes, model = _model(s, d)
-    return matrix.project(votes, model).select("session_id", r6("x"), r6("y"))
+    return matrix.project(votes, model).select("session_id", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
 
 
 @query(MODEL[:-1] + ", o AS (SELECT session_id, list(opinion_id ORDER BY opinion_id) AS o FROM valid SEMI JOIN eligible USING (session_id) SEMI JOIN kept USING (opinion_id) WHERE value <> 0 GROUP BY 1) SELECT len((SELECT list(o) FROM o)) = (SELECT count(*) FROM o JOIN (SELECT o AS top FROM o ORDER BY len(o) DESC, o LIMIT 1) ON len(list_intersect(o, top)) >= 3) AS connected")
@@ -351,17 +354,54 @@ def overlap_components(s: SparkSession, d: str) -> DataFrame:
     return matrix.overlap_components(votes, votes.select("session_id").distinct(), votes.select("opinion_id").distinct())
 
 
-@query()
+def _hash_sql(text: str, salt: int) -> str:
+    """The hash of an ASCII text, as one expression."""
+    v = f"list_reduce(list_prepend(CAST({2166136261 ^ salt} AS UBIGINT), list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substr({text}, i, 1)) AS UBIGINT))), lambda h, c: (xor(h, c) * 16777619) % 4294967296)"
+    v = f"list_transform(list_transform([{v}], lambda v: (xor(v, v >> 16) * 2146121005) % 4294967296), lambda v: CAST((CAST(xor(v, v >> 15) AS HUGEINT) * 2221713035) % 4294967296 AS UBIGINT))"
+    return f"list_transform({v}, lambda v: xor(v, v >> 16))[1]"
+
+
+def _near(cs: str) -> str:
+    far = f"list_transform({cs}, lambda c: (x - c.x) ** 2 + (y - c.y) ** 2)"
+    return f"(list_position({far}, list_min({far})) - 1)"
+
+
+#: k-means over all starts as recursion over centres, and each result's sampled silhouette.
+_KMEANS = (
+    f", ph AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY h1, id) - 1 AS r FROM (SELECT *, {_hash_sql('id', 0x6A09E667)} AS h1, {_hash_sql('id', 0xBB67AE85)} AS h2 FROM pt)), pn AS (SELECT count(*) AS n FROM ph), "
+    "fc(s, k, cs) AS (SELECT CAST(t.s AS BIGINT), 1, [struct_pack(x := x, y := y)] FROM range(0, 4) t(s), pn JOIN ph ON r = t.s * n // 4 UNION ALL SELECT s, k + 1, list_append(any_value(cs), arg_min(struct_pack(x := x, y := y), (-d, id))) FROM (SELECT fc.s, fc.k, fc.cs, id, x, y, list_min(list_transform(cs, lambda c: (x - c.x) ** 2 + (y - c.y) ** 2)) AS d FROM fc, ph WHERE fc.k < 4) GROUP BY s, k), "
+    "ll(k, s, it, cs, before, stop, dead, sizes) AS (SELECT k, s, 0, cs, CAST(NULL AS STRUCT(x DOUBLE, y DOUBLE)[]), false, false, CAST(NULL AS BIGINT[]) FROM fc WHERE k > 1 UNION ALL "
+    "SELECT k, s, it + 1, list(struct_pack(x := mx, y := my) ORDER BY g), any_value(cs), sum(moved) = 0 OR min(n) < 3 OR count(*) < k OR it + 1 = 60, min(n) < 3 OR count(*) < k, list(n ORDER BY g) FROM "
+    f"(SELECT k, s, it, g, any_value(cs) AS cs, count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(moved) AS moved FROM (SELECT k, s, it, cs, x, y, {_near('cs')} AS g, CASE WHEN before IS NULL THEN 1 WHEN {_near('cs')} <> {_near('before')} THEN 1 ELSE 0 END AS moved FROM ll, ph WHERE NOT stop) GROUP BY 1, 2, 3, 4) GROUP BY k, s, it), "
+    "le AS MATERIALIZED (SELECT k, s, before, dead, sizes FROM ll WHERE stop), "
+    f"lb AS MATERIALIZED (SELECT k, s, id, x, y, h1, h2, {_near('before')} AS g FROM le, ph WHERE NOT dead), "
+    "tg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, s, g ORDER BY h1, id) AS j FROM lb) WHERE j <= 256), rf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, s, g ORDER BY h2, id) AS j FROM lb) WHERE j <= 128), "
+    "dm AS (SELECT t.k, t.s, t.id, t.g, f.g AS o, avg(sqrt((t.x - f.x) ** 2 + (t.y - f.y) ** 2)) AS m FROM tg t JOIN rf f ON t.k = f.k AND t.s = f.s AND t.id <> f.id GROUP BY 1, 2, 3, 4, 5), "
+    "sa AS (SELECT k, s, id, g, max(m) FILTER (WHERE g = o) AS a, min(m) FILTER (WHERE g <> o) AS b FROM dm GROUP BY 1, 2, 3, 4), sg AS (SELECT k, s, g, sum(coalesce((b - a) / greatest(a, b, 1e-9), 0)) / count(*) AS v FROM sa GROUP BY 1, 2, 3), "
+    "cd AS MATERIALIZED (SELECT le.k, le.s, CASE WHEN NOT dead THEN (SELECT sum(v * le.sizes[sg.g + 1]) FROM sg WHERE sg.k = le.k AND sg.s = le.s) / (SELECT n FROM pn) END AS silhouette, CASE WHEN NOT dead THEN sizes END AS sizes FROM le) "
+)
+_CONNECTED = "o AS (SELECT session_id, list(opinion_id ORDER BY opinion_id) AS o FROM valid SEMI JOIN eligible USING (session_id) SEMI JOIN kept USING (opinion_id) WHERE value <> 0 GROUP BY 1), cn AS (SELECT len((SELECT list(o) FROM o)) = (SELECT count(*) FROM o JOIN (SELECT o AS top FROM o ORDER BY len(o) DESC, o LIMIT 1) ON len(list_intersect(o, top)) >= 3) AS connected)"
+_EXPLAINED = "(SELECT (list_dot_product(p, list_transform(c, lambda r: list_dot_product(r, p))) + list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v)))) / (SELECT sum(c) FROM sc WHERE j = k) FROM pc1)"
+
+
+@query(
+    _AXES + _POINTS[:-1] + _KMEANS[:-1] + f", {_CONNECTED}, tp AS (SELECT * FROM cd WHERE silhouette IS NOT NULL ORDER BY silhouette DESC, k, s LIMIT 1), "
+    "st AS (SELECT (SELECT count(*) FROM eligible) AS eligible, CASE WHEN (SELECT count(*) FROM eligible) < 80 OR (SELECT count(*) FROM kept) < 6 OR NOT (SELECT connected FROM cn) THEN 'collecting' WHEN (SELECT sum(c) FROM sc WHERE j = k) < 1e-8 THEN 'uniform' WHEN coalesce((SELECT silhouette FROM tp), -1) < 0.45 THEN 'unclear' ELSE 'ready' END AS status) "
+    f"SELECT status, eligible, CASE WHEN status = 'ready' THEN (SELECT k FROM tp) ELSE 0 END AS groups, CASE WHEN status = 'ready' THEN round({_EXPLAINED}, 4) END AS explained, CASE WHEN status = 'ready' THEN round((SELECT silhouette FROM tp), 4) END AS silhouette, status = 'ready' AND (SELECT list_max(sizes) > 128 FROM tp) AS approximate FROM st"
+)
 def analysis_status(s: SparkSession, d: str) -> DataFrame:
     """Status, groups and silhouette of the whole analysis."""
     r = analysis.analyze(A.ballots_planted(s, d))
-    return s.createDataFrame([(r.status, r.eligible, len(r.groups), r.explained, r.silhouette, r.approximate)], "status string, eligible long, groups int, explained double, silhouette double, approximate boolean")
+    four = lambda v: None if v is None else round(v, 4)
+    return s.createDataFrame([(r.status, r.eligible, len(r.groups), four(r.explained), four(r.silhouette), r.approximate)], "status string, eligible long, groups int, explained double, silhouette double, approximate boolean")
 
 
-@query()
+@query(_AXES + _POINTS[:-1] + _KMEANS + "SELECT k, CAST(s AS INTEGER) AS start, round(silhouette, 4) AS silhouette, array_to_string(sizes, ',') AS sizes FROM cd")
 def kmeans_candidates(s: SparkSession, d: str) -> DataFrame:
+    """Each number of groups and start: its groups' sizes and silhouette, null where a group got too small."""
     r = analysis.analyze(A.ballots_planted(s, d))
-    return s.createDataFrame([(k, i, q, sizes) for k, i, q, sizes in r.diagnostics["candidates"]], "k int, start int, silhouette double, sizes array<long>")
+    rows = [(k, i, None if q is None else round(q, 4), None if sizes is None else ",".join(map(str, sizes))) for k, i, q, sizes in r.diagnostics["candidates"]]
+    return s.createDataFrame(rows, "k int, start int, silhouette double, sizes string")
 
 
 _GROUPS = ", gr AS (SELECT DISTINCT session_id, CAST(session_id AS INTEGER) % 2 AS \"group\" FROM eligible), gc AS (SELECT \"group\", opinion_id, count(*) FILTER (WHERE value = -1) AS agree, count(*) AS seen FROM valid JOIN gr USING (session_id) GROUP BY 1, 2), wl AS (SELECT *, agree / seen AS rate, greatest(0, (agree / seen + 1.96 ** 2 / (2 * seen) - 1.96 * sqrt((agree / seen) * (1 - agree / seen) / seen + 1.96 ** 2 / (4 * seen ** 2))) / (1 + 1.96 ** 2 / seen)) AS lower_bound FROM gc) "
