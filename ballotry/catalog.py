@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import ballots, bridges, evaluate, geometry, matrix, moderation, release, routing
-from .plans import analysis, ledger, release_build
+from .operators import ballots, bridges, cluster, evaluate, geometry, matrix, moderation, release, routing
+from .plans import analysis, ledger, release_build, snapshot
 from .sources import adapter as A
-from .sources import files, synthetic
+from .sources import files, seed
 from .sources.adapter import with_views
 from .streaming import events as E
 from .streaming import sessions
@@ -437,14 +438,28 @@ def bridges_ranked(s: SparkSession, d: str) -> DataFrame:
 # Map geometry
 
 
-@query()
+def _hull_sql(points: str, name: str) -> str:
+    """Hulls of points(label, x, y) by wrapping: an edge has no point to its right; of edges from a corner the
+    longest; corners are followed from the lowest x, then y."""
+    u, e, n, r = (f"{name}_{c}" for c in "uenr")
+    return (
+        f"{u} AS MATERIALIZED (SELECT DISTINCT label, x, y FROM {points}), {e} AS (SELECT p.label, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM {u} p JOIN {u} q ON p.label = q.label AND (p.x <> q.x OR p.y <> q.y) JOIN {u} t ON t.label = p.label GROUP BY 1, 2, 3, 4, 5 HAVING min((q.x - p.x) * (t.y - p.y) - (q.y - p.y) * (t.x - p.x)) >= 0), "
+        f"{n} AS MATERIALIZED (SELECT label, px, py, arg_max(qx, (qx - px) ** 2 + (qy - py) ** 2) AS qx, arg_max(qy, (qx - px) ** 2 + (qy - py) ** 2) AS qy FROM {e} GROUP BY 1, 2, 3), "
+        f"{r}(label, ord, x, y, x0, y0) AS (SELECT label, 0, min(x), arg_min(y, (x, y)), min(x), arg_min(y, (x, y)) FROM {u} GROUP BY 1 UNION ALL SELECT {r}.label, ord + 1, qx, qy, x0, y0 FROM {r} JOIN {n} ON {n}.label = {r}.label AND px = {r}.x AND py = {r}.y WHERE qx <> x0 OR qy <> y0) "
+    )
+
+
+_HULLS = with_views("points").replace("WITH ", "WITH RECURSIVE ", 1)[:-1] + ", " + _hull_sql("points", "h")
+
+
+@query(_HULLS + "SELECT label, ord, x, y FROM h_r")
 def convex_hulls(s: SparkSession, d: str) -> DataFrame:
     return geometry.hulls(A.points(s, d), "label")
 
 
-@query()
+@query(_HULLS[:-1] + ", ci AS (SELECT label, x + 0.05 * cos(k * pi() / 12) AS x, y + 0.05 * sin(k * pi() / 12) AS y FROM h_r, range(0, 24) t(k)), " + _hull_sql("ci", "g") + "SELECT label, ord, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM g_r")
 def padded_hulls(s: SparkSession, d: str) -> DataFrame:
-    return geometry.hulls(A.points(s, d), "label", 0.05)
+    return geometry.hulls(A.points(s, d), "label", 0.05).select("label", "ord", r6("x"), r6("y"))
 
 
 @query(with_views("points")[:-1] + ", e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points), p AS (SELECT *, 0.15 * greatest(hx - lx, 0.1) AS ax, 0.15 * greatest(hy - ly, 0.1) AS ay FROM points, e) SELECT id, round(35 + greatest(0, least(1, (x - lx + ax) / (hx - lx + 2 * ax))) * 430, 6) AS px, round(310 - greatest(0, least(1, (y - ly + ay) / (hy - ly + 2 * ay))) * 275, 6) AS py FROM p")
@@ -468,16 +483,13 @@ _SIL = (
 
 @query(with_views("points")[:-1] + _SIL)
 def silhouette(s: SparkSession, d: str) -> DataFrame:
-    """Sampled silhouette of given labels: bounded samples of each group, joined."""
+    """Sampled silhouette of given labels: bounded samples of each group."""
     rows = A.points(s, d)
-    t, f = geometry.sample_first(rows, "label", ["id"], 64), geometry.sample_first(rows, "label", ["id"], 32)
-    ref = f.select(F.col("id").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("label").alias("other"))
-    pairs = t.join(F.broadcast(ref), F.col("id") != F.col("rid"))
-    far = pairs.groupBy("id", "label", "other").agg(F.avg(F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))).alias("m"))
-    ab = far.groupBy("id", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("m"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("m"))).alias("b"))
-    v = ab.groupBy("label").agg(F.sum(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-9)), F.lit(0.0))).alias("v"))
-    at = v.join(t.groupBy("label").agg(F.count("*").alias("k")), "label").join(rows.groupBy("label").agg(F.count("*").alias("n")), "label")
-    return at.agg(F.round(F.sum(F.col("v") / F.col("k") * F.col("n")) / F.sum("n"), 6).alias("silhouette"))
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    first = lambda most: geometry.sample_first(rows, "label", ["id"], most).toPandas()
+    t, f = first(64), first(32)
+    of = lambda p: [p[p["label"] == g][["id", "x", "y"]].to_numpy() for g in sorted(sizes)]
+    return s.createDataFrame([(round(cluster.silhouette(np.array([sizes[g] for g in sorted(sizes)]), of(t), of(f)), 6),)], "silhouette double")
 
 
 # Evaluation
@@ -517,9 +529,14 @@ def bridge_sweep(s: SparkSession, d: str) -> DataFrame:
     return evaluate.bridge_sweep(_group_counts(s, d), 2, [3, 10, 20, 30], [0.6, 0.65, 0.7])
 
 
-@query("WITH n AS (SELECT CAST(n AS INTEGER) AS n FROM (VALUES (3), (10), (20), (30)) v(n)), t AS (SELECT n, CAST(ceil(n * 60 / 100) AS INTEGER) AS need FROM n), o AS (SELECT n, need, list_sum(list_transform(range(need, n + 1), lambda k: CAST(factorial(CAST(n AS INTEGER)) / factorial(CAST(k AS INTEGER)) / factorial(CAST(n - k AS INTEGER)) AS DOUBLE) * power(0.5, n))) AS one FROM t) SELECT n, need, round(one, 6) AS one, round(one * one, 6) AS two, round(40 * one * one, 6) AS expected FROM o")
+@query(
+    with_views("planted", "valid", "eligible")[:-1] + _GROUPS + ", t AS (SELECT DISTINCT seen AS n, CAST(ceil(seen * 60 / 100) AS INTEGER) AS need FROM gc), "
+    "o AS (SELECT n, need, list_sum(list_transform(range(need, n + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + n * ln(0.5)))) AS one FROM t) SELECT n, need, round(one, 6) AS one, round(one * one, 6) AS two, round(40 * one * one, 6) AS expected FROM o"
+)
 def binomial_tail(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.binomial_tail(s, [3, 10, 20, 30]).select("n", "need", r6("one"), r6("two"), r6("expected"))
+    """How often groups of the sizes that occur would pass by chance."""
+    sizes = _group_counts(s, d).select(F.col("seen").alias("n")).distinct()
+    return evaluate.binomial_tail(sizes).select("n", "need", r6("one"), r6("two"), r6("expected"))
 
 
 @query(FIRST[:-1] + ", n AS (SELECT opinion_id, count(*) AS n FROM first GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM n")
@@ -539,15 +556,17 @@ def label_agreement(s: SparkSession, d: str) -> DataFrame:
     return evaluate.ari(rows, "label", "side").select(r6("ari"))
 
 
-@query()
+@query(
+    _AXES + _POINTS[:-1] + _KMEANS[:-1] + ", tp AS (SELECT * FROM cd WHERE silhouette IS NOT NULL ORDER BY silhouette DESC, k, s LIMIT 1), tl AS (SELECT CAST(id AS INTEGER) % 2 AS label, g AS side FROM lb JOIN tp USING (k, s)), c AS (SELECT label, side, count(*) AS n FROM tl GROUP BY 1, 2), q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS b, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS r, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY side)) AS k, (SELECT sum(n) FROM c) AS t) "
+    "SELECT CASE WHEN (SELECT silhouette FROM tp) >= 0.45 THEN 'ready' ELSE 'unclear' END AS status, CASE WHEN (SELECT silhouette FROM tp) >= 0.45 THEN round((b - r * k / (t * (t - 1) / 2)) / ((r + k) / 2 - r * k / (t * (t - 1) / 2)), 6) + 0.0 END AS ari FROM q"
+)
 def scenario_recovery(s: SparkSession, d: str) -> DataFrame:
-    """Three planted groups, analysed: status and agreement of found with true groups."""
-    votes = synthetic.ballots(s, "three", 20260918)
-    r = analysis.analyze(votes.where("value <> 2"))
-    truth = synthetic.sessions(s, "three", 20260918).select("session_id", F.col("group").alias("truth"))
+    """The planted sides, analysed: status and agreement of found with true groups."""
+    r = analysis.analyze(A.ballots_planted(s, d))
     if r.points is None:
         return s.createDataFrame([(r.status, None)], "status string, ari double")
-    return evaluate.ari(r.points.join(truth, "session_id"), "truth", "group").select(F.lit(r.status).alias("status"), r6("ari"))
+    sides = r.points.select((F.col("session_id").cast("int") % 2).alias("truth"), "group")
+    return evaluate.ari(sides, "truth", "group").select(F.lit(r.status).alias("status"), r6("ari"))
 
 
 # Releases
@@ -681,6 +700,67 @@ def unpublishable(s: SparkSession, d: str) -> DataFrame:
     return release.publishable(at.select("id", F.lit(1).cast("long").alias("revision")), at)
 
 
+@query(with_views("opinions")[:-1] + ", op AS (SELECT id, status, CAST(created_at // 86400000 % 3 AS BIGINT) AS revision FROM opinions), fr AS (SELECT id, CAST(1 AS BIGINT) AS frozen FROM op UNION ALL SELECT 'gone', 1) SELECT fr.id FROM fr LEFT JOIN op ON op.id = fr.id AND op.status = 'approved' WHERE op.id IS NULL OR op.revision <> frozen")
+def unpublishable_map(s: SparkSession, d: str) -> DataFrame:
+    """The same members, stored as one JSON object with one more that is gone."""
+    at = A.opinions(s, d).select("id", "status", (F.floor(F.col("created_at") / 86400000) % 3).cast("long").alias("revision"))
+    frozen = at.select("id").union(s.createDataFrame([("gone",)], "id string")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.lit(1))))).alias("opinion_revisions"))
+    return release.publishable_map(frozen, at)
+
+
+@query("SELECT c_custkey AS cursor, CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS phase, max(c_custkey) OVER () AS next FROM (SELECT * FROM customer WHERE c_custkey > 40 ORDER BY c_custkey LIMIT 100)")
+def admin_dump(s: SparkSession, d: str) -> DataFrame:
+    """A page of sessions as an administrator may see them: by cursor, without the token."""
+    rows = A.table(s, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_custkey").cast("string").alias("id"), F.col("c_mktsegment").alias("phase"), F.sha2("c_name", 256).alias("token_hash"))
+    return moderation.dump("sessions", rows, "seq", 40)
+
+
+@query(_COUNTED + "SELECT row_number() OVER (ORDER BY created_at, id) AS place, id FROM w WHERE status = 'pending' OR (status = 'approved' AND (unrelated - reviewed_unrelated >= 3 OR reports > reviewed_reports))")
+def queue_order(s: SparkSession, d: str) -> DataFrame:
+    rows = moderation.queue_order(_counted(s, d))
+    return release.numbered(rows, ["created_at", "id"]).select(F.col("rn").alias("place"), "id")
+
+
+@query("SELECT o_orderkey AS id, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
+def latest_actions(s: SparkSession, d: str) -> DataFrame:
+    return moderation.latest(A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at")), 100)
+
+
+@query(with_views()[:-1] + _RELEASES + "SELECT id, published_at, status FROM rl ORDER BY published_at DESC, id DESC LIMIT 50")
+def latest_releases(s: SparkSession, d: str) -> DataFrame:
+    return moderation.latest(_releases(s, d), 50, "published_at")
+
+
+@query(FIRST + "SELECT 1 AS id, (SELECT max(session_id) FROM first) AS snapshot_id, (SELECT count(*) FROM first) AS moderation, (SELECT count(DISTINCT session_id) FROM first) AS current_moderation, (SELECT CAST(count(*) AS VARCHAR) FROM first WHERE session_id = (SELECT max(session_id) FROM first)) AS payload")
+def analysis_head(s: SparkSession, d: str) -> DataFrame:
+    """The cache, the community and the snapshot it names as one row."""
+    first = _first(s, d)
+    cache = first.agg(F.max("session_id").alias("snapshot_id"), F.count("*").alias("moderation")).withColumn("id", F.lit(1))
+    community = first.agg(F.count_distinct("session_id").alias("moderation_revision")).withColumn("id", F.lit(1))
+    snapshots = first.groupBy(F.col("session_id").alias("id")).agg(F.count("*").cast("string").alias("payload"))
+    return snapshot.head(cache, community, snapshots).select("id", "snapshot_id", "moderation", "current_moderation", "payload")
+
+
+@query(with_views("planted", "first")[:-1] + ", op AS (SELECT DISTINCT opinion_id FROM first WHERE session_id LIKE '%1') SELECT (SELECT count(*) FROM (SELECT DISTINCT opinion_id FROM first) WHERE opinion_id NOT IN (FROM op)) = 0 AS same_opinions, (SELECT count(*) FROM planted WHERE value NOT IN (-1, 0, 1, 2)) = 0 AS values_known, (SELECT count(*) FROM (SELECT 1 FROM planted GROUP BY session_id, opinion_id HAVING count(*) > 1)) = 0 AS pairs_unique")
+def fixture_checks(s: SparkSession, d: str) -> DataFrame:
+    """Whether raw ballots are of the opinions that some sessions know, of known values and no pair twice."""
+    known = _first(s, d).where("session_id like '%1'").select(F.col("opinion_id").alias("id")).distinct()
+    return seed.check_fixture(A.ballots_planted(s, d), known)
+
+
+@query(FIRST + "SELECT session_id, '{' || string_agg('\"' || opinion_id || '\":' || CAST(value AS VARCHAR), ',' ORDER BY opinion_id) || '}' AS votes FROM first GROUP BY 1")
+def votes_by_opinion(s: SparkSession, d: str) -> DataFrame:
+    """Each session's answers as one map."""
+    at = _first(s, d).groupBy("session_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("opinion_id", "value")))).alias("m"))
+    return at.select("session_id", F.to_json("m").alias("votes"))
+
+
+@query(FIRST[:-1] + ", p AS (SELECT session_id FROM first GROUP BY 1 ORDER BY 1 LIMIT 60), m AS (SELECT *, row_number() OVER (PARTITION BY opinion_id = 'O12' AND value = 1 ORDER BY session_id) AS k FROM first SEMI JOIN p USING (session_id)) SELECT session_id, opinion_id, value FROM m WHERE NOT (opinion_id = 'O12' AND value = 1) OR k <= 3")
+def capped_prefix(s: SparkSession, d: str) -> DataFrame:
+    """Answers of the first 60 sessions, with at most three of one opinion's minority."""
+    return evaluate.minority_capped(evaluate.first_sessions(_first(s, d), 60), "O12", 1)
+
+
 # States and streams
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -59,18 +61,37 @@ def bridge_sweep(counts: DataFrame, groups: int, votes: list[int], rates: list[f
     return each.groupBy("grid").agg(F.count_if(F.col("ok") & (F.col("n") == groups)).alias("accepted")).select("grid.min_votes", "grid.min_rate", "accepted")
 
 
-def binomial_tail(spark: SparkSession, sizes: list[int], p: float = 0.5, least_rate: float = 0.6, opinions: int = 40) -> DataFrame:
-    """Probability that a group of each size passes a least rate by chance, that two do, and how
-    many of so many opinions would."""
+def binomial_tail(sizes: DataFrame, p: float = 0.5, least_rate: float = 0.6, opinions: int = 40) -> DataFrame:
+    """sizes(n): the probability that a group of that size passes a least rate by chance, that two do, and
+    how many of so many opinions would. One walk over 0 to n, each term from the one before it by
+    logarithms, so sizes of many thousands neither overflow nor vanish."""
     n = F.col("n")
     # multiples of the rate are compared as whole numbers of hundredths
-    need = F.ceil(n * round(least_rate * 100) / 100)
-    choose = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(1.0), lambda s, i: F.when(k == 0, F.lit(1.0)).otherwise(s * (n - k + i) / i))
-    one = F.aggregate(F.sequence(need, n), F.lit(0.0), lambda s, k: s + choose(k) * F.pow(F.lit(p), k) * F.pow(F.lit(1 - p), n - k))
-    at = spark.createDataFrame([(s,) for s in sizes], "n int").select("n", need.cast("int").alias("need"), one.alias("one"))
+    need = F.ceil(n * round(least_rate * 100) / 100).cast("int")
+    start = F.struct((n * math.log(1 - p)).cast("double").alias("log"), F.when(need <= 0, F.exp(n * math.log(1 - p))).otherwise(0.0).alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        log = s["log"] + F.ln((n - k + 1) / k) + math.log(p / (1 - p))
+        return F.struct(log.alias("log"), F.when(k >= F.col("need"), s["sum"] + F.exp(log)).otherwise(s["sum"]).alias("sum"))
+
+    walked = F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>")), start, step)
+    at = sizes.select("n", need.alias("need")).withColumn("one", walked["sum"])
     return at.withColumn("two", F.col("one") * F.col("one")).withColumn("expected", opinions * F.col("two"))
 
 
+def first_sessions(rows: DataFrame, most: int, order: str = "session_id") -> DataFrame:
+    """Rows of the first sessions in an order."""
+    some = rows.select(order).distinct().orderBy(order).limit(most)
+    return rows.join(some, order, "left_semi")
+
+
+def minority_capped(rows: DataFrame, opinion: str, value: int, most: int = 3) -> DataFrame:
+    """rows without one opinion's answers of a value beyond the first ones, by session."""
+    hit = (F.col("opinion_id") == opinion) & (F.col("value") == value)
+    stay = rows.where(hit).orderBy("session_id").limit(most)
+    return rows.where(~hit).unionByName(stay)
+
+
 def exposure(counts: DataFrame, by: str = "opinion_id", value: str = "n") -> DataFrame:
     """Least, most and mean exposure over items."""
     return counts.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))

@@ -74,3 +74,29 @@ def public_presentations(impressions: DataFrame, watermark: int | None = None) -
     seen = impressions if watermark is None else impressions.where(F.col("event_id") <= watermark)
     has = lambda t: F.bool_or(F.col("type") == t)
     return seen.groupBy("session_id", "opinion_id").agg(has("shown").alias("displayed"), has("answered").alias("answered"), has("retired").alias("retired"))
+
+
+#: Tables an administrator may read as they are, and of sessions which columns (no token).
+DUMPED = ("sessions", "impressions", "events", "votes", "opinions", "result_snapshots", "moderation_actions", "reports")
+SESSION_COLUMNS = ("id", "phase", "created_at", "ended_at", "notice_version", "last_seen_at")
+
+
+def dump(name: str, rows: DataFrame, seq: str, after: int, limit: int = 100) -> DataFrame:
+    """(cursor, ..., next): the rows of a table after a cursor, in order. next is where to go on, null on the
+    last page."""
+    if name not in DUMPED or after < 0:
+        raise ValueError("no such table or cursor")
+    shown = [c for c in rows.columns if c != seq and (name != "sessions" or c in SESSION_COLUMNS)]
+    page = rows.where(F.col(seq) > after).select(F.col(seq).alias("cursor"), *shown).orderBy("cursor").limit(limit)
+    whole = page.agg(F.when(F.count("*") == limit, F.max("cursor")).alias("next"))
+    return page.crossJoin(F.broadcast(whole))  # one row
+
+
+def queue_order(rows: DataFrame) -> DataFrame:
+    """The review queue, the oldest first."""
+    return review_queue(rows).orderBy("created_at", "id")
+
+
+def latest(rows: DataFrame, most: int, when: str = "created_at") -> DataFrame:
+    """The latest rows: 100 actions, 50 releases. Spark keeps that many of each task and no more."""
+    return rows.orderBy(F.desc(when), F.desc("id")).limit(most)

@@ -224,6 +224,12 @@ def publishable(release: DataFrame, opinions: DataFrame) -> DataFrame:
     return release.join(at, "id", "left").where(F.col("now").isNull() | (F.col("now") != F.col("revision"))).select("id")
 
 
+def publishable_map(revisions: DataFrame, opinions: DataFrame, column: str = "opinion_revisions") -> DataFrame:
+    """The same for members that are stored as a JSON object of revisions by id."""
+    at = revisions.select(F.explode(F.from_json(column, "map<string,long>")).alias("id", "revision"))
+    return publishable(at, opinions)
+
+
 def latest(releases: DataFrame) -> DataFrame:
     """The release published last, by time then id."""
     return releases.where("status = 'released'").orderBy(F.desc("published_at"), F.desc("id")).limit(1)

@@ -13,7 +13,8 @@ from collections.abc import Callable
 from dataclasses import asdict
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .analysis import Options, Result
 from .state import States
@@ -45,6 +46,15 @@ def payload(result: Result) -> str:
     return json.dumps({"status": result.status, "eligible": result.eligible, "minimum": result.minimum, "groups": result.groups, "bridges": rows(result.bridges, "opinion_id"), "explained": result.explained, "silhouette": result.silhouette}, sort_keys=True)
 
 
+def head(cache: DataFrame, community: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The one row a reader needs: the cache with today's revision of moderation and, where there is one,
+    its snapshot. cache(id, snapshot_id, moderation, lease_until), community(id, moderation_revision),
+    snapshots(id, payload)."""
+    now = community.select("id", F.col("moderation_revision").alias("current_moderation"))
+    stored = snapshots.select(F.col("id").alias("snapshot_id"), "payload")
+    return cache.join(now, "id").join(stored, "snapshot_id", "left")
+
+
 class Store:
     """Snapshots in a folder that Spark reaches."""
 

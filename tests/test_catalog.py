@@ -7,14 +7,11 @@ import pytest
 from ballotry import catalog
 
 DIR = "/root/testdata/sf0.001"
-#: These take longer than the rest together and have no SQL; only their parts are compared here.
-SLOW = {"analysis_status", "kmeans_candidates", "scenario_recovery"}
-
 
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("customer", "events", "embeddings", "lineitem", "orders", "part"):
+    for t in ("customer", "documents", "events", "embeddings", "lineitem", "orders", "part"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return con
 
@@ -28,7 +25,7 @@ def rows(df):
     return sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     found = catalog.queries()[name](spark, DIR).toPandas()
     if name in catalog.oracle_sql():

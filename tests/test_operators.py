@@ -100,7 +100,8 @@ def test_ari(spark):
 
 
 def test_binomial_tail(spark):
-    rows = {r["n"]: r for r in evaluate.binomial_tail(spark, [3, 10]).collect()}
+    rows = {r["n"]: r for r in evaluate.binomial_tail(spark.createDataFrame([(n,) for n in (0, 3, 10, 5000)], "n int")).collect()}
+    assert rows[0]["one"] == 1 and 0 < rows[5000]["one"] < 1e-40
     assert rows[3]["expected"] == pytest.approx(10) and rows[10]["one"] == pytest.approx(386 / 1024)
 
 
@@ -297,3 +298,64 @@ def test_multiplication_over_blocks(spark, tmp_path, monkeypatch, gathered):
     assert matrix.multiplied(blocks, v[:, 0]) == pytest.approx(dense.T @ (dense @ v[:, 0]), abs=1e-9)
     assert blocks.count() == 4 and blocks.agg(F.sum("square")).first()[0] == pytest.approx((dense**2).sum())
     assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefixes_and_capped_minorities(spark):
+    rows = votes(spark, [(f"s{i:02}", p, -1 if i % 2 else 1) for i in range(10) for p in ("a", "b")])
+    assert {r["session_id"] for r in evaluate.first_sessions(rows, 4).collect()} == {f"s{i:02}" for i in range(4)}
+    left = sorted((r["session_id"], r["opinion_id"]) for r in evaluate.minority_capped(rows, "a", -1).collect() if r["value"] == -1)
+    assert left == [("s01", "a"), ("s01", "b"), ("s03", "a"), ("s03", "b"), ("s05", "a"), ("s05", "b"), ("s07", "b"), ("s09", "b")]
+
+
+def test_dumps_show_what_they_may(spark):
+    rows = spark.range(1, 251).select(F.col("id").alias("seq"), F.lit("x").alias("id"), F.lit("active").alias("phase"), F.lit("secret").alias("token_hash"))
+    page = moderation.dump("sessions", rows, "seq", 0)
+    assert page.columns == ["cursor", "id", "phase", "next"] and [r["next"] for r in page.collect()] == [100] * 100
+    assert [r["next"] for r in moderation.dump("sessions", rows, "seq", 200).collect()] == [None] * 50
+    assert "token_hash" in moderation.dump("votes", rows, "seq", 0).columns
+    for bad in (("passwords", 0), ("votes", -1)):
+        with pytest.raises(ValueError):
+            moderation.dump(bad[0], rows, "seq", bad[1])
+    assert len(moderation.dump("votes", rows, "seq", 150).collect()) == 100 and moderation.dump("votes", rows, "seq", 250).collect() == []
+
+
+def test_seed_and_fixture(spark, tmp_path):
+    import json
+
+    from ballotry.sources import seed
+
+    doc = {"tags": [{"id": "t", "label": "T", "description": ""}], "sources": [{"id": "s", "title": "S", "url": "u", "note": ""}], "opinions": [{"id": f"o{i}", "tagId": "t", "text": "x" * 10, "kind": "seed", "sourceIds": ["s"]} for i in range(3)]}
+    (tmp_path / "seed.json").write_text(json.dumps(doc, indent=1))
+    read = seed.read_seed(spark, str(tmp_path / "seed.json"))
+    assert {n: d.count() for n, d in read.items()} == {"tags": 1, "opinions": 3, "sources": 1}
+    assert read["opinions"].first()["source_ids"] == ["s"] and read["opinions"].columns[1] == "tag_id"
+    assert {r["id"] for r in seed.missing(read["opinions"].where("id = 'o1'"), read["opinions"]).collect()} == {"o0", "o2"}
+    check = lambda *rows: tuple(seed.check_fixture(votes(spark, rows), read["opinions"]).first())
+    good = [("s", f"o{i}", i - 1) for i in range(3)]
+    assert check(*good) == (True, True, True)
+    assert check(*good, ("s", "o0", 2)) == (True, True, False) and check(*good[:2]) == (False, True, True)
+    assert check(*good, ("r", "o9", 0)) == (False, True, True) and check(*good, ("r", "o1", 3)) == (True, False, True) and check(*good, ("r", "o1", None)) == (True, False, True)
+
+
+def test_warm_axes_and_centres(spark):
+    """A second run begins from the first one's axes and groups, and ends where a cold one does."""
+    rng = np.random.default_rng(11)
+    rows = [(s, p, -v if rng.random() < 0.12 else v) for s, p, v in blocks(120, 14)]
+    data = votes(spark, rows)
+    cold = analysis.analyze(data)
+    warm = analysis.analyze(data, previous=cold)
+    assert warm.model.warm == (True, True) and not any(cold.model.warm) and sum(warm.model.iterations) < sum(cold.model.iterations)
+    assert warm.status == cold.status == "ready" and warm.groups == cold.groups
+    for a, b in zip(warm.model.components, cold.model.components, strict=True):
+        assert a == pytest.approx(b, abs=1e-5)
+    # other opinions: fewer than four fifths are known, so axes begin cold
+    other = votes(spark, [(s, p if int(p[1:]) < 9 else f"q{p}", v) for s, p, v in rows])
+    assert not any(analysis.analyze(other, previous=cold).model.warm)
+    from ballotry.operators import cluster
+
+    points = cluster.with_hashes(cold.points)
+    label = cold.points.select("session_id", "group")
+    centers = cluster.previous_centers(points, label)
+    assert centers == pytest.approx(np.array([[x, y] for x, y, _ in cold.model.centers]), abs=1e-9)
+    assert cluster.previous_centers(points, label.where("group = 0")) is None
+    assert cluster.previous_centers(points, label.where("group = 0 or session_id = 's0000'"), min_size=100) is None
