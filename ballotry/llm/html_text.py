@@ -11,7 +11,12 @@ with them and a long notice among menus doesn't.
 
 An element's name or words speak for what is in it, but not those of html and body, and not
 those against an element that holds the page itself (nearly all of its text, or most of it
-with the heading or article): a page wrapped in one form is no form.
+with the heading or the one article, and no article outside it): a page wrapped in one form is
+no form, but a long list of comments beside an article is one, even if each is an article too.
+
+Words that a hyphen joins are weaker evidence: a post's class may tell its category (tag-ads) or
+a state (comments-open), which say nothing, and beside a word for content, in the same name or as
+a class or element of its own, they count for less. Controls inside a line of text are left out.
 
 Defined cases: null or empty html and pages without text give the empty text; text outside
 any tag is a block; tags may be unclosed or cut off (a script or style without an end reaches
@@ -46,8 +51,12 @@ GOOD = {"article": 5, "main": 3}
 BAD_WORDS = set("ad ads advert advertisement adsense banner breadcrumb breadcrumbs byline-ads comment comments complementary consent contentinfo cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted reader-comments recommended related reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 GOOD_WORDS = set("article articlebody body-text content entry main post postbody story text".split())
 
-#: First parts of a hyphenated class that speak of a layout, not of the element.
-LAYOUT = {"no", "not", "has", "with", "without"}
+#: First parts of a hyphenated class that speak of a layout or a subject, and last parts
+#: that speak of a state, not of the element.
+LAYOUT = set("author category format has is no not section status tag term topic type with without".split())
+STATES = set("allowed closed count disabled enabled free hidden off on open visible".split())
+#: Controls whose text is never part of the line they stand in.
+CONTROLS = {"button", "select"}
 
 _REST = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+"
 _TOKEN = re.compile(
@@ -56,17 +65,19 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _HINTS = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_BLOCK_TAG = re.compile(r"</?(?:" + "|".join(sorted(BLOCKS - {"option"})) + r")(?=[\s/>])", re.I)
 _LIST_PARTS = {"li", "td", "th", "tr", "dd", "dt", "option"}
 _LISTS = {"ul", "ol", "table", "dl", "select", "menu", "article", "body", "tbody"}
 
 
 class Element:
-    """A place in the tree. size: characters of text in it, filled in when the page has ended."""
+    """A place in the tree. size, articles, headed: characters of text in it, articles (or main parts), and
+    whether a first heading is, filled in when the page has ended."""
 
-    __slots__ = ("depth", "hint", "holds", "name", "parent", "size")
+    __slots__ = ("articles", "depth", "headed", "hint", "name", "parent", "size")
 
     def __init__(self, name: str, parent: Element | None, hint: float) -> None:
-        self.name, self.parent, self.hint, self.size, self.holds = name, parent, hint, 0, False
+        self.name, self.parent, self.hint, self.size, self.articles, self.headed = name, parent, hint, 0, 0, False
         self.depth = parent.depth + 1 if parent else 0
 
 
@@ -82,17 +93,20 @@ def own_hint(name: str, rest: str, inside: bool) -> float:
     hint = GOOD.get(name, 0) - BAD.get(name, 0)
     if name == "header" and not inside:
         hint -= 6
+    whole, joined = set(), []
     for values in _HINTS.findall(rest):
-        words = set(re.split(r"[\s_]+", "".join(values).lower()))
-        for long in [w for w in words if "-" in w]:
-            first, *more = long.split("-")
-            if first not in LAYOUT:
-                words |= {first, *more}
-        if words & BAD_WORDS:
-            hint -= 9
-        elif words & GOOD_WORDS:
-            hint += 3
-    return hint
+        for word in re.split(r"[\s_]+", "".join(values).lower()):
+            parts = word.split("-")
+            if len(parts) == 1 or word in BAD_WORDS or word in GOOD_WORDS:
+                whole.add(word)
+            elif parts[0] not in LAYOUT and parts[-1] not in STATES:
+                joined.append(set(parts))
+    said = name in GOOD or bool(whole & GOOD_WORDS)
+    against = [9.0] if whole & BAD_WORDS else []
+    against += [4.0 if said else 2.5 if parts & GOOD_WORDS else 9.0 for parts in joined if parts & BAD_WORDS]
+    if against:
+        return hint - max(against) + (3 if whole & GOOD_WORDS and max(against) < 9 else 0)
+    return hint + (3 if whole & GOOD_WORDS or any(parts & GOOD_WORDS for parts in joined) else 0)
 
 
 def parse(page: str) -> list[Block]:
@@ -159,6 +173,13 @@ def parse(page: str) -> list[Block]:
                 at = end.end()
                 continue
             unended.add(name)  # it has no end from here on: what follows is the page
+        if name in CONTROLS and text and name not in unended:
+            if not (end := re.compile(rf"</{name}\s*>", re.I).search(page, at)):
+                unended.add(name)
+            elif not _BLOCK_TAG.search(page, at, end.start()):
+                text.append(" ")
+                at = end.end()
+                continue
         if name in BLOCKS:
             close()
             # a paragraph, and an inline element in it, ends where the next block begins
@@ -187,9 +208,11 @@ def parse(page: str) -> list[Block]:
     for e in reversed(every):
         if e.parent:
             e.parent.size += e.size
-            e.parent.holds |= e.holds or e.name in GOOD or e.name == "h1"
+            e.parent.articles += e.articles + (e.name in GOOD)
+            e.parent.headed |= e.headed or e.name == "h1"
     for e in every:  # parents come before what they hold
-        if e.hint < 0 and e.size >= (0.6 if e.holds else 0.95) * root.size:
+        alone = e.articles + (e.name in GOOD) == root.articles
+        if e.hint < 0 and alone and e.size >= (0.6 if e.headed or e.articles == 1 else 0.95) * root.size:
             e.hint = 0.0
         e.hint += e.parent.hint if e.parent else 0.0
     for b in blocks:

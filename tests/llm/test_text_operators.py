@@ -344,6 +344,36 @@ def test_html_keeps_articles_of_ordinary_pages(page):
     assert html_text.main_text(page) == WANT
 
 
+NAV = "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav>"
+FOOT = "<footer>Copyright, all rights reserved.</footer>"
+
+
+@pytest.mark.parametrize("start", [
+    "<article class='post category-social'>", "<article class='post comments-open'>", "<article class='post share-buttons-enabled'>", "<article class='entry form-group'>", "<article class='story promo-free'>",
+    "<div class='post share-on'>", "<div class='article-form'>", "<main class='content has-sidebar tag-ads'>", "<article class='format-comment'>", "<div class='post type-notice comments-closed'>",
+])
+def test_html_keeps_articles_whose_class_has_a_bad_part(start):
+    page = f"<html><body>{NAV}{start}{TEXT}</{start[1:].split()[0]}>{FOOT}</body></html>"
+    assert html_text.main_text(page) == WANT
+    if "article-form" in start:
+        page = page.replace(FOOT, "<p>One other paragraph beside it, which is long enough to be of the text.</p>" + FOOT)
+        assert html_text.main_text(page) == WANT + "\nOne other paragraph beside it, which is long enough to be of the text."
+
+
+@pytest.mark.parametrize("start", ["<section id='comments'>", "<aside class='sidebar'>", "<div class='comment-list'>", "<div class='post-comments'><div class='comment'>", "<aside class='related-posts'>"])
+@pytest.mark.parametrize("main", ["<article>", "<div>", "<main>"])
+def test_html_leaves_out_comments_and_teasers_that_are_articles(start, main):
+    many = "".join(f"<article><p>Reader {i} says that this was a good text, and much too short, as always.</p></article>" for i in range(8))
+    kind = main[1:-1]
+    page = f"<body>{NAV}{main}<h1>A heading</h1>{TEXT}</{kind}>{start}{many}</{start[1:].split()[0]}>{FOOT}</body>"
+    assert html_text.main_text(page) == "A heading\n" + WANT
+
+
+def test_html_leaves_controls_out_of_lines():
+    assert html_text.main_text("<article><p>Some text here, <button>Share</button>and more of it.</p><p>Last <select><option>a</select>words, in one line.</p></article>") == "Some text here, and more of it.\nLast words, in one line."
+    assert html_text.main_text(f"<p>This stays, as it is, <button>open {TEXT}") == "This stays, as it is, open\n" + WANT
+
+
 def test_html_of_deep_and_long_pages():
     import time
 
