@@ -82,10 +82,10 @@ class Element:
 
 
 class Block:
-    __slots__ = ("at", "box", "hint", "links", "text")
+    __slots__ = ("box", "hint", "links", "text")
 
-    def __init__(self, text: str, links: int, at: Element, box: Element) -> None:
-        self.text, self.links, self.at, self.box, self.hint = text, links, at, box, 0.0
+    def __init__(self, text: str, links: int, box: Element) -> None:
+        self.text, self.links, self.box, self.hint = text, links, box, 0.0
 
 
 def own_hint(name: str, rest: str, inside: bool) -> float:
@@ -123,7 +123,7 @@ def parse(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                blocks.append(Block(joined, links, open_[-1], boxes[-1]))
+                blocks.append(Block(joined, links, boxes[-1]))
             text.clear()
         links = 0
 
@@ -173,7 +173,7 @@ def parse(page: str) -> list[Block]:
                 at = end.end()
                 continue
             unended.add(name)  # it has no end from here on: what follows is the page
-        if name in CONTROLS and text and name not in unended:
+        if name in CONTROLS and name not in unended:
             if not (end := re.compile(rf"</{name}\s*>", re.I).search(page, at)):
                 unended.add(name)
             elif not _BLOCK_TAG.search(page, at, end.start()):
@@ -204,7 +204,7 @@ def parse(page: str) -> list[Block]:
             boxes.append(e)
     close()
     for b in blocks:
-        b.at.size += len(b.text)
+        b.box.size += len(b.text)
     for e in reversed(every):
         if e.parent:
             e.parent.size += e.size
@@ -216,7 +216,7 @@ def parse(page: str) -> list[Block]:
             e.hint = 0.0
         e.hint += e.parent.hint if e.parent else 0.0
     for b in blocks:
-        b.hint = b.at.hint
+        b.hint = b.box.hint
     return blocks
 
 
