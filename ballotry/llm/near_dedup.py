@@ -207,7 +207,7 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold: int = 80, bands: int
     texts = cut(texts.join(members.select("node").distinct(), "node", "left_semi"))
     near = cut(compared(stars(members), texts, words, threshold, threshold // 2))
     links = near.where("linked").select("a", "b")
-    alone = orphans(members, near).select(F.col("key").alias("group"), "node", F.col("node").alias("component"), F.lit(True).alias("stray"))
+    alone = orphans(members, near).select(F.col("key").alias("group"), "node", F.col("node").alias("component"), "stray")
     more = cut(block_links(unsettled(near, links).union(alone), texts, lambda: Shingler(words), threshold))
     found = components(links.union(more))
     # nodes that share an id (a repeated doc_id) are one node already; label the prints, then the rows

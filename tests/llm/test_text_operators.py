@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ballotry.llm import decontaminate, exact_dedup, html_text, line_dedup, near_dedup, pii, sentencepiece_codec, token_shards, toxicity, warc
+from ballotry.llm import decontaminate, exact_dedup, graph, html_text, line_dedup, near_dedup, pii, sentencepiece_codec, token_shards, toxicity, warc
 from ballotry.llm.common import model_path, ranks_path, table
 
 DIR = "/root/testdata/sf0.001"
@@ -86,6 +86,22 @@ def test_near_dedup_large_family_and_edges(spark):
     assert near_dedup.near_dedup(docs(spark, [])).count() == 0
 
 
+def test_strays_meet_all_members_of_their_bucket(spark):
+    """Node 3 is loosely close to an end and node 4 isn't, so they are compared with each other."""
+    members = spark.createDataFrame([(7, 1), (7, 3), (7, 4), (7, 9), (8, 1), (8, 4), (8, 9), (9, 1), (9, 3), (9, 5), (9, 9)], "key long, node long")
+    near = spark.createDataFrame([(3, 1), (1, 3), (9, 5)], "a long, b long")
+    found = sorted(tuple(r) for r in graph.orphans(members, near).collect())
+    assert found == [(7, 3, False), (7, 4, True)]
+
+
+def test_near_dedup_of_pairs_that_only_one_end_knows(spark):
+    """A family in a chain: each text shares most with the next, little with those far off."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[5 * i : 5 * i + 60])) for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), words=2, threshold=80).collect()}
+    assert set(got.values()) == {0}
+
+
 def test_sketch_concentrates():
     x = np.arange(1000, dtype=np.uint64)
     a, b = near_dedup.sketches([near_dedup.mix(x[:900]), near_dedup.mix(x[100:])], 1000)
