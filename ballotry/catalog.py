@@ -268,7 +268,7 @@ def scatter_matrix(s: SparkSession, d: str) -> DataFrame:
 
 
 def _model(s: SparkSession, d: str) -> tuple[DataFrame, matrix.Model]:
-    votes = _eligible_votes(s, d).cache()
+    votes = files.Tables(s, "model").cut(_eligible_votes(s, d))
     rows = ballots.retained(votes).orderBy("opinion_id").collect()
     ids, means = [r["opinion_id"] for r in rows], [r["mean"] for r in rows]
     return votes, matrix.principal(matrix.spread(votes, ballots.retained(votes), ids), ids, means)
@@ -341,7 +341,7 @@ def overlap_connected(s: SparkSession, d: str) -> DataFrame:
     votes = _last(s, d)
     sessions = ballots.eligible(votes)
     mine = ballots.of_sessions(votes, sessions)
-    return s.createDataFrame([(matrix.connected(mine.cache(), sessions, ballots.retained(mine)),)], "connected boolean")
+    return s.createDataFrame([(matrix.connected(mine, sessions, ballots.retained(mine)),)], "connected boolean")
 
 
 @query(
@@ -394,6 +394,7 @@ def analysis_status(s: SparkSession, d: str) -> DataFrame:
     """Status, groups and silhouette of the whole analysis."""
     r = analysis.analyze(A.ballots_planted(s, d))
     four = lambda v: None if v is None else round(v, 4)
+    r.release()
     return s.createDataFrame([(r.status, r.eligible, len(r.groups), four(r.explained), four(r.silhouette), r.approximate)], "status string, eligible long, groups int, explained double, silhouette double, approximate boolean")
 
 
@@ -401,6 +402,7 @@ def analysis_status(s: SparkSession, d: str) -> DataFrame:
 def kmeans_candidates(s: SparkSession, d: str) -> DataFrame:
     """Each number of groups and start: its groups' sizes and silhouette, null where a group got too small."""
     r = analysis.analyze(A.ballots_planted(s, d))
+    r.release()
     rows = [(k, i, None if q is None else round(q, 4), None if sizes is None else ",".join(map(str, sizes))) for k, i, q, sizes in r.diagnostics["candidates"]]
     return s.createDataFrame(rows, "k int, start int, silhouette double, sizes string")
 
@@ -539,9 +541,39 @@ def binomial_tail(s: SparkSession, d: str) -> DataFrame:
     return evaluate.binomial_tail(sizes).select("n", "need", r6("one"), r6("two"), r6("expected"))
 
 
-@query(FIRST[:-1] + ", n AS (SELECT opinion_id, count(*) AS n FROM first GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM n")
+@query(FIRST[:-1] + ", n AS (SELECT opinion_id, count(*) AS n FROM first GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(avg(n) FILTER (WHERE opinion_id IN (SELECT opinion_id FROM lines WHERE b % 5 = 2)), 6) AS common_mean FROM n")
 def exposure(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.exposure(_first(s, d).groupBy("opinion_id").agg(F.count("*").alias("n"))).select("least", "most", r6("mean"))
+    """Least, most and mean answers of an opinion, and the mean of the common ones."""
+    counts = _first(s, d).groupBy("opinion_id").agg(F.count("*").alias("n"))
+    common = A.opinions(s, d).where(F.substring("id", 2, 2).cast("int") % 5 == 2).select(F.col("id").alias("opinion_id"))
+    every, some = evaluate.exposure(counts).select("least", "most", r6("mean")), evaluate.exposure_of(counts, common).select(F.round("mean", 6).alias("common_mean"))
+    return every.crossJoin(some)
+
+
+@query(with_views("planted", "first", "opinions", "reports")[:-1] + ", r AS (SELECT opinion_id AS id, count(*) AS n FROM reports GROUP BY 1) SELECT status, round(avg(n), 6) AS mean, min(n) AS least, max(n) AS most, count(n) AS known FROM opinions LEFT JOIN r USING (id) GROUP BY 1")
+def reports_by_status(s: SparkSession, d: str) -> DataFrame:
+    """Reports of an opinion by its status; opinions without any are unknown, not 0."""
+    n = A.reports(s, d).groupBy(F.col("opinion_id").alias("id")).agg(F.count("*").alias("n"))
+    return evaluate.summary(A.opinions(s, d).join(n, "id", "left"), "status", "n").withColumn("mean", F.round("mean", 6))
+
+
+@query(with_views("planted", "valid")[:-1] + ", n AS (SELECT session_id, count(*) FILTER (WHERE value <> 0) AS k, row_number() OVER (ORDER BY session_id) AS rn FROM valid GROUP BY 1) SELECT CAST(m AS INTEGER) AS minimum, CAST(p AS INTEGER) AS sessions, count(*) FILTER (WHERE rn <= p AND k >= m) AS eligible FROM n, (VALUES (6), (8), (12), (16)) a(m), (VALUES (40), (100), (1000)) b(p) GROUP BY 1, 2")
+def eligibility_grid(s: SparkSession, d: str) -> DataFrame:
+    return evaluate.eligibility_grid(_last(s, d), [6, 8, 12, 16], [40, 100, 1000])
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT \"group\", agree, seen, round(rate, 6) AS rate, round(lower_bound, 6) AS lower_bound, seen >= 10 AND rate >= 0.6 AND lower_bound > 0.5 AS enough FROM wl WHERE opinion_id = 'O12'")
+def focus_bridge(s: SparkSession, d: str) -> DataFrame:
+    """One opinion's evidence in every group."""
+    at = _group_counts(s, d).where("opinion_id = 'O12'")
+    return at.select("group", "agree", "seen", F.round(S.rate("agree", "seen"), 6).alias("rate"), F.round(S.wilson_lower("agree", "seen"), 6).alias("lower_bound"), S.has_evidence("agree", "seen").alias("enough"))
+
+
+@query(with_views("planted", "valid", "eligible")[:-1] + _GROUPS + "SELECT opinion_id, round(min(agree / seen), 6) AS least FROM gc GROUP BY 1 HAVING count(*) = 2 AND min(agree / seen) >= 0.6")
+def true_bridges(s: SparkSession, d: str) -> DataFrame:
+    """Opinions that three fifths of each planted side agree with."""
+    at = _group_counts(s, d).withColumn("rate", S.rate("agree", "seen")).groupBy("opinion_id").agg(F.min("rate").alias("least"), F.count("*").alias("n"))
+    return at.where("n = 2 and least >= 0.6").select("opinion_id", F.round("least", 6).alias("least"))
 
 
 @query(with_views("opinions") + "SELECT status, count(*) AS n FROM opinions GROUP BY 1")

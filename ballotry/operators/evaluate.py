@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .release import numbered
 
 
 def _pairs(n: str) -> F.Column:
@@ -97,6 +98,24 @@ def exposure(counts: DataFrame, by: str = "opinion_id", value: str = "n") -> Dat
     return counts.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
 
 
+def exposure_of(counts: DataFrame, items: DataFrame, by: str = "opinion_id", value: str = "n") -> DataFrame:
+    """Mean exposure over some items, such as those common to all."""
+    return counts.join(items.select(by), by, "left_semi").agg(F.avg(value).alias("mean"))
+
+
+def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """Mean, least and most of what is known in each group; null where nothing is."""
+    return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("known"))
+
+
+def eligibility_grid(votes: DataFrame, minimums: list[int], prefixes: list[int]) -> DataFrame:
+    """How many of the first sessions are eligible at each least count of answers other than pass: a grid of
+    constants over one row a session."""
+    each = numbered(votes.groupBy("session_id").agg(F.count_if(F.col("value") != 0).alias("substantive")), ["session_id"])
+    grid = F.explode(F.array(*(F.struct(F.lit(m).alias("minimum"), F.lit(p).alias("sessions")) for m in minimums for p in prefixes))).alias("g")
+    return each.select("rn", "substantive", grid).groupBy("g").agg(F.count_if((F.col("rn") <= F.col("g.sessions")) & (F.col("substantive") >= F.col("g.minimum"))).alias("eligible")).select("g.minimum", "g.sessions", "eligible")
+
+
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))
 

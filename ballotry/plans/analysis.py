@@ -60,23 +60,41 @@ class Result:
     approximate: bool = False
     model: matrix.Model | None = None
     diagnostics: dict = field(default_factory=dict)
+    #: What points and bridges are still computed from.
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of what was cached, once points and bridges have been used."""
+        while self.held:
+            self.held.pop().unpersist()
 
 
 def analyze(votes: DataFrame, opinions: DataFrame | None = None, options: Options = Options(), previous: Result | None = None, mine: str | None = None) -> Result:  # noqa: B008
     """votes(session_id, opinion_id, value[, arrival]). Ends at the first gate that isn't passed.
-    Answers that aren't -1, 0 or 1, or to an unknown opinion, never count. Of a session's
+    What is cached goes at such a gate; a ready result's with release(). Answers that aren't -1, 0 or 1, or to an unknown opinion, never count. Of a session's
     answers to an opinion the last by arrival counts; without that column there is one.
     mine: a session whose point is marked in a column mine."""
-    o = options
+    out = Result("collecting", 0, options.min_sessions)
+    try:
+        return _analyze(out, votes, opinions, options, previous, mine)
+    finally:
+        if out.status != "ready":
+            out.release()
+
+
+def _analyze(out: Result, votes: DataFrame, opinions: DataFrame | None, o: Options, previous: Result | None, mine: str | None) -> Result:
+    def kept_here(df: DataFrame) -> DataFrame:
+        out.held.append(df.cache())
+        return out.held[-1]
+
     votes = ballots.last_valid(votes, opinions) if "arrival" in votes.columns else ballots.valid(votes, opinions)
-    votes = votes.cache()
-    sessions = ballots.eligible(votes, o.min_substantive).cache()
-    n = sessions.count()
-    out = Result("collecting", n, o.min_sessions)
+    votes = kept_here(votes)
+    sessions = kept_here(ballots.eligible(votes, o.min_substantive))
+    n = out.eligible = sessions.count()
     if n < o.min_sessions:
         return out
-    own = ballots.of_sessions(votes, sessions).cache()
-    kept = ballots.retained(own, o.min_opinion_votes).orderBy("opinion_id").cache()
+    own = kept_here(ballots.of_sessions(votes, sessions))
+    kept = kept_here(ballots.retained(own, o.min_opinion_votes).orderBy("opinion_id"))
     rows = kept.collect()
     out.diagnostics["retained_opinions"] = len(rows)
     if len(rows) < o.min_retained:
@@ -93,7 +111,7 @@ def analyze(votes: DataFrame, opinions: DataFrame | None = None, options: Option
     model = matrix.principal(c, ids, means, o.pca_iterations, o.min_substantive, previous.model if previous else None)
     out.model = model
     every = matrix.project(own, matrix.Model(ids, means, model.components, 0))
-    points = cluster.with_hashes(every).cache()
+    points = kept_here(cluster.with_hashes(every))
     warm = cluster.previous_centers(points, previous.points.select("session_id", "group"), o.max_groups, o.min_group_size) if previous is not None and previous.points is not None else None
     grid = cluster.choose(points, n, o.min_group_size, o.max_groups, o.starts, o.kmeans_iterations, o.silhouette_targets, o.silhouette_references, warm)
     out.diagnostics["candidates"] = [(c.k, c.start, c.silhouette, None if c.sizes is None else c.sizes.tolist()) for c in grid]

@@ -73,6 +73,7 @@ class Store:
         self.spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/snapshots/{name}")
         if result.points is not None:
             result.points.write.mode("overwrite").parquet(f"{self.folder}/points/{name}")
+        result.release()
         return name
 
     def read(self, options: Options, moderation: int, known: str | None = None) -> dict:

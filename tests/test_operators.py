@@ -359,3 +359,24 @@ def test_warm_axes_and_centres(spark):
     assert centers == pytest.approx(np.array([[x, y] for x, y, _ in cold.model.centers]), abs=1e-9)
     assert cluster.previous_centers(points, label.where("group = 0")) is None
     assert cluster.previous_centers(points, label.where("group = 0 or session_id = 's0000'"), min_size=100) is None
+
+
+def test_caches_of_an_analysis_go(spark):
+    held = lambda: spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    before = held()
+    assert analysis.analyze(votes(spark, blocks(40))).status == "collecting" and held() == before
+    r = analysis.analyze(votes(spark, blocks()))
+    assert held() > before and r.points.count() == 100
+    r.release()
+    assert held() == before
+
+
+def test_labels_stand_apart(spark):
+    assert geometry.place_labels([("a", 100, 100)]) == {"a": (100, 100)}
+    at = geometry.place_labels([("a", 100, 100), ("b", 102, 101), ("c", 300, 100)])
+    assert at["a"] == (100, 100) and at["c"] == (300, 100) and at["b"] in {(102 + x, 101 + y) for x, y in geometry.LABEL_OFFSETS[1:]}
+
+
+def test_a_session_posts_three_times(spark):
+    rows = spark.createDataFrame([("s", i, f"p{i}") for i in range(5)] + [("r", 9, "q")], "session_id string, seq int, id string")
+    assert {r["id"] for r in events.limited_posts(rows).collect()} == {"p0", "p1", "p2", "q"}
