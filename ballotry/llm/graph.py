@@ -115,14 +115,16 @@ def crowded(members: DataFrame) -> DataFrame:
 
 def orphans(members: DataFrame, near: DataFrame) -> DataFrame:
     """(key, node, stray) of the buckets that have a stray among two members or more besides their
-    ends: a node without an edge of near(a, b) to either end. It may still be close to any other
-    member, stray or not; ends have been compared with all."""
+    ends: a node without an edge of near(a, b) to either end, or, where the ends have none to each
+    other, without one to the first end. It may still be close to any other member, stray or not.
+    Ends have been compared with all, and members that aren't strays are of one family."""
     ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     at = members.join(ends, "key").where("node != low and node != high")
     both = cut(near.select("a", "b").union(near.select("b", "a")).distinct())
     for end in ("low", "high"):
         at = at.join(both.select(F.col("a").alias("node"), F.col("b").alias(end), F.lit(True).alias(f"by_{end}")), ["node", end], "left")
-    at = at.select("key", "node", (F.col("by_low").isNull() & F.col("by_high").isNull()).alias("stray"))
+    at = at.join(both.select(F.col("a").alias("low"), F.col("b").alias("high"), F.lit(True).alias("close")), ["low", "high"], "left")
+    at = at.select("key", "node", (F.col("by_low").isNull() & (F.col("by_high").isNull() | F.col("close").isNull())).alias("stray"))
     some = at.groupBy("key").agg(F.bool_or("stray").alias("any"), F.count("*").alias("n")).where("any and n > 1")
     return at.join(some.select("key"), "key", "left_semi")
 

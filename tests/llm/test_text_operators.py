@@ -87,11 +87,12 @@ def test_near_dedup_large_family_and_edges(spark):
 
 
 def test_strays_meet_all_members_of_their_bucket(spark):
-    """Node 3 is loosely close to an end and node 4 isn't, so they are compared with each other."""
-    members = spark.createDataFrame([(7, 1), (7, 3), (7, 4), (7, 9), (8, 1), (8, 4), (8, 9), (9, 1), (9, 3), (9, 5), (9, 9)], "key long, node long")
-    near = spark.createDataFrame([(3, 1), (1, 3), (9, 5)], "a long, b long")
+    """Node 3 is loosely close to an end and node 4 isn't, so they are compared with each other; so are 3 and
+    5, which are close to different ends that aren't close themselves."""
+    members = spark.createDataFrame([(7, 1), (7, 3), (7, 4), (7, 9), (8, 1), (8, 4), (8, 9), (9, 1), (9, 3), (9, 5), (9, 9), (6, 2), (6, 3), (6, 5), (6, 8)], "key long, node long")
+    near = spark.createDataFrame([(3, 1), (1, 3), (9, 5), (2, 8), (3, 2), (5, 8)], "a long, b long")
     found = sorted(tuple(r) for r in graph.orphans(members, near).collect())
-    assert found == [(7, 3, False), (7, 4, True)]
+    assert found == [(7, 3, False), (7, 4, True), (9, 3, False), (9, 5, True)]
 
 
 def test_near_dedup_of_pairs_that_only_one_end_knows(spark):
