@@ -474,6 +474,12 @@ def region_centroids(s: SparkSession, d: str) -> DataFrame:
     return geometry.region_centroids(A.points(s, d), "label").select("label", "n", r6("cx"), r6("cy"))
 
 
+@query(_HULLS[:-1] + ", ci AS (SELECT label, x + 0.05 * cos(k * pi() / 12) AS x, y + 0.05 * sin(k * pi() / 12) AS y FROM h_r, range(0, 24) t(k)), " + _hull_sql("ci", "g")[:-1] + ", ou AS (SELECT label, string_agg(printf('%.3f:%.3f', x, y), ' ' ORDER BY ord) AS outline FROM g_r GROUP BY 1) SELECT label, count(*) AS n, round(avg(x), 6) + 0.0 AS cx, round(avg(y), 6) + 0.0 AS cy, any_value(outline) AS outline FROM points JOIN ou USING (label) GROUP BY 1")
+def region_outlines(s: SparkSession, d: str) -> DataFrame:
+    at = geometry.regions(A.points(s, d), "label", 0.05)
+    return at.select("label", "n", r6("cx"), r6("cy"), F.array_join(F.transform("outline", lambda c: F.format_string("%.3f:%.3f", c["x"], c["y"])), " ").alias("outline"))
+
+
 _SIL = (
     ", tr AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY id) AS rk FROM points), t AS (SELECT * FROM tr WHERE rk <= 64), f AS (SELECT * FROM tr WHERE rk <= 32), "
     "ds AS (SELECT t.id, t.label AS own, f.label AS other, avg(sqrt((t.x - f.x) ** 2 + (t.y - f.y) ** 2)) AS m FROM t JOIN f ON t.id <> f.id GROUP BY 1, 2, 3), "
@@ -601,6 +607,23 @@ def scenario_recovery(s: SparkSession, d: str) -> DataFrame:
     return evaluate.ari(sides, "truth", "group").select(F.lit(r.status).alias("status"), r6("ari"))
 
 
+@query(
+    _AXES + _POINTS[:-1] + _KMEANS[:-1] + ", tp AS (SELECT * FROM cd WHERE silhouette IS NOT NULL ORDER BY silhouette DESC, k, s LIMIT 1), tl AS (SELECT id, CAST(id AS INTEGER) % 2 AS label, g AS side FROM lb JOIN tp USING (k, s)), c AS (SELECT label, side, count(*) AS n FROM tl GROUP BY 1, 2), q AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS b, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY label)) AS r, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY side)) AS k, (SELECT sum(n) FROM c) AS t), "
+    "jc AS (SELECT label, max(n / (e + z - n)) AS j FROM c JOIN (SELECT label, sum(n) AS e FROM c GROUP BY 1) USING (label) JOIN (SELECT side, sum(n) AS z FROM c GROUP BY 1) USING (side) GROUP BY 1), "
+    "gb AS (SELECT side, opinion_id, count(*) FILTER (WHERE value = -1) AS agree, count(*) AS seen FROM valid JOIN tl ON id = session_id GROUP BY 1, 2), wb AS (SELECT *, agree / seen AS rate, greatest(0, (agree / seen + 1.96 ** 2 / (2 * seen) - 1.96 * sqrt((agree / seen) * (1 - agree / seen) / seen + 1.96 ** 2 / (4 * seen ** 2))) / (1 + 1.96 ** 2 / seen)) AS lb FROM gb), "
+    "found AS (SELECT opinion_id FROM wb GROUP BY 1 HAVING count(*) = (SELECT k FROM tp) AND bool_and(seen >= 10 AND rate >= 0.6 AND lb > 0.5)), truth AS (SELECT DISTINCT opinion_id FROM lines WHERE b % 5 = 2) "
+    "SELECT round((b - r * k / (t * (t - 1) / 2)) / ((r + k) / 2 - r * k / (t * (t - 1) / 2)), 6) + 0.0 AS ari, round((SELECT avg(j) FROM jc), 6) AS jaccard, (SELECT count(*) FROM found SEMI JOIN truth USING (opinion_id)) AS hit, (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM truth) AS \"true\" FROM q"
+)
+def evaluation(s: SparkSession, d: str) -> DataFrame:
+    """The whole analysis of the planted ballots against what was planted: groups and bridges."""
+    r, tables = analysis.analyze(A.ballots_planted(s, d)), files.Tables(s, "evaluation")
+    labels = tables.cut(r.points.select("session_id", (F.col("session_id").cast("int") % 2).alias("truth"), "group"))
+    found = tables.cut(r.bridges.select("opinion_id"))
+    r.release()
+    truth = A.opinions(s, d).where(F.substring("id", 2, 2).cast("int") % 5 == 2).select(F.col("id").alias("opinion_id"))
+    return evaluate.evaluate(labels, found, truth).select(r6("ari"), F.round("jaccard", 6).alias("jaccard"), "hit", "found", "true")
+
+
 # Releases
 
 

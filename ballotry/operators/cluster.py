@@ -3,7 +3,9 @@
 Points stay distributed. All candidates (numbers of groups and starts) advance together, one
 pass over the points an iteration: a task returns sums for each candidate and group, so what
 is gathered is a few dozen rows whatever the number of points. The silhouette takes bounded
-samples by hash order within a group; only these are gathered.
+samples by hash order within a group; only these are gathered. Up to FEW points, a bound that
+doesn't grow with the input, the passes are so short that jobs would cost a hundred times as
+much: the same functions then run over the points in memory, with the same results.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import text_hash
 
 TARGET_SALT, REFERENCE_SALT = 0x6A09E667, 0xBB67AE85
+#: Points (some 60 bytes each) that are kept in memory for the passes.
+FEW = 100_000
+Points = DataFrame | pd.DataFrame
 
 
 @dataclass
@@ -41,9 +46,12 @@ def with_hashes(points: DataFrame, id_col: str = "session_id") -> DataFrame:
     return points.select(F.col(id_col).alias("id"), "x", "y", text_hash(id_col, TARGET_SALT).alias("h1"), text_hash(id_col, REFERENCE_SALT).alias("h2"))
 
 
-def at_ranks(points: DataFrame, ranks: list[int]) -> list[tuple[str, float, float]]:
+def at_ranks(points: Points, ranks: list[int]) -> list[tuple[str, float, float]]:
     """The points at given ranks of the order by (h1, id), found by counts of 65,536 ranges of the
     hash: only the ranges that hold a rank are ordered."""
+    if isinstance(points, pd.DataFrame):
+        order = points.sort_values(["h1", "id"])
+        return [tuple(order[["id", "x", "y"]].iloc[r]) for r in ranks]
     counts = points.groupBy(F.shiftright("h1", 16).alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect()
     ends = np.cumsum([r["n"] for r in counts])
     bins = {int(counts[i]["bin"]): int(ends[i] - counts[i]["n"]) for i in np.searchsorted(ends, ranks, side="right")}
@@ -60,7 +68,7 @@ def nearest(xy: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return ((xy[:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
 
 
-def _farthest(points: DataFrame, candidates: list[Candidate]) -> list[tuple[float, float, float]]:
+def _farthest(points: Points, candidates: list[Candidate]) -> list[tuple[float, float, float]]:
     """For each candidate the point farthest from its centres so far (the first id of equals)."""
     centers = [c.centers for c in candidates]
 
@@ -77,12 +85,14 @@ def _farthest(points: DataFrame, candidates: list[Candidate]) -> list[tuple[floa
                     best[c] = key, xy[i]
         yield pd.DataFrame([(c, -k[0], k[1], *xy) for c, (k, xy) in best.items()], columns=["c", "d", "id", "x", "y"])
 
+    if isinstance(points, pd.DataFrame):
+        return [tuple(r) for r in pd.concat(run([points])).sort_values("c")[["d", "x", "y"]].itertuples(index=False)]
     rows = points.select("id", "x", "y").mapInPandas(run, "c int, d double, id string, x double, y double").groupBy("c").agg(F.min(F.struct((-F.col("d")).alias("d"), "id", "x", "y")).alias("b")).collect()
     by = {r["c"]: r["b"] for r in rows}
     return [(-by[c]["d"], by[c]["x"], by[c]["y"]) for c in range(len(candidates))]
 
 
-def _pass(points: DataFrame, candidates: list[Candidate]) -> dict[tuple[int, int], tuple[int, float, float, int]]:
+def _pass(points: Points, candidates: list[Candidate]) -> dict[tuple[int, int], tuple[int, float, float, int]]:
     """One pass: for each candidate and group the count, sums and points whose group changed."""
     now = [(c.centers, c.labelled_by) for c in candidates]
 
@@ -97,11 +107,13 @@ def _pass(points: DataFrame, candidates: list[Candidate]) -> dict[tuple[int, int
                 rows += [(c, g, int(sums[0][g]), sums[1][g], sums[2][g], int(sums[3][g])) for g in range(len(centers))]
         yield pd.DataFrame(rows, columns=["c", "g", "n", "x", "y", "moved"])
 
+    if isinstance(points, pd.DataFrame):
+        return {(r.c, r.g): (r.n, r.x, r.y, r.moved) for r in pd.concat(run([points])).itertuples()}
     found = points.select("x", "y").mapInPandas(run, "c int, g int, n long, x double, y double, moved long").groupBy("c", "g").agg(*(F.sum(v).alias(v) for v in ("n", "x", "y", "moved"))).collect()
     return {(r["c"], r["g"]): (r["n"], r["x"], r["y"], r["moved"]) for r in found}
 
 
-def lloyd(points: DataFrame, candidates: list[Candidate], iterations: int, min_size: int) -> None:
+def lloyd(points: Points, candidates: list[Candidate], iterations: int, min_size: int) -> None:
     """Advance all candidates until their labels stay; one whose group gets too small is dropped
     (its sizes stay None)."""
     for _ in range(iterations):
@@ -122,7 +134,7 @@ def lloyd(points: DataFrame, candidates: list[Candidate], iterations: int, min_s
         c.done = True
 
 
-def _samples(points: DataFrame, candidates: list[Candidate], most: int, order: str) -> dict[tuple[int, int], np.ndarray]:
+def _samples(points: Points, candidates: list[Candidate], most: int, order: str) -> dict[tuple[int, int], np.ndarray]:
     """For each candidate and group the first points in hash order: (id, x, y) of at most most."""
     by = [c.labelled_by for c in candidates]
 
@@ -136,6 +148,8 @@ def _samples(points: DataFrame, candidates: list[Candidate], most: int, order: s
         if held is not None:
             yield held[["c", "g", order, "id", "x", "y"]]
 
+    if isinstance(points, pd.DataFrame):
+        return {k: p[["id", "x", "y"]].to_numpy() for k, p in pd.concat(run([points])).groupby(["c", "g"])}
     rows = points.select("id", "x", "y", order).mapInPandas(run, f"c int, g int, {order} long, id string, x double, y double")
     out = rows.repartition("c", "g").groupBy("c", "g").applyInPandas(lambda p: p.sort_values([order, "id"]).head(most), rows.schema).toPandas()
     return {k: p[["id", "x", "y"]].to_numpy() for k, p in out.groupby(["c", "g"])}
@@ -161,8 +175,10 @@ def silhouette(sizes: np.ndarray, targets: list[np.ndarray], references: list[np
 
 def choose(points: DataFrame, n: int, min_size: int = 3, max_groups: int = 4, starts: int = 4, iterations: int = 60, targets: int = 256, references: int = 128, warm: np.ndarray | None = None) -> list[Candidate]:
     """All candidates in their order: the warm one first, then by groups and start. points:
-    with_hashes(...), cached by the caller."""
+    with_hashes(...), cached by the caller; n of them."""
     grid = [Candidate(len(warm), 0, np.array(warm, float), True)] if warm is not None else []
+    if n <= FEW:
+        points = points.select("id", "x", "y", "h1", "h2").toPandas()
     count = min(starts, n)
     first = at_ranks(points, [s * n // count for s in range(count)])
     cold = [Candidate(k, s, np.array([first[s][1:]], float)) for k in range(2, min(max_groups, n // min_size) + 1) for s in range(count)]

@@ -47,6 +47,14 @@ def bridge_quality(found: DataFrame, truth: DataFrame) -> DataFrame:
     return hit.crossJoin(n(found, "found")).crossJoin(n(truth, "true")).select("hit", "found", "true", F.try_divide("hit", "found").alias("precision"), F.try_divide("hit", "true").alias("recall"))
 
 
+def evaluate(labels: DataFrame, found: DataFrame, true_found: DataFrame) -> DataFrame:
+    """One row on one analysis: labels(session_id, truth, group), bridges found and true ones by opinion_id.
+    ari, the mean Jaccard index of the true groups with their best found ones, and the bridges' precision
+    and recall."""
+    best = group_recovery(labels, "truth", "group").agg(F.avg("jaccard").alias("jaccard"))
+    return ari(labels, "truth", "group").crossJoin(best).crossJoin(bridge_quality(found, true_found))
+
+
 def threshold_sweep(values: DataFrame, column: str, thresholds: list[float]) -> DataFrame:
     """For each threshold how many values reach it: one pass over the values."""
     counts = values.agg(*(F.count_if(F.col(column) >= t).alias(f"t{i}") for i, t in enumerate(thresholds)))

@@ -82,6 +82,12 @@ def region_centroids(points: DataFrame, by: str = "group") -> DataFrame:
     return points.groupBy(by).agg(F.count("*").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 
 
+def regions(points: DataFrame, by: str = "group", padding: float = 8.0) -> DataFrame:
+    """(by, n, cx, cy, outline): each group's centre and the corners of its padded hull, in order."""
+    corners = hulls(points, by, padding).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("c"))
+    return region_centroids(points.where(finite("x", "y")), by).join(corners, by).select(by, "n", "cx", "cy", F.transform("c", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("outline"))
+
+
 def sample_first(points: DataFrame, by: str, order: list[str], most: int) -> DataFrame:
     """The first rows of each group in an order. Spark limits each task's groups before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))

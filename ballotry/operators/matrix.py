@@ -149,7 +149,10 @@ def overlap_components(votes: DataFrame, sessions: DataFrame, kept: DataFrame, s
     if shared not in (2, 3):
         raise ValueError("shared: 2 or 3")
     tables = Tables(votes.sparkSession, "overlap")
-    answered = tables.cut(patterns_of(votes, sessions, kept))
+    return _components(tables.cut(patterns_of(votes, sessions, kept)), tables, shared)
+
+
+def _components(answered: DataFrame, tables: Tables, shared: int) -> DataFrame:
     patterns = tables.cut(answered.where(F.size("o") >= shared).groupBy("o").agg(F.min("session_id").alias("name")))
     grouped = tables.cut(_reached(patterns, shared, tables))
     links = tables.cut(_links(grouped, shared, tables))
@@ -163,8 +166,14 @@ def overlap_components(votes: DataFrame, sessions: DataFrame, kept: DataFrame, s
 def connected(votes: DataFrame, sessions: DataFrame, kept: DataFrame) -> bool:
     """Whether sessions that share three substantive answers' opinions form one component. A session
     without three such opinions is alone; no sessions at all aren't connected."""
-    found = overlap_components(votes, sessions, kept).select("component").distinct().limit(2).count()
-    return found == 1
+    tables = Tables(votes.sparkSession, "overlap")
+    answered = tables.cut(patterns_of(votes, sessions, kept))
+    at = answered.agg(F.count("*").alias("n"), F.min(F.size("o")).alias("least"), F.max(F.struct(F.size("o"), "o")).alias("top")).first()
+    if at["n"] < 2 or at["least"] < 3:
+        return at["n"] == 1
+    if answered.where(F.size(F.array_intersect("o", F.lit(list(at["top"]["o"])))) < 3).isEmpty():
+        return True  # one session has three with each other one
+    return _components(answered, tables, 3).select("component").distinct().limit(2).count() == 1
 
 
 def _reached(patterns: DataFrame, shared: int, tables: Tables) -> DataFrame:

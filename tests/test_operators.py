@@ -379,3 +379,16 @@ def test_labels_stand_apart(spark):
 def test_a_session_posts_three_times(spark):
     rows = spark.createDataFrame([("s", i, f"p{i}") for i in range(5)] + [("r", 9, "q")], "session_id string, seq int, id string")
     assert {r["id"] for r in events.limited_posts(rows).collect()} == {"p0", "p1", "p2", "q"}
+
+
+def test_few_points_and_many_give_the_same_groups(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    rows = [(s, p, -v if rng.random() < 0.3 else v) for s, p, v in blocks(120, 14)]
+    data, options = votes(spark, rows), analysis.Options(min_silhouette=0.1)
+    few = analysis.analyze(data, options=options)
+    monkeypatch.setattr("ballotry.operators.cluster.FEW", 0)
+    many = analysis.analyze(data, options=options)
+    assert few.status == many.status == "ready" and few.groups == many.groups
+    a, b = few.diagnostics["candidates"], many.diagnostics["candidates"]
+    assert [(k, i, sizes) for k, i, _, sizes in a] == [(k, i, sizes) for k, i, _, sizes in b]
+    assert [q for _, _, q, _ in a if q is not None] == pytest.approx([q for _, _, q, _ in b if q is not None], abs=1e-12)
