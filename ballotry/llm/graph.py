@@ -34,7 +34,7 @@ def tasks(rows: int) -> int:
     return max(1, -(-rows // TASK_ROWS))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, native: bool = False) -> DataFrame:
     """Distributed union-find. edges(a, b) of whole numbers -> (node, component), the
     smallest node reachable; nodes without an edge to another are absent.
 
@@ -45,6 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
     chain and less of anything denser stays, and rounds are logarithmic in the number of
     nodes. Once a graph, contracted or not, has no more arcs than a task takes (TASK_ROWS),
     one task ends it by union-find in memory: a bound that doesn't grow with the input.
+    native: rounds go on to the end instead, so that all of it is DataFrame functions.
     Null ends are ignored; repeated edges and self-loops change nothing.
     """
     hashed = lambda *c: [F.xxhash64(x).alias(x) for x in c]
@@ -54,12 +55,13 @@ def components(edges: DataFrame) -> DataFrame:
     both = tables.cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     n = both.count()
     both = both.coalesce(tasks(n))
-    if n <= TASK_ROWS:
+    few = 0 if native else TASK_ROWS
+    if n <= few and not native:
         return ended(both, "node", "component")
     whole = pieces = tasks(n)
     labels = both.select(F.col("a").alias("node")).distinct().coalesce(whole).withColumn("name", F.xxhash64("node"))
     arcs = both.select(*hashed("a", "b"))
-    while n > TASK_ROWS:
+    while n > few:
         old = tables.count
         up = tables.cut(arcs.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("name"), F.least("a", "least").alias("up")).coalesce(pieces))
         labels = tables.cut(labels.join(up, "name", "left").select("node", F.xxhash64(F.coalesce("up", "name")).alias("name")).coalesce(whole))

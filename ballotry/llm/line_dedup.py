@@ -1,10 +1,7 @@
 """Operator 6: fuzzy duplicate lines by MinHash.
 
-All of it is DataFrame functions but three steps, which numpy does in Arrow batches: the
-signatures, the exact verification of edges, and of blocks. With the native form of the first
-(a row for each shingle, then minima by line) the whole took 707 of 400 CPU seconds a GB; the
-native verification took most of a run on a table with a large family of lines that are
-nearly alike enough. See the README.
+All of it is DataFrame functions: no Python runs on the executors. The numpy forms of shingles
+and signatures here are what tests hold the native ones against.
 
 Every line that isn't blank is compared, whole, in lower case and with every run of
 characters that are neither letters nor digits as one space (a line of other characters
@@ -27,10 +24,9 @@ lines in a bucket cost time, they don't change results).
 Of a bucket each line is verified, on full sets, against one hub, taken by one of three
 orders, so that a family of alike lines has several hubs. Union-find (graph.components)
 joins the links. In a bucket of several components the lines outside the largest meet all
-others in blocks of bounded size (near_dedup.block_links): the shingles of a block's lines are sorted once, each line of the
-other side counts all it has in common with them, and only edges of a spanning forest come
-out. So pairs of a bucket are never rows, and two lines that share a bucket and agree are
-either compared on full sets or already in one component. Of each component the
+others in blocks of bounded size: a block is one key of a hash join, whose condition looks at
+components, then sketches, then full sets, so that only links between components are rows. Two lines
+that share a bucket and agree are either compared on full sets or already in one component. Of each component the
 line that comes first, by doc_id and line number, stays.
 
 Defined cases: blank lines stay and have a class of their own each; null or empty text has
@@ -42,26 +38,27 @@ empty table gives an empty one; other columns aren't looked at, whatever their n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release, slices
+from .common import cut, release
 from .graph import blocks, components, packed
-from .near_dedup import block_links, mix
+from .near_dedup import mix
 
 SHINGLE, THRESHOLD = 5, 80
 BANDS, ROWS = 12, 5
 VALUES, SKETCHED, BITS, AGREE = BANDS * ROWS, 8, 3, 4
+#: Shingles of a line whose values are minima of different orders; lines of more have one order.
+FEW = 32
 #: Odd numbers without a pattern that turn one hash of a shingle into many.
 _ODD = (mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 #: Constants that make three orders of names.
 _XOR = [((i * 0x9E3779B97F4A7C15 + (1 << 63)) % (1 << 64)) - (1 << 63) for i in range(1, 4)]
-#: Shingles whose signatures a task makes at once.
+#: Shingles whose signatures numpy makes at once.
 PIECE = 1 << 16
 
 
@@ -76,6 +73,11 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def kept_apart(rows: DataFrame, *names: str) -> DataFrame:
+    """rows whose named columns are computed here, once, and not wherever they are named."""
+    return rows.select(*(c for c in rows.columns if c not in names), F.inline(F.array(F.struct(*names))))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, node, check) of all lines of rows with an id. Blank lines have
     no name (node) and no second hash (check)."""
@@ -149,16 +151,56 @@ def keys_of(values: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def bucket_keys(lines: DataFrame) -> DataFrame:
-    """lines(node, text) -> (node, key), a key for each band."""
+def starts(units: Column | str) -> Column:
+    """Where the shingles of a line in UTF-16 begin; a shorter line is one shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.octet_length(units) - (_UNITS - 1), F.lit(1)), F.lit(2))
+
+
+def shingle_hashes(text: Column | str) -> Column:
+    """The shingles of a plain line, from its first place to its last, each as an odd 64-bit hash."""
+    return once(F.encode(text, "UTF-16LE"), lambda units: F.transform(starts(units), lambda i: F.xxhash64(F.substring(units, i, F.lit(_UNITS))).bitwiseOR(F.lit(1).cast("long"))))
+
+
+def short_keys(found: Column) -> Column:
+    """Keys of a set of few shingle hashes, from VALUES minima, each of another order: the band's
+    values are hashed to the bucket, and the last bits are a sketch."""
+    low = F.transform(found, lambda h: F.shiftrightunsigned(h, 33))  # 31 bits, whose product with an odd number of 32 bits is a long
+    least = once(low, lambda hs: F.transform(F.array(*(F.lit(int(odd)) for odd in _ODD)), lambda odd: F.array_min(F.transform(hs, lambda h: (h * odd).bitwiseAND(F.lit((1 << 32) - 1))))))
+
+    def keys(m: Column) -> Column:
+        bits = [[F.shiftleft(m[(ROWS * (b + 1) + j * (ROWS + 1)) % VALUES].bitwiseAND(F.lit((1 << BITS) - 1)), BITS * j) for j in range(SKETCHED)] for b in range(BANDS)]
+        return F.array(*(reduce(Column.bitwiseOR, bits[b], F.shiftleft(F.xxhash64(F.lit(-b - 1), *(m[v] for v in range(ROWS * b, ROWS * (b + 1)))), BITS * SKETCHED)) for b in range(BANDS)))
+
+    return once(least, keys)
+
 
-    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 2000):
-            keys = keys_of(signatures(b["text"].to_pylist()))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([b["node"], flat], ["node", "keys"])
+#: Even numbers at equal distances on the circle of 64-bit numbers; hashes are odd.
+_POINTS = [(i << 64) // BANDS // 2 * 2 - (1 << 63) for i in range(BANDS)]
 
-    rows = lines.select("node", "text").mapInArrow(build, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+
+def bucket_keys(lines: DataFrame) -> DataFrame:
+    """lines(node, text) -> (node, key): for each band its bucket, and in the last bits a sketch.
+
+    Sets of up to FEW hashes have short_keys(). Larger ones have keys from one order: hashes and points lie on a
+    circle, a band has the ROWS hashes behind its point, and the sketch is of what comes first behind
+    others. A set of a size between FEW and FEW * 100 / THRESHOLD can be linked with both kinds and has the keys of both."""
+    most = ROWS + BANDS - 1  # so many places behind a point hold ROWS hashes
+    bits, points, none = F.lit((1 << BITS) - 1), F.array(*map(F.lit, _POINTS)), F.array().cast("array<long>")
+    sets = kept_apart(lines.select("node", F.array_distinct(shingle_hashes("text")).alias("found")), "found")
+    ring = kept_apart(sets.withColumn("ring", F.sort_array(F.concat("found", points))), "ring")
+    ring = kept_apart(ring.withColumn("ring", F.concat("ring", F.slice("ring", 1, most))), "ring")
+    place = lambda p: F.array_position("ring", p).cast("int") + 1
+    after = [F.shiftleft(F.shiftright(F.get("ring", F.array_position("ring", F.lit(p)).cast("int")), 1).bitwiseAND(bits), BITS * (BANDS - 1 - b)) for b, p in enumerate(_POINTS)]
+    once_round = reduce(Column.bitwiseOR, after)
+    told = kept_apart(ring.select("node", "found", "ring", F.when(F.size("found") > FEW, once_round).alias("digits")), "digits")
+    round_again = F.shiftleft("digits", BITS * SKETCHED).bitwiseOR(F.shiftright("digits", BITS * (BANDS - SKETCHED)))
+    told = kept_apart(told.select("node", "found", "ring", round_again.alias("digits"), F.when(F.size("found") * THRESHOLD <= FEW * 100, short_keys(F.col("found"))).otherwise(none).alias("short")), "digits", "short")
+    # bands of one order, then those of many
+    first, last = F.when(F.size("found") > FEW, 0).otherwise(BANDS), F.when(F.size("short") > 0, 2 * BANDS).otherwise(BANDS) - 1
+    rows = told.select("node", "ring", "digits", "short", F.explode(F.sequence(first, last)).alias("b"))
+    behind = F.slice(F.array_except(F.slice("ring", place(F.element_at(points, F.col("b") + 1)), most), points), 1, ROWS)
+    sketch = F.expr(f"shiftrightunsigned(digits, {BITS} * ({BANDS - 1} - b))").bitwiseAND(F.lit((1 << BITS * SKETCHED) - 1))
+    rows = rows.select("node", F.when(F.col("b") < BANDS, F.shiftleft(F.xxhash64("b", behind), BITS * SKETCHED).bitwiseOR(sketch)).otherwise(F.try_element_at("short", F.col("b") - (BANDS - 1))).alias("key"))
     # said to be never null, so that all readers have the same plan and share one shuffle
     return rows.select(*(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in rows.columns))
 
@@ -182,26 +224,17 @@ def with_hubs(keys: DataFrame) -> DataFrame:
     return rows.join(hubs.hint("shuffle_hash"), "bucket").select("bucket", "node", "key", F.col("least").bitwiseXOR(order).alias("hub"), agree(F.col("key"), F.col("low")).alias("near"))
 
 
-def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """The edges(a, b, text of a) whose lines are alike, on full shingle sets."""
+def alike(x: str, y: str) -> Column:
+    """Whether two columns of distinct shingle hashes are linked."""
+    n, m = F.size(x), F.size(y)
+    return (100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)) & ((100 + THRESHOLD) * F.size(F.array_intersect(x, y)) >= THRESHOLD * (n + m))
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in slices(batches, 1000):
-            ok = []
-            for b, x, y in zip(*(batch[n].to_pylist() for n in ("b", "text", "b_text")), strict=True):
-                if last != b:  # the join leaves the edges of an end side by side
-                    last, held = b, shingles(y)
-                one = shingles(x)
-                if fits := 100 * min(len(one), len(held)) >= THRESHOLD * max(len(one), len(held)):
-                    common = len(np.intersect1d(one, held, assume_unique=True))
-                    fits = 100 * common >= THRESHOLD * (len(one) + len(held) - common)
-                ok.append(fits)
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
+def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
+    """The edges(a, b, text of a) whose lines are alike, on full shingle sets."""
     other = lines.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return edges.join(other, "b").select("a", "b", "text", "b_text").mapInArrow(verify, "a long, b long")
+    pairs = kept_apart(edges.join(other, "b").select("a", "b", F.array_distinct(shingle_hashes("text")).alias("x"), F.array_distinct(shingle_hashes("b_text")).alias("y")), "x", "y")
+    return pairs.where(alike("x", "y")).select("a", "b")
 
 
 def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -214,38 +247,32 @@ def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
     return at.join(main.select("group", F.col("top.component").alias("main")), "group").select("group", "node", "key", "component", (F.col("component") != F.col("main")).alias("stray"))
 
 
+def met(groups: DataFrame, more: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> tuple[DataFrame, DataFrame, Column]:
+    """Members and strays (their columns named with s_) of groups(group, node, key, component, stray, ...) in
+    blocks of bounded size, and the condition that joins those to be compared: of one block, in two
+    components, with sketches that agree, and of two strays the lesser as the stray. more: adds columns after the shuffle."""
+    dealt = blocks(groups.withColumn("lone", F.col("stray")), 256, 1024)
+    members, strays = more(dealt.where("not stray")), more(dealt.where("stray"))
+    strays = strays.select(*(F.col(c).alias(f"s_{c}") for c in strays.columns))
+    same = reduce(Column.__and__, (F.col(c) == F.col(f"s_{c}") for c in ("group", "block", "chunk")))
+    return members, strays, same & (F.col("component") != F.col("s_component")) & (~F.col("lone") | (F.col("s_node") < F.col("node"))) & agree(F.col("key"), F.col("s_key"))
+
+
 def promising(groups: DataFrame) -> DataFrame:
     """groups(group, node, key, component, stray) without the rows whose sketch agrees with none that
     they would be compared with. So texts go only where there may be a link."""
+    members, strays, fits = met(groups)
+    one = members.join(strays.hint("shuffle_hash"), fits, "left_semi").select("group", "node")
+    two = strays.join(members.hint("shuffle_hash"), fits, "left_semi").select(F.col("s_group").alias("group"), F.col("s_node").alias("node"))
+    return groups.join(one.union(two).distinct(), ["group", "node"], "left_semi")
+
 
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, strays, mask = None, [], sum(1 << BITS * i for i in range(SKETCHED))
-        for batch in slices(batches, 2000):
-            group, block, chunk, node, component, key, stray = (batch[n].to_numpy(zero_copy_only=False) for n in ("group", "block", "chunk", "node", "component", "key", "stray"))
-            new = np.flatnonzero((np.diff(group) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)) + 1
-            found = [], []
-            for low, high in zip([0, *new], [*new, len(node)], strict=True):
-                if low == high:
-                    continue
-                if at != (here := (group[low], block[low], chunk[low])):
-                    at, strays = here, (node[:0], component[:0], key[:0])
-                first = low + np.count_nonzero(stray[low:high])
-                if first > low:
-                    more = node[low:first], component[low:first], key[low:first]
-                    strays = tuple(map(np.concatenate, zip(strays, more, strict=True)))
-                differ = key[first:high, None] ^ strays[2]
-                some = differ
-                for i in range(1, BITS):
-                    some = some | differ >> i
-                both = (np.bitwise_count(some & mask) <= SKETCHED - AGREE) & (component[first:high, None] != strays[1])
-                named = np.concatenate([node[first:high][both.any(axis=1)], strays[0][both.any(axis=0)]])
-                found[0].append(np.full(len(named), group[low]))
-                found[1].append(named)
-            x, y = (np.concatenate([np.empty(0, np.int64), *f]) for f in found)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["group", "node"])
-
-    dealt = blocks(groups, 256, 1024).select("group", "block", "chunk", "node", "component", "key", "stray")
-    return groups.join(dealt.mapInArrow(mark, "group long, node long").distinct(), ["group", "node"], "left_semi")
+def block_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) between components of groups(group, node, key, component, stray), of lines
+    that met() brings together, each verified on full shingle sets."""
+    members, strays, fits = met(groups.join(texts, "node"), lambda rows: kept_apart(rows.withColumn("set", F.array_distinct(shingle_hashes("text"))).drop("text"), "set"))
+    found = members.join(strays.hint("shuffle_hash"), fits & alike("set", "s_set"))
+    return found.select(F.least("component", "s_component").alias("a"), F.greatest("component", "s_component").alias("b")).distinct()
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -261,15 +288,15 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = lines.select("node", "text")
     edges = lines.select(F.col("node").alias("a"), "text", F.explode("hubs").alias("b"))
     links, _ = packed(linked(edges, texts))
-    parts = cut(components(links))
+    parts = cut(components(links, native=True))
     release(docs.sparkSession)
     members, _ = packed(lines.select("node", F.explode("keys").alias("key")))
     groups, _ = packed(unsettled(members, parts))
-    groups, _ = packed(promising(groups).drop("key"))
+    groups, _ = packed(promising(groups))
     release(docs.sparkSession)
-    more, n = packed(block_links(groups, texts, lambda: shingles, THRESHOLD))
+    more, n = packed(block_links(groups, texts))
     if n:
-        merged = cut(components(more)).select(F.col("node").alias("part"), F.col("component").alias("next"))
+        merged = cut(components(more, native=True)).select(F.col("node").alias("part"), F.col("component").alias("next"))
         joined = parts.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("next", "component").alias("component"))
         parts = cut(joined.union(merged.select(F.col("part").alias("node"), F.col("next").alias("component")).join(parts, "node", "left_anti")))
     places = told.groupBy("node").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"), F.count("*").alias("n"), F.min("check").alias("c"), F.max("check").alias("d")).where("c = d")

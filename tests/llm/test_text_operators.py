@@ -245,6 +245,32 @@ def test_rows_of_one_doc_id_lose_their_own_lines_only(spark):
     assert out == sorted([line, "the rest of the first row", rows[2][1]])
 
 
+def test_line_dedup_runs_no_python_on_executors(spark, monkeypatch):
+    """All its steps, its graph's too, are DataFrame functions, whichever steps the lines need."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(400)]
+    at = docs(spark, [(i, " ".join([*words[:25], words[30 + i], *words[25:30]])) for i in range(60)])
+
+    def never(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(at), name, never)
+    assert line_dedup.line_dedup(at).where("class_size = 60 and keep_doc_id = 0").count() == 60
+
+
+def test_lines_of_all_lengths_meet(spark):
+    """One signature for short lines, another for long ones; a pair may lie on both sides."""
+    rng, rows = np.random.default_rng(6), []
+    for n in (12, 20, 28, 34, 38, 44, 60, 120, 300):
+        for _ in range(100):
+            x = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n + 4))
+            rows += [(len(rows), x), (len(rows) + 1, x + "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n // 5)))]  # n shared of 1.2 n at most
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("not kept and doc_id = keep_doc_id + 1")
+    found = {r["doc_id"] // 200 for r in out.collect()}
+    assert len(found) == 9 and out.count() >= 0.97 * len(rows) / 2
+
+
 def test_line_dedup_edges(spark):
     line = "A line of quite some words that comes again and again here."
     rows = [(1, f"start of one document here\n{line}"), (2, f"{line}\n\nanother ending of the text\n"), (3, line), (3, line), (None, line), (4, None), (5, "short\nshort"), (6, LONG)]
