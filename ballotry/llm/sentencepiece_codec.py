@@ -185,10 +185,17 @@ def _narrowed(raw: bytes) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
+#: "n,n" for the bounds of most texts: the end of a span and the start of the next.
+_TWICE = [f"{n},{n}" for n in range(1 << 16)]
+
+
 def _decimal(bounds: np.ndarray) -> str:
     """The spans between bounds, as start:end, comma-joined."""
-    s = list(map(str, bounds.tolist()))
-    return ",".join(map(":".join, zip(s, s[1:])))  # noqa: B905
+    if len(bounds) < 2:
+        return ""
+    first, *inner, last = bounds.tolist()
+    known = max(inner, default=0) < len(_TWICE)
+    return ":".join([str(first), *(map(_TWICE.__getitem__, inner) if known else [f"{n},{n}" for n in inner]), str(last)])
 
 
 _codecs: dict[str, Codec] = {}

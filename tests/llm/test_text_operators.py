@@ -522,6 +522,12 @@ def test_queries_give_spans_of_every_document(spark):
         assert at == len(raw) and r["spans_sha256"] == hashlib.sha256(",".join(bounds).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("bounds", [[], [0], [0, 0], [0, 3, 7], [5, 65_534, 65_535, 65_536, 70_000], list(range(0, 9 << 15, 11))])
+def test_spans_in_decimal(bounds):
+    want = ",".join(f"{x}:{y}" for x, y in zip(bounds, bounds[1:]))  # noqa: B905
+    assert sentencepiece_codec._decimal(np.array(bounds, np.int64)) == want
+
+
 def test_alignment_of_replaced_and_squeezed_text():
     own = sentencepiece_codec.Codec(model_path())
     assert own.normalise("a▁b")[1].tolist() == [0, 1, 4, 5]
