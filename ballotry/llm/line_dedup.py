@@ -10,16 +10,14 @@ units from each place (a shorter line is one shingle). Two lines are linked when
 sets of shingles have a Jaccard similarity of 0.8 or more. Lines that are equal in that
 form are one node from the start, named by a 64-bit hash.
 
-Signature and link use the same shingles. A signature is VALUES values, each the smallest
-of the shingles' hashes times an odd number, made where the folded lines already are,
-without another shuffle; a line of any length is taken in pieces of bounded size. Each band
-has ROWS values of its own. The last bits of a bucket's key are a sketch of eight values
-outside its band, three bits each: lines at 0.8 agree in 6.6 of them on average, unlike
-lines in 1.3, and only lines that agree in AGREE or more with a line they could be linked with
-are compared as texts. Recall by
-similarity, of both steps together, is in the README. Buckets have 40-bit keys and five
-values: enough for some billions of lines, beyond which bands need more values (unlike
-lines in a bucket cost time, they don't change results).
+Signature and link use the same shingles. Signatures are made where the folded lines already
+are, without another shuffle. A line of many shingles is signed by one order of their hashes, a line
+of few by VALUES orders (bucket_keys). Each band has ROWS values. The last bits of a bucket's key are
+a sketch of eight values outside its band, three bits each: lines at 0.8 agree in 6.6 of them on
+average, unlike lines in 1.3, and only lines that agree in AGREE or more with a line they could be
+linked with are compared as texts. Recall by similarity, of both steps together, is in the README.
+Buckets have 40-bit keys and five values: enough for some billions of lines, beyond which bands
+need more values (unlike lines in a bucket cost time, they don't change results).
 
 Of a bucket each line is verified, on full sets, against one hub, taken by one of three
 orders, so that a family of alike lines has several hubs. Union-find (graph.components)
