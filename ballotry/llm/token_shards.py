@@ -1,19 +1,19 @@
 """Operator 3: training-order materialisation of token sequences.
 
 Documents become token ids, each followed by the end id, and the ids of a scan partition
-are packed into sequences of a fixed length (the last one padded). A first pass counts the
-sequences of each partition, one small row a partition; running sums of these rows number
-all sequences from 0 to N - 1 without a sort or a shuffle. A keyed Feistel network over the
-next even power of two, walked until it falls below N, permutes 0 .. N - 1; a sequence's
-image is its global slot, and inverse() leads back. The second pass encodes again, computes
-slots and deals sequences by ranges of slots, the shards. A task sorts its shards by slot
-(Spark's sort, which spills) and writes each as one file of records of fixed stride, so the
-record of any slot is at a place that arithmetic gives, and a reader can go on from where
-it stopped.
-
-docs must come out in the same partitions when read twice, as tables in files do; a
-fingerprint of each partition is compared and a difference raises. Shards are written under
-another name and moved into place, so a task that runs again replaces the same file.
+are packed into sequences of a fixed length (the last one padded). They are encoded once and
+kept as a compressed table until all shards are written. Counts of that table, one small row a
+partition, and their running sums number all sequences from 0 to N - 1 without a sort or a
+shuffle. A keyed Feistel network over the next even power of two, walked until it falls below
+N, permutes 0 .. N - 1; a sequence's image is its global slot, and inverse() leads back.
+Sequences are dealt by ranges of slots, the shards, in PASSES passes over the kept table, each
+for its share of the shards, so that only a part of the shuffle lies beside the kept table and
+the shards. A task sorts its shards by slot (Spark's sort, which spills) and writes each as one file of
+records of fixed stride, so the record of any slot is at a place that arithmetic gives, and a
+reader can go on from where it stopped.
+
+docs is read once, so its rows needn't come out in the same partitions again. Shards are written
+under another name and moved into place, so a task that runs again replaces the same file.
 
 Defined cases: null or empty text is the end id alone; repeated rows are encoded each; an
 empty table writes no shard; very long texts span many sequences; other columns aren't
@@ -25,21 +25,25 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, filesystem, new_folder, slices
+from ballotry.sources.files import delete
+
+from .common import cut, filesystem, new_folder, release, slices
 
 #: Ids of a sequence, sequences of a shard, the id behind each document and the one that pads.
 LENGTH, PER_SHARD, END, PAD = 1024, 4096, 50256, 65535
 ROUNDS = 6
 #: Tasks that write shards at most; beyond that a task writes several.
 MAX_TASKS = 50_000
+#: Passes that deal the kept sequences: a pass shuffles this part of them.
+PASSES = 4
 U = np.uint64
 
 
@@ -92,66 +96,54 @@ def encoding(path: str):  # noqa: ANN201
     return _encodings[path]
 
 
-def _ids(batches: Iterable[pa.RecordBatch], ranks: str) -> Iterator[tuple[int, list[int]]]:
-    """(hash of the text, its ids)."""
-    own = encoding(ranks)
-    for b in slices(batches, 64):
-        for text in b["text"].to_pylist():
-            yield xxhash.xxh3_64_intdigest(text.encode()), own.encode_ordinary(text)
-
-
-def count(rows: DataFrame, ranks: str, length: int) -> list[tuple[int, int, int]]:
-    """(partition, sequences, fingerprint) of each scan partition: as many rows as partitions."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, mark = 0, 0
-        for h, ids in _ids(batches, ranks):
-            total += len(ids) + 1
-            mark = (mark * 31 + h + len(ids)) % (1 << 62)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([-(-total // length)], pa.int64()), pa.array([mark], pa.int64())], ["part", "n", "mark"])
-
-    return sorted(tuple(r) for r in rows.mapInArrow(run, "part int, n long, mark long").collect())
-
-
-def sequences(rows: DataFrame, ranks: str, length: int, parts: list[tuple[int, int, int]], order: Feistel, per_shard: int) -> DataFrame:
-    """(shard, slot, n_tokens, ids): ids are length little-endian 16-bit values."""
-    first, at = {}, 0
-    for part, n, mark in parts:
-        first[part] = at, n, mark
-        at += n
-    known = rows.sparkSession.sparkContext.broadcast(first)
+def sequences(rows: DataFrame, ranks: str, length: int) -> DataFrame:
+    """(part, at, ids): the sequences of each scan partition from 0; ids are length little-endian 16-bit values."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, n, mark = known.value[TaskContext.get().partitionId()]
-        end = np.array([END], "<u2")
-        made, seen, held, size = 0, 0, [], 0
+        own, part, end = encoding(ranks), TaskContext.get().partitionId(), np.array([END], "<u2")
+        made, held, size = 0, [], 0
 
         def give(stream: np.ndarray) -> pa.RecordBatch:
             nonlocal made
             k = -(-len(stream) // length)
             full = np.full(k * length, PAD, "<u2")
             full[: len(stream)] = stream
-            slots = order.slot(np.arange(start + made, start + made + k))
-            used = np.minimum(length, len(stream) - length * np.arange(k))
             made += k
-            raw = full.tobytes()
-            return pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), pa.array(used.astype(np.int32)), pa.array([raw[i * 2 * length : (i + 1) * 2 * length] for i in range(k)], pa.binary())], ["shard", "slot", "n_tokens", "ids"])
-
-        for h, ids in _ids(batches, ranks):
-            seen = (seen * 31 + h + len(ids)) % (1 << 62)
-            held += (np.array(ids, "<u2"), end)
-            size += len(ids) + 1
-            if size >= 256 * length:
-                stream = np.concatenate(held)
-                whole = size - size % length
-                yield give(stream[:whole])
-                held, size = [stream[whole:]], size - whole
+            ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), k, [None, pa.py_buffer(full)]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(k, part, np.int32)), pa.array(np.arange(made - k, made)), ids], ["part", "at", "ids"])
+
+        for b in slices(batches, 64):
+            for text in b["text"].to_pylist():
+                ids = own.encode_ordinary(text)
+                held += (np.array(ids, "<u2"), end)
+                size += len(ids) + 1
+                if size >= 256 * length:
+                    stream = np.concatenate(held)
+                    whole = size - size % length
+                    yield give(stream[:whole])
+                    held, size = [stream[whole:]], size - whole
         if size:
             yield give(np.concatenate(held))
-        if (made, seen) != (n, mark):
-            raise RuntimeError("the documents came out in other partitions than when they were counted")
 
-    return rows.mapInArrow(run, "shard int, slot long, n_tokens int, ids binary")
+    return rows.mapInArrow(run, "part int, at long, ids binary")
+
+
+def dealt(kept: DataFrame, first: dict[int, int], order: Feistel, per_shard: int, shards: range) -> DataFrame:
+    """(shard, slot, ids) of the kept sequences(part, at, ids) whose shard is in a range. first: the
+    number of each partition's first sequence."""
+    known = kept.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts, inverse = np.unique(b["part"].to_numpy(), return_inverse=True)
+            slots = order.slot(np.array([known.value[p] for p in parts.tolist()], np.int64)[inverse] + b["at"].to_numpy())
+            shard = slots // per_shard
+            here = np.flatnonzero((shard >= shards.start) & (shard < shards.stop))
+            for i in range(0, len(here), 256):
+                some = here[i : i + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[some].astype(np.int32)), pa.array(slots[some]), b["ids"].take(pa.array(some))], ["shard", "slot", "ids"])
+
+    return kept.mapInArrow(run, "shard int, slot long, ids binary")
 
 
 def write(found: DataFrame, folder: str, length: int, shards: int) -> DataFrame:
@@ -187,8 +179,8 @@ def write(found: DataFrame, folder: str, length: int, shards: int) -> DataFrame:
         shard, path, start, n, sha = zip(*made, strict=True) if made else ((),) * 5
         yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(path, pa.string()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["shard", "path", "first_slot", "records", "sha256"])
 
-    dealt = found.select("shard", "slot", "ids").repartition(max(1, min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard", "slot")
-    return cut(dealt.mapInArrow(run, "shard int, path string, first_slot long, records long, sha256 string"))
+    ranges = found.repartition(max(1, min(shards, MAX_TASKS)), "shard").sortWithinPartitions("shard", "slot")
+    return cut(ranges.mapInArrow(run, "shard int, path string, first_slot long, records long, sha256 string"))
 
 
 def materialise(docs: DataFrame, ranks: str, key: str = "0", length: int = LENGTH, per_shard: int = PER_SHARD, folder: str | None = None, text_col: str = "text") -> DataFrame:
@@ -196,9 +188,23 @@ def materialise(docs: DataFrame, ranks: str, key: str = "0", length: int = LENGT
     manifest: shard, path, first_slot, records, sha256."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = count(rows, ranks, length)
-    total = sum(n for _, n, _ in parts)
-    return write(sequences(rows, ranks, length, parts, Feistel(total, key), per_shard), folder or new_folder(spark, "shards"), length, -(-total // per_shard))
+    folder, aside = folder or new_folder(spark, "shards"), new_folder(spark, "sequences")
+    try:
+        # ids hardly repeat, so a dictionary would only cost time
+        sequences(rows, ranks, length).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(aside)
+        kept, first, total = spark.read.parquet(aside), {}, 0
+        for part, n in sorted(tuple(r) for r in kept.groupBy("part").count().collect()):
+            first[part] = total
+            total += n
+        shards, order, made = -(-total // per_shard), Feistel(total, key), []
+        share = max(1, -(-shards // PASSES))
+        for at in range(0, max(1, shards), share):
+            some = range(at, min(at + share, shards))
+            made.append(write(dealt(kept, first, order, per_shard, some), folder, length, len(some)))
+            release(spark)  # the shuffle of this pass
+    finally:
+        delete(spark, aside)
+    return reduce(DataFrame.union, made)
 
 
 def read(manifest: DataFrame, length: int = LENGTH, from_slot: int = 0, with_ids: bool = True) -> DataFrame:

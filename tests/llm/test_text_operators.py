@@ -1,6 +1,7 @@
 """Brute force, round trips and defined cases of the text operators on small tables."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -575,6 +576,20 @@ def test_training_order(spark, tmp_path):
     assert token_shards.materialise(rows.limit(0), ranks_path()).count() == 0
 
 
+def test_training_order_encodes_once(spark):
+    """Texts that differ whenever they are read are written as they were encoded, in several passes over
+    what was kept, which goes in the end."""
+    noisy = F.udf(lambda i: f"text {i} {os.urandom(40).hex()}").asNondeterministic()
+    manifest = token_shards.materialise(spark.range(0, 200, 1, 3).select(noisy("id").alias("text")), ranks_path(), length=32, per_shard=7)
+    found = {r["slot"]: r["ids"] for r in token_shards.read(manifest, 32).collect()}
+    assert manifest.count() == -(-len(found) // 7) > 2 * token_shards.PASSES and sorted(found) == list(range(len(found)))
+    stream = [i for s in token_shards.Feistel(len(found), "0").slot(np.arange(len(found))) for i in found[s] if i != token_shards.PAD]
+    texts = bytes(token_shards.encoding(ranks_path()).decode_bytes([i for i in stream if i != token_shards.END])).decode()
+    assert re.sub(" [0-9a-f]{80}", " ", texts) == "".join(f"text {i} " for i in range(200)) and stream.count(token_shards.END) == 200
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [n for n in os.listdir(folder) if n.startswith("sequences-")]
+
+
 def test_toxicity(spark):
     at, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     got = toxicity.toxicity(at, labels).join(labels, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
