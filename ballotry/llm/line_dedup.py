@@ -43,7 +43,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from ballotry.sources.files import Tables
+
+from .common import cut, release, shuffles_end
 from .graph import blocks, components, packed
 from .near_dedup import mix
 
@@ -276,12 +278,18 @@ def block_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, node), and of those that are not alone in their
     class (node, keep: the first place of the class, class_size: lines in it)."""
+    with shuffles_end(docs.sparkSession):
+        return _line_classes(docs, id_col, text_col)
+
+
+def _line_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     every = lines_of(docs, id_col, text_col)
     told = every.where(F.col("node").isNotNull())
     folded = told.groupBy("node").agg(F.first("line").alias("line"), F.min("check").alias("c"), F.max("check").alias("d")).where("c = d")
     at = with_hubs(bucket_keys(folded.select("node", plain("line").alias("text"))))
     at = at.groupBy("node").agg(F.collect_list("key").alias("keys"), F.collect_set(F.when(F.col("near") & (F.col("hub") != F.col("node")), F.col("hub"))).alias("hubs"))
-    lines = cut(folded.join(at, "node").select("node", "keys", "hubs", plain("line").alias("text")))
+    tables = Tables(docs.sparkSession, "lines")  # compressed, other than a checkpoint
+    lines = tables.cut(folded.join(at, "node").select("node", "keys", "hubs", plain("line").alias("text")))
     release(docs.sparkSession)
     texts = lines.select("node", "text")
     edges = lines.select(F.col("node").alias("a"), "text", F.explode("hubs").alias("b"))
@@ -293,6 +301,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups, _ = packed(promising(groups))
     release(docs.sparkSession)
     more, n = packed(block_links(groups, texts))
+    tables.drop_before(tables.count + 1)
     if n:
         merged = cut(components(more, native=True)).select(F.col("node").alias("part"), F.col("component").alias("next"))
         joined = parts.join(merged, F.col("component") == F.col("part"), "left").select("node", F.coalesce("next", "component").alias("component"))

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import re
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -272,6 +273,22 @@ def test_lines_of_all_lengths_meet(spark):
     assert len(found) == 9 and out.count() >= 0.97 * len(rows) / 2
 
 
+def test_line_dedup_keeps_no_shuffles(spark):
+    """What its steps shuffled and the table of lines are gone before its result is read; the session is as before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {n for d in disk.localDirs() for _, _, ns in os.walk(d.getPath()) for n in ns if n.startswith("shuffle_") and n.endswith(".data")}
+    name, old = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffles()
+    was = spark.conf.get(name, None)
+    line_dedup.line_classes(docs(spark, [(i, f"a line of some words that differ in their end {i % 7}\nanother {i}") for i in range(40)]))
+    for _ in range(50):
+        if not shuffles() - old:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - old and spark.conf.get(name, None) == was
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not [n for at in os.listdir(folder) if at.startswith("lines-") for n in os.listdir(f"{folder}/{at}") if not n.startswith(".")]
+
+
 def test_line_dedup_edges(spark):
     line = "A line of quite some words that comes again and again here."
     rows = [(1, f"start of one document here\n{line}"), (2, f"{line}\n\nanother ending of the text\n"), (3, line), (3, line), (None, line), (4, None), (5, "short\nshort"), (6, LONG)]
