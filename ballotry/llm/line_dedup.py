@@ -231,9 +231,11 @@ def alike(x: str, y: str) -> Column:
 
 
 def linked(edges: DataFrame, lines: DataFrame) -> DataFrame:
-    """The edges(a, b, text of a) whose lines are alike, on full shingle sets."""
-    other = lines.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    pairs = kept_apart(edges.join(other, "b").select("a", "b", F.array_distinct(shingle_hashes("text")).alias("x"), F.array_distinct(shingle_hashes("b_text")).alias("y")), "x", "y")
+    """The edges(a, b, text of a) whose lines are alike, on full shingle sets. Where lines have hubs, an edge
+    that is there the other way round too, as a is among b's hubs, is looked at once, from the lesser end."""
+    other = lines.select(F.col("node").alias("b"), F.col("text").alias("b_text"), *(F.col(c) for c in lines.columns if c == "hubs"))
+    met_once = (F.col("a") < F.col("b")) | ~F.array_contains("hubs", F.col("a")) if "hubs" in lines.columns else F.lit(True)
+    pairs = kept_apart(edges.join(other, "b").where(met_once).select("a", "b", F.array_distinct(shingle_hashes("text")).alias("x"), F.array_distinct(shingle_hashes("b_text")).alias("y")), "x", "y")
     return pairs.where(alike("x", "y")).select("a", "b")
 
 
@@ -293,7 +295,7 @@ def _line_classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFram
     release(docs.sparkSession)
     texts = lines.select("node", "text")
     edges = lines.select(F.col("node").alias("a"), "text", F.explode("hubs").alias("b"))
-    links, _ = packed(linked(edges, texts))
+    links, _ = packed(linked(edges, lines.select("node", "text", "hubs")))
     parts = cut(components(links, native=True))
     release(docs.sparkSession)
     members, _ = packed(lines.select("node", F.explode("keys").alias("key")))

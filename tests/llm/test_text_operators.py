@@ -159,6 +159,15 @@ def test_lines_are_verified_whole(spark):
     assert sets == {i: len(all_shingles(line_)) for i, line_ in rows}
 
 
+def test_edges_of_two_directions_are_verified_once(spark):
+    """Of an edge and the same one the other way round, one is left; one of a single direction stays, whichever end is lesser."""
+    line = "a line of quite some words that all of them have"
+    hubs = {1: [2], 2: [1, 3], 3: [], 4: [3], 5: [6], 6: [5]}
+    lines = spark.createDataFrame([(i, line if i < 6 else "something else entirely", h) for i, h in hubs.items()], "node long, text string, hubs array<long>")
+    edges = lines.select(F.col("node").alias("a"), "text", F.explode("hubs").alias("b"))
+    assert sorted(map(tuple, line_dedup.linked(edges, lines).collect())) == [(1, 2), (2, 3), (4, 3)]
+
+
 def line_keeps(documents):
     """(doc_id, line_no) -> the place that stays, by all pairs that share a shingle."""
     first, every = {}, []
