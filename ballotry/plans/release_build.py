@@ -5,6 +5,10 @@ so a step that dies leaves files nobody names and the next run does it again, wi
 Steps: the members (opinions released), then for each kind of rows its frozen lines with the plan of
 pages, then pages in batches of blocks, then its indexes in batches, from the last page to the first,
 and at the end the root manifest. A change of moderation before publication makes a release invalid.
+
+Small batches are made many at a time (a run), by one job: the step of a run's first batch writes it, and
+the state says what is ahead. The steps of the others only commit; build() commits a run at once. So jobs
+go by rows, not by steps.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ KINDS = ("opinions", "responses", "presentations")
 PART = re.compile(r"manifest|[di]-(opinions|responses|presentations)-[0-9]{12}")
 _REF = ("part", "sha256", "row_count", "byte_length")
 _PART_ROW = "part string, sha256 string, row_count long, byte_length long, body string"
+#: Blocks, and index pages, that a run goes up to where a step takes fewer, and the steps it has at most.
+RUN_BLOCKS, RUN_INDEXES, RUN_STEPS = 4096, 1024, 512
 
 
 def _ref(part: dict | None) -> dict | None:
@@ -36,6 +42,16 @@ def _ref(part: dict | None) -> dict | None:
     return part and {c: part[c] for c in _REF}
 
 
+def _number() -> F.Column:
+    """A part's number in its name."""
+    return F.substring("part", -12, 12).cast("long")
+
+
+def _run(step: int, most: int) -> int:
+    """Steps in a run."""
+    return max(1, min(RUN_STEPS, most // step))
+
+
 class Conflict(Exception):
     """Another writer was first, or what the release rests on has changed."""
 
@@ -78,11 +94,12 @@ class Release:
         if len(json.dumps(metadata).encode()) > self.sizes.page_bytes // 2:
             raise ValueError("the metadata is too large for a manifest")
         counts = {k: {"rows": 0, "pages": 0, "index_pages": 0, "index": None} for k in KINDS}
-        first = {"id": name, "status": "preparing", "phase": "members", "cursor": 0, "marks": self.sources.marks(), "moderation": moderation, "created": created, "reason": reason, "metadata": metadata, "counts": counts, "wrote": None, "sha256": None}
+        first = {"id": name, "status": "preparing", "phase": "members", "cursor": 0, "marks": self.sources.marks(), "moderation": moderation, "created": created, "reason": reason, "metadata": metadata, "counts": counts, "frozen": {}, "ahead": [], "wrote": None, "sha256": None}
         return self.states.swap(0, first) or self.states.current()
 
-    def advance(self, moderation: int, expected: int | None = None) -> dict:
-        """One step on. expected: the number the caller thinks the release is at."""
+    def advance(self, moderation: int, expected: int | None = None, run: bool = False) -> dict:
+        """One step on, or all steps that one job makes (run). expected: the number the caller thinks the
+        release is at."""
         now = self.states.current()
         if now["status"] in ("released", "draft"):
             return now
@@ -95,11 +112,11 @@ class Release:
             return self._members(now)
         if kind == "manifest":
             return self._manifest(now)
-        return {"freeze": self._freeze, "pages": self._pages, "index": self._index}[phase](now, kind)
+        return self._freeze(now, kind) if phase == "freeze" else {"pages": self._pages, "index": self._index}[phase](now, kind, run)
 
     def build(self, moderation: int) -> dict:
         """All steps that are left."""
-        while (now := self.advance(moderation))["status"] == "preparing":
+        while (now := self.advance(moderation, run=True))["status"] == "preparing":
             pass
         return now
 
@@ -137,39 +154,75 @@ class Release:
         s = self.sizes
         plan = release.page_plan(self.spark.read.parquet(numbered), files.Tables(self.spark, "plan"), s.page_rows, s.page_bytes, s.block_pages)
         planned = self._write(plan, f"plan-{kind}")
-        return self._commit(now, phase=f"{kind}:pages", cursor=0, wrote={"what": "frozen", "kind": kind, "path": numbered, "plan": planned})
+        blocks = self.spark.read.parquet(planned).agg(F.coalesce(F.max("block") + 1, F.lit(0)).alias("n")).first()["n"]
+        frozen = {**now["frozen"], kind: {"path": numbered, "plan": planned, "blocks": blocks}}
+        return self._commit(now, phase=f"{kind}:pages", cursor=0, frozen=frozen)
+
+    def _pages(self, now: dict, kind: str, run: bool) -> dict:
+        s, frozen, first, have = self.sizes, now["frozen"][kind], now["cursor"], now["counts"][kind]
+        ahead, change = now["ahead"], {}
+        if not ahead:
+            path, ahead = self._page_run(frozen, kind, first)
+            change = {"wrote": {"what": "parts", "kind": kind, "path": path}}
+        steps = len(ahead) if run else 1
+        added, ahead = ahead[:steps], ahead[steps:]
+        counts = {**now["counts"], kind: {**have, **{n: have[n] + sum(a[n] for a in added) for n in ("rows", "pages")}}}
+        until = first + steps * s.batch_blocks
+        ended = until >= frozen["blocks"]
+        after = KINDS.index(kind) + 1
+        phase = now["phase"] if not ended else f"{KINDS[after]}:freeze" if after < len(KINDS) else f"{KINDS[0]}:index"
+        cursor = until if not ended else counts[KINDS[0]]["pages"] if phase.endswith("index") else 0
+        return self._commit(now, phase=phase, cursor=cursor, counts=counts, ahead=ahead, **change)
 
-    def _pages(self, now: dict, kind: str) -> dict:
-        s, frozen = self.sizes, next(x["wrote"] for x in self.states.history() if x["wrote"] and (x["wrote"]["what"], x["wrote"]["kind"]) == ("frozen", kind))
-        plan, first = self.spark.read.parquet(frozen["plan"]), now["cursor"]
-        some = plan.where((F.col("block") >= first) & (F.col("block") < first + s.batch_blocks))
+    def _page_run(self, frozen: dict, kind: str, first: int) -> tuple[str, list[dict]]:
+        """The pages of the batches from a block on, written, and how many pages and rows each batch has."""
+        s = self.sizes
+        until = min(first + s.batch_blocks * _run(s.batch_blocks, RUN_BLOCKS), frozen["blocks"])
+        some = self.spark.read.parquet(frozen["plan"]).where((F.col("block") >= first) & (F.col("block") < until))
         size = s.page_rows * s.block_pages
-        rows = self.spark.read.parquet(frozen["path"]).where((F.col("rn") > first * size) & (F.col("rn") <= (first + s.batch_blocks) * size + s.page_rows))
+        rows = self.spark.read.parquet(frozen["path"]).where((F.col("rn") > first * size) & (F.col("rn") <= until * size + s.page_rows))
         parts = release.page_bodies(rows, some, s.page_rows, s.page_bytes, s.block_pages)
-        path = self._write(parts.select(F.format_string(f"d-{kind}-%012d", "page").alias("part"), "sha256", F.col("rows").alias("row_count"), "byte_length", "body"), f"parts-{kind}")
-        added = self.spark.read.parquet(path).agg(F.count("*").alias("pages"), F.coalesce(F.sum("row_count"), F.lit(0)).alias("rows")).first()
-        counts = {**now["counts"], kind: {**now["counts"][kind], "rows": now["counts"][kind]["rows"] + added["rows"], "pages": now["counts"][kind]["pages"] + added["pages"]}}
-        ended = not plan.where(F.col("block") >= first + s.batch_blocks).limit(1).count()
-        after = KINDS.index(kind) + 1
-        phase = now["phase"] if not ended else f"{KINDS[after]}:freeze" if after < len(KINDS) else f"{KINDS[0]}:index"
-        cursor = first + s.batch_blocks if not ended else counts[KINDS[0]]["pages"] if phase.endswith("index") else 0
-        return self._commit(now, phase=phase, cursor=cursor, counts=counts, wrote={"what": "parts", "kind": kind, "path": path})
+        step = F.floor((F.col("first_rn") - 1 - first * size) / (size * s.batch_blocks)).cast("long")
+        path = self._write(parts.select(F.format_string(f"d-{kind}-%012d", "page").alias("part"), "sha256", F.col("rows").alias("row_count"), "byte_length", "body", step.alias("step")), f"parts-{kind}")
+        made = {r["step"]: {"pages": r["pages"], "rows": r["rows"]} for r in self.spark.read.parquet(path).groupBy("step").agg(F.count("*").alias("pages"), F.sum("row_count").alias("rows")).collect()}
+        return path, [made.get(i, {"pages": 0, "rows": 0}) for i in range(max(1, -(-(until - first) // s.batch_blocks)))]
 
     def parts(self, kind: str) -> DataFrame:
-        paths = self._wrote("parts", kind)
-        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], _PART_ROW)
-
-    def _index(self, now: dict, kind: str) -> dict:
-        """Index pages from the page the cursor is at, downwards. Each names the digest of the one built
-        before it, so a batch of them is one task's chain over references, not bodies."""
-        s, top, have, name = self.sizes, now["cursor"], now["counts"][kind], now["id"]
+        """The parts of a kind (or index:kind, or manifest) that steps have committed."""
+        paths, now = self._wrote("parts", kind), self.states.current()
+        if not paths:
+            return self.spark.createDataFrame([], _PART_ROW)
+        found = self.spark.read.schema(_PART_ROW).parquet(*paths)
+        if now["ahead"]:  # of the run that is being committed
+            of, _, name = kind.rpartition(":")
+            found = found.where(_number() <= now["counts"][name]["index_pages" if of else "pages"])
+        return found
+
+    def _index(self, now: dict, kind: str, run: bool) -> dict:
+        """Index pages from the page the cursor is at, downwards."""
+        s, top, have = self.sizes, now["cursor"], now["counts"][kind]
         after = KINDS.index(kind) + 1
         following = {"phase": f"{KINDS[after]}:index" if after < len(KINDS) else "manifest", "cursor": now["counts"][KINDS[after]]["pages"] if after < len(KINDS) else 0}
         if not top:
             return self._commit(now, **following)
-        low = max(0, top - s.index_refs * s.batch_indexes)
-        number = F.substring("part", -12, 12).cast("long")
-        refs = self.parts(kind).where((number > low) & (number <= top)).select(number.alias("n"), "part", "sha256", "row_count", "byte_length")
+        ahead, change = now["ahead"], {}
+        if not ahead:
+            path, ahead = self._index_run(now, kind)
+            change = {"wrote": {"what": "parts", "kind": f"index:{kind}", "path": path}}
+        steps = len(ahead) if run else 1
+        added, ahead = ahead[:steps], ahead[steps:]
+        counts = {**now["counts"], kind: {**have, "index_pages": have["index_pages"] + sum(a["pages"] for a in added), "index": added[-1]["last"]}}
+        low = max(0, top - steps * s.index_refs * s.batch_indexes)
+        change |= {"cursor": low} if low else following
+        return self._commit(now, counts=counts, ahead=ahead, **change)
+
+    def _index_run(self, now: dict, kind: str) -> tuple[str, list[dict]]:
+        """The index pages of the batches from the cursor down, written, and how many each batch has, and its
+        last. Each names the digest of the one built before it, so a run of them is one task's chain over
+        references, not bodies."""
+        s, top, have, name = self.sizes, now["cursor"], now["counts"][kind], now["id"]
+        low = max(0, top - s.index_refs * s.batch_indexes * _run(s.batch_indexes, RUN_INDEXES))
+        refs = self.parts(kind).where((_number() > low) & (_number() <= top)).select(_number().alias("n"), "part", "sha256", "row_count", "byte_length")
 
         def chain(p: pd.DataFrame) -> pd.DataFrame:
             p = p.sort_values("n")
@@ -180,15 +233,12 @@ class Release:
                 some = known[max(end - s.index_refs, low) - low : end - low]
                 body = json.dumps({"schema_version": 3, "kind": "page_index", "release_id": name, "table": kind, "pages": some, "next": at}, separators=(",", ":"))
                 at = {"part": f"i-{kind}-{have['index_pages'] + len(out) + 1:012}", "sha256": hashlib.sha256(body.encode()).hexdigest(), "row_count": len(some), "byte_length": len(body.encode())}
-                out.append({**at, "body": body})
+                out.append({**at, "body": body, "step": len(out) // s.batch_indexes})
             return pd.DataFrame(out)
 
-        path = self._write(refs.groupBy().applyInPandas(chain, _PART_ROW), f"index-{kind}")
-        built = self.spark.read.parquet(path).drop("body").orderBy(F.desc("part"))
-        last, added = built.first().asDict(), built.count()
-        counts = {**now["counts"], kind: {**have, "index_pages": have["index_pages"] + added, "index": last}}
-        more = {"cursor": low} if low else following
-        return self._commit(now, counts=counts, **more, wrote={"what": "parts", "kind": f"index:{kind}", "path": path})
+        path = self._write(refs.groupBy().applyInPandas(chain, f"{_PART_ROW}, step long"), f"index-{kind}")
+        made = self.spark.read.parquet(path).groupBy("step").agg(F.count("*").alias("pages"), F.max(F.struct(*_REF)).alias("last")).orderBy("step").collect()
+        return path, [{"pages": r["pages"], "last": r["last"].asDict()} for r in made]
 
     def _manifest(self, now: dict) -> dict:
         tables = {k: {"rows": (c := now["counts"][k])["rows"], "pages": c["pages"], "index": _ref(c["index"])} for k in KINDS}

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ballotry.plans import release_build as rb
 from ballotry.plans.state import States
+from ballotry.sources import files
 
 SIZES = rb.Sizes(page_rows=20, page_bytes=700, block_pages=2, index_refs=3, batch_blocks=2, batch_indexes=2)
 
@@ -115,3 +116,42 @@ def test_writers_at_once(spark, tmp_path):
             won = list(pool.map(lambda i, n=number: States(spark, f"file://{tmp_path}").swap(n, {"by": i}), range(8)))
             assert sum(w is not None for w in won) >= 1
             assert States(spark, f"file://{tmp_path}").current()["by"] in [w["by"] for w in won if w]
+
+
+def test_small_steps_are_made_by_few_jobs(spark, tmp_path, monkeypatch):
+    big = rb.Release(spark, str(tmp_path / "a"), sources(spark), SIZES)
+    big.prepare("r1", 7, "2026-01-01T00:00:00Z")
+    done, n, seen = big.build(7), 0, set()
+    write = rb.Release._write
+
+    def counted(self, rows, name):
+        nonlocal n
+        n += 1
+        return write(self, rows, name)
+
+    monkeypatch.setattr(rb.Release, "_write", counted)
+    monkeypatch.setattr(rb, "RUN_STEPS", 10)
+    one = rb.Sizes(**{**vars(SIZES), "block_pages": 1, "batch_blocks": 1, "batch_indexes": 1})
+    small = rb.Release(spark, str(tmp_path / "b"), sources(spark), one)
+    small.prepare("r1", 7, "2026-01-01T00:00:00Z")
+    while (now := small.advance(7))["status"] == "preparing":
+        if now["phase"] == "responses:pages":
+            seen.add(now["counts"]["responses"]["pages"])
+            assert small.parts("responses").count() == now["counts"]["responses"]["pages"]  # what is ahead isn't there yet
+        if now["number"] % 4 == 0:  # stopped in a run: another process commits what is ahead
+            small = rb.Release(spark, str(tmp_path / "b"), sources(spark), one)
+    assert now["sha256"] == done["sha256"] and len(seen) > 8
+    # members, three kinds frozen (2 each), pages and indexes (1 each, 2 of responses' pages), the manifest
+    assert now["number"] > 25 and n <= 16
+    assert small.every_part().select("part").distinct().count() == small.every_part().count() == big.every_part().count()
+
+
+def test_a_state_is_read_once(spark, tmp_path, monkeypatch):
+    for number in range(20):
+        States(spark, str(tmp_path)).swap(number, {"n": number})
+    read, found = files.read, []
+    monkeypatch.setattr(files, "read", lambda s, path: found.append(path) or read(s, path))
+    at = States(spark, str(tmp_path))
+    assert at.current() == {"n": 19, "number": 20} and len(at.history()) == len(at.history()) == 20
+    assert at.swap(20, {"n": 20}) and at.current()["n"] == 20 and len(found) <= 26
+    assert States(spark, str(tmp_path)).swap(21, {"n": 21}) and at.current()["n"] == 21
