@@ -911,9 +911,10 @@ def session_machine(s: SparkSession, d: str) -> DataFrame:
     sessions.rocksdb(s)
     half = log.agg(F.max("seq")).first()[0] // 2
     for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/log")
-        out = sessions.machine(E.read_stream(s, f"{folder}/log", "*.parquet", 1), buckets=8)
-        E.append_stream(out, f"{folder}/out", f"{folder}/state").awaitTermination()
+        for piece in E.pieces(part, "seq"):
+            piece.write.mode("append").parquet(f"{folder}/log")
+            out = sessions.machine(E.read_stream(s, f"{folder}/log", "*.parquet", 1 << 30), buckets=8)
+            E.append_stream(out, f"{folder}/out", f"{folder}/state").awaitTermination()
     return s.read.parquet(f"{folder}/out").select("session_id", "opinion_id", "kind", "seq")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Rows of a micro-batch of a log that is cut into several.
+BATCH_ROWS = 8_000_000
 FLAGS = {"agree": -1, "disagree": 1, "pass": 0, "unrelated": 2}
 
 
@@ -20,6 +22,16 @@ def read_stream(spark: SparkSession, path: str, pattern: str, files: int = 16) -
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def pieces(log: DataFrame, seq: str, rows: int = BATCH_ROWS) -> list[DataFrame]:
+    """A log cut by its sequence number into pieces of about so many rows, in order; all rows are in one."""
+    n = -(-log.count() // rows)
+    ends = sorted(set(log.approxQuantile(seq, [i / n for i in range(1, n)], 0.001))) if n > 1 else []
+    at = F.lit(0)
+    for end in ends:
+        at = at + (F.col(seq) > end).cast("int")
+    return [log.where(at == i) for i in range(len(ends) + 1)]
+
+
 def distinct_events(events: DataFrame, key: str = "event_id", ts: str = "ts", delay: str = "7 days") -> DataFrame:
     """The first of the events of each id. The same call works on streams and tables."""
     if events.isStreaming:

@@ -1,11 +1,13 @@
 import random
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from ballotry.streaming import sessions
 from ballotry.streaming.counters import Counters
-from ballotry.streaming.events import append_stream, read_stream
+from ballotry.streaming.events import append_stream, pieces, read_stream
 
 LOG = "seq long, session_id string, type string, opinion_id string"
 
@@ -46,6 +48,53 @@ def test_sessions_over_a_restart(spark, tmp_path):
     assert found == by_hand(log) and {r[2] for r in found} == {"issued", "answered", "retired", "reflect", "ended"}
 
 
+class Maps:
+    """State in dictionaries, whose calls are counted."""
+
+    def __init__(self):
+        self.maps, self.calls = {}, 0
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        state, at = self, self.maps.setdefault(name, {})
+
+        class Map:
+            def __getattr__(self, call):
+                state.calls += 1
+                return {"containsKey": at.__contains__, "getValue": at.__getitem__, "updateValue": at.__setitem__, "removeKey": at.__delitem__}[call]
+
+        return Map()
+
+
+def test_state_is_called_by_pages_not_by_rows(monkeypatch):
+    monkeypatch.setattr(sessions, "PAGES", 8)
+    monkeypatch.setattr(sessions, "FRAME", 500)
+    rng, state, out = random.Random(3), Maps(), []
+    kinds = ["request"] * 30 + ["answer"] * 12 + ["hide", "restore", "finish", "end"]
+    log = [(i, f"s{rng.randrange(900)}", rng.choice(kinds), f"o{rng.randrange(15)}") for i in range(20000)]
+    for i in range(0, 20000, 5000):
+        part = log[i : i + 5000]
+        rng.shuffle(part)
+        data = []
+        for at in range(0, 5000, 1000):
+            rows = pa.table({"seq": pa.array([r[0] for r in part[at : at + 1000]]), "session_id": [None if r[2] in sessions.CHANGES else r[1] for r in part[at : at + 1000]], "code": pa.array([sessions.KINDS.index(r[2]) for r in part[at : at + 1000]], pa.int8()), "opinion_id": [r[3] if r[2] in ("request", *sessions.CHANGES) else None for r in part[at : at + 1000]]})
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as w:
+                w.write_table(rows)
+            data.append(sink.getvalue().to_pybytes())
+        one = sessions._Sessions()
+        one.init(state)
+        out += [r for p in one.handleInputRows((0,), iter([pd.DataFrame({"rows": data[:2]}), pd.DataFrame({"rows": data[2:]})]), None) for r in p.itertuples(index=False, name=None)]
+    assert sorted(out, key=str) == by_hand(log) and {r[2] for r in out} == {"issued", "answered", "retired", "reflect", "ended"}
+    assert state.calls <= 4 * (3 * 8 + 6 * 15)  # a batch: pages looked for, read and written; opinions so too, in two maps
+
+
+def test_pieces_of_a_log_are_in_order(spark):
+    log = spark.range(1000).select((F.col("id") * 7 % 1000).alias("seq"))
+    found = [sorted(r["seq"] for r in p.collect()) for p in pieces(log, "seq", 300)]
+    assert len(found) == 4 and sum(found, []) == list(range(1000)) and max(map(len, found)) <= 310
+    assert [p.count() for p in pieces(log, "seq", 1000)] == [1000] and [p.count() for p in pieces(log.where("seq < 0"), "seq", 10)] == [0]
+
+
 CHANGE = "seq long, session_id string, opinion_id string, value int, sign int, approved boolean"
 
 
