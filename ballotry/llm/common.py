@@ -58,6 +58,27 @@ def shuffles_end(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if old is None else spark.conf.set(name, old)
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark's settings say it."""
+    number = size.lower().rstrip("b")
+    unit = number[-1] if number[-1] in "kmgt" else ""
+    return int(number.removesuffix(unit)) << 10 * " kmgt".index(unit or " ")
+
+
+@contextmanager
+def dealt_by_size(docs: DataFrame, most: int = 16 << 20) -> Iterator[None]:
+    """Here shuffles have a partition for each so many bytes of the files docs are read from, where the session
+    has fewer. What a task of a large shuffle holds stays in memory then; adaptive execution merges small ones."""
+    spark, name = docs.sparkSession, "spark.sql.shuffle.partitions"
+    old = spark.conf.get(name)
+    pieces = max(1, _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) // most)
+    spark.conf.set(name, str(max(int(old), docs.rdd.getNumPartitions() * pieces)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from ballotry.sources.files import Tables
 
-from .common import cut, release, shuffles_end
+from .common import cut, dealt_by_size, release, shuffles_end
 from .graph import blocks, components, packed
 from .near_dedup import mix
 
@@ -280,7 +280,7 @@ def block_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, line_no, node), and of those that are not alone in their
     class (node, keep: the first place of the class, class_size: lines in it)."""
-    with shuffles_end(docs.sparkSession):
+    with shuffles_end(docs.sparkSession), dealt_by_size(docs):
         return _line_classes(docs, id_col, text_col)
 
 

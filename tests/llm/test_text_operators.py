@@ -641,3 +641,24 @@ def test_pipeline(spark):
     toxic = {r["doc_id"] for r in toxicity.toxicity(at, table(spark, DIR, "labels")).where("predicted = 1").collect()}
     assert not toxic & {r["doc_id"] for r in out}
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "decontamination", "sentencepiece"]
+
+
+def test_line_shuffles_are_dealt_by_the_size_of_the_input(spark):
+    from ballotry.llm.common import dealt_by_size
+
+    name, most = "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes"
+    old, size = spark.conf.get(name), spark.conf.get(most)
+    seen = []
+
+    def inside(docs):
+        with dealt_by_size(docs):
+            seen.append(spark.conf.get(name))
+
+    try:
+        for value in ("128m", "134217728b", "134217728", "16m", "1g"):
+            spark.conf.set(most, value)
+            inside(spark.range(0, 40, 1, 40))
+        inside(spark.range(0, 1, 1, 1).where("id < 0"))
+        assert seen == ["320", "320", "320", "40", "2560", "64"] and spark.conf.get(name) == old
+    finally:
+        spark.conf.set(most, size)
